@@ -6,18 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm import sharding
+from candlemill.llm import chat, contamination, sharding
 from candlemill.llm.jobs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return chat.digests(chat.render(rows.unionByName(more))).drop("rewrote")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+_ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, 'null') as role, coalesce(text, '') as text from conversations
+            union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), e as (
+            select *, length(regexp_replace(text, '<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[ROLE\]|\[/ROLE\]|\[OUT\]|\\', '\0+', 'g'))
+                + case role when 'user' then 13 when 'assistant' then 9 when 'system' then 11 else 14 + length(role) end as chars from c
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+            cast(3 + sum(chars) as bigint) as formatted_chars
+        from e group by conv_id""",
+    "op10_decontamination": f"""
+        with d as (select doc_id, coalesce({_ALNUM.format("text")}, []) as w from documents),
+        b as (select item_id, {_ALNUM.format("text")} as w from benchmark where text is not null),
+        p as (
+            select item_id, least(13, len(w)) as m, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as p
+            from b, unnest(range(1, len(w) - least(13, len(w)) + 2)) t(i) where len(w) > 0
+        ),
+        g as (
+            select doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') as p
+            from d, (select distinct m from p) s, unnest(range(1, len(w) - m + 2)) t(i) where len(w) >= m
+        ),
+        h as (select g.doc_id, g.i, g.m, p.item_id from g join p using (m, p)),
+        n as (select doc_id, count(distinct k) as n_hit from h, unnest(range(i, i + m)) t(k) group by doc_id),
+        s as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as x from (select distinct doc_id, cast(item_id as varchar) as x from h) group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+            sha256(coalesce(s.x, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join n using (doc_id) left join s using (doc_id)""",
+}
