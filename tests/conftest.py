@@ -23,5 +23,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from candlemill.session import ship
+
+    ship(s)
     yield s
     s.stop()
