@@ -169,3 +169,61 @@ def split_words(text: str | None, kind: np.ndarray) -> list[bytes]:
     b = Block(0, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     w = words(b, kind)
     return [data[s:e] for s, e in zip(w.start, w.end, strict=True)]
+
+
+class Lookup:
+    """Exact lookup of 64-bit keys: a sorted key array with an index over its leading bits."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys.astype(U))
+        self.bits = int(min(22, max(4, np.ceil(np.log2(len(keys) + 1)) + 2)))
+        edges = np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)
+        self.start = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Position of each key in ``keys``, or -1."""
+        slot = (h >> U(64 - self.bits)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out = np.full(len(h), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            k, want = self.keys[at], h[live]
+            hit = k == want
+            out[live[hit]] = at[hit]
+            at = at + 1
+            go = (k < want) & (at < end)
+            live, at, end = live[go], at[go], end[go]
+        return out
+
+
+class Tally:
+    """Sums of counts by 64-bit code inside a task, merged when it has grown to ``most`` entries."""
+
+    def __init__(self, most: int = 3_000_000) -> None:
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        u, n = np.unique(codes, return_counts=True)
+        self.parts.append((u, n))
+        self.size += len(u)
+        if self.size > self.most:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.concatenate([p[0] for p in self.parts])
+        n = np.concatenate([p[1] for p in self.parts])
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        return codes[first], np.add.reduceat(n, first)
+
+    def take_if_large(self):
+        """The sums so far, and start anew, where even the merged sums are too many."""
+        if self.size > self.most // 2 and len(self.parts) == 1:
+            out, self.parts, self.size = self.parts[0], [], 0
+            return out
+        return None

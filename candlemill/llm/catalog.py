@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm import chat, contamination, sharding
-from candlemill.llm.jobs import table
+from candlemill.llm import chat, classlm, contamination, language, sharding
+from candlemill.llm.jobs import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 10) == 0
+    model, vocab = classlm.train(docs.filter(~held))
+    return classlm.score(docs, model, vocab).withColumn("held_out", held)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
@@ -23,13 +30,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 3) == 1
+    return language.identify(docs, docs.filter(~held)).withColumn("held_out", held)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_class_lm": op3_class_lm,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
