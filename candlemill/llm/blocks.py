@@ -143,7 +143,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U)
     total = np.zeros(n, U)
     for j in range(k):
-        total += mix(h[j : j + n] + U(0x632BE59BD9B4E019) * U(2 * j + 1))
+        total += mix(h[j : j + n] + U(0x632BE59BD9B4E019 * (2 * j + 1) % (1 << 64)))
     return mix(total)
 
 
