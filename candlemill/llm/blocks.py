@@ -227,3 +227,44 @@ class Tally:
             out, self.parts, self.size = self.parts[0], [], 0
             return out
         return None
+
+
+class Forest:
+    """A spanning forest over one block of nodes and whatever links with them.
+
+    ``hang`` takes links (block position, met position); memory is linear in the block
+    plus one edge for each node met, however many links there are.
+    """
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self.parent = np.arange(len(ids))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def roots(self) -> np.ndarray:
+        while (up := self.parent[self.parent] != self.parent).any():
+            self.parent[up] = self.parent[self.parent[up]]
+        return self.parent
+
+    def hang(self, i: np.ndarray, j: np.ndarray, met: np.ndarray) -> None:
+        """Each node met hangs on the first block node it links with; its other ones join that one."""
+        if not len(i):
+            return
+        order = np.argsort(j, kind="stable")
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+        first = i[start]
+        self.edges.append((met[j[start]], self.ids[first]))
+        first = np.repeat(first, np.diff(np.append(start, len(j))))
+        while True:
+            root = self.roots()
+            x, y = np.minimum(root[first], root[i]), np.maximum(root[first], root[i])
+            apart = x != y
+            if not apart.any():
+                return
+            np.minimum.at(self.parent, y[apart], x[apart])
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        a = np.concatenate([self.ids, *[e[0] for e in self.edges]])
+        b = np.concatenate([self.ids[self.roots()], *[e[1] for e in self.edges]])
+        return a[a != b], b[a != b]

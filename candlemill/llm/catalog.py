@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm import chat, classlm, contamination, language, licenses, sharding
+from candlemill.llm import chat, classlm, contamination, embeddings, language, licenses, sharding
 from candlemill.llm.jobs import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 3) == 1
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op3_class_lm": op3_class_lm,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
@@ -71,6 +76,22 @@ ORACLE: dict[str, str] = {
             sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
             cast(3 + sum(chars) as bigint) as formatted_chars
         from e group by conv_id""",
+    "op8_embedding_near_dedup": """
+        with recursive v as (
+            select vec_id, cast(embedding as double[]) as e from embeddings
+        ), u as (
+            select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+            where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+        ), l as (
+            select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and a.n > 0 and b.n > 0
+            where list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9
+        ), r as (
+            select vec_id as a, vec_id as b from embeddings
+            union select r.a, l.b from r join l on r.b = l.a
+        ), c as (select a as vec_id, min(b) as component_id from r group by a),
+        k as (select a as vec_id, count(*) as n_links from l group by a)
+        select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept
+        from c left join k using (vec_id)""",
     "op10_decontamination": f"""
         with d as (select doc_id, coalesce({_ALNUM.format("text")}, []) as w from documents),
         b as (select item_id, {_ALNUM.format("text")} as w from benchmark where text is not null),
