@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm import chat, classlm, contamination, embeddings, language, licenses, sharding
+from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, sharding
 from candlemill.llm.jobs import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 10) == 0
@@ -50,6 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_class_lm": op3_class_lm,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
@@ -62,6 +67,21 @@ _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqr
 _ALNUM = r"regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+        with recursive w as (
+            select doc_id, coalesce(regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) as w from documents
+        ), s as (
+            select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as s
+            from w, unnest(range(1, len(w) - least(5, len(w)) + 2)) t(i) where len(w) > 0
+        ), n as (select doc_id, count(*) as n from s group by doc_id),
+        x as (select a.doc_id as a, b.doc_id as b, count(*) as x from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+        l as (select a, b from x join n p on p.doc_id = a join n q on q.doc_id = b where 100 * x >= 75 * (p.n + q.n - x)),
+        r as (
+            select doc_id as a, doc_id as b from documents
+            union select r.a, l.b from r join l on r.b = l.a
+        )
+        select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id
+        from documents d left join n using (doc_id) join (select a as doc_id, min(b) as c from r group by a) using (doc_id)""",
     "op4_chat_formatting": r"""
         with c as (
             select conv_id, turn, coalesce(role, 'null') as role, coalesce(text, '') as text from conversations
