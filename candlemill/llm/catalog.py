@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, sharding, substrings
+from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, pieces, sharding, substrings
 from candlemill.llm.jobs import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,

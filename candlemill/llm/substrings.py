@@ -268,7 +268,10 @@ def summary(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
 
 
 def remove(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows with repeated strings cut out of ``text``; broken characters at the cuts go, too."""
+    """The rows with repeated strings cut out of ``text``, and the number of cuts in ``_spans``.
+
+    Broken characters at the cuts go, too.
+    """
     names = [c for c in docs.columns if c != text]
     keyed = row_key(docs, "doc_id", text)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -279,4 +282,4 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     renamed = keyed.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text, "_k1", "_k2")
     schema = ", ".join([*(f"c{i} {kind[c]}" for i, c in enumerate(names)), "text string", "spans long"])
     out = cut_rows(renamed, repeated(keyed, text, length), text, length, schema, [f"c{i}" for i in range(len(names))], make)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), "spans").select(*docs.columns, "spans")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), F.col("spans").alias("_spans")).select(*docs.columns, "_spans")
