@@ -1,13 +1,77 @@
-"""Corpus pipeline: a placeholder until its stages exist."""
+"""Corpus pipeline: five stages over ``documents``, each a numbered operator of candlemill.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes
+each stage's rows to the shared folder as Parquet and reads them again.
+
+1. language ID: learned from the labelled rows; rows without a letter (``und``) go, and ``lang`` is
+   filled where it was null.
+2. near duplicates: of each component at Jaccard 0.75 on five-word shingles the row with the least
+   doc_id stays (repeated rows with that id: one of them).
+3. suffix-array dedup: strings of 400 bytes that occur again are cut out; rows left without text go.
+4. benchmark decontamination: contaminated rows go.
+5. SentencePiece: ids of every kept text, checked to decode to it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from candlemill.llm import contamination, jaccard, language, pieces, substrings
+from candlemill.llm.jobs import keep, row_key, table
+
+#: Stages span learned models and hashes of texts; SQL cannot express them.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = row_key(docs, "doc_id", "text")
+    found = language.predict(keyed, language.train(docs), "text").select("_k1", "_k2", F.col("lang_pred").alias("_lang")).distinct()
+    kept = keyed.join(found, ["_k1", "_k2"]).filter(F.col("_lang") != language.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.join(docs).select("_k1", "_k2", "doc_id", "component_id").distinct()
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k1", "_k2")
+    # rows that share the least id of their group, or are equal: one stays
+    kept = row_key(docs, "doc_id", "text").join(first, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return kept.select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substrings.remove(docs)
+    left = cut.filter((F.col("_spans") == 0) | (F.length(F.trim("text")) > 0))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = row_key(docs, "doc_id", "text")
+    hits = F.size("hits")
+    found = contamination.matches(keyed, table(spark, sf_dir, "benchmark")).filter((hits > 0) & (20 * hits >= F.col("n_words"))).select("_k1", "_k2").distinct()
+    return keyed.join(found, ["_k1", "_k2"], "left_anti").select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.drop("ids", "n_ids", "decoded", "round_trip")
+    both = pieces.decode(pieces.encode(docs))
+    same = F.col("decoded").eqNullSafe(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" ")))
+    return both.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_language),
+    ("ngram_jaccard_join", keep_one_of_group),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("sentencepiece", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
     return docs
