@@ -43,8 +43,9 @@ K = 5
 #: Similarity as a fraction, so that comparisons are exact in integers.
 NUM, DEN = 3, 4
 SMALL = 5
-#: Members of a gathering that one task holds and compares with the rest.
-HOLD = 1024
+#: Members of a gathering that one task holds and compares with the rest: as sketches, and as sets.
+HOLD_SKETCHES = 16384
+HOLD_SETS = 2048
 
 
 def shingle_sets(block: Block, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +182,20 @@ def gatherings(indexed: DataFrame) -> DataFrame:
     return keep(pairs, "pairs")
 
 
-def dealt(members: DataFrame, sizes: DataFrame, *carried: str) -> DataFrame:
-    """Members of each hub in blocks: to every block its own members first, then all others."""
-    cut = members.join(sizes.withColumn("cuts", F.ceil(F.col("size") / HOLD).cast("int")).select("hub", "cuts"), "hub")
+def placed(members: DataFrame, sizes: DataFrame, hold: int) -> DataFrame:
+    """(hub, to, own, node): members of each hub in blocks of about ``hold``, before any payload is attached.
+
+    A pair meets in the block of its earlier part, so later blocks need no earlier members.
+    """
+    cut = members.join(sizes.withColumn("cuts", F.ceil(F.col("size") / hold).cast("int")).select("hub", "cuts"), "hub")
     part = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    out = cut.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    # a pair meets in the block of its earlier part, so later blocks need no earlier members
-    out = out.filter(F.col("part") >= F.col("to")).select("hub", "to", (F.col("part") == F.col("to")).alias("own"), "node", *carried)
-    return spread(out, None, "hub", "to").sortWithinPartitions("hub", "to", F.desc("own"))
+    out = cut.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("part"))))
+    return out.select("hub", "to", (F.col("part") == F.col("to")).alias("own"), "node")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (hub, to, own, ...) by block: to every block its own members first, then the others."""
+    return spread(rows, None, "hub", "to").sortWithinPartitions("hub", "to", F.desc("own"))
 
 
 def groups(batches: Iterator[pa.RecordBatch], step: int = 1024) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -212,7 +219,11 @@ class Sketched:
     def __init__(self, n: np.ndarray, raw: list[bytes]) -> None:
         self.n = n
         width = np.array([len(x) // 8 for x in raw])
-        self.by = {int(w): (at := np.flatnonzero(width == w), np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)) for w in np.unique(width)}
+        order = np.argsort(n, kind="stable")
+        self.by = {}
+        for w in np.unique(width):
+            at = order[width[order] == w]
+            self.by[int(w)] = (at, np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1))
 
     def possible(self, other: Sketched) -> tuple[np.ndarray, np.ndarray]:
         """Flags on both sides: has this set a possible partner over there?"""
@@ -222,14 +233,20 @@ class Sketched:
                 if not w // 2 <= v <= 2 * w:
                     continue
                 p, q = fold(x, min(w, v)), fold(y, min(w, v))
+                n, m = self.n[at], other.n[bt]
                 rows = max(1, (1 << 18) // (len(q) * p.shape[1]))
                 for i in range(0, len(p), rows):
-                    far = np.bitwise_count(p[i : i + rows, None] ^ q[None]).sum(axis=2, dtype=np.int64)
-                    ok = self.close(self.n[at[i : i + rows]][:, None], other.n[bt][None], far)
+                    j = min(i + rows, len(p))
+                    # both sides are in order of size: only sizes within the similarity's ratio are compared
+                    lo, hi = np.searchsorted(m * DEN, n[i] * NUM), np.searchsorted(m * NUM, n[j - 1] * DEN, side="right")
+                    if lo >= hi:
+                        continue
+                    far = np.bitwise_count(p[i:j, None] ^ q[None, lo:hi]).sum(axis=2, dtype=np.int64)
+                    ok = self.close(n[i:j, None], m[None, lo:hi], far)
                     if self is other:
-                        ok &= at[i : i + rows][:, None] != bt[None]
-                    mine[at[i : i + rows]] |= ok.any(axis=1)
-                    theirs[bt] |= ok.any(axis=0)
+                        ok &= at[i:j, None] != bt[None, lo:hi]
+                    mine[at[i:j]] |= ok.any(axis=1)
+                    theirs[bt[lo:hi]] |= ok.any(axis=0)
         return mine, theirs
 
     @staticmethod
@@ -238,8 +255,8 @@ class Sketched:
         return (far * (DEN + NUM) <= (DEN - NUM) * (n + m)) & (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM)
 
 
-def survivors(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(hub, node) of members that may have a partner in the gathering, by their sketches."""
+def survivors(rows: DataFrame) -> DataFrame:
+    """(hub, node) of members that may have a partner in the gathering; from rows (hub, to, own, node, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held, side, flags = None, [], None, None
@@ -272,7 +289,7 @@ def survivors(members: DataFrame, sizes: DataFrame) -> DataFrame:
         if side is not None and flags.any():
             yield out(hub, np.concatenate([h[0] for h in held])[flags])
 
-    return dealt(members, sizes, "n", "sketch").mapInArrow(run, "hub long, node long").distinct()
+    return dealt(rows).mapInArrow(run, "hub long, node long").distinct()
 
 
 class Sets(Forest):
@@ -321,8 +338,8 @@ class Sets(Forest):
         self.hang(i, j, ids)
 
 
-def links(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of each block's links, verified on the whole sets."""
+def links(rows: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each block's links, verified on the whole sets; from rows (hub, to, own, node, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, side = [], None
@@ -354,21 +371,22 @@ def links(members: DataFrame, sizes: DataFrame) -> DataFrame:
         begin()
         yield from finish()
 
-    return dealt(members, sizes, "tokens").mapInArrow(run, "a long, b long")
+    return dealt(rows).mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, text: str, k: int = K) -> DataFrame:
-    """(hub, node, tokens) from rows (hubs, node, text): the whole set, for each hub it is needed at."""
+    """(hub, to, own, node, tokens) from rows (places, node, text): the whole set, at each place it is needed."""
+    place = "array<struct<hub:bigint,to:int,own:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(2)):
                 g, first = shingle_sets(b, k)
                 tokens = [g[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.rows), batch.column(1).slice(b.first, b.rows), pa.array(tokens, pa.binary())], names=["hubs", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.rows), batch.column(1).slice(b.first, b.rows), pa.array(tokens, pa.binary())], names=["places", "node", "tokens"])
 
-    made = docs.select("hubs", "node", text).mapInArrow(run, "hubs array<long>, node long, tokens binary")
-    return made.select(F.explode("hubs").alias("hub"), "node", "tokens")
+    made = docs.select("places", "node", text).mapInArrow(run, f"places {place}, node long, tokens binary")
+    return made.withColumn("p", F.explode("places")).select("p.hub", "p.to", "p.own", "node", "tokens")
 
 
 def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
@@ -379,11 +397,13 @@ def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     pairs = gatherings(index(docs, text, k))
     members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
     sizes = pairs.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
-    alive = keep(survivors(members.join(one.select("node", "n", "sketch"), "node"), sizes), "alive")
-    # a set's hubs are at most its signatures; its text comes from one of its rows
-    needed = alive.groupBy("node").agg(F.collect_list("hub").alias("hubs")).join(one.select("node", "key"), "node").select("node", "hubs", "key._k1", "key._k2")
+    sketched = placed(members, sizes, HOLD_SKETCHES).join(one.select("node", "n", "sketch"), "node").select("hub", "to", "own", "node", "n", "sketch")
+    alive = keep(survivors(sketched), "alive")
+    # a set's places are at most its signatures (times its blocks); its text comes from one of its rows
+    where = placed(alive, alive.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), HOLD_SETS)
+    needed = where.groupBy("node").agg(F.collect_list(F.struct("hub", "to", "own")).alias("places")).join(one.select("node", "key"), "node").select("node", "places", "key._k1", "key._k2")
     texts = keyed.join(needed, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    edges = links(sets_of(texts, text, k), alive.groupBy("hub").agg(F.count(F.lit(1)).alias("size")))
+    edges = links(sets_of(texts, text, k))
     member = components(edges)
     placed = base.drop("sketch").join(member, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     least = placed.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("least"))
