@@ -405,9 +405,9 @@ def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     texts = keyed.join(needed, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     edges = links(sets_of(texts, text, k))
     member = components(edges)
-    placed = base.drop("sketch").join(member, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    least = placed.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "_c", "left").select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows = base.drop("sketch").join(member, "node", "left").withColumn("_c", F.coalesce("component", "node"))
+    least = rows.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "_c", "left").select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
