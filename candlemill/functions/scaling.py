@@ -16,7 +16,8 @@ def scale_oscillator(value: Column) -> Column:
 
 
 def bounded(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low)) / high
+    """Clipped to [low, high] and divided by high; null stays null (``least`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)) / high)
 
 
 def clip_zscore(z: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import geometry, ticks, time, units
-from candlemill.functions.scaling import clip_atr, clip_macd, scale_oscillator
+from candlemill.functions.scaling import clip_atr, clip_macd, clip_zscore, scale_oscillator
 from candlemill.operators import dataset, evaluate, features, labels, recurrence, series
 from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles
@@ -226,10 +226,10 @@ indicator("stochastic_rsi", lambda: ind.stochastic_rsi(14, 14), f"case when rn >
 indicator("obv", lambda: ind.obv(), f"case when rn > 1 then sum(case when close > pc then volume when close < pc then -volume else 0.0 end) over {back(None)} end")
 indicator("scale_oscillator", lambda: lambda df, n: ind.stochastic(14)(df, "_x").withColumn(n, scale_oscillator(F.col("_x"))).drop("_x"), f"(case when rn >= 14 then {_stoch('high', 'low', 'close', 14)} end - 50.0) / 50.0")
 _PAST = f"({_W} rows between 5 preceding and 1 preceding)"
-indicator("log_volume_zscore", lambda: lambda df, n: ind.log_volume_zscore(5)(df, n).withColumn(n, F.coalesce(F.greatest(F.least(n, F.lit(3.0)), F.lit(-3.0)) / 3, F.lit(0.0))),
-          "coalesce(greatest(least(case when c = 5 then case when s > 0 then (x - m) / s when x > m then 3.0 when x < m then -3.0 else 0.0 end end, 3.0), case when c = 5 then -3.0 end) / 3, 0.0)",
+indicator("log_volume_zscore", lambda: lambda df, n: ind.log_volume_zscore(5)(df, n).withColumn(n, clip_zscore(F.col(n))),
+          "case when c = 5 and x is not null then greatest(least(case when s > 0 then (x - m) / s when x > m then 3.0 when x < m then -3.0 else 0.0 end, 3.0), -3.0) / 3 else 0.0 end",
           f", logged as (select *, case when volume >= 0 then ln(1 + volume) end as x from numbered), staged as (select *, count(x) over {_PAST} as c, avg(x) over {_PAST} as m, stddev_samp(x) over {_PAST} as s from logged)")
-indicator("clip_atr", lambda: lambda df, n: ind.atr(14)(df, "_x").withColumn(n, clip_atr(F.col("_x"), F.col("close"))).drop("_x"), "coalesce(greatest(least(case when rn > 14 then a end / nullif(close, 0), 0.05::double), case when rn > 14 then 0.0 end) / 0.05::double, 0.0)", f", ranged as (select *, {_TR} as tr from numbered), staged as (select *, {_avg('tr', 14)} as a from ranged)")
+indicator("clip_atr", lambda: lambda df, n: ind.atr(14)(df, "_x").withColumn(n, clip_atr(F.col("_x"), F.col("close"))).drop("_x"), "case when rn > 14 and a / nullif(close, 0) is not null then greatest(least(a / nullif(close, 0), 0.05::double), 0.0) / 0.05::double else 0.0 end", f", ranged as (select *, {_TR} as tr from numbered), staged as (select *, {_avg('tr', 14)} as a from ranged)")
 
 
 def _ema_cte(name: str, source: str, p: int, alpha: str | None = None) -> str:
@@ -270,7 +270,7 @@ _ADX = (
 scan("adx", recurrence.adx(14), _one("ax"), _ADX)
 
 
-@query("clip_macd", f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn from candles), xc as (select symbol, rn as k, close as x from numbered){_MACD} " + _one("m", "coalesce(greatest(least(e.v / nullif(n.close, 0), 0.05::double), case when e.v is not null then -0.05::double end) / 0.05::double, 0.0)"))
+@query("clip_macd", f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn from candles), xc as (select symbol, rn as k, close as x from numbered){_MACD} " + _one("m", "case when e.v / nullif(n.close, 0) is not null then greatest(least(e.v / nullif(n.close, 0), 0.05::double), -0.05::double) / 0.05::double else 0.0 end"))
 def _(spark, sf):
     out = recurrence.with_recurrences(views.day(spark, sf), {"_m": recurrence.macd()})
     return rounded(out.select(*KEYS, clip_macd(F.col("_m"), F.col("close")).alias("value")))
