@@ -5,6 +5,7 @@ Doubles are rounded to six digits on both sides, as sums may be taken in another
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,9 @@ from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles
 from candlemill.operators.registry import Registry
 from candlemill.plans import views
+from candlemill.session import shared_dir
 from candlemill.sources import store
+from candlemill.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +413,57 @@ def _(spark, sf):
     return store.resolve_instruments(wanted, master)
 
 
+_WIDE_SQL = f"select {_K}, {r6('open')} as open, {r6('close')} as close, candle_type, candle_color, {r6('body_size')} as body_size, {r6('wick_difference_to_candle_ratio')} as wick_difference_to_candle_ratio"
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/candlemill/{name}-{uuid.uuid4().hex}"
+
+
+@query("write_candles", f"with {GEOMETRY_SQL.replace(views.ROWS_SQL, views.HOURLY_SQL)} {_WIDE_SQL} from shaped")
+def _(spark, sf):
+    """Written by series with all geometry columns, and read again."""
+    path = _fresh(spark, "candles")
+    store.write_candles(views.hourly(spark, sf), path)
+    back = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(back.select(*KEYS, "open", "close", "candle_type", "candle_color", "body_size", "wick_difference_to_candle_ratio"))
+
+
+@query("write_dataset", f"with {views.HOURLY_SQL} select {_K}, {r6('close')} as close from candles")
+def _(spark, sf):
+    """Half of the series first, then all: the second call writes only what is missing."""
+    path, c = _fresh(spark, "dataset"), views.hourly(spark, sf).select(*KEYS, "close")
+    store.write_dataset(c.filter("symbol < 'f'"), path, ["close"])
+    store.write_dataset(c, path, ["close"])
+    return rounded(spark.read.parquet(path).select(*KEYS, "close"))
+
+
+@query("read_candles_csv", f"with {views.DAY_SQL} select {_K}, {r6('close')} as close from candles")
+def _(spark, sf):
+    """Day candles written as one CSV folder a series, named by series, and read by name."""
+    path, c = _fresh(spark, "csv"), views.day(spark, sf)
+    named = c.select(F.concat_ws("_", "symbol", "interval", F.lit("all")).alias("series"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")).alias("timestamp"), "open", "high", "low", "close", "volume")
+    named.repartition("series").write.partitionBy("series").option("header", True).csv(path)
+    raw = spark.read.option("header", True).schema("timestamp string, open double, high double, low double, close double, volume double, series string").csv(path)
+    out = raw.withColumns(store.series_keys_from_path(F.col("series"))).withColumn("ts", time.parse_bound(F.col("timestamp")))
+    return rounded(out.select(*KEYS, "close"))
+
+
+_STREAM_SQL = f"with {views.TICKS_SQL}, candles as (select symbol, '60minute' as \"interval\", {views.bucket_sql('event_time', 60)} as ts, first(last_price order by event_time, event_id) as open, max(last_price) as high, min(last_price) as low, last(last_price order by event_time, event_id) as close, sum(trade_quantity) as volume from ticks group by 1, 2, 3) {_OHLC} where ts + interval 60 minute <= (select max(event_time) - interval 10 minute from ticks)"
+
+
+@query("stream_candles", _STREAM_SQL)
+def _(spark, sf):
+    """Closed hourly candles of the event stream, drained to a table."""
+    events = spark.readStream.schema(views.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque*")
+    q = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    ticks_ = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.col("value").alias("last_price"), q.alias("volume_delta"))
+    path = _fresh(spark, "stream")
+    run = live.stream_candles(ticks_, "60minute", "10 minutes").writeStream.format("parquet").option("checkpointLocation", f"{path}-cp").outputMode("append").trigger(availableNow=True).start(path)
+    run.awaitTermination()
+    return rounded(spark.read.parquet(path))
+
+
 # --- features, labels, windows ------------------------------------------------------
 
 _F = features.Features(["candle_color", "wick_ratios", "log_volume_zscore", "indicators"])

@@ -11,6 +11,18 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="candlemill-")
+    return _own[app]
 
 
 def ship(spark: SparkSession) -> None:
