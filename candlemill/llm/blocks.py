@@ -254,7 +254,7 @@ class Forest:
         i, j = i[order], j[order]
         start = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
         first = i[start]
-        self.edges.append((met[j[start]], self.ids[first]))
+        self.edges.append((met[j[start]], first))
         first = np.repeat(first, np.diff(np.append(start, len(j))))
         while True:
             root = self.roots()
@@ -266,5 +266,18 @@ class Forest:
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         a = np.concatenate([self.ids, *[e[0] for e in self.edges]])
-        b = np.concatenate([self.ids[self.roots()], *[e[1] for e in self.edges]])
+        b = np.concatenate([self.ids[self.roots()], *[self.ids[e[1]] for e in self.edges]])
         return a[a != b], b[a != b]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(label, node) of all nodes that hang together with another; the label is the group's least node."""
+        root, low = self.roots(), self.ids.copy()
+        np.minimum.at(low, root, self.ids)
+        more = np.zeros(len(self.ids), bool)
+        for met, first in self.edges:
+            np.minimum.at(low, root[first], met)
+            more[root[first[met != self.ids[first]]]] = True
+        own = more[root]
+        label = [low[root[own]], *(low[root[f]] for _, f in self.edges)]
+        node = [self.ids[own], *(m for m, _ in self.edges)]
+        return np.concatenate(label), np.concatenate(node)

@@ -213,10 +213,11 @@ def groups(batches: Iterator[pa.RecordBatch], step: int = 1024) -> Iterator[tupl
                 now = key
 
 
-class Sketched:
-    """Sketches of one side, by width."""
+class Sketched(Forest):
+    """Sketches of one side, by width and in order of size, and what may hang together."""
 
-    def __init__(self, n: np.ndarray, raw: list[bytes]) -> None:
+    def __init__(self, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> None:
+        super().__init__(ids)
         self.n = n
         width = np.array([len(x) // 8 for x in raw])
         order = np.argsort(n, kind="stable")
@@ -225,9 +226,8 @@ class Sketched:
             at = order[width[order] == w]
             self.by[int(w)] = (at, np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1))
 
-    def possible(self, other: Sketched) -> tuple[np.ndarray, np.ndarray]:
-        """Flags on both sides: has this set a possible partner over there?"""
-        mine, theirs = np.zeros(len(self.n), bool), np.zeros(len(other.n), bool)
+    def meet(self, other: Sketched) -> None:
+        """Join what may be similar enough on both sides (or on one side with itself)."""
         for w, (at, x) in self.by.items():
             for v, (bt, y) in other.by.items():
                 if not w // 2 <= v <= 2 * w:
@@ -245,9 +245,8 @@ class Sketched:
                     ok = self.close(n[i:j, None], m[None, lo:hi], far)
                     if self is other:
                         ok &= at[i:j, None] != bt[None, lo:hi]
-                    mine[at[i:j]] |= ok.any(axis=1)
-                    theirs[bt[lo:hi]] |= ok.any(axis=0)
-        return mine, theirs
+                    a, b = np.nonzero(ok)
+                    self.hang(at[i + a], bt[lo + b], other.ids)
 
     @staticmethod
     def close(n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -256,38 +255,40 @@ class Sketched:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """(hub, node) of members that may have a partner in the gathering; from rows (hub, to, own, node, n, sketch)."""
+    """(hub, node) of members that may have a partner, by their sketches; from rows (hub, to, own, node, n, sketch).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held, side, flags = None, [], None, None
+    The hub is now the least node of those that may hang together, so what several gatherings
+    found alike is one group.
+    """
 
-        def out(h: int, ids: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), h)), pa.array(ids)], names=["hub", "node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, side = [], None
 
         def begin() -> None:
-            nonlocal side, flags
+            nonlocal side
             if held and side is None:
-                side = Sketched(np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
-                flags, _ = side.possible(side)
+                side = Sketched(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
+                side.meet(side)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if side is not None:
+                label, node = side.groups()
+                if len(node):
+                    yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(node)], names=["hub", "node"])
 
         for new, b in groups(batches):
             if new:
                 begin()
-                if side is not None and flags.any():
-                    yield out(hub, np.concatenate([h[0] for h in held])[flags])
-                hub, held, side, flags = b.column(0)[0].as_py(), [], None, None
+                yield from finish()
+                held, side = [], None
             row = (b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_pylist())
             if b.column(2)[0].as_py():
                 held.append(row)
             elif held:
                 begin()
-                mine, theirs = side.possible(Sketched(row[1], row[2]))
-                flags |= mine
-                if theirs.any():
-                    yield out(hub, row[0][theirs])
+                side.meet(Sketched(*row))
         begin()
-        if side is not None and flags.any():
-            yield out(hub, np.concatenate([h[0] for h in held])[flags])
+        yield from finish()
 
     return dealt(rows).mapInArrow(run, "hub long, node long").distinct()
 
@@ -390,7 +391,10 @@ def sets_of(docs: DataFrame, text: str, k: int = K) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """(_k1, _k2, doc_id, n_shingles, component_id) of every row at Jaccard ``NUM / DEN`` or more."""
+    """(_k1, _k2, doc_id, n_shingles, component_id, _group) of every row at Jaccard ``NUM / DEN`` or more.
+
+    ``_group`` names a component by one of its sets, also where ids repeat or are null; null for empty sets.
+    """
     keyed = row_key(docs.select("doc_id", text), "doc_id", text)
     base = keep(nodes(keyed, text, k), "nodes")
     one = base.filter("node is not null").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -407,9 +411,9 @@ def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     member = components(edges)
     rows = base.drop("sketch").join(member, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     least = rows.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "_c", "left").select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(least, "_c", "left").select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("_c").alias("_group"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    return join(docs, text).drop("_k1", "_k2")
+    return join(docs, text).drop("_k1", "_k2", "_group")

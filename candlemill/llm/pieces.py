@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from candlemill.llm.blocks import U, mix, span_hashes, text_bytes
 
@@ -349,6 +350,11 @@ def unmarked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
+def numbered(df: DataFrame, more: StructField) -> StructType:
+    """The frame's columns as c0, c1, ... and one more: names cannot clash, whatever they are."""
+    return StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)), more])
+
+
 def encode(docs: DataFrame, text: str = "text", model_file: str | None = None, to: str = "ids") -> DataFrame:
     """The rows with the ids of ``text`` in a new array column."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file or default_model()))
@@ -356,7 +362,7 @@ def encode(docs: DataFrame, text: str = "text", model_file: str | None = None, t
     if to in names:
         raise ValueError(f"column {to} exists")
     at = names.index(text)
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "ids array<int>"])
+    schema = numbered(docs, StructField("ids", ArrayType(IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
@@ -380,7 +386,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model_file: str | None = None,
     shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])))
     names = encoded.columns
     at = names.index(ids)
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(encoded.schema)), "decoded string"])
+    schema = numbered(encoded, StructField("decoded", StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, start = shared.value

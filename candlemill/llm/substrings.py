@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from candlemill.llm.blocks import U, Block, blocks, mix, signed
 from candlemill.llm.jobs import keep, row_key, spread
@@ -216,12 +217,12 @@ def repeated(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM)
     return whole.unionByName(part).groupBy("_k1", "_k2").agg(F.collect_list("at").alias("at"))
 
 
-def cut_rows(docs: DataFrame, marks: DataFrame, text: str, length: int, schema: str, columns: list[str], make: Callable) -> DataFrame:
+def cut_rows(docs: DataFrame, marks: DataFrame, text: str, length: int, schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
     """Join texts with their marked windows; ``make(bytes, from, to)`` gives each row's values."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    fields = to_arrow_schema(_parse_datatype_string(schema))
+    fields = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
     extra = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +275,11 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     """
     names = [c for c in docs.columns if c != text]
     keyed = row_key(docs, "doc_id", text)
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         return ("".join(p.decode("utf-8", "ignore") for p in kept_pieces(piece, start, end)), len(start))
 
     renamed = keyed.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text, "_k1", "_k2")
-    schema = ", ".join([*(f"c{i} {kind[c]}" for i, c in enumerate(names)), "text string", "spans long"])
+    schema = StructType([*(StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)), StructField("text", StringType()), StructField("spans", LongType())])
     out = cut_rows(renamed, repeated(keyed, text, length), text, length, schema, [f"c{i}" for i in range(len(names))], make)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), F.col("spans").alias("_spans")).select(*docs.columns, "_spans")
