@@ -14,6 +14,7 @@ each stage's rows to the shared folder as Parquet and reads them again.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,26 @@ from candlemill.llm.jobs import keep, row_key, table
 ORACLE_SQL = None
 
 
+CORE = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def whole_rows(stage: Callable) -> Callable:
+    """Carry all columns but the documents' own as one struct, so that no name can clash inside a stage."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in CORE]
+        core = [c for c in docs.columns if c in CORE]
+        packed = docs.select(*core, F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")) if extra else docs
+        out = stage(spark, packed, sf_dir)
+        added = [c for c in out.columns if c not in packed.columns]
+        back = [F.col(c) if c in CORE else F.col("_extra").getField(c).alias(c) for c in docs.columns if c not in added]
+        return out.select(*back, *added)
+
+    return run
+
+
+@whole_rows
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = row_key(docs, "doc_id", "text")
     found = language.predict(keyed, language.train(docs), "text").select("_k1", "_k2", F.col("lang_pred").alias("_lang")).distinct()
@@ -33,20 +54,25 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
+@whole_rows
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join(docs).select("_k1", "_k2", "doc_id", "component_id").distinct()
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k1", "_k2")
-    # rows that share the least id of their group, or are equal: one stays
-    kept = row_key(docs, "doc_id", "text").join(first, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    groups = jaccard.join(docs).select("_k1", "_k2", "doc_id", "_group").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2"))
+    first = groups.filter("_group is not null").groupBy("_group").agg(least.alias("r")).select("r._k1", "r._k2")
+    alone = groups.filter("_group is null").select("_k1", "_k2")
+    # equal rows share their key: one of them stays
+    kept = row_key(docs, "doc_id", "text").join(first.unionByName(alone), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     return kept.select(docs.columns)
 
 
+@whole_rows
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substrings.remove(docs)
     left = cut.filter((F.col("_spans") == 0) | (F.length(F.trim("text")) > 0))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@whole_rows
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = row_key(docs, "doc_id", "text")
     hits = F.size("hits")
@@ -54,8 +80,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(found, ["_k1", "_k2"], "left_anti").select(docs.columns)
 
 
+@whole_rows
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.drop("ids", "n_ids", "decoded", "round_trip")
     both = pieces.decode(pieces.encode(docs))
     same = F.col("decoded").eqNullSafe(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" ")))
     return both.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
