@@ -246,24 +246,36 @@ class Forest:
             self.parent[up] = self.parent[self.parent[up]]
         return self.parent
 
-    def hang(self, i: np.ndarray, j: np.ndarray, met: np.ndarray) -> None:
-        """Each node met hangs on the first block node it links with; its other ones join that one."""
+    def link(self, i: np.ndarray, j: np.ndarray, hook: np.ndarray) -> None:
+        """Join block nodes ``i`` with what the met nodes ``j`` hang on; one that hangs nowhere yet takes its first ``i``."""
         if not len(i):
             return
         order = np.argsort(j, kind="stable")
         i, j = i[order], j[order]
         start = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
-        first = i[start]
-        self.edges.append((met[j[start]], first))
-        first = np.repeat(first, np.diff(np.append(start, len(j))))
+        new = hook[j[start]] < 0
+        hook[j[start[new]]] = i[start[new]]
+        other = hook[j]
         while True:
             root = self.roots()
-            x, y = np.minimum(root[first], root[i]), np.maximum(root[first], root[i])
+            x, y = np.minimum(root[other], root[i]), np.maximum(root[other], root[i])
             apart = x != y
             if not apart.any():
                 return
             np.minimum.at(self.parent, y[apart], x[apart])
 
+    def met(self, ids: np.ndarray, hook: np.ndarray) -> None:
+        """Note where met nodes hang: one edge each."""
+        some = np.flatnonzero(hook >= 0)
+        if len(some):
+            self.edges.append((ids[some], hook[some]))
+
+    def hang(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> None:
+        """Links of the block with a batch of met nodes, all at once."""
+        hook = np.full(len(ids), -1)
+        self.link(i, j, hook)
+        self.met(ids, hook)
+
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         a = np.concatenate([self.ids, *[e[0] for e in self.edges]])
         b = np.concatenate([self.ids[self.roots()], *[self.ids[e[1]] for e in self.edges]])
@@ -273,11 +285,11 @@ class Forest:
         """(label, node) of all nodes that hang together with another; the label is the group's least node."""
         root, low = self.roots(), self.ids.copy()
         np.minimum.at(low, root, self.ids)
-        more = np.zeros(len(self.ids), bool)
-        for met, first in self.edges:
-            np.minimum.at(low, root[first], met)
-            more[root[first[met != self.ids[first]]]] = True
+        more = np.bincount(root, minlength=len(root)) > 1
+        for ids, first in self.edges:
+            np.minimum.at(low, root[first], ids)
+            more[root[first]] = True
         own = more[root]
         label = [low[root[own]], *(low[root[f]] for _, f in self.edges)]
-        node = [self.ids[own], *(m for m, _ in self.edges)]
+        node = [self.ids[own], *(ids for ids, _ in self.edges)]
         return np.concatenate(label), np.concatenate(node)

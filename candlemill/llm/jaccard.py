@@ -228,6 +228,7 @@ class Sketched(Forest):
 
     def meet(self, other: Sketched) -> None:
         """Join what may be similar enough on both sides (or on one side with itself)."""
+        hook = np.arange(len(self.ids)) if self is other else np.full(len(other.ids), -1)
         for w, (at, x) in self.by.items():
             for v, (bt, y) in other.by.items():
                 if not w // 2 <= v <= 2 * w:
@@ -246,7 +247,9 @@ class Sketched(Forest):
                     if self is other:
                         ok &= at[i:j, None] != bt[None, lo:hi]
                     a, b = np.nonzero(ok)
-                    self.hang(at[i + a], bt[lo + b], other.ids)
+                    self.link(at[i + a], bt[lo + b], hook)
+        if self is not other:
+            self.met(other.ids, hook)
 
     @staticmethod
     def close(n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.ndarray:
