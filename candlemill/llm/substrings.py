@@ -6,7 +6,7 @@ into shards that are sorted on their own, so equal strings have to meet in one s
 1. Every ``LENGTH``-byte window has an anchor, the least hash among its ``GRAM``-byte grams.
    Equal windows have equal anchors. Consecutive windows with one anchor form a run: one
    narrow row (about one for a hundred bytes), no text.
-2. Runs are counted by anchor. An anchor of one run has no repeats: most rows end here.
+2. Runs are counted by anchor, those of one block's equal strings as one that weighs two. An anchor of one run has no repeats: most rows end here.
    Runs equal as strings (copies) are whole repeats at once and go on as one.
 3. Where different strings share an anchor, their bytes are fetched, dealt by anchor, and
    concatenated into shards of bounded size. A suffix array by induced sorting and permuted
@@ -44,6 +44,7 @@ GRAM = 160
 #: Bytes of a shard's suffix array, and different strings of one anchor it may hold.
 SHARD = 1 << 20
 VARIANTS = 1024
+SALTS = 61
 
 
 def run_rows(block: Block, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -92,22 +93,29 @@ def runs(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
             for b in blocks(batch.column(2), lower=False):
                 x = run_rows(b, length, gram)
                 row = b.first + x["row"]
+                # strings that the block holds more than once are repeats already: one of them stands for
+                # the others in the counts (weight 2), which are dealt anywhere (salt)
+                _, at, back, n = np.unique(np.stack([x["anchor"], x["sup"]]), axis=1, return_index=True, return_inverse=True, return_counts=True) if len(row) else (0, x["lo"], x["lo"], x["lo"])
+                salt = 1 + np.arange(len(row)) % SALTS
+                salt[at] = 0
+                weight = np.minimum(n, 2)[back]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[row]), pa.array(k2[row]), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32)), pa.array(x["anchor"]), pa.array(x["sup"])],
-                    names=["_k1", "_k2", "lo", "hi", "anchor", "sup"],
+                    [pa.array(k1[row]), pa.array(k2[row]), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32)), pa.array(x["anchor"]), pa.array(x["sup"]), pa.array(salt.astype(np.int32)), pa.array(weight.astype(np.int32))],
+                    names=["_k1", "_k2", "lo", "hi", "anchor", "sup", "salt", "weight"],
                 )
 
-    return docs.select("_k1", "_k2", text).mapInArrow(run, "_k1 long, _k2 long, lo int, hi int, anchor long, sup long")
+    return docs.select("_k1", "_k2", text).mapInArrow(run, "_k1 long, _k2 long, lo int, hi int, anchor long, sup long, salt int, weight int")
 
 
 def met(rows: DataFrame) -> DataFrame:
     """Runs whose anchor occurs again, with: copies of the string, its first run?, strings of the anchor."""
-    dealt = spread(rows, None, "anchor").sortWithinPartitions("anchor", "sup", "_k1", "_k2", "lo")
-    by, each = Window.partitionBy("anchor"), Window.partitionBy("anchor", "sup")
-    found = dealt.withColumn("_t", F.count(F.lit(1)).over(by)).filter("_t > 1").drop("_t")
-    first = F.row_number().over(each.orderBy("_k1", "_k2", "lo")) == 1
-    found = found.withColumn("copies", F.count(F.lit(1)).over(each)).withColumn("first", first)
-    return keep(found.withColumn("variants", F.sum(F.col("first").cast("long")).over(by)), "runs")
+    dealt = spread(rows, None, "anchor", "salt").sortWithinPartitions("anchor", "salt", "sup", "_k1", "_k2", "lo")
+    by, each = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "sup")
+    known = F.col("salt") > 0
+    found = dealt.withColumn("_t", F.sum("weight").over(by)).filter(known | (F.col("_t") > 1)).drop("_t")
+    first = ~known & (F.row_number().over(each.orderBy("_k1", "_k2", "lo")) == 1)
+    found = found.withColumn("copies", F.when(known, 2).otherwise(F.sum("weight").over(each))).withColumn("first", first)
+    return keep(found.withColumn("variants", F.sum(F.col("first").cast("long")).over(by)).drop("salt", "weight"), "runs")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataFrame:
