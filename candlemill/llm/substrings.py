@@ -18,6 +18,11 @@ into shards that are sorted on their own, so equal strings have to meet in one s
 Steps 2 and 4 shuffle rows of one run or text each; counting uses windows that spill.
 Hashes have 64 bits; equal strings are told by two of them.
 
+The same steps work on words: ``remove`` can also cut every passage of so many words that
+starts anywhere else, whatever bytes it has. Its windows are that many consecutive words,
+without the spaces and ASCII punctuation around each; the suffix arrays then hold words
+with one space between them (``words_of``).
+
 Defined cases: null or empty texts have no bytes and lose none; texts shorter than ``LENGTH``
 lose none; a repeated row is a document of its own, so its long strings go from both; a
 string may overlap its own repeat; an empty table gives no rows; other columns are kept
@@ -26,8 +31,10 @@ by ``remove`` and not read otherwise.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from candlemill.llm.blocks import U, Block, blocks, mix, signed
+from candlemill.llm.blocks import ALNUM_WORD, SPACE_WORD, U, Block, blocks, mix, signed, words
 from candlemill.llm.jobs import keep, row_key, spread
 from candlemill.llm.suffixes import Prefix, common_prefixes, suffix_array
 
@@ -45,19 +52,79 @@ GRAM = 160
 SHARD = 1 << 20
 VARIANTS = 1024
 SALTS = 61
+#: Bytes of a block whose texts are only cut; its units are bigger than its bytes.
+CUT_BYTES = 1 << 18
+#: Bytes of a block whose runs are looked for, at about a hundred bytes of arrays each.
+RUN_BYTES = 1 << 20
+#: Words of the grams that choose a passage's anchor.
+WORD_GRAM = 20
+
+_CORE = ALNUM_WORD.copy()
+_CORE[0x41:0x5B] = True
+
+
+@dataclass
+class Units:
+    """What windows are made of: places in ``data`` (which is compared) and in the text (which is cut), rows and each row's first unit."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    begin: np.ndarray
+    stop: np.ndarray
+
+
+def bytes_of(block: Block) -> Units:
+    at = np.arange(len(block.data) + 1)
+    return Units(block.data, at[:-1], at[1:], np.repeat(np.arange(block.rows), np.diff(block.offsets)), block.offsets, at[:-1], at[1:])
+
+
+def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """True in the given ranges, which do not overlap."""
+    turn = np.zeros(n + 1, np.int8)
+    turn[start] += 1
+    turn[end] -= 1
+    return np.cumsum(turn[:n], dtype=np.int8).view(bool)
+
 
+def words_of(block: Block) -> Units:
+    """Words from their first to their last letter or digit; data has a space before the first and after every one, and units take both."""
+    w = words(block, SPACE_WORD)
+    core = np.flatnonzero(_CORE[block.data])
+    lo, hi = np.searchsorted(core, w.start), np.searchsorted(core, w.end)
+    some = np.flatnonzero(hi > lo)
+    begin, stop, row = core[lo[some]], core[hi[some] - 1] + 1, w.row[some]
+    size = stop - begin
+    # each row begins with a space
+    to = np.cumsum(size + 1) - size + row
+    data = np.full(int((size + 1).sum()) + block.rows, 0x20, np.uint8)
+    data[covered(to, to + size, len(data))] = block.data[covered(begin, stop, len(block.data))]
+    return Units(data, to - 1, to + size + 1, row, np.searchsorted(row, np.arange(block.rows + 1)), begin, stop)
 
-def run_rows(block: Block, length: int, gram: int) -> dict[str, np.ndarray]:
+
+@dataclass
+class Rule:
+    """Windows of ``length`` units, anchored by grams of ``gram``."""
+
+    units: Callable[[Block], Units]
+    length: int
+    gram: int
+
+
+def run_rows(block: Block, rule: Rule) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: row, first and last + 1 window start, anchor, string hash."""
-    data, off = block.data, block.offsets
-    n = len(data)
+    u, length, gram = rule.units(block), rule.length, rule.gram
+    off = u.first
+    n = len(u.start)
     empty = {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "anchor", "sup")}
     if n < length:
         return empty
-    p = Prefix(data)
+    p = Prefix(u.data)
     grams = n - gram + 1
     at = np.arange(grams)
-    h = mix(p.of(at, at + gram))
+    h = mix(p.of(u.start[:grams], u.end[gram - 1 :]))
     # leftmost least gram: compare by the hash's leading bits, then by position
     bits = U(max(1, int(n).bit_length()))
     key = ((h >> bits) << bits) | at.astype(U)
@@ -69,7 +136,8 @@ def run_rows(block: Block, length: int, gram: int) -> dict[str, np.ndarray]:
     starts = n - length + 1
     least = np.minimum(right[:starts], left[w - 1 : w - 1 + starts])
     where = (least & ((U(1) << bits) - U(1))).astype(np.int64)
-    row = np.repeat(np.arange(block.rows), np.diff(off))[:starts]
+    del at, key, k, left, right, least
+    row = u.row[:starts]
     inside = np.arange(starts) + length <= off[row + 1]
     new = np.concatenate([[True], (where[1:] != where[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]])
     first = np.flatnonzero(new & inside)
@@ -80,18 +148,18 @@ def run_rows(block: Block, length: int, gram: int) -> dict[str, np.ndarray]:
     hi = np.minimum(bound[np.searchsorted(bound, first, side="right")], off[row[first] + 1] - length + 1)
     r = row[first]
     span = (hi - first).astype(U)
-    sup = mix(p.of(first, hi + length - 1) + mix(span * U(1 << 20) + (where[first] - first).astype(U)))
+    sup = mix(p.of(u.start[first], u.end[hi + length - 2]) + mix(span * U(1 << 20) + (where[first] - first).astype(U)))
     return {"row": r, "lo": first - off[r], "hi": hi - off[r], "anchor": signed(h[where[first]]), "sup": signed(sup)}
 
 
-def runs(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+def runs(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     """(_k1, _k2, lo, hi, anchor, sup) rows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in range(2))
-            for b in blocks(batch.column(2), lower=False):
-                x = run_rows(b, length, gram)
+            for b in blocks(batch.column(2), lower=False, limit=RUN_BYTES):
+                x = run_rows(b, rule)
                 row = b.first + x["row"]
                 # strings that the block holds more than once are repeats already: one of them stands for
                 # the others in the counts (weight 2), which are dealt anywhere (salt)
@@ -118,7 +186,7 @@ def met(rows: DataFrame) -> DataFrame:
     return keep(found.withColumn("variants", F.sum(F.col("first").cast("long")).over(by)).drop("salt", "weight"), "runs")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataFrame:
+def fetched(docs: DataFrame, wanted: DataFrame, text: str, rule: Rule) -> DataFrame:
     """(anchor, sup, many, piece): the bytes of wanted runs, cut from their texts."""
     needed = wanted.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("lo", "hi", "anchor", "sup", (F.col("variants") > VARIANTS).alias("many"))).alias("want"))
     # one text for a key, also where rows repeat
@@ -126,20 +194,21 @@ def fetched(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1), lower=False):
-                data = b.data.tobytes()
+            for b in blocks(batch.column(1), lower=False, limit=CUT_BYTES):
+                u = rule.units(b)
+                data = u.data.tobytes()
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for i, want in enumerate(batch.column(0).slice(b.first, b.rows).to_pylist()):
-                    s = int(b.offsets[i])
+                    s = int(u.first[i])
                     for x in want:
-                        for c, v in zip(out, (x["anchor"], x["sup"], x["many"], data[s + x["lo"] : s + x["hi"] + length - 1]), strict=True):
+                        for c, v in zip(out, (x["anchor"], x["sup"], x["many"], data[u.start[s + x["lo"]] : u.end[s + x["hi"] + rule.length - 2]]), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())], names=["anchor", "sup", "many", "piece"])
 
     return texts.mapInArrow(run, "anchor long, sup long, many boolean, piece binary")
 
 
-def repeats(pieces: list[bytes], length: int) -> list[np.ndarray]:
+def repeats(pieces: list[bytes], rule: Rule) -> list[np.ndarray]:
     """For each piece, the window starts whose window occurs again among the pieces."""
     size = np.array([len(p) for p in pieces])
     start = np.cumsum(size + 1) - size - 1
@@ -151,17 +220,20 @@ def repeats(pieces: list[bytes], length: int) -> list[np.ndarray]:
     prefix = Prefix(t)
     sa = suffix_array(t, 258, prefix)
     shared = common_prefixes(t, sa, prefix)
-    again = shared >= length
-    # the neighbour before in order shares the prefix as well
-    before = np.empty(len(t), np.int64)
-    before[sa[1:]] = sa[:-1]
-    both = again.copy()
-    both[before[np.flatnonzero(again)]] = True
-    # a window of a piece has ``length`` bytes left in it, so the match holds no separator
-    return [np.flatnonzero(both[s : s + n - length + 1]) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-
-
-def sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
+    # the longer of the prefixes shared with the neighbours before and after in order
+    most = shared.copy()
+    most[sa[:-1]] = np.maximum(shared[sa[:-1]], shared[sa[1:]])
+    del prefix, sa, shared, which, t
+    # pieces consist of whole units, so their units have the same bytes
+    u = rule.units(Block(0, joined, np.append(0, np.cumsum(size))))
+    windows = np.arange(max(0, len(u.start) - rule.length + 1))
+    # a window of a piece is in it as a whole, so the match holds no separator
+    s, e = u.start[windows], u.end[windows + rule.length - 1]
+    again = most[s + u.row[windows]] >= e - s
+    return [np.flatnonzero(again[a : b - rule.length + 1]) for a, b in zip(u.first[:-1].tolist(), u.first[1:].tolist(), strict=True)]
+
+
+def sorted_shards(pieces: DataFrame, rule: Rule) -> DataFrame:
     """(anchor, sup, starts): repeated windows of each string, by suffix arrays of whole anchors."""
     dealt = spread(pieces.filter("not many").select("anchor", "sup", "piece"), None, "anchor").sortWithinPartitions("anchor")
 
@@ -170,7 +242,7 @@ def sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            found = repeats([h[2] for h in held], length)
+            found = repeats([h[2] for h in held], rule)
             some = [i for i, f in enumerate(found) if len(f)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([held[i][0] for i in some], pa.int64()), pa.array([held[i][1] for i in some], pa.int64()), pa.array([found[i].astype(np.int32) for i in some], pa.list_(pa.int32()))],
@@ -190,20 +262,21 @@ def sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, sup long, starts array<int>")
 
 
-def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+def counted_windows(pieces: DataFrame, rule: Rule) -> DataFrame:
     """The same for anchors of very many strings: every window a row, counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, sup = (batch.column(i).to_numpy() for i in range(2))
             for b in blocks(batch.column(2), lower=False):
-                p = Prefix(b.data)
-                count = np.diff(b.offsets) - length + 1
+                u = rule.units(b)
+                p = Prefix(u.data)
+                count = np.diff(u.first) - rule.length + 1
                 row = np.repeat(np.arange(b.rows), count)
                 rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                s = b.offsets[row] + rel
+                s = u.first[row] + rel
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[b.first + row]), pa.array(sup[b.first + row]), pa.array(rel.astype(np.int32)), pa.array(signed(mix(p.of(s, s + length))))], names=["anchor", "sup", "at", "window"]
+                    [pa.array(anchor[b.first + row]), pa.array(sup[b.first + row]), pa.array(rel.astype(np.int32)), pa.array(signed(mix(p.of(u.start[s], u.end[s + rule.length - 1]))))], names=["anchor", "sup", "at", "window"]
                 )
 
     rows = keep(pieces.filter("many").select("anchor", "sup", "piece").mapInArrow(run, "anchor long, sup long, at int, window long"), "windows")
@@ -211,21 +284,27 @@ def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
     return rows.join(again, "window", "left_semi").groupBy("anchor", "sup").agg(F.collect_list("at").alias("starts"))
 
 
-def repeated(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_k1, _k2, at): ranges [from, to) of window starts of each text whose window occurs again."""
-    found = met(runs(docs, text, length, gram))
+def marked(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
+    """(_k1, _k2, from, to): window starts of each text whose window occurs again."""
+    found = met(runs(docs, text, rule))
     wanted = found.filter("first and variants > 1").select("_k1", "_k2", "lo", "hi", "anchor", "sup", "variants")
-    pieces = keep(fetched(docs, wanted, text, length), "pieces")
-    marks = sorted_shards(pieces, length).unionByName(counted_windows(pieces, length))
-    whole = found.filter("copies > 1").select("_k1", "_k2", F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")).alias("at"))
+    pieces = keep(fetched(docs, wanted, text, rule), "pieces")
+    marks = sorted_shards(pieces, rule).unionByName(counted_windows(pieces, rule))
+    whole = found.filter("copies > 1").select("_k1", "_k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
     part = (
         found.filter("copies = 1 and variants > 1").join(marks, ["anchor", "sup"])
-        .select("_k1", "_k2", F.explode("starts").alias("s"), "lo").select("_k1", "_k2", F.struct((F.col("lo") + F.col("s")).alias("from"), (F.col("lo") + F.col("s") + 1).alias("to")).alias("at"))
+        .select("_k1", "_k2", F.explode("starts").alias("s"), "lo").select("_k1", "_k2", (F.col("lo") + F.col("s")).alias("from"), (F.col("lo") + F.col("s") + 1).alias("to"))
     )
-    return whole.unionByName(part).groupBy("_k1", "_k2").agg(F.collect_list("at").alias("at"))
+    return whole.unionByName(part)
+
+
+def repeated(docs: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """(_k1, _k2, at): ranges [from, to) of window starts of each text whose window occurs again, by number of the rule."""
+    every = [marked(docs, text, rule).select("_k1", "_k2", F.struct("from", "to", F.lit(i).alias("rule")).alias("at")) for i, rule in enumerate(rules)]
+    return functools.reduce(DataFrame.unionByName, every).groupBy("_k1", "_k2").agg(F.collect_list("at").alias("at"))
 
 
-def cut_rows(docs: DataFrame, marks: DataFrame, text: str, length: int, schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
+def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rules: list[Rule], schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
     """Join texts with their marked windows; ``make(bytes, from, to)`` gives each row's values."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -235,8 +314,9 @@ def cut_rows(docs: DataFrame, marks: DataFrame, text: str, length: int, schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(extra), lower=False):
+            for b in blocks(batch.column(extra), lower=False, limit=CUT_BYTES):
                 data = b.data.tobytes()
+                units = [rule.units(b) for rule in rules]
                 at = batch.column(extra + 1).slice(b.first, b.rows)
                 out = []
                 for i in range(b.rows):
@@ -245,7 +325,12 @@ def cut_rows(docs: DataFrame, marks: DataFrame, text: str, length: int, schema:
                         out.append(make(piece, (), ()))
                         continue
                     flat = at[i].values
-                    f, t = flat.field("from").to_numpy(), flat.field("to").to_numpy() + length - 1
+                    kind, lo, hi = (flat.field(c).to_numpy() for c in ("rule", "from", "to"))
+                    f, t = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
+                    for k, (rule, u) in enumerate(zip(rules, units, strict=True)):
+                        own = kind == k
+                        f[own] = u.begin[u.first[i] + lo[own]] - b.offsets[i]
+                        t[own] = u.stop[u.first[i] + hi[own] + rule.length - 2] - b.offsets[i]
                     order = np.argsort(f, kind="stable")
                     f, t = f[order], np.maximum.accumulate(t[order])
                     new = np.concatenate([[True], f[1:] > t[:-1]])
@@ -266,6 +351,7 @@ def kept_pieces(piece: bytes, start: list[int], end: list[int]) -> list[bytes]:
 def summary(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id", text)
+    rules = [Rule(bytes_of, length, GRAM)]
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         digest = hashlib.sha256()
@@ -273,21 +359,22 @@ def summary(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
             digest.update(p)
         return len(piece), sum(end) - sum(start), len(start), digest.hexdigest()
 
-    return cut_rows(keyed, repeated(keyed, text, length), text, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], make)
+    return cut_rows(keyed, repeated(keyed, text, rules), text, rules, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], make)
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """The rows with repeated strings cut out of ``text``, and the number of cuts in ``_spans``.
 
-    Broken characters at the cuts go, too.
+    Strings of ``length`` bytes are cut, and passages of ``passage`` words if given. Broken characters at the cuts go, too.
     """
     names = [c for c in docs.columns if c != text]
     keyed = row_key(docs, "doc_id", text)
+    rules = [Rule(bytes_of, length, GRAM), *([Rule(words_of, passage, min(passage, WORD_GRAM))] if passage else [])]
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         return ("".join(p.decode("utf-8", "ignore") for p in kept_pieces(piece, start, end)), len(start))
 
     renamed = keyed.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text, "_k1", "_k2")
     schema = StructType([*(StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)), StructField("text", StringType()), StructField("spans", LongType())])
-    out = cut_rows(renamed, repeated(keyed, text, length), text, length, schema, [f"c{i}" for i in range(len(names))], make)
+    out = cut_rows(renamed, repeated(keyed, text, rules), text, rules, schema, [f"c{i}" for i in range(len(names))], make)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), F.col("spans").alias("_spans")).select(*docs.columns, "_spans")

@@ -7,7 +7,8 @@ each stage's rows to the shared folder as Parquet and reads them again.
    filled where it was null.
 2. near duplicates: of each component at Jaccard 0.75 on five-word shingles the row with the least
    doc_id stays (repeated rows with that id: one of them).
-3. suffix-array dedup: strings of 400 bytes that occur again are cut out; rows left without text go.
+3. suffix-array dedup: passages of 51 words, and strings of 400 bytes, that occur again are cut out; rows left
+   without text go.
 4. benchmark decontamination: contaminated rows go.
 5. SentencePiece: ids of every kept text, checked to decode to it.
 """
@@ -27,6 +28,9 @@ from candlemill.llm.jobs import keep, row_key, table
 ORACLE_SQL = None
 
 
+#: Words of the shortest passage that stage 3 cuts out where it occurs again.
+PASSAGE = 51
+
 CORE = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -67,7 +71,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @whole_rows
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.remove(docs)
+    cut = substrings.remove(docs, passage=PASSAGE)
     left = cut.filter((F.col("_spans") == 0) | (F.length(F.trim("text")) > 0))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

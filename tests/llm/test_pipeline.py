@@ -42,3 +42,31 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         if name != "benchmark_decontamination":
             assert stage(spark, docs, "").count() == 0
+
+
+@pytest.mark.parametrize("variants", [None, 1])
+def test_short_passages_are_cut(spark, variants, monkeypatch):
+    """Passages of over 50 words go, whatever bytes they have; those of 50 stay."""
+    import random
+
+    if variants:
+        monkeypatch.setattr(corpus_pipeline.substrings, "VARIANTS", variants)
+    r = random.Random(8)
+    fresh = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(36**3):x}" for _ in range(n)]
+    rows, passages = [], {}
+    for n in [50, *range(51, 66)]:
+        passages[n] = fresh(n) if n % 2 else [w[:2] for w in fresh(n)]
+        for copy in range(2):
+            # other neighbours, spaces and punctuation in each copy
+            mid = " ".join(passages[n]) if not copy else f"({'  '.join(passages[n])})."
+            rows.append((100 * n + copy, " ".join([*fresh(70), mid, *fresh(70)]), "en", "s", 0))
+    rows += [(1, " ".join(["é"] + fresh(200)), "en", "s", 0), (2, None, "en", "s", 0), (3, "— - ...", "en", "s", 0), (4, "y" * 900, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    before = {d[0]: d[1] for d in rows}
+    got = {d.doc_id: d.text for d in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for n, p in passages.items():
+        for copy in range(2):
+            key, gap = 100 * n + copy, "  " if copy else " "
+            want = before[key] if n == 50 else before[key].replace(gap.join(p), "")
+            assert got[key] == want, (n, copy)
+    assert got[1] == before[1] and got[2] is not None and got[3] == before[3] and not got.get(4)
