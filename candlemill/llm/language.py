@@ -40,10 +40,15 @@ _letters[0x61:0x7B] = _letters[0x80:] = True
 _fold = np.where(_letters, np.arange(256), 32).astype(np.uint32)
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram that starts at each byte (the last two see spaces)."""
-    x = np.concatenate([_fold[data], np.full(2, 32, np.uint32)])
-    h = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram that starts at each byte (the last two of every row see spaces)."""
+    x = _fold[data]
+    second, third = np.full(len(x), 32, np.uint32), np.full(len(x), 32, np.uint32)
+    second[:-1], third[:-2] = x[1:], x[2:]
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    second[last] = third[last] = 32
+    third[last[last > 0] - 1] = 32
+    h = x * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(18)
 
 
@@ -58,7 +63,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             for b in blocks(batch.column(1)):
                 codes, names = np.unique(np.array(langs[b.first : b.first + b.rows], dtype=object).astype(str), return_inverse=True)
                 of = np.repeat(names, np.diff(b.offsets))
-                t = trigrams(b.data)
+                t = trigrams(b.data, b.offsets)
                 for i, name in enumerate(codes.tolist()):
                     part = np.bincount(t[of == i], minlength=BUCKETS)
                     sums[name] = sums[name] + part if name in sums else part
@@ -160,7 +165,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 best, share = np.full(b.rows, len(names)), np.zeros(b.rows)
                 if names and len(b.data):
                     start, row = segments(b.offsets)
-                    scores = np.add.reduceat(table[trigrams(b.data)], start, axis=0)
+                    scores = np.add.reduceat(table[trigrams(b.data, b.offsets)], start, axis=0)
                     pi = mixture(scores, row, b.rows)
                     best = np.where(und, len(names), pi.argmax(axis=1))
                     share = np.where(und, 0.0, np.clip(pi.max(axis=1), 0, 1))

@@ -239,6 +239,30 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, docs).count() == 0 and language.identify(docs, docs).count() == docs.count()
 
 
+def test_language_sees_one_text_at_a_time(spark):
+    """Training counts and predictions do not depend on the rows beside a text."""
+    import pyarrow as pa
+
+    from candlemill.llm.blocks import blocks
+
+    r = __import__("random").Random(9)
+    texts = ["de", "the end", "zum", "a", "", None, "é", "x y", "de", *(corpus.sentence(r, r.randint(1, 6)) for _ in range(60))]
+    alone = {}
+    for t in texts:
+        for b in blocks(pa.array([t], pa.string())):
+            alone[t] = language.trigrams(b.data, b.offsets).tolist()
+    for _ in range(3):
+        r.shuffle(texts)
+        for b in blocks(pa.array(texts, pa.string())):
+            got = language.trigrams(b.data, b.offsets)
+            for i, t in enumerate(texts):
+                assert got[b.offsets[i] : b.offsets[i + 1]].tolist() == alone[t], t
+    rows = [(i, t, "en" if i % 3 else "de") for i, t in enumerate(texts)]
+    make = lambda x, n: spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(n)
+    seen = [{d.doc_id: (d.lang_pred, round(d.score, 9)) for d in language.identify(make(x, n), make(x, n)).collect()} for x, n in ((rows, 1), (rows[::-1], 4), (rows, len(rows)))]
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_contamination(spark, docs, empty, monkeypatch):
     source = [d.text for d in docs.collect() if d.text]
     long = max(source, key=len)
