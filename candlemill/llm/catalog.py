@@ -31,7 +31,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
-    return chat.digests(chat.render(rows.unionByName(more))).drop("rewrote")
+    return chat.digests(chat.render(rows.unionByName(more)))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ ORACLE: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
             sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
-            cast(3 + sum(chars) as bigint) as formatted_chars
+            cast(3 + sum(chars) as bigint) as formatted_chars, false as rewrote
         from e group by conv_id""",
     "op8_embedding_near_dedup": """
         with recursive v as (

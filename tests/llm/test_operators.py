@@ -162,10 +162,34 @@ def test_chat(spark):
         assert (r.n_turns, r.turns_sha256) == (len(mine), hashlib.sha256(whole.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256, r.rewrote) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), False)
     assert chat.digests(chat.render(df.limit(0))).count() == 0
-    assert chat.rewrites_history(lambda turns, opening: f"{len(turns)}" + chat.instruct(turns, opening))
-    assert chat.rewrites_history(lambda turns, opening: chat.instruct([t for t in turns if t[0] != "system"][-2:], opening))
-    with pytest.raises(ValueError, match="rewrites"):
-        chat.render(df, lambda turns, opening: chat.instruct(turns[-1:], opening))
+
+
+def chat_rows(spark, turns):
+    rows = [(c, i, ("user", "assistant")[i % 2], f"turn {i} of {c}") for c in range(3) for i in range(turns if c else 4)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def numbered(turns, opening):
+    return "<s>" * opening + "".join(f"{i}:[INST]{t}[/INST]" for i, (_, t) in enumerate(turns))
+
+
+def forgets(turns, opening):
+    return chat.instruct(turns if len(turns) <= 30 else turns[-30:], opening)
+
+
+def test_chat_renders_true_prefixes(spark):
+    """A template that numbers turns gets its whole prefix; one that drops turns late is flagged; so is a false declaration."""
+    df = chat_rows(spark, 40)
+    got = {r.conv_id: r for r in chat.render(df, numbered).collect()}
+    for c, r in got.items():
+        turns = [(("user", "assistant")[i % 2], f"turn {i} of {c}") for i in range(40 if c else 4)]
+        assert r.output == numbered(turns, True) and not r.rewrote and r["last"] and r.run == 0
+        assert [r.output[s.text_start : s.text_end] for s in r.turns] == [t for _, t in turns]
+    late = {r.conv_id: r for r in chat.digests(chat.render(df, forgets)).collect()}
+    assert {c: r.rewrote for c, r in late.items()} == {0: False, 1: True, 2: True} and late[1].turns_sha256 is None and late[0].n_turns == 4
+    for template in (numbered, forgets):
+        false = {r.conv_id: r.rewrote for r in chat.digests(chat.render(df, template, additive=True)).collect()}
+        assert false == {0: False, 1: True, 2: True}, template
 
 
 def brute_repeats(texts, length):
