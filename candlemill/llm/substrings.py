@@ -12,16 +12,17 @@ into shards that are sorted on their own, so equal strings have to meet in one s
    concatenated into shards of bounded size. A suffix array by induced sorting and permuted
    common prefixes mark the windows that share ``LENGTH`` bytes with a neighbour in order.
    An anchor of more than ``VARIANTS`` different strings would not fit a shard; its windows
-   are counted one by one by hash instead, so no group is gathered.
+   are counted one by one by two hashes instead, so no group is gathered.
 4. Marked windows return to their documents, whose texts are read again and cut.
 
 Steps 2 and 4 shuffle rows of one run or text each; counting uses windows that spill.
 Hashes have 64 bits; equal strings are told by two of them.
 
-The same steps work on words: ``remove`` can also cut every passage of so many words that
-starts anywhere else, whatever bytes it has. Its windows are that many consecutive words,
-without the spaces and ASCII punctuation around each; the suffix arrays then hold words
-with one space between them (``words_of``).
+The same steps work on words: ``remove`` can cut every passage of so many words that
+starts anywhere else instead, whatever bytes it has. Its windows are that many consecutive
+words, without the spaces and ASCII punctuation around each; a character of a script
+written without spaces (U+3000 to U+9FFF) is a word; the suffix arrays then hold words with one
+space between them (``words_of``).
 
 Defined cases: null or empty texts have no bytes and lose none; texts shorter than ``LENGTH``
 lose none; a repeated row is a document of its own, so its long strings go from both; a
@@ -31,7 +32,6 @@ by ``remove`` and not read otherwise.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -44,23 +44,26 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from candlemill.llm.blocks import ALNUM_WORD, SPACE_WORD, U, Block, blocks, mix, signed, words
 from candlemill.llm.jobs import keep, row_key, spread
-from candlemill.llm.suffixes import Prefix, common_prefixes, suffix_array
+from candlemill.llm.suffixes import Prefix, common_prefixes, ranges, suffix_array
 
 LENGTH = 400
 GRAM = 160
 #: Bytes of a shard's suffix array, and different strings of one anchor it may hold.
-SHARD = 1 << 20
+SHARD = 1 << 19
 VARIANTS = 1024
 SALTS = 61
 #: Bytes of a block whose texts are only cut; its units are bigger than its bytes.
 CUT_BYTES = 1 << 18
 #: Bytes of a block whose runs are looked for, at about a hundred bytes of arrays each.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Words of the grams that choose a passage's anchor.
 WORD_GRAM = 20
 
 _CORE = ALNUM_WORD.copy()
 _CORE[0x41:0x5B] = True
+#: Leading bytes of U+3000 to U+9FFF.
+_IDEOGRAPH = np.zeros(256, bool)
+_IDEOGRAPH[0xE3:0xEA] = True
 
 
 @dataclass
@@ -81,26 +84,32 @@ def bytes_of(block: Block) -> Units:
     return Units(block.data, at[:-1], at[1:], np.repeat(np.arange(block.rows), np.diff(block.offsets)), block.offsets, at[:-1], at[1:])
 
 
-def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """True in the given ranges, which do not overlap."""
-    turn = np.zeros(n + 1, np.int8)
-    turn[start] += 1
-    turn[end] -= 1
-    return np.cumsum(turn[:n], dtype=np.int8).view(bool)
-
-
 def words_of(block: Block) -> Units:
     """Words from their first to their last letter or digit; data has a space before the first and after every one, and units take both."""
     w = words(block, SPACE_WORD)
+    begin, stop, row = w.start, w.end, w.row
+    wide = np.flatnonzero(_IDEOGRAPH[block.data])
+    if len(wide):
+        # a wide character ends what stands before it, and its three bytes are a word
+        edge = np.zeros(len(block.data) + 4, bool)
+        edge[wide] = edge[wide + 3] = True
+        edge = np.flatnonzero(edge)
+        which = np.searchsorted(begin, edge, side="right") - 1
+        inside = (which >= 0) & (edge > begin[which]) & (edge < stop[which])
+        edge, which = edge[inside], which[inside]
+        order = np.argsort(np.concatenate([begin, edge]), kind="stable")
+        row = np.concatenate([row, row[which]])[order]
+        begin, stop = np.sort(np.concatenate([begin, edge])), np.sort(np.concatenate([stop, edge]))
     core = np.flatnonzero(_CORE[block.data])
-    lo, hi = np.searchsorted(core, w.start), np.searchsorted(core, w.end)
+    lo, hi = np.searchsorted(core, begin), np.searchsorted(core, stop)
     some = np.flatnonzero(hi > lo)
-    begin, stop, row = core[lo[some]], core[hi[some] - 1] + 1, w.row[some]
+    begin, stop, row = core[lo[some]], core[hi[some] - 1] + 1, row[some]
     size = stop - begin
     # each row begins with a space
     to = np.cumsum(size + 1) - size + row
+    at, _ = ranges(begin, size)
     data = np.full(int((size + 1).sum()) + block.rows, 0x20, np.uint8)
-    data[covered(to, to + size, len(data))] = block.data[covered(begin, stop, len(block.data))]
+    data[at + np.repeat(to - begin, size)] = block.data[at]
     return Units(data, to - 1, to + size + 1, row, np.searchsorted(row, np.arange(block.rows + 1)), begin, stop)
 
 
@@ -218,7 +227,7 @@ def repeats(pieces: list[bytes], rule: Rule) -> list[np.ndarray]:
     t[np.arange(len(joined)) + which] = joined.astype(np.uint16) + 2
     t[start + size] = 1
     prefix = Prefix(t)
-    sa = suffix_array(t, 258, prefix)
+    sa = suffix_array(t, 258)
     shared = common_prefixes(t, sa, prefix)
     # the longer of the prefixes shared with the neighbours before and after in order
     most = shared.copy()
@@ -268,20 +277,22 @@ def counted_windows(pieces: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, sup = (batch.column(i).to_numpy() for i in range(2))
-            for b in blocks(batch.column(2), lower=False):
+            for b in blocks(batch.column(2), lower=False, limit=CUT_BYTES):
                 u = rule.units(b)
                 p = Prefix(u.data)
                 count = np.diff(u.first) - rule.length + 1
                 row = np.repeat(np.arange(b.rows), count)
                 rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 s = u.first[row] + rel
+                one = mix(p.of(u.start[s], u.end[s + rule.length - 1]))
+                two = mix(Prefix(u.data, 1).of(u.start[s], u.end[s + rule.length - 1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[b.first + row]), pa.array(sup[b.first + row]), pa.array(rel.astype(np.int32)), pa.array(signed(mix(p.of(u.start[s], u.end[s + rule.length - 1]))))], names=["anchor", "sup", "at", "window"]
+                    [pa.array(anchor[b.first + row]), pa.array(sup[b.first + row]), pa.array(rel.astype(np.int32)), pa.array(signed(one)), pa.array(signed(two))], names=["anchor", "sup", "at", "one", "two"]
                 )
 
-    rows = keep(pieces.filter("many").select("anchor", "sup", "piece").mapInArrow(run, "anchor long, sup long, at int, window long"), "windows")
-    again = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    return rows.join(again, "window", "left_semi").groupBy("anchor", "sup").agg(F.collect_list("at").alias("starts"))
+    rows = keep(pieces.filter("many").select("anchor", "sup", "piece").mapInArrow(run, "anchor long, sup long, at int, one long, two long"), "windows")
+    again = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+    return rows.join(again, ["one", "two"], "left_semi").groupBy("anchor", "sup").agg(F.collect_list("at").alias("starts"))
 
 
 def marked(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
@@ -298,13 +309,12 @@ def marked(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     return whole.unionByName(part)
 
 
-def repeated(docs: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
-    """(_k1, _k2, at): ranges [from, to) of window starts of each text whose window occurs again, by number of the rule."""
-    every = [marked(docs, text, rule).select("_k1", "_k2", F.struct("from", "to", F.lit(i).alias("rule")).alias("at")) for i, rule in enumerate(rules)]
-    return functools.reduce(DataFrame.unionByName, every).groupBy("_k1", "_k2").agg(F.collect_list("at").alias("at"))
+def repeated(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
+    """(_k1, _k2, at): ranges [from, to) of window starts of each text whose window occurs again."""
+    return marked(docs, text, rule).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("from", "to")).alias("at"))
 
 
-def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rules: list[Rule], schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
+def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rule: Rule, schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
     """Join texts with their marked windows; ``make(bytes, from, to)`` gives each row's values."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -316,7 +326,7 @@ def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rules: list[Rule], sc
         for batch in batches:
             for b in blocks(batch.column(extra), lower=False, limit=CUT_BYTES):
                 data = b.data.tobytes()
-                units = [rule.units(b) for rule in rules]
+                u = rule.units(b)
                 at = batch.column(extra + 1).slice(b.first, b.rows)
                 out = []
                 for i in range(b.rows):
@@ -325,12 +335,9 @@ def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rules: list[Rule], sc
                         out.append(make(piece, (), ()))
                         continue
                     flat = at[i].values
-                    kind, lo, hi = (flat.field(c).to_numpy() for c in ("rule", "from", "to"))
-                    f, t = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
-                    for k, (rule, u) in enumerate(zip(rules, units, strict=True)):
-                        own = kind == k
-                        f[own] = u.begin[u.first[i] + lo[own]] - b.offsets[i]
-                        t[own] = u.stop[u.first[i] + hi[own] + rule.length - 2] - b.offsets[i]
+                    lo, hi = (flat.field(c).to_numpy() for c in ("from", "to"))
+                    f = u.begin[u.first[i] + lo] - b.offsets[i]
+                    t = u.stop[u.first[i] + hi + rule.length - 2] - b.offsets[i]
                     order = np.argsort(f, kind="stable")
                     f, t = f[order], np.maximum.accumulate(t[order])
                     new = np.concatenate([[True], f[1:] > t[:-1]])
@@ -351,7 +358,7 @@ def kept_pieces(piece: bytes, start: list[int], end: list[int]) -> list[bytes]:
 def summary(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id", text)
-    rules = [Rule(bytes_of, length, GRAM)]
+    rule = Rule(bytes_of, length, min(length, GRAM))
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         digest = hashlib.sha256()
@@ -359,22 +366,22 @@ def summary(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
             digest.update(p)
         return len(piece), sum(end) - sum(start), len(start), digest.hexdigest()
 
-    return cut_rows(keyed, repeated(keyed, text, rules), text, rules, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], make)
+    return cut_rows(keyed, repeated(keyed, text, rule), text, rule, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], make)
 
 
 def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """The rows with repeated strings cut out of ``text``, and the number of cuts in ``_spans``.
 
-    Strings of ``length`` bytes are cut, and passages of ``passage`` words if given. Broken characters at the cuts go, too.
+    Strings of ``length`` bytes are cut, or passages of ``passage`` words if given. Broken characters at the cuts go, too.
     """
     names = [c for c in docs.columns if c != text]
     keyed = row_key(docs, "doc_id", text)
-    rules = [Rule(bytes_of, length, GRAM), *([Rule(words_of, passage, min(passage, WORD_GRAM))] if passage else [])]
+    rule = Rule(words_of, passage, min(passage, WORD_GRAM)) if passage else Rule(bytes_of, length, min(length, GRAM))
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         return ("".join(p.decode("utf-8", "ignore") for p in kept_pieces(piece, start, end)), len(start))
 
     renamed = keyed.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text, "_k1", "_k2")
     schema = StructType([*(StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)), StructField("text", StringType()), StructField("spans", LongType())])
-    out = cut_rows(renamed, repeated(keyed, text, rules), text, rules, schema, [f"c{i}" for i in range(len(names))], make)
+    out = cut_rows(renamed, repeated(keyed, text, rule), text, rule, schema, [f"c{i}" for i in range(len(names))], make)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), F.col("spans").alias("_spans")).select(*docs.columns, "_spans")

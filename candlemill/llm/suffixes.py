@@ -1,17 +1,17 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in NumPy.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
-The scans of induced sorting run bucket by bucket: all entries of a bucket known so far
-induce their predecessors in one vectorised step, and entries they add to the same
-bucket make the next step. Leftmost-smaller (LMS) substrings are sorted by one induction,
-named, and where names repeat the named string is sorted by doubling, restricted to names
-that still tie (its alphabet is too large for bucket-wise steps to pay).
+Leftmost-smaller (LMS) substrings are sorted by one induction and named by comparing neighbours;
+where names repeat, the string of names is sorted by the same function again. Over bytes the scans of
+an induction run bucket by bucket in NumPy: all entries of a bucket known so far induce their
+predecessors in one step, and entries they add to the same bucket make the next step. Strings of
+names have about as many buckets as symbols and are scanned entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from candlemill.llm.blocks import U, mix, powers
+from candlemill.llm.blocks import U, powers
 
 _INV = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _inverse = np.ones(1, U)
@@ -27,11 +27,11 @@ def inverse_powers(n: int) -> np.ndarray:
 class Prefix:
     """Prefix sums of a polynomial hash: a hash of any substring in constant time."""
 
-    _random = np.random.default_rng(77).integers(1, 1 << 63, 1024, dtype=U) * U(2) + U(1)
+    _random = np.random.default_rng(77).integers(1, 1 << 63, (2, 1024), dtype=U) * U(2) + U(1)
 
-    def __init__(self, t: np.ndarray) -> None:
+    def __init__(self, t: np.ndarray, which: int = 0) -> None:
         n = len(t)
-        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(self._random[t] * powers(n))]) if n else np.zeros(1, U)
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(self._random[which][t] * powers(n))]) if n else np.zeros(1, U)
         self.inv = inverse_powers(n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -104,70 +104,80 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return sa
 
 
-def sorted_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a named string, by doubling over the names that still tie."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    rank[order] = _ranks(rank[order])
-    width = 1
-    while True:
-        count = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(count[rank] > 1)
-        if not len(tied):
-            break
-        second = np.where(tied + width < n, rank[np.minimum(tied + width, n - 1)] + 1, 0)
-        key = rank[tied] * (n + 1) + second
-        o = np.argsort(key, kind="stable")
-        k, who = key[o], tied[o]
-        group = np.concatenate([[True], rank[who][1:] != rank[who][:-1]])
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        base = np.maximum.accumulate(np.where(group, np.arange(len(who)), 0))
-        at = np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))
-        rank[who] = rank[who] + (at - base)
-        width *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+def induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same as ``induce``, entry by entry, for alphabets about as large as the text."""
+    n = len(t)
+    end = np.cumsum(np.bincount(t, minlength=sigma))
+    text, is_small, sa, tail = t.tolist(), small.tolist(), [-1] * n, end.tolist()
+    head = [0, *tail[:-1]]
+    last = tail.copy()
+    for i in lms[::-1].tolist():
+        c = text[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for i in sa:
+        if i > 0 and not is_small[i - 1]:
+            c = text[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and is_small[i - 1]:
+            c = text[i - 1]
+            last[c] -= 1
+            sa[last[c]] = i - 1
+    out = np.array(sa, np.int64)
+    if n:
+        out[0] = n - 1
     return out
 
 
-def _ranks(ordered: np.ndarray) -> np.ndarray:
-    """For a sorted array, the first position of each value."""
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
+def ranges(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of all ranges in turn, where each range begins among them)."""
+    begin = np.cumsum(length) - length
+    return np.arange(int(length.sum())) - np.repeat(begin - start, length), begin
+
 
+def same_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Are t[a : a + length] and t[b : b + length] equal (lengths of 1 or more)?"""
+    at, begin = ranges(a, length)
+    return np.logical_and.reduceat(t[at] == t[at + np.repeat(b - a, length)], begin) if len(a) else np.zeros(0, bool)
 
-def suffix_array(t: np.ndarray, sigma: int, prefix: Prefix | None = None) -> np.ndarray:
+
+def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of ``t``, whose last symbol is 0 and occurs nowhere else."""
-    t = t.astype(np.uint16)
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
-    prefix = prefix or Prefix(t)
+    scan = induce if 64 * sigma < n else induce_each
     small = small_types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        rough = induce(t, small, lms, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
+        rough = scan(t, small, lms, sigma)
         ordered = rough[is_lms[rough]]
-        stop = np.empty(n, np.int64)
-        stop[lms] = np.minimum(np.append(lms[1:], n - 1) + 1, n)
-        h = mix(prefix.of(ordered, stop[ordered]) + (stop[ordered] - ordered).astype(U))
-        name = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
+        # an LMS substring ends with the first symbol of the next; the last one is the sentinel
+        size = np.ones(n, np.int64)
+        size[lms[:-1]] = np.diff(lms) + 1
+        a, b = ordered[:-1], ordered[1:]
+        equal = size[a] == size[b]
+        equal[equal] = same_spans(t, a[equal], b[equal], size[a[equal]])
+        name = np.cumsum(np.concatenate([[0], ~equal]))
         if name[-1] + 1 < len(lms):
             at = np.empty(n, np.int64)
             at[ordered] = name
-            ordered = lms[sorted_names(at[lms])]
+            ordered = lms[suffix_array(at[lms], int(name[-1]) + 1)]
         lms = ordered
-    return induce(t, small, lms, sigma)
+    return scan(t, small, lms, sigma)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, prefix: Prefix) -> np.ndarray:
     """Permuted common prefixes: for each text position, the prefix shared with the suffix before it in order.
 
     Where the symbols before both suffixes agree, the value is one less than the one before;
-    only the others (irreducible) are measured, by galloping over substring hashes.
+    only the others (irreducible) are measured, by galloping over substring hashes, and the
+    symbols found equal are then compared.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
@@ -195,6 +205,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, prefix: Prefix) -> np.ndarray
             step //= 2
         live = live[whole & (got[live] < limit[live])]
         reach *= 2
+    confirm(t, a, b, got)
     out = np.zeros(n, np.int64)
     base = np.full(n, -1, np.int64)
     base[need] = need
@@ -205,3 +216,17 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, prefix: Prefix) -> np.ndarray
     out[ok] = np.maximum(value[base[ok]] - (i[ok] - base[ok]), 0)
     out[phi < 0] = 0
     return out
+
+
+def confirm(t: np.ndarray, a: np.ndarray, b: np.ndarray, got: np.ndarray, limit: int = 1 << 20) -> None:
+    """Shorten prefixes that only their hashes hold to be equal, comparing about ``limit`` symbols at a time."""
+    total = np.cumsum(got)
+    lo = 0
+    while lo < len(got):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - got[lo] + limit, side="right")))
+        at, begin = ranges(a[lo:hi], got[lo:hi])
+        wrong = np.flatnonzero(t[at] != t[at + np.repeat((b - a)[lo:hi], got[lo:hi])])
+        if len(wrong):
+            which = np.searchsorted(begin, wrong, side="right") - 1
+            np.minimum.at(got, lo + which, wrong - begin[which])
+        lo = hi

@@ -60,6 +60,8 @@ def test_short_passages_are_cut(spark, variants, monkeypatch):
             # other neighbours, spaces and punctuation in each copy
             mid = " ".join(passages[n]) if not copy else f"({'  '.join(passages[n])})."
             rows.append((100 * n + copy, " ".join([*fresh(70), mid, *fresh(70)]), "en", "s", 0))
+    wide = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    rows += [(50 + i, "".join(chr(0x7000 + r.randrange(2000)) for _ in range(80)) + wide + "。" * (i + 1) + " end", "zh", "s", 0) for i in range(2)]
     rows += [(1, " ".join(["é"] + fresh(200)), "en", "s", 0), (2, None, "en", "s", 0), (3, "— - ...", "en", "s", 0), (4, "y" * 900, "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     before = {d[0]: d[1] for d in rows}
@@ -69,4 +71,24 @@ def test_short_passages_are_cut(spark, variants, monkeypatch):
             key, gap = 100 * n + copy, "  " if copy else " "
             want = before[key] if n == 50 else before[key].replace(gap.join(p), "")
             assert got[key] == want, (n, copy)
-    assert got[1] == before[1] and got[2] is not None and got[3] == before[3] and not got.get(4)
+    for i in (50, 51):
+        assert got[i] == before[i].replace(wide + "。", "")
+    assert got[1] == before[1] and got[2] is not None and got[3] == before[3] and got[4] == before[4]
+
+
+def test_words_of_scripts_without_spaces():
+    import numpy as np
+
+    from candlemill.llm.blocks import Block
+    from candlemill.llm.substrings import words_of
+
+    raw = "x(漢字、ab) ..。cd— ééé,".encode()
+    b = Block(0, np.frombuffer(raw + b"zz", np.uint8), np.array([0, len(raw), len(raw) + 2]))
+    u = words_of(b)
+    cut = [(raw + b"zz")[i:j].decode() for i, j in zip(u.begin, u.stop, strict=True)]
+    assert cut == ["x", "漢", "字", "、", "ab", "。", "cd—", "ééé", "zz"] and u.first.tolist() == [0, 8, 9]
+    # parsing the units again gives them again
+    again = words_of(Block(0, u.data, np.array([0, len(u.data)])))
+    assert bytes(again.data).split() == bytes(u.data).split()
+    text = bytes(u.data[u.start[1] : u.end[4]])
+    assert bytes(words_of(Block(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))).data) == text
