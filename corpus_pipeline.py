@@ -7,8 +7,8 @@ each stage's rows to the shared folder as Parquet and reads them again.
    filled where it was null.
 2. near duplicates: of each component at Jaccard 0.75 on five-word shingles the row with the least
    doc_id stays (repeated rows with that id: one of them).
-3. suffix-array dedup: passages of 51 words, and strings of 400 bytes, that occur again are cut out; rows left
-   without text go.
+3. suffix-array dedup: passages of 51 words that occur again are cut out, whatever bytes they have (the
+   400 bytes of the operator's own query are not asked for here); rows left without text go.
 4. benchmark decontamination: contaminated rows go.
 5. SentencePiece: ids of every kept text, checked to decode to it.
 """
