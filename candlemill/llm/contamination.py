@@ -7,8 +7,8 @@ that may end here, and a direct comparison of the words' bytes decides. Every
 document of a block advances at once (NumPy), so the jumps stay vectorised.
 
 The benchmark is read in parts of a bounded number of windows, each broadcast to
-the tasks; documents are scanned once for a part and never shuffled. With one part
-(the usual case) a document's row is final; with more, parts meet by row key.
+the tasks. Documents are never shuffled: a row passes the scans of ``AT_ONCE`` parts in one
+task, collecting its hits, and is written down before the next parts.
 
 Defined cases: null or empty texts have no words and no hits; null items have no
 windows; a repeated document row gives its row again; equal items are both
@@ -21,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import ALNUM_WORD, U, Block, Words, blocks, hash_word, mix, span_hashes, split_words, words
-from candlemill.llm.jobs import row_key
+from candlemill.llm.jobs import keep, with_columns
 
 WINDOW = 13
 #: Windows of a benchmark part: bounds what is broadcast (about 200 bytes a window).
 PART_WINDOWS = 200_000
 
-_OUT = "_k1 long, _k2 long, doc_id long, n_words long, hits array<int>, items array<string>"
+#: Parts whose scans follow each other in one task (a Python worker each).
+AT_ONCE = 4
 
 
 class Matcher:
@@ -124,14 +125,13 @@ def parts(benchmark: DataFrame, item: str, text: str, most: int = PART_WINDOWS)
         yield [Matcher(m, p) for m, p in by.items()]
 
 
-def scan(docs: DataFrame, matchers: list[Matcher], text: str) -> DataFrame:
-    """Per document row: words, word positions hit, items with occurring windows."""
+def scan(docs: DataFrame, matchers: list[Matcher], text: str, carry: list[str]) -> DataFrame:
+    """Carried columns of every row, its number of words, word positions hit, and items with occurring windows."""
     shared = docs.sparkSession.sparkContext.broadcast(matchers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, ids, column = (batch.column(i) for i in range(4))
-            for block in blocks(column):
+            for block in blocks(batch.column(0)):
                 w = words(block, ALNUM_WORD)
                 h = span_hashes(block.data, w.start, w.end)
                 cover = np.zeros(len(w) + 1, np.int32)
@@ -147,38 +147,40 @@ def scan(docs: DataFrame, matchers: list[Matcher], text: str) -> DataFrame:
                 lo, n = block.first, block.rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        k1.slice(lo, n), k2.slice(lo, n), ids.slice(lo, n), pa.array(w.counts, pa.int64()),
+                        *(batch.column(i).slice(lo, n) for i in range(1, len(carry) + 1)), pa.array(w.counts, pa.int64()),
                         pa.ListArray.from_arrays(offs, pa.array((hit - w.first[row]).astype(np.int32))),
                         pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
                     ],
-                    names=["_k1", "_k2", "doc_id", "n_words", "hits", "items"],
+                    names=[*carry, "_n_words", "_hits", "_items"],
                 )
 
-    return docs.select("_k1", "_k2", F.col("doc_id").cast("long"), text).mapInArrow(run, _OUT)
+    return docs.select(F.col(text).alias("_text"), *carry).mapInArrow(run, with_columns(docs, carry, "_n_words long, _hits array<int>, _items array<string>"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(_k1, _k2, doc_id, n_words, hits, items) for every row of ``docs`` (which has row keys)."""
-    scanned = [scan(docs, m, text) for m in parts(benchmark, item, item_text)]
-    if len(scanned) == 1:
-        return scanned[0]
-    whole = scanned[0]
-    for s in scanned[1:]:
-        whole = whole.unionByName(s)
-    more = whole.groupBy("_k1", "_k2").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    copies = F.sequence(F.lit(1), (F.col("n") / len(scanned)).cast("int"))
-    return more.withColumn("_copy", F.explode(copies)).drop("_copy", "n")
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (all, if not given) of every row, and n_words, hits (word positions), items as ``_n_words``, ``_hits``, ``_items``."""
+    carry = docs.columns if carry is None else carry
+    some = docs.select(*dict.fromkeys([*carry, text]))
+    out = None
+    for i, matchers in enumerate(parts(benchmark, item, item_text)):
+        if out is None:
+            out = scan(some, matchers, text, some.columns)
+            continue
+        before = out.withColumnsRenamed({"_hits": "_h", "_items": "_i"}).drop("_n_words")
+        both = scan(before if i % AT_ONCE else keep(before, "scanned"), matchers, text, before.columns)
+        out = both.withColumns({"_hits": F.array_union("_h", "_hits"), "_items": F.array_union("_i", "_items")}).drop("_h", "_i")
+    return out.select(*carry, "_n_words", "_hits", "_items")
+
+
+def is_contaminated() -> Column:
+    """The verdict on a row of ``matches``: a twentieth of its words at least are hit."""
+    return (F.size("_hits") > 0) & (20 * F.size("_hits").cast("long") >= F.col("_n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: words, hit words, items, their digest, and the verdict."""
-    found = matches(row_key(docs.select("doc_id", text), "doc_id", text), benchmark, text)
-    n_hit = F.size("hits").cast("long")
+    found = matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), benchmark, text, carry=["doc_id"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", F.col("_n_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
     )

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from candlemill.session import shared_dir
 
@@ -22,6 +23,11 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def with_columns(docs: DataFrame, carry: list[str], added: str) -> StructType:
+    """Schema of carried columns and of those that a kernel adds to them."""
+    return StructType([*(docs.schema[c] for c in carry), *_parse_datatype_string(added).fields])
+
+
 def row_key(df: DataFrame, *columns: str) -> DataFrame:
     """Add ``_k1``, ``_k2``: 128 bits that name a row by its contents, never null.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import blocks
-from candlemill.llm.jobs import row_key
+from candlemill.llm.jobs import with_columns
 
 BUCKETS = 1 << 14
 SEGMENT = 32
@@ -149,18 +149,16 @@ def without_letters(block_data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return none if n else np.zeros(0, bool)
 
 
-_OUT = "_k1 long, _k2 long, doc_id long, lang_pred string, score double"
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """(_k1, _k2, doc_id, lang_pred, score) for every row; needs row keys."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (all, if not given), lang_pred and score of every row, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carry = docs.columns if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         words = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
-            for b in blocks(batch.column(3)):
+            for b in blocks(batch.column(0)):
                 und = without_letters(b.data, b.offsets)
                 best, share = np.full(b.rows, len(names)), np.zeros(b.rows)
                 if names and len(b.data):
@@ -169,12 +167,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                     pi = mixture(scores, row, b.rows)
                     best = np.where(und, len(names), pi.argmax(axis=1))
                     share = np.where(und, 0.0, np.clip(pi.max(axis=1), 0, 1))
-                cut = [batch.column(i).slice(b.first, b.rows) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(words[best], pa.string()), pa.array(share)], names=["_k1", "_k2", "doc_id", "lang_pred", "score"])
+                cut = [batch.column(i).slice(b.first, b.rows) for i in range(1, len(carry) + 1)]
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(words[best], pa.string()), pa.array(share)], names=[*carry, "lang_pred", "score"])
 
-    return docs.select("_k1", "_k2", F.col("doc_id").cast("long"), text).mapInArrow(run, _OUT)
+    rows = docs.select(F.col(text).alias("_text"), *carry)
+    return rows.mapInArrow(run, with_columns(docs, carry, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs``, learned from ``training``."""
-    return predict(row_key(docs.select("doc_id", text), "doc_id", text), train(training, text, lang), text).drop("_k1", "_k2")
+    return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), train(training, text, lang), text, ["doc_id"])
