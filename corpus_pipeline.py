@@ -52,10 +52,8 @@ def whole_rows(stage: Callable) -> Callable:
 
 @whole_rows
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = row_key(docs, "doc_id", "text")
-    found = language.predict(keyed, language.train(docs), "text").select("_k1", "_k2", F.col("lang_pred").alias("_lang")).distinct()
-    kept = keyed.join(found, ["_k1", "_k2"]).filter(F.col("_lang") != language.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    found = language.predict(docs, language.train(docs), "text").filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 @whole_rows
@@ -78,10 +76,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @whole_rows
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = row_key(docs, "doc_id", "text")
-    hits = F.size("hits")
-    found = contamination.matches(keyed, table(spark, sf_dir, "benchmark")).filter((hits > 0) & (20 * hits >= F.col("n_words"))).select("_k1", "_k2").distinct()
-    return keyed.join(found, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    found = contamination.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(~contamination.is_contaminated()).select(docs.columns)
 
 
 @whole_rows
