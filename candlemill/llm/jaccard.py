@@ -1,15 +1,22 @@
 """N-gram Jaccard join by universe-partition pigeonhole, and its connected components.
 
-A text's set holds the 64-bit hashes of its distinct ``K``-word shingles. The universe of
-hashes is cut into cells in hash order, and a pair at similarity t or more can differ in a
-bounded number of cells, so it must agree on one of a few more. Each size band gets the
-cheaper allocation that is complete for it (``signatures``):
-
-* sets of up to ``SMALL`` shingles: one segment, the whole set, indexed with its one-deletion
-  neighbourhood (such pairs differ in one shingle at most);
-* larger sets: at most n - ceil(t n) of a set's shingles are missing from any partner, so
-  the first n - ceil(t n) + 1 occupied cells are indexed by their one-shingle subsets. Whole-cell
-  signatures would need floor(n / 3) + 1 cells, and again for the next size band.
+A text's set holds the 64-bit hashes of its distinct ``K``-word shingles. Two sets of n and m
+shingles at similarity 3/4 differ in at most D = (n + m) / 7 shingles. Sets fall into bands
+of doubling size; each band has a table for the pairs whose larger set it holds, so a set
+enters its own table, and the next one if it can have a partner there. A table cuts the universe
+of hashes into cells in hash order; a set's occupied cells are its segments. Of B + 1 segments, where B
+is the greatest D of any possible partner, at least one is the same in the partner (``signatures``):
+
+* a set with enough segments is indexed by a subset of B + 1 of them, in a fixed order of all
+  segments, larger ones first, as fewer texts share them. Both sets of a pair leave out only
+  the ends of that order, so a common segment remains on both sides;
+* a set with fewer segments than B + 1 is indexed by all of them and by their one-deletion
+  neighbourhoods: a segment of two shingles or more then counts for two differences;
+* where even that does not add up to B + 1, single shingles are added, n - ceil(3n/4) + 1 of them.
+
+The number of cells decides how many signatures a set needs and how many texts meet in one. The
+allocator (``allocate``) counts both on up to ``SAMPLE`` texts of one partition for each of
+``FRACTIONS`` and takes the cheapest for each table; any choice finds every pair.
 
 Texts that share a signature gather around the least of them (its hub): a row for each text
 and hub, not for each pair. A hub's gathering is compared in blocks, first by parity
@@ -29,6 +36,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +50,18 @@ from candlemill.llm.jobs import components, keep, row_key, spread
 K = 5
 #: Similarity as a fraction, so that comparisons are exact in integers.
 NUM, DEN = 3, 4
-SMALL = 5
+#: Least size of each band.
+BANDS = np.array([1, *(6 << b for b in range(50))], np.int64)
+#: Cells of a table, as shares of its greatest size, among which the allocator chooses.
+FRACTIONS = (0.2, 0.4, 0.55, 0.75, 1.0)
+#: Texts and bytes of the allocator's sample.
+SAMPLE = 2000
+SAMPLE_BYTES = 8 << 20
+#: Cost of a text that meets others in a signature, in signatures.
+MEET = 8
+#: Hubs of large gatherings that are broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_HUBS = 1 << 20
+log = logging.getLogger(__name__)
 #: Members of a gathering that one task holds and compares with the rest: as sketches, and as sets.
 HOLD_SKETCHES = 16384
 HOLD_SETS = 2048
@@ -84,29 +103,81 @@ def set_ids(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of every non-empty row under its size band's allocation."""
+def signatures(g: np.ndarray, first: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, table) of every non-empty row; ``cells`` has the share of cells of each table."""
     size = np.diff(first)
-    take = np.where(size >= SMALL, size - -(-NUM * size // DEN) + 1, 0)
-    row = np.repeat(np.arange(len(size)), take)
-    inner = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
-    sig = [g[first[row] + inner]]
-    rows = [row]
-    small = np.flatnonzero((size > 0) & (size <= SMALL))
-    if len(small):
-        # sum of mixed hashes, so that leaving one out is a subtraction
-        m = mix(g + U(0x0DE1E7E))
-        at = np.repeat(small, size[small])
-        within = np.arange(len(at)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
-        part = m[first[at] + within]
-        whole = np.zeros(len(size), U)
-        np.add.at(whole, at, part)
-        sig.append(mix(whole[small] ^ U(0xA11)))
-        rows.append(small)
-        more = size[at] > 1
-        sig.append(mix((whole[at] - part)[more] ^ U(0xA11)))
-        rows.append(at[more])
-    return np.concatenate(sig), np.concatenate(rows)
+    band = np.searchsorted(BANDS, size, side="right") - 1
+    # sums of mixed hashes, so that leaving a shingle out of a segment is a subtraction
+    value = mix(g + U(0x0DE1E7E))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for up in (0, 1):
+        rows = np.flatnonzero((size > 0) & ((size * DEN // NUM >= BANDS[band + 1]) | (up == 0)))
+        n, table = size[rows], band[rows] + up
+        top = BANDS[table + 1] - 1
+        need = (n + np.minimum(top, n * DEN // NUM)) * (DEN - NUM) // (DEN + NUM) + 1
+        within = np.repeat(np.arange(len(rows)), n)
+        at = np.arange(len(within)) - np.repeat(np.cumsum(n) - n - first[rows], n)
+        name = mix(table.astype(U) + U(0x7AB1E))
+        if not len(at):
+            continue
+        m = np.maximum(1, cells[table] * top).astype(U)
+        cell = ((g[at] >> U(32)) * m[within]) >> U(32)
+        begin = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (within[1:] != within[:-1])]))
+        of, held = within[begin], np.diff(np.append(begin, len(at)))
+        total = np.add.reduceat(value[at], begin) + name[of]
+        sig = mix(total)
+        count = np.bincount(of, minlength=len(rows))
+        order = np.lexsort((sig, -held, of))
+        rank = np.arange(len(of)) - (np.cumsum(count) - count)[of[order]]
+        taken = order[rank < need[of[order]]]
+        out.append((sig[taken], rows[of[taken]], table[of[taken]]))
+        several = held > 1
+        short = count < need
+        left = np.repeat(several & short[of], held)
+        whole = np.repeat(total, held)[left]
+        out.append((mix(whole - value[at[left]]), rows[within[left]], table[within[left]]))
+        hard = np.flatnonzero(count + np.bincount(of[several], minlength=len(rows)) < need)
+        single = n[hard] - -(-NUM * n[hard] // DEN) + 1
+        who = np.repeat(hard, single)
+        one = first[rows[who]] + np.arange(len(who)) - np.repeat(np.cumsum(single) - single, single)
+        out.append((mix(value[one] ^ name[who]), rows[who], table[who]))
+    sig, row, table = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return sig, row, table
+
+
+def allocate(docs: DataFrame, text: str, k: int = K) -> np.ndarray:
+    """Share of cells of each table with the least cost on the sample: signatures, and texts that meet in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, rows, size = {}, 0, 0
+        for batch in batches:
+            for b in blocks(batch.column(0), limit=1 << 18):
+                g, first = shingle_sets(b, k)
+                ids = set_ids(g, first)
+                rows, size = rows + b.rows, size + len(b.data)
+                sets |= {i: g[s:e] for i, s, e in zip(ids.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True) if e > s}
+                if rows >= SAMPLE or size >= SAMPLE_BYTES:
+                    break
+            if rows >= SAMPLE or size >= SAMPLE_BYTES:
+                break
+        if sets:
+            g, first = np.concatenate(list(sets.values())), np.cumsum([0, *(len(x) for x in sets.values())])
+            cost = np.zeros((len(FRACTIONS), len(BANDS)), np.int64)
+            for i, f in enumerate(FRACTIONS):
+                sig, _, table = signatures(g, first, np.full(len(BANDS), f))
+                _, at, n = np.unique(sig, return_index=True, return_counts=True)
+                cost[i] = np.bincount(table, minlength=len(BANDS)) + MEET * np.bincount(table[at], weights=n - 1, minlength=len(BANDS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cost.tolist(), pa.list_(pa.int64()))], names=["cost"])
+
+    found = docs.select(text).mapInArrow(run, "cost array<long>").take(len(FRACTIONS))
+    if not found:
+        return np.full(len(BANDS), FRACTIONS[1])
+    cost = np.array([r.cost for r in found])
+    seen = cost.any(axis=0)
+    # tables without a text in the sample take the choice of the greatest one that has some
+    best = np.where(seen, cost.argmin(axis=0), cost[:, np.flatnonzero(seen)[-1]].argmin())
+    log.info("cells a shingle by table: %s; costs %s", [FRACTIONS[i] for i in best[seen]], cost[:, seen].tolist())
+    return np.array(FRACTIONS)[best]
 
 
 def sketch_words(size: np.ndarray) -> np.ndarray:
@@ -155,13 +226,15 @@ def nodes(docs: DataFrame, text: str, k: int = K) -> DataFrame:
 def index(docs: DataFrame, text: str, k: int = K) -> DataFrame:
     """(sig, node) rows; a task emits a set once, however many copies it sees."""
 
+    cells = allocate(docs, text, k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, U)
         for batch in batches:
             for b in blocks(batch.column(0)):
                 g, first = shingle_sets(b, k)
                 ids = set_ids(g, first)
-                sig, row = signatures(g, first)
+                sig, row, _ = signatures(g, first, cells)
                 _, at = np.unique(ids, return_index=True)
                 fresh = np.zeros(len(ids), bool)
                 fresh[at] = True
@@ -182,13 +255,16 @@ def gatherings(indexed: DataFrame) -> DataFrame:
     return keep(pairs, "pairs")
 
 
-def placed(members: DataFrame, sizes: DataFrame, hold: int) -> DataFrame:
+def placed(members: DataFrame, hold: int) -> DataFrame:
     """(hub, to, own, node): members of each hub in blocks of about ``hold``, before any payload is attached.
 
-    A pair meets in the block of its earlier part, so later blocks need no earlier members.
+    A pair meets in the block of its earlier part, so later blocks need no earlier members. Only large
+    gatherings are looked up; a gathering itself is not shuffled here.
     """
-    cut = members.join(sizes.withColumn("cuts", F.ceil(F.col("size") / hold).cast("int")).select("hub", "cuts"), "hub")
-    part = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    large = keep(members.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > hold).select("hub", F.ceil(F.col("size") / hold).cast("int").alias("cuts")), "large")
+    few = large.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+    cut = members.join(F.broadcast(large) if few else large, "hub", "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("cuts", F.lit(1))).cast("int")
     out = cut.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("part"))))
     return out.select("hub", "to", (F.col("part") == F.col("to")).alias("own"), "node")
 
@@ -403,11 +479,10 @@ def join(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     one = base.filter("node is not null").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     pairs = gatherings(index(docs, text, k))
     members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
-    sizes = pairs.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
-    sketched = placed(members, sizes, HOLD_SKETCHES).join(one.select("node", "n", "sketch"), "node").select("hub", "to", "own", "node", "n", "sketch")
+    sketched = placed(members, HOLD_SKETCHES).join(one.select("node", "n", "sketch"), "node").select("hub", "to", "own", "node", "n", "sketch")
     alive = keep(survivors(sketched), "alive")
     # a set's places are at most its signatures (times its blocks); its text comes from one of its rows
-    where = placed(alive, alive.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), HOLD_SETS)
+    where = placed(alive, HOLD_SETS)
     needed = where.groupBy("node").agg(F.collect_list(F.struct("hub", "to", "own")).alias("places")).join(one.select("node", "key"), "node").select("node", "places", "key._k1", "key._k2")
     texts = keyed.join(needed, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     edges = links(sets_of(texts, text, k))

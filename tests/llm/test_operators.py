@@ -89,19 +89,40 @@ def test_jaccard(docs, empty, hold, monkeypatch):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
-def test_signatures_are_complete():
-    """Any two similar sets share a signature, over all small sizes and random larger ones."""
+@pytest.mark.parametrize("fraction", [0.01, *jaccard.FRACTIONS])
+def test_signatures_are_complete(fraction):
+    """Any two similar sets share a signature: all small sizes, larger ones, pairs across bands, and the worst allowed difference."""
     rng = np.random.default_rng(5)
-    for n in [*range(1, 14)] * 20 + rng.integers(14, 90, 60).tolist():
-        a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+    cells = np.full(len(jaccard.BANDS), fraction)
+    linked = 0
+    for n in [*range(1, 26)] * 12 + rng.integers(26, 400, 150).tolist():
+        # crowded sets have many shingles in few cells
+        span = int(rng.choice([1 << 64, 1 << 58])) - 1
+        a = np.unique(rng.integers(0, span, n, dtype=np.uint64))
         b = a.copy()
-        for _ in range(int(rng.integers(0, max(1, n // 3) + 1))):
+        worst = int(rng.integers(0, 2))
+        for _ in range(n // 3 if worst else int(rng.integers(0, n // 3 + 1))):
             kind = rng.integers(0, 2)
-            b = np.delete(b, rng.integers(len(b))) if kind and len(b) > 1 else np.append(b, rng.integers(1 << 41, 1 << 42)).astype(np.uint64)
+            c = np.delete(b, rng.integers(len(b))) if kind and len(b) > 1 else np.append(b, rng.integers(0, span, 1, dtype=np.uint64))
+            if worst and 4 * len(np.intersect1d(a, c)) < 3 * len(np.union1d(a, c)):
+                break
+            b = c
         if 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b)):
-            g, first = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
-            sig, row = jaccard.signatures(g, first)
+            linked += 1
+            b = np.unique(b)
+            g, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            sig, row, table = jaccard.signatures(g, first, cells)
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (len(a), len(b))
+            alone, _, _ = jaccard.signatures(b, np.array([0, len(b)]), cells)
+            assert sorted(alone.tolist()) == sorted(sig[row == 1].tolist()) and len(table) == len(sig)
+    assert linked > 250
+
+
+def test_allocation_is_measured(spark, docs, empty):
+    """The allocator chooses among its fractions; no choice changes the result."""
+    cells = jaccard.allocate(docs, "text")
+    assert set(cells) <= set(jaccard.FRACTIONS) and len(cells) == len(jaccard.BANDS)
+    assert set(jaccard.allocate(empty, "text")) == {jaccard.FRACTIONS[1]}
 
 
 def test_components(spark):
