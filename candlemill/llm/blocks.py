@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text in a block (a single longer text makes a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _POWER = U(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=U)
