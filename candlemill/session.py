@@ -25,8 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Bytes of the Arrow batches that texts travel in; a batch holds one row at least.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: rows alone say little about texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key).lower().removesuffix("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES or int(given) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers once a session, unless PYTHONPATH has it already."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

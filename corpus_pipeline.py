@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from candlemill.llm import contamination, jaccard, language, pieces, substrings
 from candlemill.llm.jobs import keep, row_key, table
+from candlemill.session import bound_batches
 
 #: Stages span learned models and hashes of texts; SQL cannot express them.
 ORACLE_SQL = None
@@ -39,6 +40,7 @@ def whole_rows(stage: Callable) -> Callable:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         extra = [c for c in docs.columns if c not in CORE]
         core = [c for c in docs.columns if c in CORE]
         packed = docs.select(*core, F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")) if extra else docs
