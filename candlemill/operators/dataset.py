@@ -87,11 +87,16 @@ def split_by_series(rows: DataFrame, seed: int, share: float = 0.8, most: int |
     if most is not None:
         keys = keys.withColumn("_i", F.row_number().over(Window.orderBy(*KEYS))).filter(F.col("_i") <= most).drop("_i")
     n = F.count(F.lit(1)).over(every)
-    place = F.row_number().over(Window.orderBy(F.xxhash64(*KEYS, F.lit(seed)), *KEYS))
+    place = F.row_number().over(Window.orderBy(_shuffled(seed), *KEYS))
     marked = keys.withColumns({"_n": n, "_p": place}).select(*KEYS, F.explode(_parts("_n", "_p", share)).alias("part"))
     return rows.join(marked, KEYS)
 
 
+def _shuffled(seed: int, *more: Column) -> Column:
+    """A hexadecimal digest that orders keys at random but alike in every run."""
+    return F.md5(F.concat_ws("|", *KEYS, *more, F.lit(str(seed))))
+
+
 def _parts(n: str, place: str, share: float) -> Column:
     train = F.greatest(F.lit(1), F.floor(F.col(n) * share))
     return F.when(F.col(n) == 1, F.array(F.lit("train"), F.lit("validation"))).when(F.col(place) <= train, F.array(F.lit("train"))).otherwise(F.array(F.lit("validation")))
@@ -102,8 +107,7 @@ def split_by_window(windows: DataFrame, seed: int, share: float = 0.2) -> DataFr
 
     The cut is found on counts of 4096 hash ranges, so windows are ranked within one range only.
     """
-    h = F.xxhash64(*KEYS, "ts", F.lit(seed))
-    keyed = windows.withColumns({"_h": h, "_b": F.shiftrightunsigned(h, 52)})
+    keyed = windows.withColumn("_h", _shuffled(seed, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).withColumn("_b", F.substring("_h", 1, 3))
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy()
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

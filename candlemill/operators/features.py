@@ -54,29 +54,28 @@ class Features:
                 out.append(SYNONYMS.get(n, n))
         return list(dict.fromkeys(out))
 
+    def oscillator(self, column: str) -> tuple[str | None, int]:
+        """Kind and period of an oscillator's column; no kind for other columns."""
+        base, _, tail = column.rpartition("_")
+        kind, period = (base, int(tail)) if tail.isdigit() else (column, self.period)
+        return (kind if kind in ("rsi", "stochastic", "stochastic_rsi") else None), period
+
     def positions(self) -> dict[str, int]:
         return {c: i for i, c in enumerate(self.columns())}
 
 
 def _windowed(name: str, f: Features) -> ind.Add | None:
-    base, _, tail = name.rpartition("_")
-    period = int(tail) if tail.isdigit() else None
-    kind = base if period else name
-    p = period or f.period
-    if kind == "rsi":
-        return ind.rsi(p, normalize=True)
-    if kind == "stochastic":
-        return ind.stochastic(p, normalize=True)
-    if kind == "stochastic_rsi":
-        return ind.stochastic_rsi(p, p, normalize=True)
-    return None
+    kind, p = f.oscillator(name)
+    if kind is None:
+        return None
+    return ind.stochastic_rsi(p, p, normalize=True) if kind == "stochastic_rsi" else getattr(ind, kind)(p, normalize=True)
 
 
 def encode_features(candles: DataFrame, f: Features, fill: bool = True) -> DataFrame:
     """Candle keys and feature columns; indicator nulls become 0 unless ``fill`` is off.
 
     Geometry is a projection, bounded indicators are windows over the series, MACD and ADX
-    come last in one grouped pass: one exchange in all.
+    come last in one streamed pass: one exchange in all.
     """
     wanted = f.columns()
     zero = (lambda c: F.coalesce(c, F.lit(0.0))) if fill else (lambda c: c)

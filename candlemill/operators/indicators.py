@@ -141,7 +141,7 @@ def log_volume_zscore(n: int = 5) -> Add:
     return lambda df, name: _staged(df, name, stages, F.when(F.col("_n") == n, value))
 
 
-def popular() -> tuple[dict[str, Add], dict[str, recurrence.Spec]]:
+def popular() -> tuple[dict[str, Add], dict[str, recurrence.Scan]]:
     """The usual bundle of 17 indicators: window columns, and recurrences."""
     windows = {
         "ma_20": sma(20), "ma_50": sma(50), "vwap": vwap(), "vwapdist_20": vwap_distance(20), "rsi_14": rsi(14), "bbw_20": bbw(20), "atr_14": atr(14),
@@ -154,10 +154,10 @@ def popular() -> tuple[dict[str, Add], dict[str, recurrence.Spec]]:
     return windows, scans
 
 
-def add_indicators(candles: DataFrame, windows: dict[str, Add] | None = None, scans: dict[str, recurrence.Spec] | None = None) -> DataFrame:
+def add_indicators(candles: DataFrame, windows: dict[str, Add] | None = None, scans: dict[str, recurrence.Scan | recurrence.Whole] | None = None) -> DataFrame:
     """Add named indicator columns; same-named ones are replaced, new ones follow the others.
 
-    Window columns come first and the grouped pass last, so both share one exchange.
+    Window columns come first and recurrences last, so both share one exchange and sort.
     """
     windows, scans = windows or {}, scans or {}
     names = [*candles.columns, *(n for n in [*windows, *scans] if n not in candles.columns)]

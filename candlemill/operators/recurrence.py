@@ -1,35 +1,61 @@
 """Recurrences over a series: seeded exponential averages, MACD, ADX.
 
-One grouped pass computes all asked-for columns of a series (``with_recurrences``); for series
-too long for a task, ``chunked_ema`` carries the average over chunks instead.
+A recurrence is a ``Scan``: it takes the next rows of a series with the state its earlier rows left, a
+few numbers. ``with_recurrences`` runs scans over Arrow batches of rows in series order, so a task
+holds a batch and not a series; live streams run the same scans with their state in the state store.
+``chunked_ema`` carries an average over chunks, so that one series can be shared by many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from candlemill.operators.series import KEYS, number_rows
+from candlemill.operators.series import KEYS, number_rows, position
 
-Spec = Callable[[pd.DataFrame], np.ndarray]
+State = list[float]
+#: A function of a whole series, for user-made indicators that cannot be written as a scan.
+Whole = Callable[[pd.DataFrame], np.ndarray]
+NAN = float("nan")
 
 
-def smoothed(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
-    """Exponential smoothing seeded with the mean of the first ``period`` values; NaN before."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= period:
-        y = np.concatenate([[np.mean(x[:period])], x[period:]])
-        out[period - 1 :] = pd.Series(y).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
+@dataclass(frozen=True)
+class Scan:
+    """Values of the next rows, and the state after them, from their columns and the state before."""
 
+    columns: tuple[str, ...]
+    start: tuple[float, ...]
+    run: Callable[[dict[str, np.ndarray], State], tuple[np.ndarray, State]]
 
-def ema_values(x: np.ndarray, period: int) -> np.ndarray:
-    return smoothed(x, period, 2.0 / (period + 1))
+
+#: State of a smoothing: values so far (up to the period), and their running mean.
+FRESH = (0.0, 0.0)
+
+
+def advance(x: np.ndarray, period: int, alpha: float, state: State) -> tuple[np.ndarray, State]:
+    """Exponential smoothing seeded with the mean of the first ``period`` values; NaN before, and where x is NaN."""
+    n, v = int(state[0]), state[1]
+    out = np.full(len(x), np.nan)
+    some = ~np.isnan(x)
+    y = x[some]
+    seed = min(max(period - n, 0), len(y))
+    made = np.full(len(y), np.nan)
+    if seed:
+        n, v = n + seed, v + float(y[:seed].sum()) / period
+        if n == period:
+            made[seed - 1] = v
+    if seed < len(y):
+        made[seed:] = pd.Series(np.concatenate([[v], y[seed:]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+        v = float(made[-1])
+    out[some] = made
+    return out, [float(n), v]
 
 
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,73 +64,123 @@ def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def ema(period: int, column: str = "close") -> Spec:
-    return lambda g: ema_values(g[column].to_numpy(float), period)
+def before(x: np.ndarray, last: float) -> np.ndarray:
+    """The value of the row before each row."""
+    return np.concatenate([[last], x[:-1]])
+
 
+def ema(period: int, column: str = "close") -> Scan:
+    return Scan((column,), FRESH, lambda g, s: advance(g[column], period, 2.0 / (period + 1), s))
 
-def ema_slope(period: int = 9, slope_period: int = 3, normalize: bool = True) -> Spec:
-    def run(g: pd.DataFrame) -> np.ndarray:
-        e = ema_values(g["close"].to_numpy(float), period)
-        past = np.full(len(e), np.nan)
-        past[slope_period:] = e[:-slope_period]
+
+def ema_slope(period: int = 9, slope_period: int = 3, normalize: bool = True) -> Scan:
+    def run(g: dict[str, np.ndarray], s: State) -> tuple[np.ndarray, State]:
+        e, own = advance(g["close"], period, 2.0 / (period + 1), s[:2])
+        every = np.concatenate([s[2:], e])
+        past = every[: len(e)]
         slope = (e - past) / slope_period
-        return ratio(slope, np.abs(past)) if normalize else slope
+        return ratio(slope, np.abs(past)) if normalize else slope, [*own, *every[len(e) :].tolist()]
 
-    return run
+    return Scan(("close",), (*FRESH, *[NAN] * slope_period), run)
 
 
-def macd(fast: int = 12, slow: int = 26, column: str = "close") -> Spec:
+def macd(fast: int = 12, slow: int = 26, column: str = "close") -> Scan:
     if fast >= slow:
         raise ValueError("the fast period must be shorter than the slow one")
-    return lambda g: ema_values(g[column].to_numpy(float), fast) - ema_values(g[column].to_numpy(float), slow)
+
+    def run(g: dict[str, np.ndarray], s: State) -> tuple[np.ndarray, State]:
+        f, a = advance(g[column], fast, 2.0 / (fast + 1), s[:2])
+        w, b = advance(g[column], slow, 2.0 / (slow + 1), s[2:])
+        return f - w, [*a, *b]
+
+    return Scan((column,), FRESH * 2, run)
 
 
-def macd_hist(fast: int = 12, slow: int = 26, signal: int = 9, normalize: bool = False) -> Spec:
+def macd_hist(fast: int = 12, slow: int = 26, signal: int = 9, normalize: bool = False) -> Scan:
     line = macd(fast, slow)
 
-    def run(g: pd.DataFrame) -> np.ndarray:
-        m = line(g)
-        some = ~np.isnan(m)
-        s = np.full(len(m), np.nan)
-        s[some] = ema_values(m[some], signal)
-        return ratio(m - s, g["close"].to_numpy(float)) if normalize else m - s
+    def run(g: dict[str, np.ndarray], s: State) -> tuple[np.ndarray, State]:
+        m, own = line.run(g, s[:4])
+        e, a = advance(m, signal, 2.0 / (signal + 1), s[4:])
+        return ratio(m - e, g["close"]) if normalize else m - e, [*own, *a]
 
-    return run
+    return Scan(("close",), FRESH * 3, run)
 
 
-def adx(period: int = 14, normalize: bool = False) -> Spec:
-    def run(g: pd.DataFrame) -> np.ndarray:
-        h, low, c = (g[x].to_numpy(float) for x in ("high", "low", "close"))
-        out = np.full(len(h), np.nan)
-        if len(h) < 2:
-            return out
-        up, down = h[1:] - h[:-1], low[:-1] - low[1:]
+def adx(period: int = 14, normalize: bool = False) -> Scan:
+    def run(g: dict[str, np.ndarray], s: State) -> tuple[np.ndarray, State]:
+        h, low, c = g["high"], g["low"], g["close"]
+        ph, pl, pc = before(h, s[0]), before(low, s[1]), before(c, s[2])
+        up, down = h - ph, pl - low
+        first = np.isnan(pc)
         plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-        tr = np.maximum(h[1:] - low[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(low[1:] - c[:-1])))
-        t, p, m = (smoothed(x, period, 1.0 / period) for x in (tr, plus, minus))
+        tr = np.maximum(h - low, np.maximum(np.abs(h - pc), np.abs(low - pc)))
+        state = [float(h[-1]), float(low[-1]), float(c[-1])]
+        smooth = []
+        for i, x in enumerate((tr, plus, minus)):
+            y, own = advance(np.where(first, np.nan, x), period, 1.0 / period, s[3 + 2 * i : 5 + 2 * i])
+            smooth.append(y)
+            state += own
+        t, p, m = smooth
         di_p, di_m = 100 * ratio(p, t), 100 * ratio(m, t)
-        dx = 100 * ratio(np.abs(di_p - di_m), di_p + di_m)
-        some = ~np.isnan(dx)
-        value = np.full(len(dx), np.nan)
-        value[some] = smoothed(dx[some], period, 1.0 / period)
-        out[1:] = value
-        return out / 100 if normalize else out
+        out, own = advance(100 * ratio(np.abs(di_p - di_m), di_p + di_m), period, 1.0 / period, s[9:])
+        return out / 100 if normalize else out, [*state, *own]
 
-    return run
+    return Scan(("high", "low", "close"), (NAN, NAN, NAN, *FRESH * 4), run)
 
 
-def with_recurrences(candles: DataFrame, specs: dict[str, Spec]) -> DataFrame:
-    """Add one double column for each spec; NaN becomes null. A group is one series."""
-    keep = [c for c in candles.columns if c not in specs]
-    fields = [candles.schema[c] for c in keep] + [StructField(n, DoubleType()) for n in specs]
+def with_recurrences(candles: DataFrame, specs: dict[str, Scan | Whole]) -> DataFrame:
+    """Add one double column for each spec; NaN becomes null.
+
+    Rows come in series order, numbered, from the same exchange and sort that window columns use. Scans are
+    streamed over them; functions of a whole series (``Whole``) need a group in memory each.
+    """
+    scans = {n: s for n, s in specs.items() if isinstance(s, Scan)}
+    whole = {n: s for n, s in specs.items() if not isinstance(s, Scan)}
+    out = candles.select([c for c in candles.columns if c not in specs])
+    if whole:
+        out = _grouped(out, whole)
+    return _streamed(out, scans) if scans else out
+
+
+def _streamed(candles: DataFrame, scans: dict[str, Scan]) -> DataFrame:
+    carried = candles.columns
+    needed = list(dict.fromkeys(c for s in scans.values() for c in s.columns))
+    k = len(carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[str, State] = {}
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(k).to_numpy() == 1)
+            columns = {c: batch.column(k + 1 + i).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(needed)}
+            values = {n: np.empty(len(batch)) for n in scans}
+            edges = [0, *starts[starts > 0].tolist(), len(batch)]
+            fresh = set(starts.tolist())
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                part = {c: x[lo:hi] for c, x in columns.items()}
+                for n, s in scans.items():
+                    state = list(s.start) if lo in fresh else states[n]
+                    values[n][lo:hi], states[n] = s.run(part, state)
+            made = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*carried, *scans])
+
+    rows = candles.withColumn("_rn", position()).select(*carried, "_rn", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(needed)])
+    return rows.mapInArrow(run, StructType([*candles.schema.fields, *(StructField(n, DoubleType()) for n in scans)]))
+
+
+def _grouped(candles: DataFrame, specs: dict[str, Whole]) -> DataFrame:
+    fields = [*candles.schema.fields, *(StructField(n, DoubleType()) for n in specs)]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ts", kind="stable").reset_index(drop=True)
         for name, f in specs.items():
-            g[name] = pd.Series(f(g)).astype(object).where(lambda s: s.notna(), None)
+            g[name] = np.asarray(f(g), float)
         return g
 
-    return candles.select(keep).groupBy(*KEYS).applyInPandas(run, StructType(fields))
+    out = candles.groupBy(*KEYS).applyInPandas(run, StructType(fields))
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in specs})
 
 
 def chunked_ema(candles: DataFrame, period: int, column: str = "close", name: str = "ema", size: int = 4096) -> DataFrame:
@@ -149,4 +225,3 @@ def chunked_ema(candles: DataFrame, period: int, column: str = "close", name: st
     back = done.join(ends.groupBy(*KEYS).applyInPandas(carries, carry), [*KEYS, "_c"])
     value = F.when(F.col("rn") >= period - 1, F.col("_y") + F.col("_w") * F.col("_carry"))
     return back.withColumn(name, value).select(*candles.columns, name)
-

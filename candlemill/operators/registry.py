@@ -11,17 +11,17 @@ from candlemill.operators import recurrence
 
 
 class Registry:
-    """Names of column builders (over the series window) and of grouped functions."""
+    """Names of column builders (over the series window), of scans or functions of a whole series, and of labellers."""
 
     def __init__(self) -> None:
         self.columns: dict[str, Callable[[], Column]] = {}
-        self.scans: dict[str, recurrence.Spec] = {}
+        self.scans: dict[str, recurrence.Scan | recurrence.Whole] = {}
         self.labellers: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def column(self, name: str, build: Callable[[], Column]) -> None:
         self.columns[name] = build
 
-    def scan(self, name: str, run: recurrence.Spec) -> None:
+    def scan(self, name: str, run: recurrence.Scan | recurrence.Whole) -> None:
         self.scans[name] = run
 
     def labeller(self, name: str, label: Callable[[DataFrame], DataFrame]) -> None:

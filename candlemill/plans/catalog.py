@@ -18,6 +18,7 @@ from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles
 from candlemill.operators.registry import Registry
 from candlemill.plans import views
+from candlemill.schemas import CANDLE_COLUMNS, require
 from candlemill.session import shared_dir
 from candlemill.sources import store
 from candlemill.streaming import live
@@ -187,11 +188,21 @@ def _(spark, sf):
 
 # --- indicators over day candles ----------------------------------------------
 
+_BASE = f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn, lag(close) over ({_W}) as pc, lag(high) over ({_W}) as ph, lag(low) over ({_W}) as pl from candles)"
+
+
+def window_sql(value: str, ctes: str = "") -> str:
+    """Rows (symbol, interval, ts, value) of an expression over ``numbered`` (with rn from 1), or over ``staged``."""
+    return f"{_BASE}{ctes} select {_K}, ({value}) as value from {'staged' if 'staged as' in ctes else 'numbered'}"
+
+
+def cut_value(raw: str) -> str:
+    return f"select {_K}, {r6('value')} as value from ({raw})"
+
+
 def indicator(name: str, add: Callable[[], ind.Add], sql: str, ctes: str = "") -> None:
-    """A window indicator on day candles; ``sql`` is an expression over ``numbered`` (with rn from 1)."""
-    text = f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn, lag(close) over ({_W}) as pc, lag(high) over ({_W}) as ph, lag(low) over ({_W}) as pl from candles){ctes} "
-    source = "staged" if "staged as" in ctes else "numbered"
-    query(name, text + f"select {_K}, {r6(sql)} as value from {source}")(lambda spark, sf: rounded(add()(views.day(spark, sf), "value").select(*KEYS, "value")))
+    """A window indicator on day candles and its SQL (``window_sql``)."""
+    query(name, cut_value(window_sql(sql, ctes)))(lambda spark, sf: rounded(add()(views.day(spark, sf), "value").select(*KEYS, "value")))
 
 
 def _avg(x: str, p: int) -> str:
@@ -212,27 +223,85 @@ def _stoch(high: str, low: str, value: str, p: int) -> str:
     return f"({value} - {lo}) / nullif({hi} - {lo}, 0) * 100.0"
 
 
-indicator("sma", lambda: ind.sma(20), f"case when rn >= 20 then {_avg('close', 20)} end")
-indicator("vma", lambda: ind.vma(20), f"case when rn >= 20 then {_avg('volume', 20)} end")
-indicator("vwap", lambda: ind.vwap(), f"sum({_TP} * volume) over {back(None)} / nullif(sum(volume) over {back(None)}, 0)")
-indicator("vwap_rolling", lambda: ind.vwap(20), f"case when rn >= 20 then sum({_TP} * volume) over {back(19)} / nullif(sum(volume) over {back(19)}, 0) end")
-indicator("vwap_distance", lambda: ind.vwap_distance(20), "(close - v) / nullif(v, 0)", f", staged as (select *, case when rn >= 20 then sum({_TP} * volume) over {back(19)} / nullif(sum(volume) over {back(19)}, 0) end as v from numbered)")
-indicator("rsi", lambda: ind.rsi(14), "rsi", _rsi_ctes(14))
-indicator("bbw", lambda: ind.bbw(20), f"case when rn >= 20 then 4.0 * stddev_pop(close) over {back(19)} / nullif({_avg('close', 20)}, 0) end")
+def _stage(value: str, source: str = "numbered") -> str:
+    return f", staged as (select *, {value} from {source})"
+
+
+def sma_sql(p: int, x: str = "close") -> str:
+    return window_sql(f"case when rn >= {p} then {_avg(x, p)} end")
+
+
+def vwap_sql(p: int | None) -> str:
+    v = f"sum({_TP} * volume) over {back(p and p - 1)} / nullif(sum(volume) over {back(p and p - 1)}, 0)"
+    return window_sql(f"case when rn >= {p or 1} then {v} end")
+
+
+def vwap_distance_sql(p: int) -> str:
+    return window_sql("(close - v) / nullif(v, 0)", _stage(f"case when rn >= {p} then sum({_TP} * volume) over {back(p - 1)} / nullif(sum(volume) over {back(p - 1)}, 0) end as v"))
+
+
+def rsi_sql(p: int) -> str:
+    return window_sql("rsi", _rsi_ctes(p))
+
+
+def bbw_sql(p: int) -> str:
+    return window_sql(f"case when rn >= {p} then 4.0 * stddev_pop(close) over {back(p - 1)} / nullif({_avg('close', p)}, 0) end")
+
+
+def atr_sql(p: int) -> str:
+    return window_sql(f"case when rn > {p} then a end", f", ranged as (select *, {_TR} as tr from numbered)" + _stage(f"{_avg('tr', p)} as a", "ranged"))
+
+
+def volatility_sql(p: int, scale: str = "1.0") -> str:
+    return window_sql(f"case when rn > {p} and count(r) over {back(p - 1)} = {p} then stddev_pop(r) over {back(p - 1)} * {scale} end", _stage("case when pc > 0 and close > 0 then ln(close / pc) end as r"))
+
+
+def stochastic_sql(p: int) -> str:
+    return window_sql(f"case when rn >= {p} then {_stoch('high', 'low', 'close', p)} end")
+
+
+def stochastic_rsi_sql(p: int, q: int) -> str:
+    return window_sql(f"case when rn > {p + q - 1} then {_stoch('rsi', 'rsi', 'rsi', q)} end", _rsi_ctes(p))
+
+
+def obv_sql() -> str:
+    return window_sql(f"case when rn > 1 then sum(case when close > pc then volume when close < pc then -volume else 0.0 end) over {back(None)} end")
+
+
+def zscore_sql(n: int) -> str:
+    """Unscaled; infinite where all volumes before are equal and this one is not."""
+    past = f"({_W} rows between {n} preceding and 1 preceding)"
+    return window_sql(f"case when c = {n} and x is not null then case when s > 0 then (x - m) / s when x > m then 'inf'::double when x < m then '-inf'::double else 0.0 end end",
+                      ", logged as (select *, case when volume >= 0 then ln(1 + volume) end as x from numbered)" + _stage(f"count(x) over {past} as c, avg(x) over {past} as m, stddev_samp(x) over {past} as s", "logged"))
+
+
+def _put(name: str, add: Callable[[], ind.Add], raw: str, value: str = "value") -> None:
+    query(name, cut_value(raw) if value == "value" else f"select {_K}, {r6(value)} as value from ({raw})")(lambda spark, sf: rounded(add()(views.day(spark, sf), "value").select(*KEYS, "value")))
+
+
+def _ratio_to_close(x: str, low: float) -> str:
+    return f"case when {x} / nullif(close, 0) is not null then greatest(least({x} / nullif(close, 0), 0.05::double), {low}::double) / 0.05::double else 0.0 end"
+
+
+_Z = "case when value is not null then greatest(least(value, 3.0), -3.0) / 3 else 0.0 end"
+_put("sma", lambda: ind.sma(20), sma_sql(20))
+_put("vma", lambda: ind.vma(20), sma_sql(20, "volume"))
+_put("vwap", lambda: ind.vwap(), vwap_sql(None))
+_put("vwap_rolling", lambda: ind.vwap(20), vwap_sql(20))
+_put("vwap_distance", lambda: ind.vwap_distance(20), vwap_distance_sql(20))
+_put("rsi", lambda: ind.rsi(14), rsi_sql(14))
+_put("bbw", lambda: ind.bbw(20), bbw_sql(20))
 indicator("true_range", lambda: ind.true_range(), _TR)
-indicator("atr", lambda: ind.atr(14), "case when rn > 14 then a end", f", ranged as (select *, {_TR} as tr from numbered), staged as (select *, {_avg('tr', 14)} as a from ranged)")
+_put("atr", lambda: ind.atr(14), atr_sql(14))
 indicator("directional_movement_plus", lambda: ind.directional_movement(True), "case when pc is null then null when high - ph > pl - low and high - ph > 0 then high - ph else 0.0 end")
 indicator("directional_movement_minus", lambda: ind.directional_movement(False), "case when pc is null then null when pl - low > high - ph and pl - low > 0 then pl - low else 0.0 end")
-indicator("rolling_volatility", lambda: ind.rolling_volatility(20, 252), f"case when rn > 20 and count(r) over {back(19)} = 20 then stddev_pop(r) over {back(19)} * sqrt(252.0) end", ", staged as (select *, case when pc > 0 and close > 0 then ln(close / pc) end as r from numbered)")
-indicator("stochastic", lambda: ind.stochastic(14), f"case when rn >= 14 then {_stoch('high', 'low', 'close', 14)} end")
-indicator("stochastic_rsi", lambda: ind.stochastic_rsi(14, 14), f"case when rn > 27 then {_stoch('rsi', 'rsi', 'rsi', 14)} end", _rsi_ctes(14))
-indicator("obv", lambda: ind.obv(), f"case when rn > 1 then sum(case when close > pc then volume when close < pc then -volume else 0.0 end) over {back(None)} end")
-indicator("scale_oscillator", lambda: lambda df, n: ind.stochastic(14)(df, "_x").withColumn(n, scale_oscillator(F.col("_x"))).drop("_x"), f"(case when rn >= 14 then {_stoch('high', 'low', 'close', 14)} end - 50.0) / 50.0")
-_PAST = f"({_W} rows between 5 preceding and 1 preceding)"
-indicator("log_volume_zscore", lambda: lambda df, n: ind.log_volume_zscore(5)(df, n).withColumn(n, clip_zscore(F.col(n))),
-          "case when c = 5 and x is not null then greatest(least(case when s > 0 then (x - m) / s when x > m then 3.0 when x < m then -3.0 else 0.0 end, 3.0), -3.0) / 3 else 0.0 end",
-          f", logged as (select *, case when volume >= 0 then ln(1 + volume) end as x from numbered), staged as (select *, count(x) over {_PAST} as c, avg(x) over {_PAST} as m, stddev_samp(x) over {_PAST} as s from logged)")
-indicator("clip_atr", lambda: lambda df, n: ind.atr(14)(df, "_x").withColumn(n, clip_atr(F.col("_x"), F.col("close"))).drop("_x"), "case when rn > 14 and a / nullif(close, 0) is not null then greatest(least(a / nullif(close, 0), 0.05::double), 0.0) / 0.05::double else 0.0 end", f", ranged as (select *, {_TR} as tr from numbered), staged as (select *, {_avg('tr', 14)} as a from ranged)")
+_put("rolling_volatility", lambda: ind.rolling_volatility(20, 252), volatility_sql(20, "sqrt(252.0)"))
+_put("stochastic", lambda: ind.stochastic(14), stochastic_sql(14))
+_put("stochastic_rsi", lambda: ind.stochastic_rsi(14, 14), stochastic_rsi_sql(14, 14))
+_put("obv", lambda: ind.obv(), obv_sql())
+_put("scale_oscillator", lambda: lambda df, n: ind.stochastic(14)(df, "_x").withColumn(n, scale_oscillator(F.col("_x"))).drop("_x"), stochastic_sql(14), "(value - 50.0) / 50.0")
+_put("log_volume_zscore", lambda: lambda df, n: ind.log_volume_zscore(5)(df, n).withColumn(n, clip_zscore(F.col(n))), zscore_sql(5), _Z)
+indicator("clip_atr", lambda: lambda df, n: ind.atr(14)(df, "_x").withColumn(n, clip_atr(F.col("_x"), F.col("close"))).drop("_x"), _ratio_to_close("case when rn > 14 then a end", 0.0), f", ranged as (select *, {_TR} as tr from numbered)" + _stage(f"{_avg('tr', 14)} as a", "ranged"))
 
 
 def _ema_cte(name: str, source: str, p: int, alpha: str | None = None) -> str:
@@ -244,23 +313,29 @@ def _ema_cte(name: str, source: str, p: int, alpha: str | None = None) -> str:
     )
 
 
-def scan(name: str, spec: recurrence.Spec, sql: str, ctes: str) -> None:
-    """A recurrence on day candles; ``sql`` is an expression over ``numbered n`` and the joined ctes."""
-    text = f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn, lag(close) over ({_W}) as pc, lag(high) over ({_W}) as ph, lag(low) over ({_W}) as pl from candles), xc as (select symbol, rn as k, close as x from numbered), xv as (select symbol, rn as k, volume as x from numbered){ctes} "
-    query(name, text + sql)(lambda spark, sf: rounded(recurrence.with_recurrences(views.day(spark, sf), {"value": spec}).select(*KEYS, "value")))
+def scan_sql(cte: str, ctes: str) -> str:
+    """Rows (symbol, interval, ts, value) of a recurrence: ``cte`` has (symbol, k, v)."""
+    return f"{_BASE}, xc as (select symbol, rn as k, close as x from numbered), xv as (select symbol, rn as k, volume as x from numbered){ctes} select n.symbol, n.\"interval\", n.ts, e.v as value from numbered n left join {cte} e on e.symbol = n.symbol and e.k = n.rn"
+
+
+def scan(name: str, spec: recurrence.Scan, raw: str) -> None:
+    query(name, cut_value(raw))(lambda spark, sf: rounded(recurrence.with_recurrences(views.day(spark, sf), {"value": spec}).select(*KEYS, "value")))
 
 
-def _one(cte: str, value: str = "e.v") -> str:
-    return f"select n.symbol, n.\"interval\", n.ts, {r6(value)} as value from numbered n left join {cte} e on e.symbol = n.symbol and e.k = n.rn"
+def ema_sql(p: int, source: str = "xc") -> str:
+    return scan_sql("e1", _ema_cte("e1", source, p))
 
 
 _MACD = _ema_cte("f", "xc", 12) + _ema_cte("s", "xc", 26) + ", m as (select s.symbol, s.k, f.v - s.v as v from s join f using (symbol, k))"
-scan("ema", recurrence.ema(9), _one("e1"), _ema_cte("e1", "xc", 9))
-scan("vema", recurrence.ema(9, "volume"), _one("e1"), _ema_cte("e1", "xv", 9))
-scan("ema_slope", recurrence.ema_slope(9, 3), _one("sl"), _ema_cte("e1", "xc", 9) + ", sl as (select a.symbol, a.k, (a.v - b.v) / 3 / nullif(abs(b.v), 0) as v from e1 a join e1 b on a.symbol = b.symbol and b.k = a.k - 3)")
-scan("macd", recurrence.macd(12, 26), _one("m"), _MACD)
-scan("vmacd", recurrence.macd(12, 26, "volume"), _one("m"), _MACD.replace("xc", "xv"))
-scan("macd_hist", recurrence.macd_hist(12, 26, 9), _one("h"), _MACD + ", xm as (select symbol, k - 25 as k, v as x from m)" + _ema_cte("g", "xm", 9) + ", h as (select m.symbol, m.k, m.v - g.v as v from m join g on g.symbol = m.symbol and g.k = m.k - 25)")
+SLOPE_SQL = scan_sql("sl", _ema_cte("e1", "xc", 9) + ", sl as (select a.symbol, a.k, (a.v - b.v) / 3 / nullif(abs(b.v), 0) as v from e1 a join e1 b on a.symbol = b.symbol and b.k = a.k - 3)")
+MACD_SQL = scan_sql("m", _MACD)
+HIST_SQL = scan_sql("h", _MACD + ", xm as (select symbol, k - 25 as k, v as x from m)" + _ema_cte("g", "xm", 9) + ", h as (select m.symbol, m.k, m.v - g.v as v from m join g on g.symbol = m.symbol and g.k = m.k - 25)")
+scan("ema", recurrence.ema(9), ema_sql(9))
+scan("vema", recurrence.ema(9, "volume"), ema_sql(9, "xv"))
+scan("ema_slope", recurrence.ema_slope(9, 3), SLOPE_SQL)
+scan("macd", recurrence.macd(12, 26), MACD_SQL)
+scan("vmacd", recurrence.macd(12, 26, "volume"), scan_sql("m", _MACD.replace("xc", "xv")))
+scan("macd_hist", recurrence.macd_hist(12, 26, 9), HIST_SQL)
 _ADX = (
     f", moves as (select symbol, rn - 1 as k, {_TR} as tr, case when high - ph > pl - low and high - ph > 0 then high - ph else 0.0 end as dp, case when pl - low > high - ph and pl - low > 0 then pl - low else 0.0 end as dm from numbered where pc is not null)"
     ", xt as (select symbol, k, tr as x from moves), xp as (select symbol, k, dp as x from moves), xq as (select symbol, k, dm as x from moves)"
@@ -270,10 +345,16 @@ _ADX = (
     + _ema_cte("wa", "xd", 14, "(1.0::double / 14)")
     + ", ax as (select d.symbol, d.row + 1 as k, a.v from wa a join xd d on d.symbol = a.symbol and d.k = a.k)"
 )
-scan("adx", recurrence.adx(14), _one("ax"), _ADX)
+ADX_SQL = scan_sql("ax", _ADX)
+scan("adx", recurrence.adx(14), ADX_SQL)
+
+
+def joined(parts: dict[str, str], source: str = "candles", ctes: str = "") -> str:
+    """SQL: ``source`` (k) with the value of each part under its name."""
+    return f"(select k.*, {', '.join(f'{n}.value as {n}' for n in parts)} from {source} k " + " ".join(f"join ({raw}) {n} on {n}.symbol = k.symbol and {n}.ts = k.ts" for n, raw in parts.items()) + ")"
 
 
-@query("clip_macd", f"with recursive {views.DAY_SQL}, numbered as (select *, row_number() over ({_W}) as rn from candles), xc as (select symbol, rn as k, close as x from numbered){_MACD} " + _one("m", "case when e.v / nullif(n.close, 0) is not null then greatest(least(e.v / nullif(n.close, 0), 0.05::double), -0.05::double) / 0.05::double else 0.0 end"))
+@query("clip_macd", f"with recursive {views.DAY_SQL} select {_K}, {r6(_ratio_to_close('m', -0.05))} as value from {joined({'m': MACD_SQL})}")
 def _(spark, sf):
     out = recurrence.with_recurrences(views.day(spark, sf), {"_m": recurrence.macd()})
     return rounded(out.select(*KEYS, clip_macd(F.col("_m"), F.col("close")).alias("value")))
@@ -293,12 +374,47 @@ def _(spark, sf):
     return rounded(out.select(*KEYS, "value"))
 
 
-@query("popular_indicators")
+_POPULAR = {
+    "ma_20": sma_sql(20), "ma_50": sma_sql(50), "vwap": vwap_sql(None), "vwapdist_20": vwap_distance_sql(20), "rsi_14": rsi_sql(14), "bbw_20": bbw_sql(20), "atr_14": atr_sql(14),
+    "rvol_20": volatility_sql(20), "stoch_14": stochastic_sql(14), "stochrsi_14_14": stochastic_rsi_sql(14, 14), "obv": obv_sql(),
+    "ema_9": ema_sql(9), "ema_21": ema_sql(21), "emaslope_9_3": SLOPE_SQL, "macd_12_26": MACD_SQL, "macdhist_12_26_9": HIST_SQL, "adx_14": ADX_SQL,
+}
+_POPULAR_SQL = f"with {views.DAY_SQL} select {_K}, {', '.join(f'{r6(c)} as {c}' for c in ('open', 'high', 'low', 'close', 'volume', *_POPULAR))} from {joined(_POPULAR)}"
+
+
+@query("popular_indicators", _POPULAR_SQL)
 def _(spark, sf):
     windows, scans = ind.popular()
     return rounded(ind.add_indicators(views.day(spark, sf), windows, scans))
 
 
+def drained(spark: SparkSession, rows: DataFrame, name: str, live_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows written down, read as a stream, and what ``live_rows`` makes of it, drained to a table."""
+    path = _fresh(spark, name)
+    rows.write.parquet(f"{path}-in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    made = live_rows(spark.readStream.schema(rows.schema).parquet(f"{path}-in"))
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}-cp").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _stamped(df: DataFrame, kind: str, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(kind) for c in columns})
+
+
+@query("stream_indicators", _POPULAR_SQL)
+def _(spark, sf):
+    """All popular indicators of live candles; a series' values are those of the batch form."""
+    out = drained(spark, _stamped(views.day(spark, sf), "timestamp", "ts"), "indicators", live.stream_indicators)
+    return rounded(_stamped(out, "timestamp_ntz", "ts"))
+
+
+@query("stream_volume_delta", f"with {views.DELTAS_SQL} select token, event_id, {r6('volume_delta')} as volume_delta from deltas")
+def _(spark, sf):
+    out = drained(spark, _stamped(views.ticks(spark, sf), "timestamp", "event_time"), "deltas", live.stream_volume_delta)
+    return rounded(out.select("token", "event_id", "volume_delta"))
+
+
 @query("add_indicator_columns", f"with {views.DAY_SQL}, n as (select *, row_number() over ({_W}) as rn from candles) select {_K}, {', '.join(f'{r6(c)} as {c}' for c in ('open', 'high', 'low'))}, {r6(f'case when rn >= 5 then avg(close) over {back(4)} end')} as close, {r6('volume')} as volume, {r6(f'case when rn >= 3 then avg(volume) over {back(2)} end')} as vma_3 from n")
 def _(spark, sf):
     return rounded(ind.add_indicators(views.day(spark, sf), {"vma_3": ind.vma(3), "close": ind.sma(5)}))
@@ -327,6 +443,14 @@ def _(spark, sf):
     return views.table(spark, sf, "events").select("event_id", units.indicator_unit(name).alias("unit"))
 
 
+@query("custom_unit", f"with {views.DAY_SQL} select {_K}, 'SPREAD' as name, {r6('high - low')} as value, 'ticks' as unit from candles where high - low is not null union all select {_K}, 'EMA_X', {r6('close')}, 'points' from candles where close is not null union all select {_K}, 'EMASLOPE_X', {r6('open')}, 'percent' from candles where open is not null")
+def _(spark, sf):
+    """User-made units: a new prefix, and one that replaces a known unit; the longest prefix still wins."""
+    out = views.day(spark, sf).withColumns({"SPREAD": F.col("high") - F.col("low"), "EMA_X": F.col("close"), "EMASLOPE_X": F.col("open")})
+    long = units.indicators_long(out, ["SPREAD", "EMA_X", "EMASLOPE_X"])
+    return rounded(long.withColumn("unit", units.indicator_unit(F.col("name"), {"spread": "ticks", "EMA": "points"})))
+
+
 # --- sorts, limits, storage -----------------------------------------------------
 
 @query("sort_series", f"with {views.DAY_SQL} {_OHLC} order by {_K}")
@@ -438,15 +562,27 @@ def _(spark, sf):
     return rounded(spark.read.parquet(path).select(*KEYS, "close"))
 
 
-@query("read_candles_csv", f"with {views.DAY_SQL} select {_K}, {r6('close')} as close from candles")
+@query("read_candles_csv", f"with {views.DAY_SQL} select {_K}, {', '.join(f'{r6(c)} as {c}' for c in ('open', 'close', 'volume'))} from candles")
 def _(spark, sf):
-    """Day candles written as one CSV folder a series, named by series, and read by name."""
+    """Day candles written as one CSV folder a series, and read by the folders' names."""
     path, c = _fresh(spark, "csv"), views.day(spark, sf)
     named = c.select(F.concat_ws("_", "symbol", "interval", F.lit("all")).alias("series"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")).alias("timestamp"), "open", "high", "low", "close", "volume")
     named.repartition("series").write.partitionBy("series").option("header", True).csv(path)
-    raw = spark.read.option("header", True).schema("timestamp string, open double, high double, low double, close double, volume double, series string").csv(path)
-    out = raw.withColumns(store.series_keys_from_path(F.col("series"))).withColumn("ts", time.parse_bound(F.col("timestamp")))
-    return rounded(out.select(*KEYS, "close"))
+    return rounded(store.read_candles_csv(spark, path, ["day"]).select(*KEYS, "open", "close", "volume"))
+
+
+@query("validate_columns", f"with {views.DAY_SQL}, {views.HOURLY_SQL.replace('candles as', 'hours as')} select 'day' as source, count(*) as rows from candles union all select 'hourly', count(*) from hours union all select 'lineitem lacks symbol, interval, ts, open, high, low, close, volume', count(*) from lineitem")
+def _(spark, sf):
+    """Rows of candle tables that have all columns, and what a table that has not is told."""
+    day, hourly = (require(c, CANDLE_COLUMNS) or c for c in (views.day(spark, sf), views.hourly(spark, sf)))
+    lines = views.table(spark, sf, "lineitem")
+    try:
+        require(lines, CANDLE_COLUMNS, "lineitem")
+        said = "none missing"
+    except ValueError as e:
+        said = str(e).replace(" columns:", "")
+    count = lambda df, name: df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("rows"))
+    return count(day, "day").unionByName(count(hourly, "hourly")).unionByName(count(lines, said))
 
 
 _STREAM_SQL = f"with {views.TICKS_SQL}, candles as (select symbol, '60minute' as \"interval\", {views.bucket_sql('event_time', 60)} as ts, first(last_price order by event_time, event_id) as open, max(last_price) as high, min(last_price) as low, last(last_price order by event_time, event_id) as close, sum(trade_quantity) as volume from ticks group by 1, 2, 3) {_OHLC} where ts + interval 60 minute <= (select max(event_time) - interval 10 minute from ticks)"
@@ -455,25 +591,94 @@ _STREAM_SQL = f"with {views.TICKS_SQL}, candles as (select symbol, '60minute' as
 @query("stream_candles", _STREAM_SQL)
 def _(spark, sf):
     """Closed hourly candles of the event stream, drained to a table."""
-    events = spark.readStream.schema(views.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque*")
+    events = store.read_ticks(spark, f"{sf}/events.parque*", views.table(spark, sf, "events").schema)
     q = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
-    ticks_ = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.col("value").alias("last_price"), q.alias("volume_delta"))
+    ticks_ = events.select(views.symbol().alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.col("value").alias("last_price"), q.alias("volume_delta"))
     path = _fresh(spark, "stream")
     run = live.stream_candles(ticks_, "60minute", "10 minutes").writeStream.format("parquet").option("checkpointLocation", f"{path}-cp").outputMode("append").trigger(availableNow=True).start(path)
     run.awaitTermination()
     return rounded(spark.read.parquet(path))
 
 
+_CUT = "timestamp '1970-01-01' + to_microseconds(cast((select (max(epoch_us(ts)) + min(epoch_us(ts))) // 2 from events) as bigint))"
+
+
+@query("stream_late_data", _STREAM_SQL.replace("from ticks group by", f"from ticks where event_time >= {_CUT} group by"))
+def _(spark, sf):
+    """Later ticks first: the earlier half of the stream's time comes late and is dropped by the watermark."""
+    e = views.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = e.agg(F.expr("(max(unix_micros(cast(ts as timestamp))) + min(unix_micros(cast(ts as timestamp)))) div 2")).first()[0]
+    q = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    ticks_ = e.select(views.symbol().alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.col("value").alias("last_price"), q.alias("volume_delta"), (micros >= cut).alias("later"))
+    path = _fresh(spark, "late")
+    for later in (True, False):
+        ticks_.filter(F.col("later") == later).write.mode("append").parquet(f"{path}-in")
+        rows = live.stream_candles(store.read_ticks(spark, f"{path}-in", ticks_.schema), "60minute", "10 minutes")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-cp").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return rounded(spark.read.schema(rows.schema).parquet(path))
+
+
+@query("stream_upsert", f"{_UPSERT} select {_K}, {r6('arg_max(close, s)')} as close from every group by {_K}")
+def _(spark, sf):
+    """Hourly candles, then their updates, merged into a table series by series."""
+    path, c = _fresh(spark, "upserts"), views.hourly(spark, sf)
+    for batch in (c.withColumn("load_seq", F.lit(0)), _updates(c)):
+        batch.select(*c.columns, "load_seq").write.mode("append").parquet(f"{path}-in")
+        live.stream_upsert(spark.readStream.schema(batch.select(*c.columns, "load_seq").schema).parquet(f"{path}-in"), path, f"{path}-cp").awaitTermination()
+    return rounded(spark.read.schema(c.schema).parquet(path).select(*KEYS, "close"))
+
+
 # --- features, labels, windows ------------------------------------------------------
 
 _F = features.Features(["candle_color", "wick_ratios", "log_volume_zscore", "indicators"])
 
 
-@query("encode_features")
+_RAW = {f"rsi_{p}": rsi_sql(p) for p in (7, 14)} | {f"stochastic_{p}": stochastic_sql(p) for p in (7, 14)} | {f"stochastic_rsi_{p}": stochastic_rsi_sql(p, p) for p in (7, 14)}
+_RAW |= {"macd": MACD_SQL, "atr": atr_sql(14), "adx": ADX_SQL, "log_volume_zscore": zscore_sql(5)}
+
+
+def _feature_sql(column: str, fill: bool) -> str:
+    """A feature column over the joined raw values."""
+    if column in _HOT:
+        return f"cast({_HOT[column]} as int)"
+    if column not in _RAW:
+        return column
+    value = {"macd": _ratio_to_close("macd", -0.05), "atr": _ratio_to_close("atr", 0.0), "adx": "adx / 100", "log_volume_zscore": _Z.replace("value", "log_volume_zscore")}.get(column, f"({column} - 50.0) / 50.0")
+    return f"coalesce({value}, 0.0)" if fill else f"case when {column} is not null then {value} end"
+
+
+def encoded_sql(fill: bool = True) -> str:
+    """Keys and all feature columns, uncut."""
+    day = GEOMETRY_SQL.replace(views.ROWS_SQL, views.DAY_SQL)
+    return f"with {day} select {_K}, {', '.join(f'{_feature_sql(c, fill)} as {c}' for c in _F.columns())} from {joined(_RAW, 'shaped')}"
+
+
+def _cut_features(prefix: str = "") -> str:
+    return ", ".join(f"{c}" if c in _HOT else f"{r6(prefix + c)} as {c}" for c in _F.columns())
+
+
+@query("encode_features", f"select {_K}, {_cut_features()} from ({encoded_sql()})")
 def _(spark, sf):
     return rounded(features.encode_features(views.day(spark, sf), _F).select(*KEYS, *_F.columns()))
 
 
+@query("stream_features", f"select {_K}, {_cut_features()} from ({encoded_sql(fill=False)})")
+def _(spark, sf):
+    """The whole configured feature row of live candles, null in warm-up."""
+    out = drained(spark, _stamped(views.day(spark, sf), "timestamp", "ts"), "features", lambda c: live.stream_features(c, _F))
+    return rounded(_stamped(out, "timestamp_ntz", "ts"))
+
+
+@query("feature_columns", f"with e as ({encoded_sql(fill=False)}) " + " union all ".join(f"select '{c}' as name, {i}::int as position, count({c}) as known from e" for i, c in enumerate(_F.columns())))
+def _(spark, sf):
+    """Feature columns in their order, with the rows that have a value (none in warm-up)."""
+    rows = features.encode_features(views.day(spark, sf), _F, fill=False)
+    places = F.create_map(*[F.lit(x) for pair in _F.positions().items() for x in pair])
+    known = rows.agg(*[F.count(c).alias(c) for c in _F.columns()]).unpivot([], _F.columns(), "name", "known")
+    return known.select("name", places[F.col("name")].alias("position"), "known")
+
+
 @query("feature_vector", f"with {GEOMETRY_SQL} select {_K}, [{r6('upper_wick_to_candle_ratio')}, {r6('lower_wick_to_candle_ratio')}, {r6('body_to_candle_ratio')}] as features from shaped")
 def _(spark, sf):
     cols = features.WICKS
@@ -485,20 +690,30 @@ def _(spark, sf):
     return rounded(labels.return_label(views.day(spark, sf), 5, "value").select(*KEYS, "value"))
 
 
-def _barrier_sql(vertical: str, horizon: int = 5) -> str:
+def _barrier_sql(vertical: str, horizon: int = 5, tie: str = "lower") -> str:
+    up, down = "b.high >= a.close * (1 + 5.0::double / 100)", "b.low <= a.close * (1 - 5.0::double / 100)"
+    both = {"lower": -1, "upper": 1, "neutral": 0}[tie]
     end = "0" if vertical == "neutral" else "sign(case when isfinite(f) then f end)::int"
     return f"""{views.DAY_SQL}, n as (select *, row_number() over ({_W}) as rn, lead(1, {horizon}) over ({_W}) as there, lead(close, {horizon}) over ({_W}) / nullif(close, 0) - 1 as f from candles),
-    touch as (select a.symbol, a.rn, arg_min(case when b.low <= a.close * (1 - 5.0::double / 100) then -1 else 1 end, b.rn) as side
-        from n a join n b on a.symbol = b.symbol and b.rn between a.rn + 1 and a.rn + {horizon} and (b.high >= a.close * (1 + 5.0::double / 100) or b.low <= a.close * (1 - 5.0::double / 100)) group by 1, 2),
+    touch as (select a.symbol, a.rn, arg_min(case when {up} and {down} then {both} when {down} then -1 else 1 end, b.rn) as side
+        from n a join n b on a.symbol = b.symbol and b.rn between a.rn + 1 and a.rn + {horizon} and ({up} or {down}) group by 1, 2),
     sided as (select n.*, case when there is not null then coalesce(side, {end}) end as side from n left join touch using (symbol, rn))"""
 
 
 _ONE = ", ".join(f"cast(side = {v} as int) as {n}" for n, v in zip(labels.LABELS, (-1, 0, 1), strict=True))
-for _v in ("return", "neutral"):
+for _name, _v, _tie in (("return", "return", "lower"), ("neutral", "neutral", "lower"), ("tie_upper", "return", "upper"), ("tie_neutral", "return", "neutral")):
+
+    @query(f"triple_barrier_{_name}", f"with {_barrier_sql(_v, tie=_tie)} select {_K}, {_ONE} from sided")
+    def _(spark, sf, v=_v, tie=_tie):
+        return labels.triple_barrier(views.day(spark, sf), labels.Barriers(horizon=5, vertical=v, tie=tie)).select(*KEYS, *labels.LABELS)
+
 
-    @query(f"triple_barrier_{_v}", f"with {_barrier_sql(_v)} select {_K}, {_ONE} from sided")
-    def _(spark, sf, v=_v):
-        return labels.triple_barrier(views.day(spark, sf), labels.Barriers(horizon=5, vertical=v)).select(*KEYS, *labels.LABELS)
+@query("custom_labeller", f"with {views.DAY_SQL} select {_K}, cast(lead(close, 2) over ({_W}) > close as int) as label from candles")
+def _(spark, sf):
+    """A user's labeller by name: does the close rise within two rows?"""
+    made = Registry()
+    made.labeller("rises", lambda c: c.withColumn("label", (F.lead("close", 2).over(series.series()) > F.col("close")).cast("int")))
+    return made.label(views.day(spark, sf), "rises").select(*KEYS, "label")
 
 
 @query("drop_unlabelled", f"with {_barrier_sql('return')} select {_K}, {_ONE} from sided where side is not null")
@@ -513,7 +728,7 @@ def _(spark, sf):
     return rounded(labels.join_features_labels(left, labels.triple_barrier(c, labels.Barriers(horizon=5)), labels.LABELS))
 
 
-@query("labelled_dataset")
+@query("labelled_dataset", f"with {_barrier_sql('return', 35)} select s.symbol, s.\"interval\", s.ts, {_cut_features('e.')}, {_ONE} from sided s join ({encoded_sql()}) e on e.symbol = s.symbol and e.ts = s.ts where side is not null")
 def _(spark, sf):
     out = labels.labelled_dataset(views.day(spark, sf), _F, labels.Barriers(horizon=35))
     return rounded(out.select(*KEYS, *_F.columns(), *labels.LABELS))
@@ -594,12 +809,12 @@ def _(spark, sf):
     return dataset.distinct_labels(rows, "label")
 
 
-@query("split_by_series")
+@query("split_by_series", "with n as (select cast(l_suppkey as varchar) as symbol, count(*) as n from lineitem group by 1), p as (select *, row_number() over (order by md5(symbol || '|minute|7'), symbol) as place, count(*) over () as series from n) select symbol, case when place <= greatest(1, floor(series * 0.8::double)) then 'train' else 'validation' end as part, n from p")
 def _(spark, sf):
     return dataset.split_by_series(views.rows(spark, sf), seed=7).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_by_window")
+@query("split_by_window", f"with {views.DAY_SQL}, p as (select {_K}, row_number() over (order by md5(symbol || '|' || \"interval\" || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '|7'), {_K}) as place, count(*) over () as n from candles) select {_K}, case when place <= greatest(1, floor(n * 0.2::double)) then 'validation' else 'train' end as part from p")
 def _(spark, sf):
     w = views.day(spark, sf).select(*KEYS)
     return dataset.split_by_window(w, seed=7)

@@ -1,7 +1,8 @@
 """Market-data views over the driver's tables, as DataFrames and as SQL.
 
-``ticks``: trades from ``events``; ``hourly``: their 60-minute candles; ``day``: day candles from
-``lineitem``; ``rows``: one candle for each line item. The SQL text of each view is a list of
+``ticks``: trades from ``events``, ten users an instrument; ``hourly``: their 60-minute candles; ``day``: day
+candles from ``lineitem``, a supplier a series; ``rows``: one candle for each line item. Series grow in number
+with the tables. The SQL text of each view is a list of
 common table expressions for the oracle side.
 """
 
@@ -20,13 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def symbol():
+    return F.concat_ws("-", "event_type", F.floor(F.col("user_id") / 10))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, symbol, event_time, event_id, last_price, trade_quantity, volume_traded); cumulative volume resets at 500."""
     e = table(spark, sf_dir, "events")
     q = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("token"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("event_time"), "event_id",
+        F.col("user_id").alias("token"), symbol().alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("event_time"), "event_id",
         F.col("value").alias("last_price"), q.alias("trade_quantity"), (F.sum(q).over(w) % 500).alias("volume_traded"),
     )
 
@@ -42,7 +47,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    trades = t.select(F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")).alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("event_time"), price.alias("last_price"), F.col("l_quantity").alias("volume_delta"), *TIE)
+    trades = t.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("event_time"), price.alias("last_price"), F.col("l_quantity").alias("volume_delta"), *TIE)
     return ticks_to_candles(trades, "day", order=["event_time", *TIE]).select(CANDLE_COLUMNS)
 
 
@@ -62,7 +67,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIE = ", ".join(TIE)
 
 TICKS_SQL = """ticks as (
-    select user_id as token, event_type as symbol, ts as event_time, event_id, value as last_price,
+    select user_id as token, event_type || '-' || cast(floor(user_id / 10) as bigint) as symbol, ts as event_time, event_id, value as last_price,
         coalesce(cast(json_extract_string(props, '$.k') as double), 0.0) as trade_quantity,
         sum(coalesce(cast(json_extract_string(props, '$.k') as double), 0.0)) over (partition by user_id order by ts, event_id rows unbounded preceding) % 500 as volume_traded
     from events)"""
@@ -85,7 +90,7 @@ HOURLY_SQL = DELTAS_SQL + f""",
     from deltas group by 1, 2, 3)"""
 
 DAY_SQL = f"""candles as (
-    select 'S' || (l_suppkey % 8) as symbol, 'day' as "interval", date_trunc('day', l_shipdate)::timestamp + interval 555 minute as ts,
+    select 'S' || l_suppkey as symbol, 'day' as "interval", date_trunc('day', l_shipdate)::timestamp + interval 555 minute as ts,
         first(l_extendedprice / l_quantity order by l_shipdate, {_TIE}) as open, max(l_extendedprice / l_quantity) as high,
         min(l_extendedprice / l_quantity) as low, last(l_extendedprice / l_quantity order by l_shipdate, {_TIE}) as close, sum(l_quantity) as volume
     from lineitem group by 1, 2, 3)"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from candlemill.functions.geometry import with_geometry
 from candlemill.functions.time import normalize_interval, parse_bound, to_market_time
 from candlemill.operators.series import KEYS
 from candlemill.schemas import CANDLE_COLUMNS, GEOMETRY_COLUMNS, require
 
-_FILE = r"^(.+)_((?:\d+)?minute|day)_"
+_FILE = r"^(?:[^=]*=)?(.+)_((?:\d+)?minute|day)_"
 
 
 def series_keys_from_path(name: Column) -> dict[str, Column]:
@@ -19,9 +20,15 @@ def series_keys_from_path(name: Column) -> dict[str, Column]:
 
 
 def read_candles_csv(spark: SparkSession, path: str, intervals: list[str] | None = None) -> DataFrame:
-    """Candles of CSV files; keys from file names, times as market wall clock."""
+    """Candles of CSV files; times as market wall clock.
+
+    Keys come from the file's name, or, where that tells none, from its folder's (a folder a series, as Spark writes).
+    """
     raw = spark.read.schema("timestamp string, open double, high double, low double, close double, volume double").option("header", True).option("enforceSchema", False).csv(path)
-    keyed = raw.withColumns(series_keys_from_path(F.url_decode(F.col("_metadata.file_name"))))
+    places = F.split("_metadata.file_path", "/")
+    name = F.url_decode(F.col("_metadata.file_name"))
+    folder = F.url_decode(F.element_at(places, -2))
+    keyed = raw.withColumns(series_keys_from_path(F.when(name.rlike(_FILE), name).otherwise(folder)))
     if intervals:
         keyed = keyed.filter(F.col("interval").isin(intervals))
     return keyed.select("symbol", "interval", parse_bound(F.col("timestamp")).alias("ts"), "open", "high", "low", "close", "volume")
@@ -36,19 +43,28 @@ def write_candles(candles: DataFrame, path: str, fmt: str = "parquet") -> None:
     out.option("header", True).csv(path) if fmt == "csv" else out.parquet(path)
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Is there a path of this pattern, in whatever file system it names?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_dataset(rows: DataFrame, path: str, expected: list[str]) -> DataFrame:
     """Write series that are not there yet with the expected columns; returns the rows written."""
     spark = rows.sparkSession
     todo = rows
-    try:
+    if exists(spark, f"{path}/interval=*/symbol=*/*.parquet"):
         there = spark.read.parquet(path)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = None
-    if there is not None and set(expected) <= set(there.columns):
-        todo = rows.join(there.select(*KEYS).distinct(), KEYS, "left_anti")
-    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").parquet(path)
+        if set(expected) <= set(there.columns):
+            todo = rows.join(there.select(*KEYS).distinct(), KEYS, "left_anti")
+    todo.repartition(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").parquet(path)
     return todo
 
 
@@ -67,8 +83,7 @@ def upsert_candles(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def load_range(candles: DataFrame, interval: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Candles of one interval between two inclusive bounds; plain filters, so partitions and row groups are pruned."""
-    spark = candles.sparkSession
-    out = candles.filter(F.col("interval") == spark.range(1).select(normalize_interval(F.lit(interval))).first()[0])
+    out = candles.filter(F.col("interval") == normalize_interval(F.lit(interval)))
     if start is not None:
         out = out.filter(F.col("ts") >= parse_bound(F.lit(start)))
     if end is not None:
@@ -108,7 +123,7 @@ def plan_backfill(ranges: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_end", stop).drop("_days")
 
 
-def read_ticks(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
+def read_ticks(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", **options: str) -> DataFrame:
     """A stream of ticks from files (or, with ``fmt``, another Spark source)."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 

@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from candlemill.functions import geometry
+from candlemill.functions.scaling import clip_atr, clip_macd, clip_zscore, scale_oscillator
 from candlemill.functions.time import MINUTES, OPEN_MINUTE
-from candlemill.sources.store import upsert_candles
+from candlemill.operators import recurrence
+from candlemill.operators.features import Features
+from candlemill.operators.recurrence import Scan
+from candlemill.operators.series import KEYS
+from candlemill.sources.store import exists, remove, upsert_candles
+from candlemill.streaming import cursors
+from candlemill.streaming.cursors import popular
+
+#: Series a micro-batch may touch for its keys to be broadcast.
+TOUCHED = 100_000
 
 
 def stream_candles(ticks: DataFrame, interval: str, lateness: str = "10 minutes", price: str = "last_price", volume: str = "volume_delta", time: str = "event_time", tie: str = "event_id") -> DataFrame:
@@ -60,109 +73,104 @@ def stream_volume_delta(ticks: DataFrame, token: str = "token") -> DataFrame:
     return ticks.groupBy(token).transformWithStateInPandas(_Deltas(), schema, "append", "none")
 
 
-class _Indicators(StatefulProcessor):
-    """Averages and a ring of recent closes of the last closed candle.
+class _Cursor(StatefulProcessor):
+    """State of each scan before and after the newest candle of a series.
 
-    A candle that closes moves the state on; the forming candle (the newest time so far) is only
-    evaluated, and evaluated again when it comes anew.
+    A candle of a newer time closes the one before; the newest candle is forming: when it comes again,
+    its values are taken anew from the state before it. Older candles are ignored.
     """
 
-    def __init__(self, ema_period: int, window: int) -> None:
-        self.period, self.window = ema_period, window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "n int, ema double, ring array<double>, ts timestamp, close double")
-
-    def _step(self, n: int, ema: float, ring: list[float], close: float) -> tuple[int, float, list[float]]:
-        n += 1
-        if n <= self.period:
-            ema += close / self.period
-        else:
-            ema += (close - ema) * 2.0 / (self.period + 1)
-        return n, ema, [*ring, close][-self.window :]
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        n, ema, ring, ts, close = self.state.get() if self.state.exists() else (0, 0.0, [], None, None)
-        ring = list(ring)
-        out = []
-        for t, c in zip(part["ts"], part["close"], strict=True):
-            if ts is not None and t < ts:
-                continue
-            if ts is not None and t > ts:
-                n, ema, ring = self._step(n, ema, ring, close)
-            ts, close = t, float(c)
-            m, e, r = self._step(n, ema, ring, close)
-            sma = sum(r) / self.window if len(r) == self.window else None
-            out.append((*key, t, close, e if m >= self.period else None, sma))
-        if ts is not None:
-            self.state.update((n, float(ema), [float(x) for x in ring], ts, close))
-        yield pd.DataFrame(out, columns=["symbol", "interval", "ts", "close", "ema", "sma"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_indicators(candles: DataFrame, ema_period: int = 9, window: int = 20) -> DataFrame:
-    """(symbol, interval, ts, close, ema, sma) for every candle update; ``ts`` must be a timestamp."""
-    schema = "symbol string, interval string, ts timestamp, close double, ema double, sma double"
-    return candles.groupBy("symbol", "interval").transformWithStateInPandas(_Indicators(ema_period, window), schema, "append", "none")
-
-
-class _VolumeZ(StatefulProcessor):
-    """Log volumes of the last rows of a series."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
+    def __init__(self, scans: dict[str, Scan], columns: list[str]) -> None:
+        self.scans, self.columns = scans, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "ring array<double>")
+        self.state = handle.getValueState("state", "ts timestamp, before array<double>, after array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
+        fresh = [x for s in self.scans.values() for x in s.start]
+        ts, before, after = self.state.get() if self.state.exists() else (None, fresh, fresh)
+        before, after = list(before), list(after)
+        # a micro-batch brings few candles of a series
         part = pd.concat(list(rows)).sort_values("ts", kind="stable").reset_index(drop=True)
-        ring = list(self.state.get()[0]) if self.state.exists() else []
-        out = []
-        for v in part["volume"]:
-            x = float(np.log1p(max(v, 0.0)))
-            z = None
-            if len(ring) == self.n:
-                s = float(np.std(ring, ddof=1))
-                z = 0.0 if s == 0 else float(np.clip((x - np.mean(ring)) / s, -3, 3) / 3)
-            out.append(z)
-            ring = [*ring, x][-self.n :]
-        self.state.update((ring,))
-        body = (part["close"] - part["open"]).abs()
-        size = (part["high"] - part["low"]).clip(lower=0)
-        part["log_volume_zscore"] = pd.Series(out, dtype=object)
-        part["body_to_candle_ratio"] = (body / size.where(size != 0) - 0.5).astype(object).where(size != 0, None)
-        yield part[["symbol", "interval", "ts", "body_to_candle_ratio", "log_volume_zscore"]]
+        part = part[part["ts"] >= ts] if ts is not None else part
+        made = {n: [] for n in self.scans}
+        values = {c: part[c].to_numpy(float) for s in self.scans.values() for c in s.columns}
+        for i, t in enumerate(part["ts"]):
+            if ts is None or t > ts:
+                before = after
+            ts, after, at = t, [], 0
+            for n, s in self.scans.items():
+                out, state = s.run({c: values[c][i : i + 1] for c in s.columns}, before[at : at + len(s.start)])
+                at += len(s.start)
+                after += state
+                made[n].append(float(out[0]))
+        if ts is not None:
+            self.state.update((ts, [float(x) for x in before], [float(x) for x in after]))
+        yield part[self.columns].assign(**{n: np.array(v, float) for n, v in made.items()})
 
     def close(self) -> None:
         pass
 
 
-def stream_features(candles: DataFrame, n: int = 5) -> DataFrame:
-    """One feature row for each candle, null in warm-up; state is ``n`` log volumes a series."""
-    schema = "symbol string, interval string, ts timestamp, body_to_candle_ratio double, log_volume_zscore double"
-    return candles.groupBy("symbol", "interval").transformWithStateInPandas(_VolumeZ(n), schema, "append", "none")
-
+def stream_indicators(candles: DataFrame, scans: dict[str, Scan] | None = None) -> DataFrame:
+    """Every candle update with the named indicators (the popular ones, if none are given), null in warm-up.
 
-def stream_upsert(candles: DataFrame, path: str, checkpoint: str):
-    """Start a query that merges candle updates into a Parquet table.
-
-    Versions alternate between two folders named by the batch, so a batch that runs again
-    after a failure writes the same version from the same predecessor.
+    ``ts`` must be a timestamp. The state of a series is the few numbers its scans keep.
+    """
+    scans = popular() if scans is None else scans
+    schema = StructType([*candles.schema.fields, *(StructField(n, DoubleType()) for n in scans)])
+    out = candles.groupBy("symbol", "interval").transformWithStateInPandas(_Cursor(scans, candles.columns), schema, "append", "none")
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in scans})
+
+
+def stream_features(candles: DataFrame, f: Features) -> DataFrame:
+    """Keys and the whole configured feature row of every candle update, null in warm-up."""
+    wanted = f.columns()
+    some = lambda c, value: F.when(F.col(c).isNotNull(), value)
+    close = F.col("close")
+    fixed = {
+        "log_volume_zscore": (cursors.log_volume_zscore(f.zscore_window), lambda c: some(c, clip_zscore(F.col(c)))),
+        "atr": (cursors.atr(f.period), lambda c: some(c, clip_atr(F.col(c), close))),
+        "macd": (recurrence.macd(*f.macd), lambda c: some(c, clip_macd(F.col(c), close))),
+        "adx": (recurrence.adx(f.period, normalize=True), F.col),
+    }
+    by_period = {"rsi": cursors.rsi, "stochastic": cursors.stochastic, "stochastic_rsi": lambda p: cursors.stochastic_rsi(p, p)}
+    scans, ready = {}, {}
+    for c in wanted:
+        kind, period = f.oscillator(c)
+        scan, value = (by_period[kind](period), lambda n: scale_oscillator(F.col(n))) if kind else fixed.get(c, (None, None))
+        if scan is not None:
+            scans[f"_f_{c}"] = scan
+            ready[c] = value(f"_f_{c}")
+    out = geometry.with_geometry(stream_indicators(candles, scans) if scans else candles)
+    ready |= {c: x for c, x in geometry.one_hot().items() if c in wanted}
+    known = set(out.columns)
+    return out.select("symbol", "interval", "ts", *[(ready[c] if c in ready else F.col(c) if c in known else F.lit(None).cast("double")).alias(c) for c in wanted])
+
+
+def stream_upsert(candles: DataFrame, path: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Start a query that merges candle updates into a Parquet table partitioned by series.
+
+    A batch reads and replaces only the series it touches. What it will write is written aside first
+    (``_merged/b<number>``, which readers of the table do not see), so a batch that runs again
+    after a failure publishes the same rows; the two newest of these are kept.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            merged = upsert_candles(spark.read.parquet(f"{path}/v{number - 1}"), batch)
-        else:
-            merged = upsert_candles(batch.limit(0), batch)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return candles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
+        aside = f"{path}/_merged/b{number}"
+        if not exists(spark, f"{aside}/_SUCCESS"):
+            stored = batch.limit(0)
+            if exists(spark, f"{path}/interval=*"):
+                # the batch's types: partition values would be read as what they look like
+                there = spark.read.schema(batch.drop("load_seq").schema).parquet(path)
+                touched = batch.select(*KEYS).distinct()
+                few = touched.limit(TOUCHED + 1).count() <= TOUCHED
+                stored = there.join(F.broadcast(touched) if few else touched, KEYS, "left_semi")
+            columns = batch.drop("load_seq").columns
+            upsert_candles(stored.select(columns), batch).write.mode("overwrite").parquet(aside)
+        ready = spark.read.schema(batch.drop("load_seq").schema).parquet(aside).repartition(*KEYS)
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").parquet(path)
+        remove(spark, f"{path}/_merged/b{number - 2}")
+
+    return candles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger or {"availableNow": True}).start()

@@ -226,3 +226,35 @@ def test_audit_and_instruments(spark):
 def test_softmax(spark):
     s = evaluate.softmax_argmax(spark.createDataFrame([([1.0, 3.0, 3.0],)], "logits array<double>")).first()
     assert s.predicted == 1 and math.isclose(sum(s.probs), 1.0)
+
+
+def test_csv_names_of_files_and_folders(spark, tmp_path):
+    row = "timestamp,open,high,low,close,volume\n2026-05-15T09:15:00+05:30,1,2,0.5,1.5,10\n"
+    (tmp_path / "M&M_5minute_2026_2027.csv").write_text(row)
+    folder = tmp_path / "series=A-B_day_all"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text(row)
+    got = store.read_candles_csv(spark, f"{tmp_path}/*").collect()
+    assert {(r.symbol, r.interval, str(r.ts), r.close) for r in got} == {("M&M", "5minute", "2026-05-15 09:15:00", 1.5), ("A-B", "day", "2026-05-15 09:15:00", 1.5)}
+
+
+def test_datasets_are_written_once(spark, tmp_path):
+    rows = [(s, "day", dt.datetime(2026, 1, d), float(d)) for s in "AB" for d in range(1, 4)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, ts timestamp_ntz, x double")
+    path = str(tmp_path / "data")
+    assert store.write_dataset(df.filter("symbol = 'A'"), path, ["x"]).count() == 3
+    assert {r.symbol for r in store.write_dataset(df, path, ["x"]).collect()} == {"B"}
+    assert spark.read.parquet(path).count() == 6
+
+
+def test_recurrences_do_not_depend_on_batches(spark):
+    """Scans carry their state over Arrow batches of any size, over series, and over nulls."""
+    rows = [(s, "day", dt.datetime(2026, 1, 1) + dt.timedelta(days=i), 10.0 + (i * k) % 7, 9.0 - (i % 3), None if i == 41 else 9.5 + (i * k) % 5, 1.0) for k, s in enumerate("ABC", 2) for i in range(60 if s != "C" else 3)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, ts timestamp_ntz, high double, low double, close double, volume double")
+    specs = {"e": recurrence.ema(5), "h": recurrence.macd_hist(3, 6, 4), "a": recurrence.adx(4), "s": recurrence.ema_slope(4, 2)}
+    seen = []
+    for n in (1, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        seen.append(sorted((r.symbol, r.ts, *(None if r[c] is None else round(r[c], 9) for c in specs)) for r in recurrence.with_recurrences(df, specs).collect()))
+    assert seen[0] == seen[1] == seen[2] and any(r[3] is not None for r in seen[0])
+    assert all(v is None for r in seen[0] if r[0] == "C" for v in r[2:])

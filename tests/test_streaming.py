@@ -5,8 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from candlemill.operators.candles import ticks_to_candles, volume_delta
-from candlemill.operators.recurrence import with_recurrences
-from candlemill.operators import recurrence
+from candlemill.operators import features, indicators
 from candlemill.streaming import live
 
 SCHEMA = "token long, symbol string, event_time timestamp, event_id long, last_price double, volume_traded double, trade_quantity double"
@@ -49,27 +48,76 @@ def test_candles_and_deltas(spark, tmp_path):
     assert got and all(want[(r.symbol, r.ts)] == (r.open, r.high, r.low, r.close, r.volume) for r in got)
 
 
-def test_indicators_and_features(spark, tmp_path):
-    rocksdb(spark)
+CANDLES = "symbol string, interval string, ts timestamp, open double, high double, low double, close double, volume double"
+
+
+def candle_rows(n=90):
     t0 = dt.datetime(2026, 5, 15, 9, 15)
-    rows = [("A", "minute", t0 + dt.timedelta(minutes=i), 100.0 + i % 7, 103.0 + i % 7, 99.0, 100.0 + (i * 5) % 11, 1000.0 + i * i) for i in range(40)]
-    schema = "symbol string, interval string, ts timestamp, open double, high double, low double, close double, volume double"
-    s = feed(spark, tmp_path, rows, schema, 1)
-    got = {r.ts: r for r in drain(live.stream_indicators(s, 9, 20), "inds", tmp_path).collect()}
-    batch = with_recurrences(spark.createDataFrame(rows, schema), {"ema": recurrence.ema(9)}).collect()
+    return [(k, "minute", t0 + dt.timedelta(minutes=i), 100.0 + i % 7, 104.0 + i % 7, 98.0 - i % 3, 100.0 + (i * (5 if k == "A" else 7)) % 11 - i % 2, 1000.0 + i * i % 97) for k in "AB" for i in range(n)]
+
+
+def near(a, b):
+    return (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
+
+
+def test_live_indicators_equal_batch(spark, tmp_path):
+    """Micro-batches carry their state; a candle that comes again is evaluated again; an older one is ignored."""
+    rocksdb(spark)
+    rows = sorted(candle_rows(), key=lambda r: r[2])
+    again = (*rows[119][:6], rows[119][6] + 3, rows[119][7])
+    fed = [*rows[:60], *rows[60:118], (*rows[119][:6], 1.0, 1.0), rows[118], again, rows[3], *rows[120:]]
+    got = drain(live.stream_indicators(feed(spark, tmp_path, fed, CANDLES, 1)), "inds", tmp_path).collect()
+    windows, scans = indicators.popular()
+    final = [*rows[:119], again, *rows[120:]]
+    batch = indicators.add_indicators(spark.createDataFrame(final, CANDLES), windows, scans).collect()
+    last = {(r.symbol, r.ts): r for r in got}
+    assert len(last) == len(final)
     for r in batch:
-        assert (r.ema is None) == (got[r.ts].ema is None)
-        assert r.ema is None or abs(r.ema - got[r.ts].ema) < 1e-9
-    s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    f = {r.ts: r for r in drain(live.stream_features(s, 5), "feats", tmp_path).collect()}
-    assert f[t0].log_volume_zscore is None and all(-1 <= f[r[2]].log_volume_zscore <= 1 for r in rows[5:])
+        for n in (*windows, *scans):
+            assert near(r[n], last[(r.symbol, r.ts)][n]), (r.symbol, r.ts, n)
+
+
+def test_live_indicators_over_micro_batches(spark, tmp_path):
+    """Series = prefix: state carried over batches gives what one pass gives."""
+    rocksdb(spark)
+    rows = sorted(candle_rows(40), key=lambda r: r[2])
+    f = features.Features(["candle_color", "wick_ratios", "log_volume_zscore", "indicators"], rsi_periods=[3], stochastic_periods=[4], stochastic_rsi_periods=[3], period=5, macd=(3, 6))
+    got = []
+    for cut in (rows[:30], rows[30:]):
+        spark.createDataFrame(cut, CANDLES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(CANDLES).parquet(str(tmp_path / "in"))
+        live.stream_features(s, f).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(r.symbol, r.ts): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = features.encode_features(spark.createDataFrame(rows, CANDLES), f, fill=False).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in want:
+        for n in f.columns():
+            assert near(r[n], got[(r.symbol, r.ts)][n]), (r.symbol, r.ts, n)
+    assert got[("A", rows[0][2])].log_volume_zscore is None
+
+
+def test_late_ticks_are_dropped(spark, tmp_path):
+    rocksdb(spark)
+    rows = [(*r, 1.0) for r in tick_rows(200)]
+    schema = SCHEMA + ", volume_delta double"
+    for part in (rows[100:], rows[:60]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = live.stream_candles(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "5minute", "1 minute")
+        s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert got and min(r.ts for r in got) >= rows[100][2] - dt.timedelta(minutes=5)
 
 
 def test_upsert_sink(spark, tmp_path):
-    rows = [("A", "minute", dt.datetime(2026, 5, 15, 9, 15 + i), 1.0, 2.0, 0.5, float(i), 1.0) for i in range(6)]
-    schema = "symbol string, interval string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
-    s = feed(spark, tmp_path, [*rows, (*rows[0][:6], 99.0, 1.0)], schema, 1)
-    q = live.stream_upsert(s, str(tmp_path / "table"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = sorted((tmp_path / "table").iterdir())[-1]
-    assert spark.read.parquet(str(last)).count() == 6
+    """Batches touch their series only; later loads win; two merged batches are kept aside."""
+    schema = "symbol string, interval string, ts timestamp_ntz, open double, high double, low double, close double, volume double, load_seq long"
+    row = lambda s, i, close, seq: (s, "minute", dt.datetime(2026, 5, 15, 9, 15 + i), 1.0, 2.0, 0.5, close, 1.0, seq)
+    batches = [[row("1", i, float(i), 0) for i in range(6)] + [row("B/&", 0, 5.0, 0)], [row("1", 0, 98.0, 1), row("1", 0, 99.0, 2)], [row("1", 7, 7.0, 3)], [row("C", 0, 1.0, 4)]]
+    seen = []
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.stream_upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+        seen.append({p.name for p in (tmp_path / "table").rglob("*.parquet") if "_merged" not in str(p) and "B" in str(p.parent)})
+    got = {(r.symbol, r.ts.minute): r.close for r in spark.read.schema(schema).parquet(str(tmp_path / "table")).collect()}
+    assert got == {**{("1", 15 + i): float(i) for i in range(6)}, ("1", 15): 99.0, ("1", 22): 7.0, ("B/&", 15): 5.0, ("C", 15): 1.0}
+    assert seen[0] == seen[-1] and len(list((tmp_path / "table" / "_merged").iterdir())) == 2
