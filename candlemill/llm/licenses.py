@@ -3,9 +3,12 @@
 Every rolling word ``K``-gram of a text is hashed and joined in Spark with the grams of the
 license templates (a fixed table, so the join is a broadcast by its nature). A match at
 text word i and template word j votes for the diagonal i - j. Votes are added up by text,
-template and diagonal; diagonals at most ``DRIFT`` apart whose hits lie together merge into
-one span (a word put in or left out shifts the diagonal by one); spans are verified
-against the words of the text and scored by the share of template words found in order.
+template and diagonal; neighbouring diagonals whose hits lie together merge into one
+candidate (a word put in or left out shifts the diagonal by one; ``drift`` says how far). A candidate
+needs the few votes that a place with ``SHARE`` of the template's words has even where its changed
+words lie scattered (``least_votes``). It spans the whole template on each of its diagonals, and
+its words, all of them, are compared with the template's: the score is the share of
+template words found in order, and the span ends at the first and the last of them.
 
 Short phrases are templates too, with exact spans: a phrase stands where all of its
 grams vote on one diagonal, and the words there are compared.
@@ -21,6 +24,8 @@ overlapping places all count; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +34,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import ALNUM_WORD, U, blocks, gram_hashes, hash_word, signed, span_hashes, split_words, words
-from candlemill.llm.jobs import row_key
+from candlemill.llm.jobs import keep, row_key
 
 K = 2
-DRIFT = 2
 #: Least share of a template's words that a verified span has, in order.
 SHARE = 0.6
 
+
+def drift(size: int) -> int:
+    """Words that may be put in or left out between two parts of a notice."""
+    return max(2, size // 4)
+
+
+def least_votes(size: int) -> int:
+    """Each of the (1 - SHARE) * size changed words spoils two of a place's size - 1 grams at most."""
+    return max(1, size - (K - 1) - K * math.floor((1 - SHARE) * size))
+
+
 # Phrases (exact) and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # License notices (approximate) and their labels.
@@ -95,20 +110,18 @@ def spans(docs: DataFrame, found: list[tuple[list[bytes], str, bool]], text: str
     """(_k1, _k2, spans): candidate spans of a text, as (template, first word, last word)."""
     spark = docs.sparkSession
     table = spark.createDataFrame(template_grams(found), "gram long, template int, place int").coalesce(1)
-    shape = spark.createDataFrame([(t, len(w), e) for t, (w, _, e) in enumerate(found)], "template int, size int, exact boolean").coalesce(1)
+    shape = spark.createDataFrame([(t, len(w), e, drift(len(w)), least_votes(len(w))) for t, (w, _, e) in enumerate(found)], "template int, size int, exact boolean, drift int, least int").coalesce(1)
     # both sides are fixed tables of this module or of the caller's arguments
     hits = rolling_grams(docs, text).join(F.broadcast(table), "gram").select("_k1", "_k2", "template", (F.col("at") - F.col("place")).alias("diagonal"), "at")
-    votes = (
-        hits.groupBy("_k1", "_k2", "template", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-        .join(F.broadcast(shape), "template")
-    )
+    # a place of equal rows votes once; written down, as both kinds of templates use the votes
+    votes = keep(hits.groupBy("_k1", "_k2", "template", "diagonal").agg(F.size(F.collect_set("at")).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi")).join(F.broadcast(shape), "template"), "votes")
     phrases = votes.filter(F.col("exact") & (F.col("votes") == F.col("size") - (K - 1))).select("_k1", "_k2", "template", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size") - 1).alias("last"))
     side = Window.partitionBy("_k1", "_k2", "template").orderBy("diagonal", "lo")
-    near = (F.col("diagonal") - F.lag("diagonal").over(side) <= DRIFT) & (F.col("lo") - F.lag("hi").over(side) <= F.col("size"))
+    near = (F.col("diagonal") - F.lag("diagonal").over(side) <= F.col("drift")) & (F.col("lo") - F.lag("hi").over(side) <= F.col("size"))
     merged = (
         votes.filter(~F.col("exact")).withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(side))
-        .groupBy("_k1", "_k2", "template", "size", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"))
-        .filter(F.col("votes") + (K - 1) >= SHARE * F.col("size")).select("_k1", "_k2", "template", "first", "last")
+        .groupBy("_k1", "_k2", "template", "size", "least", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("first"), (F.max("diagonal") + F.col("size") - 1).alias("last"))
+        .filter(F.col("votes") >= F.col("least")).select("_k1", "_k2", "template", "first", "last")
     )
     return phrases.unionByName(merged).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
 
@@ -125,6 +138,21 @@ def in_order(have: list[bytes], want: list[bytes]) -> int:
     return row[-1]
 
 
+def place(have: list[bytes], want: list[bytes]) -> tuple[float, int, int]:
+    """(share of the template's words in order, first and last word of ``have`` that it takes)."""
+    if sum((Counter(have) & Counter(want)).values()) < SHARE * len(want):
+        return 0.0, 0, 0
+    most = in_order(have, want)
+    if most < SHARE * len(want):
+        return 0.0, 0, 0
+    lo, hi = 0, len(have)
+    while in_order(have[lo + 1 : hi], want) == most:
+        lo += 1
+    while in_order(have[lo : hi - 1], want) == most:
+        hi -= 1
+    return most / len(want), lo, hi - 1
+
+
 def best(found: list[dict]) -> list[dict]:
     """All phrases, and of notices that overlap the one with the highest score (then the earlier template)."""
     out = [s for s in found if s["exact"]]
@@ -154,12 +182,12 @@ def verified(docs: DataFrame, candidates: DataFrame, found: list[tuple[list[byte
                     good = []
                     for c in cand or ():
                         want, label, exact = found[c["template"]]
-                        s = slice(int(w.first[i]) + max(c["first"], 0), int(w.first[i]) + c["last"] + 1)
+                        begin, end = max(c["first"], 0), min(c["last"], int(w.counts[i]) - 1)
+                        s = slice(int(w.first[i]) + begin, int(w.first[i]) + end + 1)
                         have = [b.data[p:q].tobytes() for p, q in zip(w.start[s], w.end[s], strict=True)]
-                        # a span longer than its template with drift is compared on the template's size
-                        score = float(have == want) if exact else in_order(have[: 4 * len(want)], want) / len(want)
+                        score, lo, hi = (float(have == want), 0, len(have) - 1) if exact else place(have, want)
                         if score >= SHARE:
-                            good.append({"template": c["template"], "label": label, "exact": exact, "first": c["first"], "last": c["last"], "score": score})
+                            good.append({"template": c["template"], "label": label, "exact": exact, "first": begin + lo, "last": begin + hi, "score": score})
                     out.append(best(good))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.rows), pa.array(w.counts, pa.int64()), pa.array(out, kind)], names=["doc_id", "n_words", "spans"])
 

@@ -51,6 +51,41 @@ def test_license_notice_with_changed_words(spark):
     assert rows[1].labels == "mit" and 0.6 <= rows[1].score < 1 and rows[2].labels == ""
 
 
+def brute_notices(text):
+    """Labels and the best score by comparing every place of a text with every notice."""
+    w, names, best = corpus.plain_words(text), set(), 0.0
+    for notice, label in licenses.TEMPLATES.items():
+        t = notice.split()
+        for i in range(len(w)):
+            have = [x.encode() for x in w[i : i + len(t) + 2 * licenses.drift(len(t))]]
+            share = licenses.in_order(have, [x.encode() for x in t]) / len(t)
+            if share >= licenses.SHARE:
+                names, best = names | {label}, max(best, share)
+    return names, best
+
+
+def test_license_notices_against_all_places(spark):
+    """Scattered edits, words put in, and plain texts: what is found is what comparing all places finds."""
+    r = __import__("random").Random(12)
+    mit = next(iter(licenses.TEMPLATES)).split()
+    scattered = [x if i % 4 != 2 else "changed" for i, x in enumerate(mit)]
+    rows = [" ".join(scattered), " ".join([*mit[:10], "three", "new", "words", *mit[10:]]), " ".join(mit[:6]), "under the sea of the", None, ""]
+    notices = list(licenses.TEMPLATES)
+    for k in range(40):
+        w = notices[k % len(notices)].split()
+        for _ in range(r.randint(0, max(1, len(w) // 4))):
+            w[r.randrange(len(w))] = "other"
+        rows.append(f"{corpus.sentence(r, r.randint(0, 30))} {' '.join(w)} {corpus.sentence(r, r.randint(0, 30))}")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for d in licenses.report(licenses.scan(df, phrases={})).collect():
+        names, best = brute_notices(rows[d.doc_id])
+        found = set(filter(None, d.labels.split(",")))
+        # overlapping notices give way to the best one
+        assert found <= names and bool(found) == bool(names) and math.isclose(d.score, best), (rows[d.doc_id], found, names, d.score, best)
+    places = {s.label: (s.first, s.last, s.score) for d in licenses.scan(df).filter("doc_id < 2").collect() for s in d.spans if s.label == "mit"}
+    assert places["mit"] == (0, len(mit) + 2, 1.0)
+
+
 def brute_components(rows, linked):
     parent = {}
 
