@@ -2,10 +2,13 @@
 
     log10 p(w | v) = log10( lam * p(class w | class v) * p(w | class w) + (1 - lam) * p(w) )
 
-Clustered units are the ``heads`` most frequent words; every other word stands in its
-suffix bucket, a unit as well, so unseen words have a class. Unit bigrams are counted
-over all training rows; each exchange round re-aggregates them by class in Spark, and
-the moves are decided on the units x classes sums, whose size is fixed by the model.
+Clustered units are all words of the broadcast table (the ``fast`` most frequent ones) that occur
+``least`` times or more, up to ``heads`` of them if that is given; every other word stands in its suffix bucket, a
+unit as well, so rare and unseen words have a class. Unit bigrams are counted over all training rows and
+written down once. An exchange round sums them by unit and class in Spark, and each
+task moves its units (half of them in a round) to the class that raises the likelihood most while the
+others stand still; the driver sees the class of each unit and the class bigrams only. The
+round with the highest likelihood counts.
 
 Word counts are complete: the ``fast`` most frequent go to the tasks as a table of fixed
 size, all others meet their counts in a shuffle join on the word's 64-bit hash. What
@@ -36,21 +39,19 @@ SMOOTH = 0.1
 
 @dataclass
 class Config:
-    heads: int = 2048
+    heads: int | None = None
+    least: int = 10
     buckets: int = 512
     classes: int = 48
     rounds: int = 8
     fast: int = 1 << 18
     lam: float = 0.95
 
-    @property
-    def units(self) -> int:
-        return 1 + self.heads + self.buckets
-
 
 @dataclass
 class Model:
     config: Config
+    heads: int
     words: Lookup
     counts: np.ndarray
     unit: np.ndarray
@@ -127,6 +128,8 @@ def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray], c: Config) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(heads)
+    clustered = len(heads[0])
+    units = 1 + clustered + c.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, unit = shared.value
@@ -135,13 +138,13 @@ def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray
         def out(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(k), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array((k[s] // c.units).astype(np.int32)), pa.array((k[s] % c.units).astype(np.int32)), pa.array(n[s].astype(np.int64))], names=["u", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((k[s] // units).astype(np.int32)), pa.array((k[s] % units).astype(np.int32)), pa.array(n[s].astype(np.int64))], names=["u", "v", "n"])
 
         for batch in batches:
             for b in blocks(batch.column(0)):
                 w, codes = block_codes(b, c.buckets)
-                prev, seq, _ = with_ends(unit_ids(codes, table, unit, c.heads), w.first)
-                tally.add(prev * c.units + seq)
+                prev, seq, _ = with_ends(unit_ids(codes, table, unit, clustered), w.first)
+                tally.add(prev * units + seq)
                 if (full := tally.take_if_large()) is not None:
                     yield from out(*full)
         yield from out(*tally.merged())
@@ -153,70 +156,94 @@ def _f(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def exchange(bigrams: DataFrame, c: Config) -> tuple[np.ndarray, np.ndarray]:
+def class_sums(bigrams: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
+    """(unit, code, n): how often a unit stands before (code = class) and after (classes + class) each class, and
+    before itself (2 * classes); for unit -1 the class bigrams (class * classes + class)."""
+    shared = bigrams.sparkSession.sparkContext.broadcast(cls)
+    k, width = c.classes, 2 * c.classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        whole = np.zeros(k * k, np.int64)
+        for batch in batches:
+            u, v, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            whole += np.bincount(of[u] * k + of[v], weights=n, minlength=k * k).astype(np.int64)
+            same = u == v
+            code = np.concatenate([u * width + of[v], v * width + k + of[u], u[same] * width + 2 * k])
+            code, back = np.unique(code, return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([n, n, n[same]])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(total)], names=["unit", "code", "n"])
+        some = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), -1, np.int32)), pa.array(some.astype(np.int32)), pa.array(whole[some])], names=["unit", "code", "n"])
+
+    return bigrams.mapInArrow(run, "unit int, code int, n long").groupBy("unit", "code").agg(F.sum("n").alias("n"))
+
+
+def exchange(bigrams: DataFrame, units: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class bigram counts) by exchange rounds over the unit bigrams."""
-    spark = bigrams.sparkSession
-    cls = np.where(np.arange(c.units) == 0, 0, 1 + np.arange(c.units) % (c.classes - 1))
-    own = np.zeros(c.units)
-    for r in bigrams.filter("u = v").select("u", "n").collect():
-        own[r.u] = r.n
-    best = (-np.inf, cls, np.zeros((c.classes, c.classes)))
+    k = c.classes
+    cls = np.where(np.arange(units) == 0, 0, 1 + np.arange(units) % (k - 1))
+    best = (-np.inf, cls, np.zeros((k, k)))
     for step in range(c.rounds + 1):
-        of = spark.createDataFrame(list(enumerate(cls.tolist())), "unit int, c int").coalesce(1)
-        at = lambda col, name: F.broadcast(of.withColumnsRenamed({"unit": col, "c": name}))  # noqa: E731, B023  fixed number of units
-        rows = bigrams.join(at("u", "cu"), "u").join(at("v", "cv"), "v")
-        sums = (
-            rows.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("unit"), F.col("cv").alias("c"), "n"), F.struct(F.lit(1).alias("side"), F.col("v").alias("unit"), F.col("cu").alias("c"), "n"))).alias("s"))
-            .select("s.*").groupBy("side", "unit", "c").agg(F.sum("n").alias("n")).toPandas()
-        )
-        after, before = np.zeros((c.units, c.classes)), np.zeros((c.units, c.classes))
-        for side, m in ((0, after), (1, before)):
-            s = sums[sums.side == side]
-            m[s.unit.to_numpy(), s.c.to_numpy()] = s.n.to_numpy()
-        n = np.zeros((c.classes, c.classes))
-        np.add.at(n, cls, after)
-        left, right = n.sum(axis=1), n.sum(axis=0)
-        gain = _f(n).sum() - _f(left).sum() - _f(right).sum()
+        sums = keep(class_sums(bigrams, cls, c), "sums")
+        n = np.zeros(k * k)
+        for r in sums.filter("unit = -1").collect():
+            n[r.code] = r.n
+        n = n.reshape(k, k)
+        gain = _f(n).sum() - _f(n.sum(axis=1)).sum() - _f(n.sum(axis=0)).sum()
         if gain > best[0]:
-            best = (gain, cls.copy(), n.copy())
+            best = (gain, cls, n)
         if step == c.rounds:
             break
-        cls = moves(cls.copy(), n, after, before, own, c, step)
+        moved = moves(sums.filter((F.col("unit") > 0) & (F.pmod(F.hash("unit") + step, F.lit(2)) == 0)), cls, n, c).toArrow()
+        cls = cls.copy()
+        cls[moved.column("unit").to_numpy()] = moved.column("to").to_numpy()
     return best[1], best[2]
 
 
-def moves(cls: np.ndarray, n: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, c: Config, step: int) -> np.ndarray:
-    """Move every unit in turn to the class that raises the likelihood most."""
-    n = n.copy()
-    order = np.argsort(-after.sum(axis=1), kind="stable")
-    for w in order[order > 0]:
-        o, i, s, a = after[w].copy(), before[w].copy(), own[w], cls[w]
-        if not o.any() and not i.any():
-            continue
-        if step and (w + step) % 2:  # half the units move in a round: their neighbours stand still
-            continue
-        m = n.copy()
-        m[a] -= o
-        m[:, a] -= i
-        m[a, a] += s
-        np.maximum(m, 0, out=m)
-        o[a] -= s
-        i[a] -= s
-        left, right, fm = m.sum(axis=1), m.sum(axis=0), _f(m)
-        rows, cols = _f(m + o) - fm, _f(m + i[:, None]) - fm
-        d = np.arange(c.classes)
-        gain = rows.sum(axis=1) - rows[d, d] + cols.sum(axis=0) - cols[d, d]
-        gain += _f(m[d, d] + o + i + s) - fm[d, d]
-        gain -= _f(left + o.sum() + s) - _f(left) + _f(right + i.sum() + s) - _f(right)
-        gain[0] = -np.inf
-        b = int(gain.argmax())
-        if gain[b] <= gain[a] + 1e-9:
-            continue
-        m[b] += o
-        m[:, b] += i
-        m[b, b] += s
-        n, cls[w] = m, b
-    return cls
+def moves(sums: DataFrame, cls: np.ndarray, n: np.ndarray, c: Config) -> DataFrame:
+    """(unit, to): units that gain by another class, and the class; all others stand still."""
+    shared = sums.sparkSession.sparkContext.broadcast((cls, n))
+    k = c.classes
+    held = sums.groupBy("unit").agg(F.collect_list(F.struct("code", "n")).alias("sums"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, classes = shared.value
+        for batch in batches:
+            for lo in range(0, len(batch), 128):
+                part = batch.slice(lo, 128)
+                unit, lists = part.column(0).to_numpy(), part.column(1)
+                flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                table = np.zeros((len(unit), 2 * k + 1))
+                table[np.repeat(np.arange(len(unit)), size), flat.field("code").to_numpy()] = flat.field("n").to_numpy()
+                to = best_classes(of[unit], table[:, :k], table[:, k : 2 * k], table[:, -1], classes)
+                go = to != of[unit]
+                yield pa.RecordBatch.from_arrays([pa.array(unit[go]), pa.array(to[go].astype(np.int32))], names=["unit", "to"])
+
+    return held.mapInArrow(run, "unit int, to int")
+
+
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, same: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of greatest likelihood for each of some units, alone; its own class where no other is better."""
+    u, d = np.arange(len(own)), np.arange(len(n))
+    m = np.repeat(n[None], len(own), axis=0)
+    m[u, own] -= after
+    m[u, :, own] -= before
+    m[u, own, own] += same
+    np.maximum(m, 0, out=m)
+    o, i = after.copy(), before.copy()
+    o[u, own] -= same
+    i[u, own] -= same
+    # what stands before the unit counts in its class's row wherever the unit goes, and alike for columns
+    left, right, fm = m.sum(axis=2) + i, m.sum(axis=1) + o, _f(m)
+    rows, cols = _f(m + o[:, None, :]) - fm, _f(m + i[:, :, None]) - fm
+    gain = rows.sum(axis=2) - rows[:, d, d] + cols.sum(axis=1) - cols[:, d, d]
+    more_o, more_i = (o.sum(axis=1) + same)[:, None], (i.sum(axis=1) + same)[:, None]
+    gain += _f(m[:, d, d] + o + i + same[:, None]) - fm[:, d, d]
+    gain -= _f(left + more_o) - _f(left) + _f(right + more_i) - _f(right)
+    gain[:, 0] = -np.inf
+    to = gain.argmax(axis=1)
+    return np.where(gain[u, to] > gain[u, own] + 1e-9, to, own)
 
 
 def train(docs: DataFrame, text: str = "text", config: Config | None = None) -> tuple[Model, DataFrame]:
@@ -242,25 +269,26 @@ def train(docs: DataFrame, text: str = "text", config: Config | None = None) ->
     keys, counts = keys[order], counts[order]
     unit = np.zeros(len(keys), np.int32)
     top = np.lexsort((keys, -counts))
-    top = top[keys[top] != U(END)][: c.heads]
+    top = top[(keys[top] != U(END)) & (counts[top] >= c.least)][: c.heads]
     unit[top] = np.arange(1, len(top) + 1)
     bigrams = keep(unit_bigrams(docs, text, (keys[np.sort(top)], unit[np.sort(top)]), c), "bigrams")
-    cls, n = exchange(bigrams, c)
-    # types of a class: its head words, and the words of its suffix buckets
+    heads = len(top)
+    cls, n = exchange(bigrams, 1 + heads + c.buckets, c)
+    # types of a class: its clustered words, and the words of its suffix buckets
     mask = (1 << BUCKET_BITS) - 1
     by_bucket = vocab.filter(F.col("word") != signed(np.array([END], U))[0].item()).groupBy(F.col("word").bitwiseAND(F.lit(mask)).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
     size = np.zeros(c.classes)
     for r in by_bucket:
         if r.b < c.buckets:
-            size[cls[1 + c.heads + r.b]] += r.k
-    np.add.at(size, cls[1 + c.heads + (keys[top] & U(mask)).astype(np.int64)], -1)
+            size[cls[1 + heads + r.b]] += r.k
+    np.add.at(size, cls[1 + heads + (keys[top] & U(mask)).astype(np.int64)], -1)
     np.add.at(size, cls[unit[top]], 1)
     size[0] = 1
     size = np.maximum(size, 0)
     step = (n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * c.classes)
     emit = n.sum(axis=0) + SMOOTH * (size + 1)
     log_step = np.log10(c.lam * step / emit + (1 - c.lam) / (tokens + SMOOTH * (types + 1)))
-    return Model(c, Lookup(keys), counts, unit, cls, log_step, tokens, types, ends), vocab
+    return Model(c, heads, Lookup(keys), counts, unit, cls, log_step, tokens, types, ends), vocab
 
 
 _OUT = "_k1 long, _k2 long, doc_id long, n_tokens long, n_known long, head double, steps double, tail array<long>"
@@ -279,7 +307,7 @@ def walk(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 at = m.words.find(codes)
                 know = at >= 0
                 units = np.where(know, m.unit[np.maximum(at, 0)], 0) if len(m.unit) else np.zeros(len(codes), np.int64)
-                units = np.where(units > 0, units, 1 + m.config.heads + (codes & U((1 << BUCKET_BITS) - 1)).astype(np.int64))
+                units = np.where(units > 0, units, 1 + m.heads + (codes & U((1 << BUCKET_BITS) - 1)).astype(np.int64))
                 prev, seq, starts = with_ends(units, w.first)
                 steps = np.add.reduceat(m.log_step[m.classes[prev], m.classes[seq]], starts)
                 head = np.concatenate([[0.0], np.cumsum(np.where(know, log_count[np.maximum(at, 0)], 0.0))])

@@ -169,13 +169,66 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def check_scores(training, got, texts, model, count, n, v, c):
+    """Scores from the classes alone: transitions and emissions are counted anew, token by token."""
+    import pyarrow as pa
+
+    from candlemill.llm.blocks import blocks
+
+    known = sorted(set(count) - {"\0"} | {w for t in texts.values() for w in corpus.space_words(t)})
+    cls = {"\0": 0}
+    for w in known:
+        b = next(iter(blocks(pa.array([w]))))
+        _, codes = classlm.block_codes(b, c.buckets)
+        cls[w] = int(model.classes[classlm.unit_ids(codes, model.words, model.unit, model.heads)[0]])
+    steps, types = Counter(), Counter(cls[w] for w in count)
+    for d in training.collect():
+        t = ["\0", *corpus.space_words(d.text), "\0"]
+        steps.update((cls[a], cls[b]) for a, b in zip(t, t[1:], strict=False))
+    left, right = Counter(), Counter()
+    for (a, b), k in steps.items():
+        left[a] += k
+        right[b] += k
+    for r in got:
+        t = ["\0", *corpus.space_words(texts[r.doc_id]), "\0"]
+        total = 0.0
+        for a, b in zip(t, t[1:], strict=False):
+            x, y = cls[a], cls[b]
+            step = (steps[x, y] + 0.5) / (left[x] + 0.5 * c.classes)
+            emit = (count[b] + 0.1) / (right[y] + 0.1 * (types[y] + 1))
+            total += math.log10(c.lam * step * emit + (1 - c.lam) * (count[b] + 0.1) / (n + 0.1 * (v + 1)))
+        assert math.isclose(r.score, total, rel_tol=1e-9), (r.doc_id, r.score, total)
+
+
+def test_best_class_is_the_likeliest():
+    """A unit's move against the likelihood of every possible assignment of it."""
+    r = np.random.default_rng(3)
+    k, units = 4, 9
+    big = r.integers(0, 6, (units, units)).astype(float)
+    cls = np.array([0, *(1 + r.integers(0, k - 1, units - 1))])
+
+    def likelihood(cls):
+        n = np.zeros((k, k))
+        np.add.at(n, (cls[:, None], cls[None, :]), big)
+        return sum(classlm._f(n).ravel()) - sum(classlm._f(n.sum(axis=1))) - sum(classlm._f(n.sum(axis=0))), n
+
+    before, n = likelihood(cls)
+    for u in range(1, units):
+        after, pre = np.zeros(k), np.zeros(k)
+        np.add.at(after, cls, big[u])
+        np.add.at(pre, cls, big[:, u])
+        to = classlm.best_classes(cls[[u]], after[None], pre[None], np.array([big[u, u]]), n)[0]
+        value = [likelihood(np.where(np.arange(units) == u, b, cls))[0] for b in range(1, k)]
+        assert math.isclose(value[to - 1], max(value))
+
+
 def test_class_model(docs, empty):
     training = docs.filter(fold("doc_id", 10) != 0)
     count, tokens = Counter(), lambda t: [*corpus.space_words(t), "\0"]
     for d in training.collect():
         count.update(tokens(d.text))
     n, v = sum(count.values()), len(count)
-    small = classlm.Config(heads=40, buckets=16, classes=6, rounds=3, fast=64)
+    small = classlm.Config(least=3, buckets=16, classes=6, rounds=3, fast=64)
     model, vocab = classlm.train(training, config=small)
     got = classlm.score(docs, model, vocab).collect()
     assert (model.tokens, model.types) == (n, v) and len(got) == docs.count()
@@ -185,6 +238,7 @@ def test_class_model(docs, empty):
         assert r.n_tokens == len(t) and r.n_known == sum(count[x] > 0 for x in t) and r.train_tokens == n
         assert math.isclose(r.base_score, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel_tol=1e-9)
         assert r.score < 0
+    check_scores(training, got, texts, model, count, n, v, small)
     none, words = classlm.train(empty, config=small)
     assert classlm.score(docs, none, words).count() == docs.count() and classlm.score(empty, model, vocab).count() == 0
 
@@ -193,7 +247,7 @@ def test_exchange_finds_alternating_classes(spark):
     r = __import__("random").Random(6)
     left, right = [f"l{i}x" for i in range(20)], [f"r{i}y" for i in range(20)]
     rows = [(" ".join(f"{r.choice(left)} {r.choice(right)}" for _ in range(50)),) for _ in range(60)]
-    model, _ = classlm.train(spark.createDataFrame(rows, "text string"), config=classlm.Config(heads=64, buckets=4, classes=5, rounds=8))
+    model, _ = classlm.train(spark.createDataFrame(rows, "text string"), config=classlm.Config(buckets=4, classes=5, rounds=8))
     import pyarrow as pa
 
     from candlemill.llm.blocks import blocks
