@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import SPACE_WORD, Block, Lookup, Tally, U, Words, blocks, mix, signed, span_hashes, words
-from candlemill.llm.jobs import keep, row_key
+from candlemill.llm.jobs import keep, row_key, spread
 
 #: The end of a text, as a word hash.
 END = 0x5A17E6D00D5EED01
@@ -156,40 +156,93 @@ def _f(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def class_sums(bigrams: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
-    """(unit, code, n): how often a unit stands before (code = class) and after (classes + class) each class, and
-    before itself (2 * classes); for unit -1 the class bigrams (class * classes + class)."""
-    shared = bigrams.sparkSession.sparkContext.broadcast(cls)
-    k, width = c.classes, 2 * c.classes + 1
+def packed(bigrams: DataFrame) -> DataFrame:
+    """Bigrams as packed arrays, one row for some thousands of them: rounds read them as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        whole = np.zeros(k * k, np.int64)
         for batch in batches:
-            u, v, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
-            whole += np.bincount(of[u] * k + of[v], weights=n, minlength=k * k).astype(np.int64)
-            same = u == v
-            code = np.concatenate([u * width + of[v], v * width + k + of[u], u[same] * width + 2 * k])
-            code, back = np.unique(code, return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([n, n, n[same]])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(total)], names=["unit", "code", "n"])
-        some = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), -1, np.int32)), pa.array(some.astype(np.int32)), pa.array(whole[some])], names=["unit", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in range(3)], names=["u", "v", "n"])
 
-    return bigrams.mapInArrow(run, "unit int, code int, n long").groupBy("unit", "code").agg(F.sum("n").alias("n"))
+    return bigrams.select(F.col("u").cast("int"), F.col("v").cast("int"), F.col("n").cast("long")).mapInArrow(run, "u binary, v binary, n binary")
+
+
+_SUMS = "unit int, code array<int>, n array<long>"
+
+
+def _sparse(table: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, codes, counts) of a table's units that are not all zero."""
+    some = np.flatnonzero(table.any(axis=1))
+    for lo in range(0, len(some), step):
+        unit = some[lo : lo + step]
+        part = table[unit]
+        row, code = np.nonzero(part)
+        at = pa.array(np.searchsorted(row, np.arange(len(unit) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (code.astype(np.int32), part[row, code].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *lists], names=["unit", "code", "n"])
+
+
+def _dense(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, their rows as a table) of sparse rows."""
+    unit, code, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+    table = np.zeros((len(unit), width))
+    table[np.repeat(np.arange(len(unit)), np.diff(code.offsets.to_numpy())), code.flatten().to_numpy()] = n.flatten().to_numpy()
+    return unit, table
+
+
+def unit_sums(pairs: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
+    """One row a unit: how often it stands before (code = class) and after (classes + class) each class, and
+    before itself (2 * classes). A task's table has a row for each unit, which the model's size bounds."""
+    shared = pairs.sparkSession.sparkContext.broadcast(cls)
+    k, width, units = c.classes, 2 * c.classes + 1, len(cls)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = shared.value, np.zeros(units * width, np.int64)
+        for batch in batches:
+            for x, y, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                u, v, n = np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(y, np.int32).astype(np.int64), np.frombuffer(z, np.int64)
+                np.add.at(table, u * width + of[v], n)
+                np.add.at(table, v * width + k + of[u], n)
+                same = u == v
+                np.add.at(table, u[same] * width + 2 * k, n[same])
+        yield from _sparse(table.reshape(units, width))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((units, width), np.int64)
+        for batch in batches:
+            unit, part = _dense(batch, width)
+            np.add.at(table, unit, part.astype(np.int64))
+        yield from _sparse(table)
+
+    return spread(pairs.mapInArrow(count, _SUMS), None, "unit").mapInArrow(add, _SUMS)
+
+
+def class_bigrams(sums: DataFrame, cls: np.ndarray, c: Config) -> np.ndarray:
+    shared = sums.sparkSession.sparkContext.broadcast(cls)
+    k = c.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((k, k), np.int64)
+        for batch in batches:
+            unit, table = _dense(batch, 2 * k + 1)
+            np.add.at(n, shared.value[unit], table[:, :k].astype(np.int64))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n.ravel()[some])], names=["code", "n"])
+
+    out = np.zeros(k * k)
+    for r in sums.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(k, k)
 
 
 def exchange(bigrams: DataFrame, units: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class bigram counts) by exchange rounds over the unit bigrams."""
     k = c.classes
+    pairs = keep(packed(bigrams), "bigrams")
     cls = np.where(np.arange(units) == 0, 0, 1 + np.arange(units) % (k - 1))
     best = (-np.inf, cls, np.zeros((k, k)))
     for step in range(c.rounds + 1):
-        sums = keep(class_sums(bigrams, cls, c), "sums")
-        n = np.zeros(k * k)
-        for r in sums.filter("unit = -1").collect():
-            n[r.code] = r.n
-        n = n.reshape(k, k)
+        sums = keep(unit_sums(pairs, cls, c), "sums")
+        n = class_bigrams(sums, cls, c)
         gain = _f(n).sum() - _f(n.sum(axis=1)).sum() - _f(n.sum(axis=0)).sum()
         if gain > best[0]:
             best = (gain, cls, n)
@@ -205,22 +258,17 @@ def moves(sums: DataFrame, cls: np.ndarray, n: np.ndarray, c: Config) -> DataFra
     """(unit, to): units that gain by another class, and the class; all others stand still."""
     shared = sums.sparkSession.sparkContext.broadcast((cls, n))
     k = c.classes
-    held = sums.groupBy("unit").agg(F.collect_list(F.struct("code", "n")).alias("sums"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, classes = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 128):
-                part = batch.slice(lo, 128)
-                unit, lists = part.column(0).to_numpy(), part.column(1)
-                flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                table = np.zeros((len(unit), 2 * k + 1))
-                table[np.repeat(np.arange(len(unit)), size), flat.field("code").to_numpy()] = flat.field("n").to_numpy()
+                unit, table = _dense(batch.slice(lo, 128), 2 * k + 1)
                 to = best_classes(of[unit], table[:, :k], table[:, k : 2 * k], table[:, -1], classes)
                 go = to != of[unit]
                 yield pa.RecordBatch.from_arrays([pa.array(unit[go]), pa.array(to[go].astype(np.int32))], names=["unit", "to"])
 
-    return held.mapInArrow(run, "unit int, to int")
+    return sums.mapInArrow(run, "unit int, to int")
 
 
 def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, same: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -271,7 +319,7 @@ def train(docs: DataFrame, text: str = "text", config: Config | None = None) ->
     top = np.lexsort((keys, -counts))
     top = top[(keys[top] != U(END)) & (counts[top] >= c.least)][: c.heads]
     unit[top] = np.arange(1, len(top) + 1)
-    bigrams = keep(unit_bigrams(docs, text, (keys[np.sort(top)], unit[np.sort(top)]), c), "bigrams")
+    bigrams = unit_bigrams(docs, text, (keys[np.sort(top)], unit[np.sort(top)]), c)
     heads = len(top)
     cls, n = exchange(bigrams, 1 + heads + c.buckets, c)
     # types of a class: its clustered words, and the words of its suffix buckets
