@@ -127,18 +127,20 @@ def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray], c: Config) -> DataFrame:
+    """(u, v, n): unit bigrams as packed arrays, one row for some thousands of them, each task's summed; rounds read them as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(heads)
     clustered = len(heads[0])
     units = 1 + clustered + c.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, unit = shared.value
-        table, tally = Lookup(keys), Tally()
+        table, tally = Lookup(keys), Tally(1_000_000)
 
         def out(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 100_000):
-                s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array((k[s] // units).astype(np.int32)), pa.array((k[s] % units).astype(np.int32)), pa.array(n[s].astype(np.int64))], names=["u", "v", "n"])
+            for i in range(0, len(k), 65536):
+                s = slice(i, i + 65536)
+                arrays = ((k[s] // units).astype(np.int32), (k[s] % units).astype(np.int32), n[s].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["u", "v", "n"])
 
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -149,23 +151,13 @@ def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray
                     yield from out(*full)
         yield from out(*tally.merged())
 
-    return docs.select(text).mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "u binary, v binary, n binary")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def packed(bigrams: DataFrame) -> DataFrame:
-    """Bigrams as packed arrays, one row for some thousands of them: rounds read them as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in range(3)], names=["u", "v", "n"])
-
-    return bigrams.select(F.col("u").cast("int"), F.col("v").cast("int"), F.col("n").cast("long")).mapInArrow(run, "u binary, v binary, n binary")
-
-
 _SUMS = "unit int, code array<int>, n array<long>"
 
 
@@ -207,11 +199,11 @@ def unit_sums(pairs: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
         yield from _sparse(table.reshape(units, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((units, width), np.int64)
+        table = np.zeros(units * width, np.int64)
         for batch in batches:
-            unit, part = _dense(batch, width)
-            np.add.at(table, unit, part.astype(np.int64))
-        yield from _sparse(table)
+            unit, code, n = batch.column(0).to_numpy().astype(np.int64), batch.column(1), batch.column(2)
+            np.add.at(table, np.repeat(unit * width, np.diff(code.offsets.to_numpy())) + code.flatten().to_numpy(), n.flatten().to_numpy())
+        yield from _sparse(table.reshape(units, width))
 
     return spread(pairs.mapInArrow(count, _SUMS), None, "unit").mapInArrow(add, _SUMS)
 
@@ -235,9 +227,9 @@ def class_bigrams(sums: DataFrame, cls: np.ndarray, c: Config) -> np.ndarray:
 
 
 def exchange(bigrams: DataFrame, units: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts) by exchange rounds over the unit bigrams."""
+    """(class of each unit, class bigram counts) by exchange rounds over the packed unit bigrams."""
     k = c.classes
-    pairs = keep(packed(bigrams), "bigrams")
+    pairs = keep(bigrams, "bigrams")
     cls = np.where(np.arange(units) == 0, 0, 1 + np.arange(units) % (k - 1))
     best = (-np.inf, cls, np.zeros((k, k)))
     for step in range(c.rounds + 1):
