@@ -161,12 +161,12 @@ def _f(x: np.ndarray) -> np.ndarray:
 _SUMS = "unit int, code array<int>, n array<long>"
 
 
-def _sparse(table: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, codes, counts) of a table's units that are not all zero."""
-    some = np.flatnonzero(table.any(axis=1))
-    for lo in range(0, len(some), step):
-        unit = some[lo : lo + step]
-        part = table[unit]
+def _sparse(table: np.ndarray, units: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, codes, counts) of a table whose rows are these units; rows of zeros are left out."""
+    for lo in range(0, len(table), step):
+        part = table[lo : lo + step]
+        some = part.any(axis=1)
+        part, unit = part[some], units[lo : lo + step][some]
         row, code = np.nonzero(part)
         at = pa.array(np.searchsorted(row, np.arange(len(unit) + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (code.astype(np.int32), part[row, code].astype(np.int64))]
@@ -188,22 +188,29 @@ def unit_sums(pairs: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
     k, width, units = c.classes, 2 * c.classes + 1, len(cls)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table = shared.value, np.zeros(units * width, np.int64)
+        # 32 bits hold what one task has read
+        of, table = shared.value, np.zeros(units * width, np.int32)
         for batch in batches:
             for x, y, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                u, v, n = np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(y, np.int32).astype(np.int64), np.frombuffer(z, np.int64)
+                u, v, n = np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(y, np.int32).astype(np.int64), np.frombuffer(z, np.int64).astype(np.int32)
                 np.add.at(table, u * width + of[v], n)
                 np.add.at(table, v * width + k + of[u], n)
                 same = u == v
                 np.add.at(table, u[same] * width + 2 * k, n[same])
-        yield from _sparse(table.reshape(units, width))
+        yield from _sparse(table.reshape(units, width), np.arange(units))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(units * width, np.int64)
+        # rows for the units of this partition, in order of appearance
+        slot, seen, table = np.full(units, -1), np.zeros(0, np.int64), np.zeros((1024, width), np.int64)
         for batch in batches:
-            unit, code, n = batch.column(0).to_numpy().astype(np.int64), batch.column(1), batch.column(2)
-            np.add.at(table, np.repeat(unit * width, np.diff(code.offsets.to_numpy())) + code.flatten().to_numpy(), n.flatten().to_numpy())
-        yield from _sparse(table.reshape(units, width))
+            unit, code, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            new = np.unique(unit[slot[unit] < 0])
+            slot[new] = len(seen) + np.arange(len(new))
+            seen = np.append(seen, new)
+            while len(table) < len(seen):
+                table = np.concatenate([table, np.zeros_like(table)])
+            np.add.at(table.ravel(), np.repeat(slot[unit] * width, np.diff(code.offsets.to_numpy())) + code.flatten().to_numpy(), n.flatten().to_numpy())
+        yield from _sparse(table[: len(seen)], seen)
 
     return spread(pairs.mapInArrow(count, _SUMS), None, "unit").mapInArrow(add, _SUMS)
 
