@@ -5,7 +5,7 @@ unit's start, so every distinct unit of a batch is encoded once. The distinct un
 concatenated and their suffixes sorted (by eight bytes, which is as far as most pieces
 reach). Every piece's occurrences are a range of the sorted suffixes, found by binary
 search. The occurrences are edges from start to end; they are sorted by position and
-relaxed in that order: an edge holds if its piece may follow the last piece of the
+relaxed in that order, units side by side, cut wherever no edge crosses: an edge holds if its piece may follow the last piece of the
 encoding up to its start, and exactly one edge into each position does. Whether a piece may
 follow another is read off the merge order, so the result is the merge result itself.
 
@@ -261,11 +261,14 @@ class Encoder:
         at = np.concatenate([at, begin[bare]])
         size = np.concatenate([v.size[piece], width[bare]])
         piece = np.concatenate([piece, np.full(int(bare.sum()), unknown)])
+        inside = at + size <= end[np.searchsorted(start, at, side="right") - 1]
+        at, size, piece = at[inside], size[inside], piece[inside]
+        # no merge reaches over a place that no occurrence crosses: units are cut there, which keeps unspaced text short
+        cross = np.bincount(at + 1, minlength=n + 2) - np.bincount(at + size, minlength=n + 2)
+        whole, start = start, np.flatnonzero(np.cumsum(cross)[:n] == 0)
+        end = np.append(start[1:], n)
         # occurrences sorted by their place in the unit; units are relaxed side by side
-        unit = np.searchsorted(start, at, side="right") - 1
-        place = at - start[unit]
-        inside = at + size <= end[unit]
-        at, size, piece, place = at[inside], size[inside], piece[inside], place[inside]
+        place = at - start[np.searchsorted(start, at, side="right") - 1]
         order = np.argsort(place, kind="stable")
         at, size, piece, place = at[order], size[order], piece[order], place[order]
         cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -282,24 +285,23 @@ class Encoder:
             last[a + s], back[a + s] = p, s
         # read back from the units' ends
         spot, who = end.copy(), np.arange(len(start))
-        seen_unit, seen_piece, seen_at = [], [], []
+        seen_piece, seen_at = [], []
         while len(who):
             p, s = last[spot], back[spot]
-            seen_unit.append(who)
             seen_piece.append(p)
             seen_at.append(spot - s)
             spot = spot - s
             go = spot > start[who]
             spot, who = spot[go], who[go]
-        unit, piece, at = np.concatenate(seen_unit), np.concatenate(seen_piece), np.concatenate(seen_at)
+        piece, at = np.concatenate(seen_piece), np.concatenate(seen_at)
         order = np.argsort(at, kind="stable")
-        unit, piece, at = unit[order], piece[order], at[order]
+        piece, at = piece[order], at[order]
         wide = np.append(at[1:], n) - at
         many = np.where(piece == unknown, wide, 1)
         row = np.repeat(np.arange(len(piece)), many)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         out = np.where(piece[row] == unknown, v.byte_ids[data[at[row] + inner]], v.ids[np.minimum(piece[row], unknown - 1)])
-        return out.astype(np.int32), np.searchsorted(unit[row], np.arange(len(start) + 1))
+        return out.astype(np.int32), np.searchsorted(at[row], np.append(whole, n))
 
     def learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encode units not seen before, in chunks."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, pieces, substrings
@@ -337,6 +338,22 @@ def test_pieces(docs, empty):
     for r in got:
         assert r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "")
     assert pieces.summary(empty).count() == 0
+    with pytest.raises(ValueError):
+        pieces.encode(docs.selectExpr("text", "1 ids"))
+
+
+def test_pieces_of_unspaced_texts():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = np.random.default_rng(7)
+    letters = [*"abcdethe é日本のคง\n ", *map(chr, range(0x4E00, 0x4E40))]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 300, 200)]
+    # one unit of over two million bytes, and one that no cut shortens
+    texts += ["".join(rng.choice(list("日本語中国人大小"), 700_000)), "a" * 3000, "ab" * 999]
+    coder = pieces.Encoder(pieces.vocabulary(pieces.default_model()))
+    ids, first = coder.encode(*pieces.unmarked(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == sp.encode(t)
 
 
 def test_embeddings(spark):
