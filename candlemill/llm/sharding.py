@@ -6,9 +6,10 @@ a row belongs to the next owned cell clockwise of its own. Every shard has a roo
 room for, the surplus continues clockwise, in order, to the next arc whose shard
 still has room. So balance is guaranteed, and only surplus rows leave their arc.
 
-DataFrame functions only. Work is one aggregate to ``CELLS`` counts (with map-side
-combine), a fold over the arcs of the ring (a constant number), and one shuffle of
-narrow rows (no texts) to number them inside their cell.
+DataFrame functions only. Texts are read once, to narrow rows (no texts) that are written
+down; then come an aggregate to ``CELLS * SLICES`` counts, a fold over the arcs of the
+ring (a constant number), and one shuffle of narrow rows to number them inside their
+slice of a cell. An id, or a row, that a third of all rows share is many tasks' work.
 
 Defined cases: null id = empty id; null text = no bytes (size 1, crc of nothing);
 equal rows are interchangeable; an empty table gives an empty result; a table with
@@ -22,8 +23,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlemill.llm.jobs import keep
+
 #: Cells of the ring: bounds every table below, whatever the input's size.
 CELLS = 4096
+#: Slices of a cell, by text: rows of one id are numbered in as many tasks.
+SLICES = 16
+#: Copies of a row that are written in one task.
+RUN = 1 << 16
 
 
 def ring(shards: int, virtual_nodes: int = 64) -> list[tuple[int, int]]:
@@ -112,31 +119,25 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     n = len(nodes)
     # cells in ring order from the first node's arc: an arc's cells are then consecutive
     turn = (nodes[-1][0] + 1) % CELLS
-    place = (F.col("_cell") + (CELLS - turn)) % CELLS
+    owners = constants(owner)
+    # equal rows are one row with a count, so copies are numbered without being gathered
     rows = df.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        cell_of(F.col(key)).alias("_cell"),
+    ).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("rows"))
+    groups = keep(
+        rows.withColumns(
+            {"_cell": cell_of(F.col("doc_id")), "_slice": F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SLICES)).cast("int")}
+        ),
+        "groups",
     )
-    by_cell = df.select(cell_of(F.col(key)).alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("rows"))
-    owners = constants(owner)
-    # one row: the counts of all cells, then sums by arc and the cells' starts inside their arc
-    packed = by_cell.agg(F.map_from_entries(F.collect_list(F.struct("_cell", "rows"))).alias("m"))
-    ordered = packed.select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(CELLS - 1)),
-            lambda p: F.struct(
-                ((p + turn) % CELLS).alias("cell"),
-                F.get(owners, (p + turn) % CELLS).alias("arc"),
-                F.coalesce(F.element_at(F.col("m"), ((p + turn) % CELLS).cast("int")), F.lit(0)).cast("long").alias("rows"),
-            ),
-        ).alias("cells")
-    )
-    cells = ordered.select(F.explode("cells").alias("c")).select("c.*")
-    within = Window.partitionBy("arc").orderBy((F.col("cell") + (CELLS - turn)) % CELLS).rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("start", F.coalesce(F.sum("rows").over(within), F.lit(0)).cast("long"))
-    totals = starts.groupBy("arc").agg(F.sum("rows").alias("rows"))
+    by_cell = groups.groupBy("_cell", "_slice").agg(F.sum("rows").alias("rows")).withColumn("arc", F.get(owners, F.col("_cell")))
+    # rows before a slice in its arc: at most CELLS * SLICES rows are summed
+    within = Window.partitionBy("arc").orderBy((F.col("_cell") + (CELLS - turn)) % CELLS, "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_cell.withColumn("start", F.coalesce(F.sum("rows").over(within), F.lit(0)).cast("long"))
+    totals = by_cell.groupBy("arc").agg(F.sum("rows").alias("rows"))
+    # one row: the counts of all arcs
     laid = totals.agg(F.map_from_entries(F.collect_list(F.struct("arc", "rows"))).alias("m")).select(
         F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda a: F.coalesce(F.element_at(F.col("m"), a.cast("int")), F.lit(0)).cast("long")).alias("counts")
     )
@@ -147,13 +148,15 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     surplus = runs.select(
         F.filter("runs", lambda r: r["to"] > r["from"]).alias("stops")
     ).select(F.transform("stops", lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.get(shard, r["arc"]).alias("shard"), r["slot2"].alias("slot"))).alias("stops"))
-    plan = starts.join(F.broadcast(first), "arc").select(F.col("cell").alias("_cell"), "arc", "start", "own", F.col("slot").alias("base"), "pushed")
-    numbered = rows.withColumn(
-        "_in", F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")).cast("long") - 1
-    )
-    # both small sides are bounded: CELLS rows, and one row of at most 2 * nodes runs
-    placed = numbered.join(F.broadcast(plan), "_cell").crossJoin(F.broadcast(surplus))
-    rank = F.col("_in") + F.col("start")
+    plan = starts.join(F.broadcast(first), "arc").select("_cell", "_slice", "arc", "start", "own", F.col("slot").alias("base"), "pushed")
+    before = Window.partitionBy("_cell", "_slice").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
+    numbered = groups.withColumn("_in", F.sum("rows").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows"))
+    # a group of many copies is dealt out in runs before its rows are written singly
+    dealt = numbered.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {RUN}")))).repartition("_cell", "_slice", "doc_id", "_run")
+    single = dealt.withColumn("_n", F.explode(F.sequence(F.col("_run") * RUN, F.least("rows", (F.col("_run") + 1) * RUN) - 1)))
+    # both small sides are bounded: CELLS * SLICES rows, and one row of at most 2 * nodes runs
+    placed = single.join(F.broadcast(plan), ["_cell", "_slice"]).crossJoin(F.broadcast(surplus))
+    rank = F.col("start") + F.col("_in") + F.col("_n")
     queue = F.col("pushed") + rank - F.col("own")
     stop = F.filter("stops", lambda r: (r["from"] <= queue) & (queue < r["to"]))[0]
     stays = rank < F.col("own")
