@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="candlemill-")
