@@ -6,8 +6,8 @@ blocks says how far the window may jump, a suffix-hash bucket picks the patterns
 that may end here, and a direct comparison of the words' bytes decides. Every
 document of a block advances at once (NumPy), so the jumps stay vectorised.
 
-The benchmark is read in parts of a bounded number of windows, each broadcast to
-the tasks. Documents are never shuffled: a row passes the scans of ``AT_ONCE`` parts in one
+Spark cuts the benchmark's items into windows and deals them by hash into parts of a
+bounded number; one part at a time is brought together and broadcast to the tasks. Documents are never shuffled: a row passes the scans of ``AT_ONCE`` parts in one
 task, collecting its hits, and is written down before the next parts.
 
 Defined cases: null or empty texts have no words and no hits; null items have no
@@ -108,20 +108,31 @@ def windows(text: str | None) -> list[tuple[int, bytes]]:
     return [(m, b" ".join(found[i : i + m])) for i in range(len(found) - m + 1)]
 
 
+def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, length, words): the distinct windows of every item; a null id reads ``None``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = windows(t.as_py())
+                for lo in range(0, len(found), 10_000):
+                    length, w = zip(*found[lo : lo + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(w)), pa.array(length, pa.int32()), pa.array(w, pa.binary())], names=["item", "length", "words"])
+
+    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("None")).alias("i"), F.col(text).alias("t"))
+    return named.mapInArrow(run, "item string, length int, words binary").distinct()
+
+
 def parts(benchmark: DataFrame, item: str, text: str, most: int = PART_WINDOWS) -> Iterator[list[Matcher]]:
-    """Matchers of successive benchmark parts, each of about ``most`` windows at most."""
-    by: dict[int, dict[bytes, list[str]]] = {}
-    size = 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        for m, p in windows(row.t):
-            ids = by.setdefault(m, {}).setdefault(p, [])
-            if str(row.i) not in ids:
-                ids.append(str(row.i))
-            size += 1
-        if size >= most:
-            yield [Matcher(m, p) for m, p in by.items()]
-            by, size = {}, 0
-    if by or not size:
+    """Matchers of successive benchmark parts, to which windows are dealt by hash: about ``most`` each, however long an item is."""
+    found = keep(item_windows(benchmark, item, text), "windows")
+    count = max(1, -(-found.count() // most))
+    part = F.pmod(F.xxhash64("words", "item"), F.lit(count))
+    for k in range(count):
+        by: dict[int, dict[bytes, list[str]]] = {}
+        for batch in found.filter(part == k).toArrow().to_batches():
+            for i, m, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(m, {}).setdefault(p, []).append(i)
         yield [Matcher(m, p) for m, p in by.items()]
 
 
