@@ -8,13 +8,16 @@ d(y, q) - d(y, p) <= 2r for y's own pivot p; the half-space form of the same bou
 (d(y, q)^2 - d(y, p)^2) / (2 d(p, q)) <= r, is tighter and is used. Each vector counts its
 links in its home cell alone, so nothing is counted twice, and cells are independent.
 
+Equal vectors are one vector with a weight (as vectors of length one, told by two hashes), so a group of exact
+copies costs what one vector costs, and its rows take the result back afterwards.
+
 A cell's homes are cut into blocks of ``BLOCK`` vectors (a hot cell becomes many tasks); each
 block meets its cell's vectors in a stream of Arrow batches, so a task holds one block.
 Products are taken in single precision and settled in double where they come near the
 threshold. A block returns link counts and a spanning forest of its links, not the links.
 
-Defined cases: null, empty or zero vectors and those with null or non-finite components
-link with nothing; vectors of different lengths do not link; equal vectors link; a
+Defined cases: null, empty or zero vectors, those with null or non-finite components and those
+with a null vec_id link with nothing; vectors of different lengths do not link; equal vectors link; a
 repeated vec_id is a vector of its own in the counts but shares its component; an
 empty table gives no rows; other columns are not read.
 """
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import Forest
@@ -38,26 +41,41 @@ PER_PIVOT = 4096
 MOST_PIVOTS = 1024
 #: Distance of single from double precision products that is settled in double.
 SLACK = 1e-4
+#: A group of equal vectors with more than this share of the rows is matched to them by broadcast; so at most 1,023 are.
+HOT_SHARE = 1 / 1024
 
+#: What names a vector: two hashes of it.
+NAME = ["h1", "h2"]
 
-def unit_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(row, id, dim, v): vectors that can link, scaled to length one in double precision."""
+
+def can_link(key: str, vector: str) -> Column:
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     peak = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(fine & (F.size(v) > 0) & (peak > 0))
+    return F.coalesce(F.col(key).isNotNull() & fine & (F.size(v) > 0) & (peak > 0), F.lit(False))
+
+
+def unit_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, dim, v, h1, h2): rows that can link, scaled to length one in double precision, and the names of their vectors."""
+    rows = df.where(can_link(key, vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     # scaled by the largest component first, so squares neither vanish nor overflow
     top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     scaled = rows.withColumn("v", F.transform("v", lambda x: x / top))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x / norm).alias("v"))
+    one = scaled.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x / norm).alias("v"))
+    return one.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "dim", F.reverse("v"))})
+
+
+def distinct_vectors(units: DataFrame) -> DataFrame:
+    """(h1, h2, id, weight, dim, v): each vector once, with its least id and the number of its rows."""
+    return units.groupBy(*NAME).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("dim").alias("dim"), F.first("v").alias("v"))
 
 
 def pivots(units: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by vector length: the vectors least in hash order, a bounded number of them."""
     n = units.count()
     most = int(min(MOST_PIVOTS, max(1, n // PER_PIVOT)))
-    rows = units.orderBy(F.xxhash64("v"), "id").limit(most).select("dim", "v").collect()
+    rows = units.orderBy(*NAME).limit(most).select("dim", "v").collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(r.dim, []).append(r.v)
@@ -90,24 +108,24 @@ def cells(units: DataFrame, points: dict[int, np.ndarray], radius: float) -> Dat
                     reach[np.arange(len(x)), near] = True
                     row, cell = np.nonzero(reach)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(near[row] == cell), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row))],
-                        names=["dim", "cell", "home", "id", "v"],
+                        [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(near[row] == cell), *(part.column(i).take(pa.array(row)) for i in (0, 3, 4, 5, 2))],
+                        names=["dim", "cell", "home", "id", "weight", "h1", "h2", "v"],
                     )
 
-    return units.select("id", "dim", "v").mapInArrow(run, "dim int, cell int, home boolean, id long, v array<double>")
+    return units.select("id", "dim", "v", "weight", *NAME).mapInArrow(run, "dim int, cell int, home boolean, id long, weight long, h1 long, h2 long, v array<double>")
 
 
 class Links(Forest):
     """Links of one block of home vectors: counts, and a spanning forest over what they touch."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, least: float) -> None:
+    def __init__(self, names: np.ndarray, ids: np.ndarray, v: np.ndarray, least: float) -> None:
         super().__init__(ids)
-        self.v, self.least = v, least
+        self.names, self.v, self.least = names, v, least
         self.single = v.astype(np.float32)
         self.count = np.zeros(len(ids), np.int64)
 
-    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
-        """Count the links of the homes with these vectors, and note what hangs together."""
+    def meet(self, ids: np.ndarray, weight: np.ndarray, v: np.ndarray) -> None:
+        """Count the links of the homes with the rows of these vectors, and note what hangs together."""
         s = self.single @ v.astype(np.float32).T
         i, j = np.nonzero(s >= self.least - SLACK)
         close = np.abs(s[i, j] - self.least) <= SLACK
@@ -115,23 +133,23 @@ class Links(Forest):
             ok = np.ones(len(i), bool)
             ok[close] = np.einsum("nd,nd->n", self.v[i[close]], v[j[close]]) >= self.least
             i, j = i[ok], j[ok]
-        self.count += np.bincount(i, minlength=len(self.ids))
+        np.add.at(self.count, i, weight[j])
         self.hang(i, j, ids)
 
 
-_LINK = "id long, n long, a long, b long"
+_LINK = "h1 long, h2 long, id long, n long, a long, b long"
 
 
 def block_links(copies: DataFrame, cosine: float) -> DataFrame:
-    """Per home vector its number of links (``id``, ``n``), and forest edges (``a``, ``b``)."""
+    """Per home vector its number of links (``h1``, ``h2``, ``id``, ``n``), and forest edges (``a``, ``b``)."""
     sizes = copies.filter("home").groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("homes"))
     blocks = sizes.withColumn("blocks", F.ceil(F.col("homes") / BLOCK).cast("int")).select("dim", "cell", "blocks")
     # at most MOST_PIVOTS cells a vector length
     salted = copies.join(F.broadcast(blocks), ["dim", "cell"])
-    salt = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")
+    salt = F.pmod(F.col("h2"), F.col("blocks")).cast("int")
     out = salted.withColumn("salt", salt).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # in every block: its own homes first, then all of the cell's vectors
-    out = out.select("dim", "cell", "to", (F.col("home") & (F.col("salt") == F.col("to"))).alias("own"), "id", "v")
+    out = out.select("dim", "cell", "to", (F.col("home") & (F.col("salt") == F.col("to"))).alias("own"), "id", "weight", *NAME, "v")
     key = ["dim", "cell", "to"]
     dealt = out.repartition(*key).sortWithinPartitions(*key, F.desc("own"))
 
@@ -139,19 +157,20 @@ def block_links(copies: DataFrame, cosine: float) -> DataFrame:
         now, homes, work = None, [], None
 
         def begin() -> Links:
-            return Links(np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes]), cosine)
+            w = Links(np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes]), np.concatenate([h[3] for h in homes]), cosine)
+            for _, *met in homes:
+                w.meet(*met)
+            return w
 
         def finish(w: Links | None) -> Iterator[pa.RecordBatch]:
             if w is None:
                 return
             a, b = w.forest()
-            n, m = len(w.ids), len(a)
+            counts = [pa.array(x) for x in (*w.names.T, w.ids, w.count - 1)]
+            edges = [pa.array(a), pa.array(b)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(w.ids.tolist() + [None] * m, pa.int64()), pa.array((w.count - 1).tolist() + [None] * m, pa.int64()),
-                    pa.array([None] * n + a.tolist(), pa.int64()), pa.array([None] * n + b.tolist(), pa.int64()),
-                ],
-                names=["id", "n", "a", "b"],
+                [pa.concat_arrays([x, pa.nulls(len(a), pa.int64())]) for x in counts] + [pa.concat_arrays([pa.nulls(len(w.ids), pa.int64()), x]) for x in edges],
+                names=[*NAME, "id", "n", "a", "b"],
             )
 
         for whole in batches:
@@ -162,39 +181,51 @@ def block_links(copies: DataFrame, cosine: float) -> DataFrame:
                 for s, e in zip(cut[:-1], cut[1:], strict=True):
                     if now is None or (keys[s] != now).any():
                         if homes and work is None:
-                            work = closed(begin(), homes)
+                            work = begin()
                         yield from finish(work)
                         now, homes, work = keys[s], [], None
                     own = batch.column(3).slice(s, e - s).to_numpy(zero_copy_only=False)
-                    ids, v = batch.column(4).slice(s, e - s).to_numpy(), matrix(batch.column(5).slice(s, e - s))
+                    ids, weight, h1, h2 = (batch.column(i).slice(s, e - s).to_numpy() for i in range(4, 8))
+                    v = matrix(batch.column(8).slice(s, e - s))
                     if own.any():
-                        homes.append((ids[own], v[own]))
+                        homes.append((np.stack([h1, h2], axis=1)[own], ids[own], weight[own], v[own]))
                     if (~own).any() and homes:
                         if work is None:
-                            work = closed(begin(), homes)
-                        work.meet(ids[~own], v[~own])
+                            work = begin()
+                        work.meet(ids[~own], weight[~own], v[~own])
         if homes and work is None:
-            work = closed(begin(), homes)
+            work = begin()
         yield from finish(work)
 
-    def closed(w: Links, homes: list) -> Links:
-        for ids, v in homes:
-            w.meet(ids, v)
-        return w
-
     return dealt.mapInArrow(run, _LINK)
 
 
+def shared_ids(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b): least ids of different vectors that rows of one id hold."""
+    name = F.struct(*NAME)
+    ties = rows.groupBy("id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).filter("lo <> hi").select(F.col("id").alias("tie"), "lo")
+    of = vectors.select(*NAME, F.col("id").alias("a"))
+    pairs = rows.join(ties, rows.id == ties.tie).select(*NAME, "lo").distinct().join(of, NAME)
+    return pairs.select("a", F.col("lo.h1").alias("h1"), F.col("lo.h2").alias("h2")).join(of.withColumnRenamed("a", "b"), NAME).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs at ``cosine`` or more."""
-    units = keep(unit_vectors(df, key, vector), "units")
-    copies = keep(cells(units, pivots(units), float(np.sqrt(2 - 2 * cosine)) + 1e-9), "cells")
+    units = unit_vectors(df, key, vector)
+    rows = units.select("id", *NAME)
+    vectors = keep(distinct_vectors(units), "vectors")
+    copies = keep(cells(vectors, pivots(vectors), float(np.sqrt(2 - 2 * cosine)) + 1e-9), "cells")
     links = keep(block_links(copies, cosine), "links")
-    counts = links.filter("id is not null").groupBy("id").agg(F.min("n").alias("n"))
-    member = components(links.filter("a is not null").select("a", "b"))
-    rows = df.select(F.col(key).cast("long").alias("vec_id"))
-    return (
-        rows.join(counts, rows.vec_id == counts.id, "left").join(member, rows.vec_id == member.node, "left")
-        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    edges = links.filter("a is not null").select("a", "b").unionByName(shared_ids(rows, vectors))
+    found = links.filter("a is null").select(*NAME, "id", "n").join(components(edges), F.col("id") == F.col("node"), "left")
+    found = keep(found.select(*NAME, F.col("n").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "found")
+    total = vectors.agg(F.sum("weight")).first()[0] or 0
+    hot = F.broadcast(vectors.filter(F.col("weight") > total * HOT_SHARE).select(*NAME))
+    linked = (
+        rows.join(hot, NAME, "left_anti").join(found, NAME)
+        .unionByName(rows.join(F.broadcast(found.join(hot, NAME)), NAME))
+        .select(F.col("id").alias("vec_id"), "n_links", "component_id")
     )
+    alone = F.col(key).cast("long")
+    rest = df.where(~can_link(key, vector)).select(alone.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
