@@ -8,7 +8,7 @@ d(y, q) - d(y, p) <= 2r for y's own pivot p; the half-space form of the same bou
 (d(y, q)^2 - d(y, p)^2) / (2 d(p, q)) <= r, is tighter and is used. Each vector counts its
 links in its home cell alone, so nothing is counted twice, and cells are independent.
 
-Equal vectors are one vector with a weight (as vectors of length one, told by two hashes), so a group of exact
+Equal vectors are one vector with a weight (told by two hashes), so a group of exact
 copies costs what one vector costs, and its rows take the result back afterwards.
 
 A cell's homes are cut into blocks of ``BLOCK`` vectors (a hot cell becomes many tasks); each
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import Forest
@@ -48,27 +48,39 @@ HOT_SHARE = 1 / 1024
 NAME = ["h1", "h2"]
 
 
-def can_link(key: str, vector: str) -> Column:
+def named(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v, h1, h2) of every row."""
     v = F.col(vector).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    peak = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    return F.coalesce(F.col(key).isNotNull() & fine & (F.size(v) > 0) & (peak > 0), F.lit(False))
+    return df.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(7), F.size(v), F.reverse(v)).alias("h2"))
 
 
-def unit_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, dim, v, h1, h2): rows that can link, scaled to length one in double precision, and the names of their vectors."""
-    rows = df.where(can_link(key, vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    # scaled by the largest component first, so squares neither vanish nor overflow
-    top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scaled = rows.withColumn("v", F.transform("v", lambda x: x / top))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    one = scaled.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x / norm).alias("v"))
-    return one.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "dim", F.reverse("v"))})
+def scaled(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Vectors of length one (null where a vector has none that is finite), and their dimensions."""
+    dim = column.value_lengths().to_numpy().astype(np.int64)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    start, some = np.cumsum(dim) - dim, np.flatnonzero(dim > 0)
+    peak, norm = np.zeros(len(dim)), np.zeros(len(dim))
+    with np.errstate(all="ignore"):
+        # by the largest component first, so squares neither vanish nor overflow
+        peak[some] = np.maximum.reduceat(np.abs(x), start[some]) if len(some) else 0
+        x = x / np.repeat(peak, dim)
+        norm[some] = np.sqrt(np.add.reduceat(x * x, start[some])) if len(some) else 0
+        x = x / np.repeat(norm, dim)
+    fine = np.isfinite(peak) & (peak > 0)
+    offsets = np.append(start, len(x)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x), mask=pa.array(~fine)), dim
 
 
-def distinct_vectors(units: DataFrame) -> DataFrame:
-    """(h1, h2, id, weight, dim, v): each vector once, with its least id and the number of its rows."""
-    return units.groupBy(*NAME).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """(h1, h2, id, weight, dim, v): each vector once, with its least id and the number of its rows, scaled to length one in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, dim = scaled(batch.column(4))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(dim.astype(np.int32)), v], names=[*NAME, "id", "weight", "dim", "v"])
+
+    once = rows.groupBy(*NAME).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
+    return once.mapInArrow(run, "h1 long, h2 long, id long, weight long, dim int, v array<double>")
 
 
 def pivots(units: DataFrame) -> dict[int, np.ndarray]:
@@ -203,29 +215,27 @@ def block_links(copies: DataFrame, cosine: float) -> DataFrame:
 def shared_ids(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b): least ids of different vectors that rows of one id hold."""
     name = F.struct(*NAME)
-    ties = rows.groupBy("id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).filter("lo <> hi").select(F.col("id").alias("tie"), "lo")
-    of = vectors.select(*NAME, F.col("id").alias("a"))
-    pairs = rows.join(ties, rows.id == ties.tie).select(*NAME, "lo").distinct().join(of, NAME)
-    return pairs.select("a", F.col("lo.h1").alias("h1"), F.col("lo.h2").alias("h2")).join(of.withColumnRenamed("a", "b"), NAME).select("a", "b")
+    ties = rows.groupBy("id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).filter("lo <> hi").select(F.col("id").alias("tie"))
+    tied = rows.join(ties, rows.id == ties.tie).select("tie", *NAME).distinct().join(vectors.select(*NAME, F.col("id").alias("a")), NAME)
+    return tied.join(tied.groupBy("tie").agg(F.min("a").alias("b")), "tie").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs at ``cosine`` or more."""
-    units = unit_vectors(df, key, vector)
-    rows = units.select("id", *NAME)
-    vectors = keep(distinct_vectors(units), "vectors")
+    raw, missing = named(df, key, vector), F.col("id").isNull() | F.col("v").isNull()
+    rows = raw.where(~missing).select("id", *NAME)
+    every = keep(distinct_vectors(raw.where(~missing)), "vectors")
+    vectors = every.filter("v is not null")
     copies = keep(cells(vectors, pivots(vectors), float(np.sqrt(2 - 2 * cosine)) + 1e-9), "cells")
     links = keep(block_links(copies, cosine), "links")
     edges = links.filter("a is not null").select("a", "b").unionByName(shared_ids(rows, vectors))
     found = links.filter("a is null").select(*NAME, "id", "n").join(components(edges), F.col("id") == F.col("node"), "left")
-    found = keep(found.select(*NAME, F.col("n").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "found")
-    total = vectors.agg(F.sum("weight")).first()[0] or 0
-    hot = F.broadcast(vectors.filter(F.col("weight") > total * HOT_SHARE).select(*NAME))
-    linked = (
-        rows.join(hot, NAME, "left_anti").join(found, NAME)
-        .unionByName(rows.join(F.broadcast(found.join(hot, NAME)), NAME))
-        .select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    )
-    alone = F.col(key).cast("long")
-    rest = df.where(~can_link(key, vector)).select(alone.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    found = keep(found.select(*NAME, "n", F.coalesce("component", "id").alias("component")), "found")
+    total = every.agg(F.sum("weight")).first()[0] or 0
+    hot = every.filter(F.col("weight") > total * HOT_SHARE).select(*NAME).join(found, NAME, "left")
+    # rows of the few hot vectors meet them by broadcast, all others in a shuffle
+    apart = rows.join(F.broadcast(hot.select(*NAME)), NAME, "left_anti").join(found, NAME, "left")
+    both = apart.unionByName(rows.join(F.broadcast(hot), NAME)).select("id", "n", "component")
+    rest = raw.where(missing).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    out = both.unionByName(rest).select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -380,11 +380,13 @@ def test_embeddings(spark):
 def test_embedding_copies_and_repeated_ids(spark):
     """Rows of one vector link with each other; a row counts for itself, rows of one id share their component."""
     x, y, z = [1.0, 0.0], [2.0, 0.0], [0.0, 1.0]
-    rows = [(i, x) for i in range(10, 40)] + [(5, y), (7, z), (7, z), (12, z), (None, x), (None, None), (3, None), (3, [1.0, 1.0])]
+    rows = [(i, x) for i in range(10, 40)] + [(5, y), (7, z), (7, z), (12, z), (None, x), (None, None), (3, None), (3, [1.0, 1.0]), (2, []), (2, [1.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (1, [0.0, 0.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=str)
     want = [(i, 30, 5, False) for i in range(10, 40)] + [(5, 30, 5, True), (7, 2, 5, False), (7, 2, 5, False), (12, 2, 5, False)]
     want += [(None, 0, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True)]
+    # row 2 has no vector once, and ties two others that do not link
+    want += [(2, 0, 2, True), (2, 0, 1, False), (2, 1, 1, False), (1, 1, 1, True)]
     assert got == sorted(want, key=str)
 
 
