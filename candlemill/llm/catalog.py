@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, pieces, sharding, substrings
+from candlemill.llm import chat, classlm, codebooks, contamination, embeddings, jaccard, language, licenses, negatives, pieces, sharding, substrings, tokencounts
 from candlemill.llm.jobs import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -71,10 +86,37 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """Common tables of ``op13``: assignments ``a0`` .. and codebooks ``c0`` .. , each from the one before."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} as (
+            select vec_id, part, min(k) as k, min(d) as d from (
+                select p.vec_id, p.part, c.k, d, min(d) over (partition by p.vec_id, p.part) as least
+                from p join c{r} c using (part), lateral (select list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d)
+            ) where d = least group by vec_id, part
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        m{r} as (
+            select part, k, list(f order by i) as x from (
+                select a.part, a.k, i, cast(floor(sum(p.x[i]) / count(*)) as bigint) as f
+                from a{r} a join p using (vec_id, part), unnest(range(1, len(p.x) + 1)) t(i) group by all
+            ) group by part, k
+        ), c{r + 1} as (select c.part, c.k, coalesce(m.x, c.x) as x from c{r} c left join m{r} m using (part, k))""")
+    return ",".join(steps)
+
 
 ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
@@ -139,4 +181,33 @@ ORACLE: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
             sha256(coalesce(s.x, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from d left join n using (doc_id) left join s using (doc_id)""",
+    "op11_hard_negatives": f"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+            from embeddings where label is not null and vec_id is not null and {_FINITE}
+        ), s as (
+            select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+                list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as score
+            from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+        ), p as (
+            select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as place from s where same) where place <= 5
+        ), n as (
+            select p.anchor_id, p.id as positive_id, p.score as positive_score, s.id as negative_id, s.score as negative_score,
+                row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as place
+            from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+        )
+        select anchor_id, positive_id, cast(place as integer) as rank, negative_id,
+            cast(positive_score as bigint) as positive_score, cast(negative_score as bigint) as negative_score from n where place <= 5""",
+    "op13_vector_codes": f"""
+        with q as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings where {_FINITE}
+        ), p as (
+            select vec_id, part, q[part * (len(q) // 4) + 1 : (part + 1) * (len(q) // 4)] as x from q, unnest(range(4)) t(part)
+        ), f as (select vec_id, row_number() over (order by vec_id) - 1 as k from q qualify k < 256),
+        c0 as (select part, k, x from p join f using (vec_id)), {_codebook_rounds(4)},
+        e as (select vec_id, string_agg(printf('%02x', k), '' order by part) as code, cast(sum(d) as bigint) as error from a4 group by vec_id),
+        h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, k)) as codebooks_sha256 from c4)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+        from q join e using (vec_id), h""",
 }
