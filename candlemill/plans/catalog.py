@@ -388,12 +388,20 @@ def _(spark, sf):
     return rounded(ind.add_indicators(views.day(spark, sf), windows, scans))
 
 
-def drained(spark: SparkSession, rows: DataFrame, name: str, live_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows written down, read as a stream, and what ``live_rows`` makes of it, drained to a table."""
+def drained(spark: SparkSession, rows: DataFrame, name: str, live_rows: Callable[[DataFrame], DataFrame], batch: str | None = None, batches: int = 1) -> DataFrame:
+    """Rows written down, read as a stream, and what ``live_rows`` makes of it, drained to a table.
+
+    With ``batch`` (a number from 0 to ``batches`` - 1 in each row) the rows of a number come in a micro-batch of their own, in order.
+    """
     path = _fresh(spark, name)
-    rows.write.parquet(f"{path}-in")
+    # so many files a micro-batch
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    for k in range(batches):
+        (rows.where(F.col(batch) == k).drop(batch).repartition(files) if batch else rows).write.mode("append").parquet(f"{path}-in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    made = live_rows(spark.readStream.schema(rows.schema).parquet(f"{path}-in"))
+    source = spark.readStream.schema(rows.drop(batch).schema if batch else rows.schema)
+    source = source.option("maxFilesPerTrigger", files) if batch else source
+    made = live_rows(source.parquet(f"{path}-in"))
     made.writeStream.format("parquet").option("checkpointLocation", f"{path}-cp").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(made.schema).parquet(path)
 
@@ -409,6 +417,32 @@ def _(spark, sf):
     return rounded(_stamped(out, "timestamp_ntz", "ts"))
 
 
+#: Micro-batches of the live chain, each a sixth of the ticks' time.
+_BATCHES = 6
+_SLICED = f"sliced as (select *, least({_BATCHES - 1}, (epoch_us(event_time) - (select min(epoch_us(event_time)) from deltas)) * {_BATCHES} // (select greatest(1, max(epoch_us(event_time)) - min(epoch_us(event_time))) from deltas)) as slice, {views.bucket_sql('event_time', 60)} as ts from deltas)"
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """All that the live chain emits for the tick stream in six micro-batches: forming candles, then closed ones."""
+    t = _stamped(views.ticks(spark, sf), "timestamp", "event_time")
+    at = F.unix_micros("event_time")
+    least, most = t.agg(F.min(at), F.max(at)).first()
+    slice_ = F.least(F.lit(_BATCHES - 1), F.expr(f"(unix_micros(event_time) - {least or 0}) * {_BATCHES} div {max(1, (most or 0) - (least or 0))}"))
+    return drained(spark, t.withColumn("slice", slice_), "chain", lambda s: live.live_chain(s, "60minute", "10 minutes"), "slice", _BATCHES)
+
+
+@query("live_chain", f"select * from ({_POPULAR_SQL.replace(views.DAY_SQL, views.HOURLY_SQL)}) where ts + interval 60 minute <= (select max(ts) - interval 10 minute from events)")
+def _(spark, sf):
+    """One query from ticks over volume deltas and candles to indicators: closed candles equal the batch form."""
+    return rounded(_chain(spark, sf).where("closed").drop("closed", "ticks", "end"))
+
+
+@query("live_forming_candles", f"with {views.DELTAS_SQL}, {_SLICED}, seen as (select distinct symbol, ts, slice from sliced) select s.symbol, '60minute' as \"interval\", s.ts, count(*) as ticks, {r6('first(last_price order by event_time, event_id)')} as open, {r6('max(last_price)')} as high, {r6('min(last_price)')} as low, {r6('last(last_price order by event_time, event_id)')} as close, {r6('sum(volume_delta)')} as volume from seen s join sliced t on t.symbol = s.symbol and t.ts = s.ts and t.slice <= s.slice group by s.symbol, s.ts, s.slice")
+def _(spark, sf):
+    """Every micro-batch gives the candles it touched as the ticks so far make them."""
+    return rounded(_chain(spark, sf).where("not closed").select(*KEYS, "ticks", "open", "high", "low", "close", "volume"))
+
+
 @query("stream_volume_delta", f"with {views.DELTAS_SQL} select token, event_id, {r6('volume_delta')} as volume_delta from deltas")
 def _(spark, sf):
     out = drained(spark, _stamped(views.ticks(spark, sf), "timestamp", "event_time"), "deltas", live.stream_volume_delta)

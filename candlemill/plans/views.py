@@ -83,13 +83,13 @@ def bucket_sql(ts: str, minutes: int) -> str:
 
 
 HOURLY_SQL = DELTAS_SQL + f""",
-    candles as (
+    candles as materialized (
     select symbol, '60minute' as "interval", {bucket_sql("event_time", 60)} as ts,
         first(last_price order by event_time, event_id) as open, max(last_price) as high, min(last_price) as low,
         last(last_price order by event_time, event_id) as close, sum(volume_delta) as volume
     from deltas group by 1, 2, 3)"""
 
-DAY_SQL = f"""candles as (
+DAY_SQL = f"""candles as materialized (
     select 'S' || l_suppkey as symbol, 'day' as "interval", date_trunc('day', l_shipdate)::timestamp + interval 555 minute as ts,
         first(l_extendedprice / l_quantity order by l_shipdate, {_TIE}) as open, max(l_extendedprice / l_quantity) as high,
         min(l_extendedprice / l_quantity) as low, last(l_extendedprice / l_quantity order by l_shipdate, {_TIE}) as close, sum(l_quantity) as volume

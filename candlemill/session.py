@@ -53,3 +53,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, p.relative_to(ROOT.parent))
     sc.addPyFile(at)
+    # a stateful stream reads its processor on the driver first, in a worker that is given no files
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [at, sc.environment.get("PYTHONPATH")]))

@@ -12,86 +12,95 @@ from candlemill.operators.recurrence import NAN, Scan, State
 PRICES = ("high", "low", "close")
 
 
-def looking_back(columns: tuple[str, ...], rows: int, value: Callable[..., float]) -> Scan:
-    """``value`` of the last ``rows`` rows of each column; NaN while a series is shorter. The state holds one row less."""
+def looking_back(columns: tuple[str, ...], rows: int, values: Callable[..., np.ndarray]) -> Scan:
+    """``values`` of the last ``rows`` rows of each column; NaN while a series is shorter. The state holds one row less.
+
+    ``values`` takes each column with the rows held before it, and gives a value for every new row.
+    """
     keep = rows - 1
 
     def run(g: dict[str, np.ndarray], s: State) -> tuple[np.ndarray, State]:
         old = int(s[0])
         held = [np.concatenate([s[1 + i * keep : 1 + (i + 1) * keep], g[c]]) for i, c in enumerate(columns)]
         n = len(held[0]) - keep
-        out = np.full(n, np.nan)
-        for i in range(n):
-            if old + i >= keep:
-                out[i] = value(*(h[i : i + rows] for h in held))
+        with np.errstate(all="ignore"):
+            out = np.where(np.arange(n) >= keep - old, values(*held), np.nan)
         tail = [x for h in held for x in h[len(h) - keep :].tolist()]
         return out, [float(min(old + n, keep)), *tail]
 
     return Scan(columns, (0.0, *[NAN] * (keep * len(columns))), run)
 
 
-def _over(a: float, b: float) -> float:
-    return a / b if b != 0 else NAN
+def last(x: np.ndarray, rows: int) -> np.ndarray:
+    """The last ``rows`` values at each row that has so many, a row each."""
+    return np.lib.stride_tricks.sliding_window_view(x, rows)
 
 
-def _strength(close: np.ndarray) -> float:
+def _strength(close: np.ndarray, period: int) -> np.ndarray:
     d = np.diff(close)
-    gain, loss = np.maximum(d, 0).mean(), np.maximum(-d, 0).mean()
-    return 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
+    gain, loss = last(np.maximum(d, 0), period).mean(axis=1), last(np.maximum(-d, 0), period).mean(axis=1)
+    return np.where(loss == 0, 100.0, 100.0 - 100.0 / (1.0 + recurrence.ratio(gain, loss)))
+
+
+def _place(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return recurrence.ratio(x - low, high - low) * 100.0
 
 
 def sma(period: int, column: str = "close") -> Scan:
-    return looking_back((column,), period, lambda x: x.mean())
+    return looking_back((column,), period, lambda x: last(x, period).mean(axis=1))
 
 
 def vwap_distance(period: int) -> Scan:
-    def value(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> float:
-        mean = _over(((h + low + c) / 3 * v).sum(), v.sum())
-        return _over(c[-1] - mean, mean)
+    def values(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+        mean = recurrence.ratio(last((h + low + c) / 3 * v, period).sum(axis=1), last(v, period).sum(axis=1))
+        return recurrence.ratio(c[period - 1 :] - mean, mean)
 
-    return looking_back((*PRICES, "volume"), period, value)
+    return looking_back((*PRICES, "volume"), period, values)
 
 
 def rsi(period: int) -> Scan:
-    return looking_back(("close",), period + 1, _strength)
+    return looking_back(("close",), period + 1, lambda c: _strength(c, period))
 
 
 def bbw(period: int, multiplier: float = 2.0) -> Scan:
-    return looking_back(("close",), period, lambda c: _over(2 * multiplier * c.std(), c.mean()))
+    return looking_back(("close",), period, lambda c: recurrence.ratio(2 * multiplier * last(c, period).std(axis=1), last(c, period).mean(axis=1)))
 
 
 def atr(period: int) -> Scan:
-    def value(h: np.ndarray, low: np.ndarray, c: np.ndarray) -> float:
-        return np.maximum(h[1:] - low[1:], np.maximum(abs(h[1:] - c[:-1]), abs(low[1:] - c[:-1]))).mean()
+    def values(h: np.ndarray, low: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return last(np.maximum(h[1:] - low[1:], np.maximum(abs(h[1:] - c[:-1]), abs(low[1:] - c[:-1]))), period).mean(axis=1)
 
-    return looking_back(PRICES, period + 1, value)
+    return looking_back(PRICES, period + 1, values)
 
 
 def rolling_volatility(period: int) -> Scan:
-    return looking_back(("close",), period + 1, lambda c: np.log(c[1:] / c[:-1]).std() if (c > 0).all() else NAN)
+    def values(c: np.ndarray) -> np.ndarray:
+        return last(np.where((c[1:] > 0) & (c[:-1] > 0), np.log(c[1:] / c[:-1]), np.nan), period).std(axis=1)
+
+    return looking_back(("close",), period + 1, values)
 
 
 def stochastic(period: int) -> Scan:
-    return looking_back(PRICES, period, lambda h, low, c: _over(c[-1] - low.min(), h.max() - low.min()) * 100.0)
+    return looking_back(PRICES, period, lambda h, low, c: _place(c[period - 1 :], last(low, period).min(axis=1), last(h, period).max(axis=1)))
 
 
 def stochastic_rsi(rsi_period: int, stoch_period: int) -> Scan:
-    def value(c: np.ndarray) -> float:
-        s = np.array([_strength(c[i : i + rsi_period + 1]) for i in range(stoch_period)])
-        return _over(s[-1] - s.min(), s.max() - s.min()) * 100.0
+    def values(c: np.ndarray) -> np.ndarray:
+        s = _strength(c, rsi_period)
+        held = last(s, stoch_period)
+        return _place(s[stoch_period - 1 :], held.min(axis=1), held.max(axis=1))
 
-    return looking_back(("close",), rsi_period + stoch_period, value)
+    return looking_back(("close",), rsi_period + stoch_period, values)
 
 
 def log_volume_zscore(n: int) -> Scan:
-    def value(v: np.ndarray) -> float:
-        if (v < 0).any():
-            return NAN
-        x = np.log1p(v)
-        away, s = x[-1] - x[:-1].mean(), x[:-1].std(ddof=1)
-        return away / s if s > 0 else np.sign(away) * np.inf if away else 0.0
-
-    return looking_back(("volume",), n + 1, value)
+    def values(v: np.ndarray) -> np.ndarray:
+        x = np.where(v < 0, np.nan, np.log1p(v))
+        before = last(x[:-1], n)
+        away, s = x[n:] - before.mean(axis=1), before.std(axis=1, ddof=1)
+        return np.where(s > 0, away / s, np.where(away == 0, 0.0, np.sign(away) * np.inf))
+
+    return looking_back(("volume",), n + 1, values)
 
 
 def vwap() -> Scan:

@@ -67,17 +67,125 @@ class _Deltas(StatefulProcessor):
         pass
 
 
-def stream_volume_delta(ticks: DataFrame, token: str = "token") -> DataFrame:
-    """Ticks with ``volume_delta``; ticks are put in order within a micro-batch."""
+def stream_volume_delta(ticks: DataFrame, token: str = "token", time: str | None = None) -> DataFrame:
+    """Ticks with ``volume_delta``; ticks are put in order within a micro-batch.
+
+    ``time`` names the column that has the watermark, if there is one: it passes through to the next stateful
+    operator, and ticks that come too late are dropped here.
+    """
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ticks.schema), "volume_delta double"])
-    return ticks.groupBy(token).transformWithStateInPandas(_Deltas(), schema, "append", "none")
+    mode = ("eventTime", None, time) if time else ("none",)
+    return ticks.groupBy(token).transformWithStateInPandas(_Deltas(), schema, "append", *mode)
+
+
+_CANDLE = ["open", "opened", "open_tie", "high", "low", "close", "closed_at", "close_tie", "volume", "ticks"]
+
+
+class _Forming(StatefulProcessor):
+    """Open candles of a symbol by the time they end (milliseconds); an event-time timer closes each.
+
+    A symbol without open candles has no state.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kinds = ("double", "long", "long", "double", "double", "double", "long", "long", "double", "long")
+        self.candles = handle.getMapState("candles", "end long", ", ".join(f"{n} {k}" for n, k in zip(_CANDLE, kinds, strict=True)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        touched: dict[int, tuple] = {}
+        for part in rows:
+            part = part.sort_values(["at", "tie"], kind="stable")
+            by = part.groupby("end")
+            price, first, newest = by["price"], by.first(), by.last()
+            both = zip(
+                first.index, first["price"], first["at"], first["tie"], price.max(), price.min(), newest["price"], newest["at"], newest["tie"], by["quantity"].sum(), by.size(), strict=True
+            )
+            for end, *own in both:
+                if int(end) not in touched and self.candles.containsKey((int(end),)):
+                    touched[int(end)] = self.candles.getValue((int(end),))
+                touched[int(end)] = merged(touched.get(int(end)), tuple(x.item() if hasattr(x, "item") else x for x in own))
+        for end, candle in touched.items():
+            self.candles.updateValue((end,), candle)
+            self.handle.registerTimer(end)
+        yield self.out(key, touched, False)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        end = int(expiredTimerInfo.getExpiryTimeInMs())
+        candle = self.candles.getValue((end,)) if self.candles.containsKey((end,)) else None
+        if candle is not None:
+            self.candles.removeKey((end,))
+            yield self.out(key, {end: candle}, True)
+
+    def out(self, key: Any, candles: dict[int, tuple], closed: bool) -> pd.DataFrame:
+        rows = [(key[0], end, *(c[_CANDLE.index(n)] for n in ("open", "high", "low", "close", "volume", "ticks")), closed) for end, c in candles.items()]
+        return pd.DataFrame(rows, columns=["symbol", "end", "open", "high", "low", "close", "volume", "ticks", "closed"])
+
+    def close(self) -> None:
+        pass
+
+
+def merged(a: tuple | None, b: tuple) -> tuple:
+    """One candle of two parts of its ticks, by event time and tie."""
+    if a is None:
+        return b
+    a, b = dict(zip(_CANDLE, a, strict=True)), dict(zip(_CANDLE, b, strict=True))
+    first = min((a, b), key=lambda c: (c["opened"], c["open_tie"]))
+    last = max((a, b), key=lambda c: (c["closed_at"], c["close_tie"]))
+    return (
+        *(first[n] for n in ("open", "opened", "open_tie")), max(a["high"], b["high"]), min(a["low"], b["low"]),
+        *(last[n] for n in ("close", "closed_at", "close_tie")), a["volume"] + b["volume"], a["ticks"] + b["ticks"],
+    )
+
+
+def live_candles(ticks: DataFrame, interval: str, price: str = "last_price", volume: str = "volume_delta", time: str = "event_time", tie: str = "event_id") -> DataFrame:
+    """Forming and closed candles: (symbol, interval, ts, open, high, low, close, volume, ticks, closed, end).
+
+    Every micro-batch gives each candle that it touched as it is then (``closed`` false); a candle comes a last
+    time, closed, when the watermark of ``time`` passes its end, and leaves the state. ``ticks`` must carry a watermark.
+    """
+    minutes = MINUTES[interval]
+    if minutes >= 1440:
+        raise ValueError("live candles are intraday")
+    step, shift = minutes * 60_000_000, OPEN_MINUTE % minutes * 60_000_000
+    at = F.unix_micros(time)
+    end = F.expr(f"(unix_micros({time}) - pmod(unix_micros({time}) - {shift}, {step}) + {step}) div 1000")
+    rows = ticks.select("symbol", time, at.alias("at"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"), F.col(volume).cast("double").alias("quantity"), end.alias("end"))
+    schema = "symbol string, end long, open double, high double, low double, close double, volume double, ticks long, closed boolean"
+    out = rows.groupBy("symbol").transformWithStateInPandas(_Forming(), schema, "append", "eventTime")
+    start = F.timestamp_millis(F.col("end") - minutes * 60_000).cast("timestamp_ntz")
+    return out.select("symbol", F.lit(interval).alias("interval"), start.alias("ts"), "open", "high", "low", "close", "volume", "ticks", "closed", "end")
+
+
+def late_ticks(query: StreamingQuery) -> int:
+    """Ticks that a query has dropped because the watermark had passed them (of the progress that is kept)."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def split_state(scans: dict[str, Scan], state: list[float]) -> dict[str, list[float]]:
+    """The state of each scan, from all of them in a row."""
+    out, at = {}, 0
+    for n, s in scans.items():
+        out[n] = list(state[at : at + len(s.start)])
+        at += len(s.start)
+    return out
+
+
+def advanced(scans: dict[str, Scan], columns: dict[str, np.ndarray], state: list[float]) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Values of the next rows of a series by scan, and the state after them."""
+    values, after = {}, []
+    for n, own in split_state(scans, state).items():
+        values[n], now = scans[n].run({c: columns[c] for c in scans[n].columns}, own)
+        after += [float(x) for x in now]
+    return values, after
 
 
 class _Cursor(StatefulProcessor):
     """State of each scan before and after the newest candle of a series.
 
     A candle of a newer time closes the one before; the newest candle is forming: when it comes again,
-    its values are taken anew from the state before it. Older candles are ignored.
+    its values are taken anew from the state before it. Older candles are ignored. Closed candles of a
+    micro-batch pass the scans together.
     """
 
     def __init__(self, scans: dict[str, Scan], columns: list[str]) -> None:
@@ -89,29 +197,99 @@ class _Cursor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fresh = [x for s in self.scans.values() for x in s.start]
         ts, before, after = self.state.get() if self.state.exists() else (None, fresh, fresh)
-        before, after = list(before), list(after)
-        # a micro-batch brings few candles of a series
         part = pd.concat(list(rows)).sort_values("ts", kind="stable").reset_index(drop=True)
-        part = part[part["ts"] >= ts] if ts is not None else part
-        made = {n: [] for n in self.scans}
-        values = {c: part[c].to_numpy(float) for s in self.scans.values() for c in s.columns}
-        for i, t in enumerate(part["ts"]):
-            if ts is None or t > ts:
+        part = part[part["ts"] >= ts].reset_index(drop=True) if ts is not None else part
+        columns = {c: part[c].to_numpy(float) for s in self.scans.values() for c in s.columns}
+        made = {n: np.full(len(part), np.nan) for n in self.scans}
+        time = part["ts"].to_numpy()
+        # runs of rising times: all but the last of a run are closed
+        ends = [*np.flatnonzero(time[1:] <= time[:-1]).tolist(), len(part) - 1]
+        lo = 0
+        for hi in ends if len(part) else []:
+            if ts is None or part["ts"][lo] > ts:
                 before = after
-            ts, after, at = t, [], 0
-            for n, s in self.scans.items():
-                out, state = s.run({c: values[c][i : i + 1] for c in s.columns}, before[at : at + len(s.start)])
-                at += len(s.start)
-                after += state
-                made[n].append(float(out[0]))
+            for a, b in ((lo, hi), (hi, hi + 1)):
+                if a == b:
+                    continue
+                values, after = advanced(self.scans, {c: x[a:b] for c, x in columns.items()}, before)
+                for n, v in values.items():
+                    made[n][a:b] = v
+                if b == hi:
+                    before = after
+            ts, lo = part["ts"][hi], hi + 1
         if ts is not None:
             self.state.update((ts, [float(x) for x in before], [float(x) for x in after]))
-        yield part[self.columns].assign(**{n: np.array(v, float) for n, v in made.items()})
+        yield part[self.columns].assign(**made)
 
     def close(self) -> None:
         pass
 
 
+class _OpenCursor(StatefulProcessor):
+    """Committed state of each scan after the last closed candle of a series, and its open candles.
+
+    Closed candles are committed in time order. Open ones are evaluated one after the other on top of the
+    committed state, which they do not change; an open candle that changes changes the open ones after it.
+    """
+
+    def __init__(self, scans: dict[str, Scan], columns: list[str], idle: int | None) -> None:
+        self.scans, self.columns, self.idle = scans, columns, idle
+        self.needed = list(dict.fromkeys(c for s in scans.values() for c in s.columns))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "last long, committed array<double>, ends array<long>, held array<double>", self.idle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        k = len(self.needed)
+        last, state, ends, held = self.state.get() if self.state.exists() else (-(1 << 62), [x for s in self.scans.values() for x in s.start], [], [])
+        open_ = {e: list(held[i * k : i * k + k]) for i, e in enumerate(ends)}
+        part = pd.concat(list(rows)).sort_values(["end", "closed"], kind="stable")
+        part = part[part["end"] > last].reset_index(drop=True)
+        closed = part[part["closed"]].drop_duplicates("end", keep="last")
+        if len(closed):
+            values, state = advanced(self.scans, {c: closed[c].to_numpy(float) for c in self.needed}, state)
+            last = int(closed["end"].iloc[-1])
+            yield closed[self.columns].assign(**values)
+        open_ = {e: v for e, v in open_.items() if e > last}
+        forming = part[~part["closed"] & (part["end"] > last)].drop_duplicates("end", keep="last")
+        open_ |= {int(e): list(v) for e, v in zip(forming["end"], forming[self.needed].to_numpy(float), strict=True)}
+        ends = sorted(open_)
+        if len(forming):
+            grid = np.array([open_[e] for e in ends])
+            values, _ = advanced(self.scans, {c: grid[:, i] for i, c in enumerate(self.needed)}, state)
+            at = np.searchsorted(ends, forming["end"].to_numpy())
+            yield forming[self.columns].assign(**{n: v[at] for n, v in values.items()})
+        self.state.update((last, [float(x) for x in state], ends, [float(x) for e in ends for x in open_[e]]))
+
+    def close(self) -> None:
+        pass
+
+
+def live_indicators(candles: DataFrame, scans: dict[str, Scan] | None = None, idle: int | None = None) -> DataFrame:
+    """Forming and closed candles (of ``live_candles``) with the named indicators, null in warm-up.
+
+    A closed candle's values are those of the batch form; a forming candle's are what they would be if it closed
+    now. ``idle``: milliseconds after which a series without candles loses its state (never, if not given).
+    """
+    scans = popular() if scans is None else scans
+    schema = StructType([*candles.schema.fields, *(StructField(n, DoubleType()) for n in scans)])
+    mode = "none" if idle is None else "processingTime"
+    out = candles.groupBy(*KEYS).transformWithStateInPandas(_OpenCursor(scans, candles.columns, idle), schema, "append", mode)
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in scans})
+
+
+def live_chain(ticks: DataFrame, interval: str, lateness: str = "10 minutes", scans: dict[str, Scan] | None = None, token: str = "token", time: str = "event_time", idle: int | None = None) -> DataFrame:
+    """Ticks to volume deltas, to forming and closed candles, to their indicators: one query of three stateful operators.
+
+    The query's progress tells, as observed metrics ``ticks``, how many ticks were read and how many had no time,
+    token or price (they are dropped); ``late_ticks`` counts those that came too late.
+    """
+    bad = F.col(time).isNull() | F.col(token).isNull() | F.col("last_price").isNull()
+    seen = ticks.observe("ticks", F.count(F.lit(1)).alias("read"), F.count_if(bad).alias("unusable"))
+    deltas = stream_volume_delta(seen.where(~bad).withWatermark(time, lateness), token, time)
+    return live_indicators(live_candles(deltas, interval, time=time), scans, idle)
+
+
 def stream_indicators(candles: DataFrame, scans: dict[str, Scan] | None = None) -> DataFrame:
     """Every candle update with the named indicators (the popular ones, if none are given), null in warm-up.
 

@@ -121,3 +121,71 @@ def test_upsert_sink(spark, tmp_path):
     got = {(r.symbol, r.ts.minute): r.close for r in spark.read.schema(schema).parquet(str(tmp_path / "table")).collect()}
     assert got == {**{("1", 15 + i): float(i) for i in range(6)}, ("1", 15): 99.0, ("1", 22): 7.0, ("B/&", 15): 5.0, ("C", 15): 1.0}
     assert seen[0] == seen[-1] and len(list((tmp_path / "table" / "_merged").iterdir())) == 2
+
+
+def test_chain_over_micro_batches(spark, tmp_path):
+    """Ticks to indicators in one query of six micro-batches: closed candles are the batch form's, forming ones those
+    of the ticks so far; late ticks and unusable ones are counted and dropped; candles leave the state when they close."""
+    rocksdb(spark)
+    rows = tick_rows(700)
+    far = (9, "S9", rows[-1][2] + dt.timedelta(days=2), 10_000, 1.0, None, 1.0)
+    cuts = [rows[:150], rows[150:310], [*rows[310:400], (0, "S0", None, 9_000, 5.0, None, 1.0)], rows[400:600], [*rows[600:], (1, "S1", rows[5][2], 9_001, 5.0, None, 1.0)], [far]]
+    for part in cuts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    scans = {n: live.popular()[n] for n in ("ma_20", "ema_9", "adx_14", "stochrsi_14_14", "obv")}
+    q = live.live_chain(s, "minute", "1 minute", scans).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    deltas = volume_delta(spark.createDataFrame(rows, SCHEMA), "token", ["event_time", "event_id"]).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    order = ["event_time", "event_id"]
+    batch = ticks_to_candles(deltas, "minute", order=order)
+    windows, recurrences = indicators.popular()
+    want = indicators.add_indicators(batch, {n: w for n, w in windows.items() if n in scans}, {n: w for n, w in recurrences.items() if n in scans})
+    want = {(r.symbol, r.ts): r for r in want.collect()}
+    closed = out.where("closed").collect()
+    assert {(r.symbol, r.ts) for r in closed} == set(want) and len(closed) == len(want)
+    for r in closed:
+        w = want[(r.symbol, r.ts)]
+        assert (r.open, r.high, r.low, r.close, r.volume) == (w.open, w.high, w.low, w.close, w.volume)
+        assert all(near(w[n], r[n]) for n in scans), (r, w)
+    forming = {(r.symbol, r.ts, r.ticks): (r.open, r.high, r.low, r.close, r.volume, r.ma_20) for r in out.where("not closed and symbol <> 'S9'").collect()}
+    seen = 0
+    for n in (150, 310, 400, 600, 700):
+        part = deltas.where(F.col("event_id") < n)
+        newest = ticks_to_candles(part, "minute", order=order).join(part.groupBy("symbol").agg(F.max("event_time").alias("m")), "symbol").where("ts > m - interval 1 minute").collect()
+        ma = {(r.symbol, r.ts): r.ma for r in indicators.sma(20)(ticks_to_candles(part, "minute", order=order), "ma").collect()}
+        for r in newest:
+            same = [v for k, v in forming.items() if k[:2] == (r.symbol, r.ts) and v[:5] == (r.open, r.high, r.low, r.close, r.volume)]
+            assert same and any(near(ma[(r.symbol, r.ts)], v[5]) for v in same), r
+            seen += 1
+    assert seen >= 15
+    progress = q.recentProgress
+    assert len(progress) >= 6 and live.late_ticks(q) == 1
+    assert sum(p["observedMetrics"]["ticks"]["unusable"] for p in progress if p["observedMetrics"]) == 1
+    # one open candle is left: that of the last tick
+    assert progress[-1]["stateOperators"][1]["numRowsTotal"] == 1
+
+
+def test_idle_series_lose_their_state(spark, tmp_path):
+    """A series without candles for a while starts anew. (Processing time never ends by itself: the query is stopped.)"""
+    rocksdb(spark)
+    schema = CANDLES.replace("ts timestamp", "ts timestamp_ntz") + ", ticks long, closed boolean, end long"
+    rows = [(*r, 1, True, 60_000 * (i + 1)) for i, r in enumerate(r for r in candle_rows(30) if r[0] == "A")]
+    put = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(rows[:20])
+    s = live.live_indicators(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), {"ema_9": live.popular()["ema_9"]}, idle=1000)
+    q = s.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for part, n in ((None, 20), (rows[20:], 30)):
+            if part:
+                q.awaitTermination(4)
+                put(part)
+            for _ in range(40):
+                if spark.table("idle").count() == n:
+                    break
+                q.awaitTermination(1)
+        got = {r.end: r.ema_9 for r in spark.table("idle").collect()}
+    finally:
+        q.stop()
+    assert len(got) == 30 and got[60_000 * 20] is not None and got[60_000 * 21] is None and got[60_000 * 30] is not None
