@@ -5,10 +5,10 @@ count is the sum over its pre-tokens of their piece counts.
 
 1. Every distinct pre-token of the corpus is found with its number of occurrences (blocks emit
    their distinct pre-tokens, Spark sums them) and its pieces are counted once, by the library.
-2. Texts are cut again into (text, pre-token, frequency). Frequencies of pre-tokens that make
-   up more than ``HOT_SHARE`` of all occurrences (so at most 1 / HOT_SHARE of them) meet their
-   piece counts in the task, by broadcast; all others are joined by the pre-token itself, so no
-   join key has more than ``HOT_SHARE`` of all occurrences. Products are summed per text.
+2. Texts are cut again into (text, pre-token, frequency). Frequencies of the most frequent
+   pre-tokens, at most ``HOT``, meet their piece counts in the task, by broadcast; all others
+   are joined by the pre-token itself. As at least about ``HOT`` are as frequent, a join key
+   has hardly more than 1 / HOT of all occurrences. Products are summed per text.
 
 Pre-tokens are cut in NumPy over code point classes (letter, number, space, other). A class is
 asked of the library's own pre-tokenizer once for each character a worker meets, so that its
@@ -36,15 +36,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from candlemill.llm.blocks import BLOCK_BYTES, Lookup, signed, span_hashes, text_bytes
 from candlemill.llm.jobs import keep
 
-#: Pre-tokens of a larger share of all occurrences are matched by broadcast: at most 65,535 of them.
-HOT_SHARE = 1 / 65536
+#: Most pre-tokens that are matched by broadcast: a hash and a count of each, 16 MB.
+HOT = 1 << 20
+#: Frequencies are told apart by classes, so many to a doubling.
+CLASSES = 8
 
 LETTER, NUMBER, SPACE, OTHER, SPECIAL, UNKNOWN = range(6)
 
@@ -300,17 +302,29 @@ def distinct_pretokens(docs: DataFrame, text: str, spec: str) -> DataFrame:
     return once.mapInArrow(counted, "token binary, n long, h long, pieces long")
 
 
+def frequent(tokens: DataFrame, most: int) -> Column:
+    """Is a pre-token in one of the highest frequency classes, which hold ``most`` together at most?"""
+    kind = F.floor(F.log2("n") * CLASSES)
+    sizes = sorted(tokens.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("size")).collect(), reverse=True)
+    held, least = 0, None
+    for r in sizes:
+        held += r["size"]
+        if held > most:
+            break
+        least = r["kind"]
+    return F.lit(False) if least is None else kind >= least
+
+
 def count(
-    docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), tokenizer: str | None = None, limit: int = 512, hot_share: float = HOT_SHARE
+    docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), tokenizer: str | None = None, limit: int = 512, hot: int = HOT
 ) -> DataFrame:
     """The carried columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) of every row."""
     spec = definition(tokenizer or default_tokenizer())
     spark = docs.sparkSession
     tokens = keep(distinct_pretokens(docs, text, spec), "pretokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > total * hot_share
-    hot = tokens.where(is_hot).select("h", "pieces").toArrow()
-    keys, pieces = (hot.column(i).to_numpy() for i in range(2))
+    is_hot = frequent(tokens, hot)
+    table = tokens.where(is_hot).select("h", "pieces").toArrow()
+    keys, pieces = (table.column(i).to_numpy() for i in range(2))
     order = np.argsort(keys.view(np.uint64))
     shared = spark.sparkContext.broadcast((spec, keys.view(np.uint64)[order], pieces[order]))
     held = [f"c{i}" for i in range(len(carry))]

@@ -44,8 +44,8 @@ def test_pretokens_like_the_library():
         assert (f, n) == ([p[s:e] for p in pieces for _, (s, e) in ask(p)], len(pieces) - 1), t
 
 
-@pytest.mark.parametrize("share", [tokencounts.HOT_SHARE, 1 / 40, 2.0])
-def test_token_counts(spark, share):
+@pytest.mark.parametrize("hot", [tokencounts.HOT, 40, 0])
+def test_token_counts(spark, hot):
     """All pre-tokens by broadcast, some, and none."""
     r = random.Random(5)
     texts = [t for _, t, *_ in corpus.rows()]
@@ -53,7 +53,7 @@ def test_token_counts(spark, share):
     texts += ["".join(r.choice("ab é!\n9'") for _ in range(50)) for _ in range(50)]
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(3, texts[3], "x", "y"), (None, "no id", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token string, n string").repartition(5)
-    got = tokencounts.count(df, carry=["doc_id", "token", "n"], hot_share=share)
+    got = tokencounts.count(df, carry=["doc_id", "token", "n"], hot=hot)
     assert got.columns == ["doc_id", "token", "n", "n_bytes", "n_tokens", "over_limit"]
     want = multiset((i, a, b, len((t or "").encode()), library_count(t), library_count(t) > 512) for i, t, a, b in rows)
     assert multiset(got.collect()) == want
