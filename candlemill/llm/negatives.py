@@ -270,8 +270,8 @@ def search(rows: DataFrame, anchors: DataFrame, blocks: int, length: int, same:
     windows = [("rank", "array<int>"), ("low", "array<long>"), ("high", "array<long>")]
     sent = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "h", "lab", "q", *void, *[n for n, _ in windows])
     dealt = own.select("*", *[F.lit(None).cast(t).alias(n) for n, t in windows]).unionByName(sent)
-    # more partitions than blocks, so that few share one; in each block its rows come first, anchors of a label together
-    dealt = dealt.repartition(4 * blocks, "block").sortWithinPartitions("block", "kind", "lab")
+    # a block a task; its rows come first, then anchors, those of a label together
+    dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "lab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = None, [], None
