@@ -311,7 +311,8 @@ def marked(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
 
 def repeated(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     """(_k1, _k2, at): ranges [from, to) of window starts of each text whose window occurs again."""
-    return marked(docs, text, rule).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("from", "to")).alias("at"))
+    # equal rows share their key and bring the same ranges: a set, so that their number does not count
+    return marked(docs, text, rule).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("from", "to")).alias("at"))
 
 
 def cut_rows(docs: DataFrame, marks: DataFrame, text: str, rule: Rule, schema: str | StructType, columns: list[str], make: Callable) -> DataFrame:
