@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -126,31 +126,43 @@ def spans(docs: DataFrame, found: list[tuple[list[bytes], str, bool]], text: str
     return phrases.unionByName(merged).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
 
 
-def in_order(have: list[bytes], want: list[bytes]) -> int:
-    """Longest common subsequence of two short word lists."""
-    row = [0] * (len(want) + 1)
+def in_step(have: Iterable[bytes], want: Sequence[bytes]) -> Iterator[int]:
+    """After each word of ``have``: the longest common subsequence of the words so far with ``want``.
+
+    The row of the usual table is kept as its steps, a bit for each word of ``want``, so a word costs one addition.
+    """
+    places: dict[bytes, int] = {}
+    for j, y in enumerate(want):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(want)) - 1
+    flat, n = full, 0
     for x in have:
-        last = 0
-        for j, y in enumerate(want):
-            keep = row[j + 1]
-            row[j + 1] = last + 1 if x == y else max(row[j + 1], row[j])
-            last = keep
-    return row[-1]
+        hit = flat & places.get(x, 0)
+        if hit:
+            flat = ((flat + hit) | (flat - hit)) & full
+            n = len(want) - flat.bit_count()
+        yield n
+
+
+def in_order(have: Sequence[bytes], want: Sequence[bytes]) -> int:
+    """Longest common subsequence of two word lists."""
+    n = 0
+    for n in in_step(have, want):  # noqa: B007
+        pass
+    return n
 
 
 def place(have: list[bytes], want: list[bytes]) -> tuple[float, int, int]:
-    """(share of the template's words in order, first and last word of ``have`` that it takes)."""
+    """(share of the template's words in order, first and last word of ``have`` that it takes): three passes over ``have``."""
     if sum((Counter(have) & Counter(want)).values()) < SHARE * len(want):
         return 0.0, 0, 0
     most = in_order(have, want)
     if most < SHARE * len(want):
         return 0.0, 0, 0
-    lo, hi = 0, len(have)
-    while in_order(have[lo + 1 : hi], want) == most:
-        lo += 1
-    while in_order(have[lo : hi - 1], want) == most:
-        hi -= 1
-    return most / len(want), lo, hi - 1
+    # the latest first word, then the earliest last one
+    lo = len(have) - 1 - next(k for k, n in enumerate(in_step(reversed(have), want[::-1])) if n == most)
+    hi = lo + next(k for k, n in enumerate(in_step(have[lo:], want)) if n == most)
+    return most / len(want), lo, hi
 
 
 def best(found: list[dict]) -> list[dict]:

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from candlemill.llm import chat, classlm, contamination, embeddings, jaccard, language, licenses, pieces, substrings
 from candlemill.llm.jobs import components, fold
@@ -460,3 +462,36 @@ def test_contamination(spark, docs, empty, monkeypatch):
 def test_fold(spark):
     rows = spark.range(50).withColumnRenamed("id", "doc_id")
     assert [r[0] for r in rows.select(fold("doc_id", 10)).collect()] == [zlib.crc32(str(i).encode()) % 10 for i in range(50)]
+
+
+def test_long_merged_spans(spark):
+    """Two hundred thousand words that keep hitting a notice: linear work, and the ends of the plain definition."""
+    text = "under the " * 100_000 + "mit license"
+    began = time.time()
+    (row,) = licenses.report(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert row.n_words == 200_002 and time.time() - began < 60
+    r = __import__("random").Random(2)
+    for _ in range(500):
+        want, have = ([r.choice("abcdef").encode() for _ in range(r.randint(1, n))] for n in (9, 25))
+        score, lo, hi = licenses.place(have, want)
+        most = licenses.in_order(have, want)
+        if most < licenses.SHARE * len(want):
+            assert score == 0
+            continue
+        inside = [(-i, j) for i in range(len(have)) for j in range(i, len(have)) if licenses.in_order(have[i : j + 1], want) == most]
+        assert (score, -lo, hi) == (most / len(want), *min(inside))
+
+
+def test_many_equal_rows(spark):
+    """Twenty thousand rows of one id and text, and of a null id, cost what as many different ids cost."""
+    r = __import__("random").Random(7)
+    text = corpus.sentence(r, 900)
+    n = 20_000
+    took = []
+    for key in ("cast(null as long)", "id", "7L"):
+        df = spark.range(n).selectExpr(f"{key} as doc_id").withColumn("text", F.lit(text)).repartition(8)
+        began = time.time()
+        rows = substrings.summary(df).groupBy("n_removed", "n_spans").count().collect()
+        took.append(time.time() - began)
+        assert [tuple(x) for x in rows] == [(len(text), 1, n)]
+    assert took[2] < 3 * took[1] + 20
