@@ -64,6 +64,21 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` of nine suppliers in ten as one series, ``ONE``: nine tenths of the table in one series, a second a row of a day."""
+    t = table(spark, sf_dir, "lineitem")
+    name = F.when(F.col("l_suppkey") % 10 == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).otherwise("ONE")
+    o = F.col("l_extendedprice") / F.col("l_quantity")
+    c = o * (1 + F.col("l_tax") - F.col("l_discount"))
+    named = t.withColumns({"symbol": name, "o": o, "c": c})
+    second = F.row_number().over(Window.partitionBy("symbol", "l_shipdate").orderBy(*TIE))
+    return named.select(
+        "symbol", F.lit("minute").alias("interval"), (F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)).alias("ts"), F.col("o").alias("open"),
+        (F.greatest("o", "c") + (F.col("l_partkey") % 7) * 0.01 * F.col("o")).alias("high"), (F.least("o", "c") - (F.col("l_suppkey") % 5) * 0.02 * F.col("o")).alias("low"),
+        F.col("c").alias("close"), F.col("l_quantity").alias("volume"),
+    )
+
+
 _TIE = ", ".join(TIE)
 
 TICKS_SQL = """ticks as (
@@ -102,3 +117,11 @@ ROWS_SQL = f"""line_rows as (
     select cast(l_suppkey as varchar) as symbol, 'minute' as "interval", l_shipdate + to_seconds(s) as ts, o as open,
         greatest(o, c) + (l_partkey % 7) * 0.01::double * o as high, least(o, c) - (l_suppkey % 5) * 0.02::double * o as low, c as close, l_quantity as volume
     from line_rows)"""
+
+LONG_SQL = f"""named_rows as (
+    select *, case when l_suppkey % 10 = 0 then 'S' || l_suppkey else 'ONE' end as symbol, l_extendedprice / l_quantity as o, l_extendedprice / l_quantity * (1 + l_tax - l_discount) as c from lineitem),
+    long_rows as (select *, row_number() over (partition by symbol, l_shipdate order by {_TIE}) as s from named_rows),
+    candles as materialized (
+    select symbol, 'minute' as "interval", l_shipdate + to_seconds(s) as ts, o as open,
+        greatest(o, c) + (l_partkey % 7) * 0.01::double * o as high, least(o, c) - (l_suppkey % 5) * 0.02::double * o as low, c as close, l_quantity as volume
+    from long_rows)"""
