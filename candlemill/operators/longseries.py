@@ -8,7 +8,7 @@ state comes in, so each chunk first returns its map (the scan itself, run from n
 state), the maps of a series are folded in order, a few numbers a chunk, and each chunk then runs the scan
 from the state it begins with. ``adx`` composes two of these: Wilder sums give DX, and DX, counted where it is
 not skipped, gives the average. ``prefix_sum``, ``vwap`` and ``obv`` need no Python: chunk totals, their running
-sums, and local sums.
+sums, and local sums. ``triple_barrier`` finds first touches in chunks that see as many rows ahead as the horizon.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from candlemill.operators import recurrence
+from candlemill.operators.labels import LABELS, Barriers
 from candlemill.operators.recurrence import NAN, Scan, State, advance, before, ratio
 from candlemill.operators.series import KEYS, halo, number_rows
 
@@ -258,3 +259,69 @@ def obv(candles: DataFrame, name: str, size: int = SIZE, unit: str = "month") ->
     moved = rows.withColumn("_signed", signed).where("core").drop("chunk", "core")
     out = prefix_sum(moved, {name: F.col("_signed")}, size, unit).drop("_signed")
     return out.withColumn(name, F.when(F.col("rn") > 0, F.col(name)))
+
+
+def first_reached(x: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """How many rows after each row ``x`` first is ``least`` or more; ``most`` + 1 if not within ``most`` rows.
+
+    Running maxima over 1, 2, 4, ... rows; a row leaps over the longest stretch that stays below, then over
+    shorter ones, so the work is rows times the logarithm of ``most``, whatever the data.
+    """
+    n = len(least)
+    padded_ = np.concatenate([x, np.full(most + 1, -np.inf)])
+    levels = [padded_]
+    while 2 ** len(levels) <= most:
+        step = 2 ** (len(levels) - 1)
+        top = levels[-1]
+        levels.append(np.maximum(top[:-step], top[step:]))
+    at = np.arange(n) + 1
+    left = np.full(n, most)
+    for k in range(len(levels) - 1, -1, -1):
+        step = 2**k
+        # a level is taken twice at most: ``most`` need not be a power of two
+        for _ in range(2 if k == len(levels) - 1 else 1):
+            leap = (left >= step) & (levels[k][np.minimum(at, len(levels[k]) - 1)] < least)
+            at, left = at + leap * step, left - leap * step
+    return at - np.arange(n)
+
+
+def sides(high: np.ndarray, low: np.ndarray, close: np.ndarray, b: Barriers) -> np.ndarray:
+    """Label -1, 0, 1 of every row by its first touch, NaN where there is none; prices that are missing touch nothing."""
+    n, h = len(close), b.horizon
+    some = ~np.isnan(close)
+    up = first_reached(np.where(np.isnan(high), -np.inf, high), np.where(some, close * (1 + b.upper / 100), np.inf), h)
+    down = first_reached(np.where(np.isnan(low), -np.inf, -low), np.where(some, -(close * (1 - b.lower / 100)), np.inf), h)
+    out = np.full(n, np.nan)
+    there = np.arange(n) + h < n
+    if b.vertical == "neutral":
+        out[there] = 0
+    else:
+        move = ratio(close[h:], close[: n - h]) - 1 if n > h else np.zeros(0)
+        out[: max(0, n - h)] = np.where(np.isfinite(move), np.sign(move), np.nan)
+    first = np.minimum(up, down)
+    tie = {"lower": -1, "upper": 1, "neutral": 0}[b.tie]
+    touched = there & (first <= h)
+    out[touched] = np.where(up == down, tie, np.where(up < down, 1, -1))[touched]
+    return out
+
+
+def triple_barrier(candles: DataFrame, b: Barriers, size: int = SIZE, unit: str = "month") -> DataFrame:
+    """Candles (numbered, with ``rn``) with one-hot labels as ``labels.triple_barrier`` gives them.
+
+    A chunk has ``size`` rows, or the horizon's number if that is more, and sees the horizon's rows after it; its memory
+    grows with the logarithm of the horizon beyond that.
+    """
+    numbered = candles if "rn" in candles.columns else number_rows(candles, unit)
+    rows = halo(numbered, max(size, b.horizon), 0, b.horizon)
+    kept = [c for c in rows.columns if c not in ("chunk", "core", *LABELS)]
+    schema = StructType([*_fields(rows, *kept), *(StructField(n, IntegerType()) for n in LABELS)])
+
+    def label(t: pa.Table, xs: dict[str, np.ndarray], head: list[float] | None) -> pa.RecordBatch:
+        own = int(t.column("core").to_numpy().sum())
+        side = sides(xs["high"], xs["low"], xs["close"], b)[:own]
+        none = np.isnan(side)
+        made = [pa.array((side == v).astype(np.int32), pa.int32(), mask=none) for v in (-1, 0, 1)]
+        t = t.slice(0, own).select(kept).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) if c.num_chunks else c.combine_chunks() for c in t.columns), *made], names=schema.names)
+
+    return _by_chunk(rows, None, ["high", "low", "close"], label, schema)

@@ -737,14 +737,27 @@ def _(spark, sf):
     return rounded(labels.return_label(views.day(spark, sf), 5, "value").select(*KEYS, "value"))
 
 
-def _barrier_sql(vertical: str, horizon: int = 5, tie: str = "lower") -> str:
-    up, down = "b.high >= a.close * (1 + 5.0::double / 100)", "b.low <= a.close * (1 - 5.0::double / 100)"
+#: Rows ahead that the SQL looks at by ``lead``; the few candles without a touch there look further by a join.
+_NEAR = 8
+
+
+def _barrier_sql(vertical: str, horizon: int = 5, tie: str = "lower", source: str = views.DAY_SQL) -> str:
+    """Common tables up to ``sided``: candles with the side of the first touch within the horizon."""
+    near = range(1, min(horizon, _NEAR) + 1)
     both = {"lower": -1, "upper": 1, "neutral": 0}[tie]
     end = "0" if vertical == "neutral" else "sign(case when isfinite(f) then f end)::int"
-    return f"""{views.DAY_SQL}, n as (select *, row_number() over ({_W}) as rn, lead(1, {horizon}) over ({_W}) as there, lead(close, {horizon}) over ({_W}) / nullif(close, 0) - 1 as f from candles),
-    touch as (select a.symbol, a.rn, arg_min(case when {up} and {down} then {both} when {down} then -1 else 1 end, b.rn) as side
-        from n a join n b on a.symbol = b.symbol and b.rn between a.rn + 1 and a.rn + {horizon} and ({up} or {down}) group by 1, 2),
-    sided as (select n.*, case when there is not null then coalesce(side, {end}) end as side from n left join touch using (symbol, rn))"""
+    side = lambda h, low: f"case when {h} >= top and {low} <= bottom then {both} when {low} <= bottom then -1 when {h} >= top then 1 end"
+    leads = ", ".join(f"lead(high, {k}) over ({_W}) as h{k}, lead(low, {k}) over ({_W}) as l{k}" for k in near)
+    first = "coalesce(" + ", ".join(side(f"h{k}", f"l{k}") for k in near) + ", null)"
+    out = f"""{source}, n as materialized (select *, row_number() over ({_W}) as rn, lead(1, {horizon}) over ({_W}) as there, lead(close, {horizon}) over ({_W}) / nullif(close, 0) - 1 as f,
+        close * (1 + 5.0::double / 100) as top, close * (1 - 5.0::double / 100) as bottom, {leads} from candles),
+    soon as materialized (select *, {first} as s from n)"""
+    if horizon <= _NEAR:
+        return out + f", sided as (select * exclude (s), case when there is not null then coalesce(s, {end}) end as side from soon)"
+    return out + f""",
+    later as (select a.symbol, a.rn, arg_min({side("b.high", "b.low").replace("top", "a.top").replace("bottom", "a.bottom")}, b.rn) as t
+        from (select symbol, rn, top, bottom from soon where s is null and there is not null) a join n b on a.symbol = b.symbol and b.rn between a.rn + {_NEAR + 1} and a.rn + {horizon} and (b.high >= a.top or b.low <= a.bottom) group by 1, 2),
+    sided as (select soon.* exclude (s), case when there is not null then coalesce(s, t, {end}) end as side from soon left join later using (symbol, rn))"""
 
 
 _ONE = ", ".join(f"cast(side = {v} as int) as {n}" for n, v in zip(labels.LABELS, (-1, 0, 1), strict=True))
@@ -755,6 +768,14 @@ for _name, _v, _tie in (("return", "return", "lower"), ("neutral", "neutral", "l
         return labels.triple_barrier(views.day(spark, sf), labels.Barriers(horizon=5, vertical=v, tie=tie)).select(*KEYS, *labels.LABELS)
 
 
+for _horizon in (5, 35, 2000):
+
+    @query(f"long_triple_barrier_{_horizon}", f"with {_barrier_sql('return', _horizon, source=views.LONG_SQL)} select {_K}, {_ONE} from sided")
+    def _(spark, sf, horizon=_horizon):
+        """First touches by chunks with a halo of the horizon, where one series holds nine rows in ten."""
+        return longseries.triple_barrier(views.long(spark, sf), labels.Barriers(horizon=horizon), 256).select(*KEYS, *labels.LABELS)
+
+
 @query("custom_labeller", f"with {views.DAY_SQL} select {_K}, cast(lead(close, 2) over ({_W}) > close as int) as label from candles")
 def _(spark, sf):
     """A user's labeller by name: does the close rise within two rows?"""
@@ -781,10 +802,7 @@ def _(spark, sf):
     return rounded(out.select(*KEYS, *_F.columns(), *labels.LABELS))
 
 
-@query("label_classes_hourly", f"""with {views.HOURLY_SQL}, n as (select *, row_number() over ({_W}) as rn, lead(1, 5) over ({_W}) as there, lead(close, 5) over ({_W}) / nullif(close, 0) - 1 as f from candles),
-    touch as (select a.symbol, a.rn, arg_min(case when b.low <= a.close * (1 - 5.0::double / 100) then -1 else 1 end, b.rn) as side
-        from n a join n b on a.symbol = b.symbol and b.rn between a.rn + 1 and a.rn + 5 and (b.high >= a.close * (1 + 5.0::double / 100) or b.low <= a.close * (1 - 5.0::double / 100)) group by 1, 2),
-    sided as (select n.*, coalesce(side, sign(f)::int) as side from n left join touch using (symbol, rn) where there is not null)
+@query("label_classes_hourly", f"""with {_barrier_sql("return", source=views.HOURLY_SQL)}
     select symbol, side, count(*) as n, count(case when greatest(least(open, close) - low, 0.0) > greatest(high - greatest(open, close), 0.0) then 1 end) as green from sided where side is not null group by 1, 2""")
 def flagship(spark, sf):
     """Ticks to hourly candles, shape, first barrier touched, and counts by class."""
