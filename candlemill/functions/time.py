@@ -27,6 +27,12 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def canonical_interval(name: str) -> str:
+    """``normalize_interval`` of a known name."""
+    plain = name.strip().lower()
+    return ALIASES.get(plain, plain)
+
+
 def normalize_interval(name: Column) -> Column:
     """Canonical interval name; unknown names pass through trimmed and lower-cased."""
     plain = F.lower(F.trim(name))

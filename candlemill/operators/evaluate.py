@@ -6,8 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from candlemill.operators.series import KEYS, position, series
 
 
 def score_windows(windows: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], keys: list[str], window: str = "window") -> DataFrame:
@@ -28,6 +32,46 @@ def score_windows(windows: DataFrame, predictor: Callable[[np.ndarray], np.ndarr
     return softmax_argmax(windows.select(*keys, window).mapInPandas(run, f"{fields}, logits array<double>"))
 
 
+#: Windows that a predictor gets at once.
+AT_ONCE = 1024
+
+
+def score_rows(rows: DataFrame, features: list[str], target: Column, length: int, predictor: Callable[[np.ndarray], np.ndarray], offset: int = 1) -> DataFrame:
+    """(symbol, interval, ts, target, logits, probs, predicted): what ``score_windows`` gives for ``context_windows``.
+
+    Windows are never made as rows: each row passes once, in series order, its features in single precision, and a
+    task keeps the last ``length`` - 1 rows. The predictor gets strided views [n, length, features] over them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(predictor)
+    narrow = rows.select(*KEYS, "ts", target.alias("target"), *[F.col(f"`{c}`").cast("float").alias(f"_x{i}") for i, c in enumerate(features)])
+    k, width = len(KEYS) + 1, len(features)
+    ready = narrow.withColumns({"_rn": position(), "_t": F.lead("target", offset).over(series())})
+    ready = ready.select(*KEYS, "ts", F.col("_t").alias("target"), "_rn", *[f"_x{i}" for i in range(width)])
+    schema = StructType([*(ready.schema[c] for c in (*KEYS, "ts", "target")), StructField("logits", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((0, width), np.float32)
+        for batch in batches:
+            rn = batch.column(k + 1).to_numpy()
+            x = np.stack([batch.column(k + 2 + i).to_numpy(zero_copy_only=False).astype(np.float32) for i in range(width)], axis=1) if width else np.zeros((len(batch), 0), np.float32)
+            held = np.concatenate([tail, x])
+            # a row's window ends with it: rows before it that belong to another series are told by its number
+            at = np.flatnonzero((rn >= length) & batch.column(k).is_valid().to_numpy(zero_copy_only=False))
+            views = np.lib.stride_tricks.sliding_window_view(held, length, axis=0).transpose(0, 2, 1) if len(held) >= length else None
+            for lo in range(0, len(at), AT_ONCE):
+                part = at[lo : lo + AT_ONCE]
+                first = len(tail) + part - length + 1
+                # rows without gaps are a view; others are gathered
+                window = views[first[0] : first[-1] + 1] if first[-1] - first[0] + 1 == len(first) else views[first]
+                logits = np.asarray(shared.value(window), np.float64)
+                off = np.arange(len(part) + 1, dtype=np.int32) * logits.shape[1]
+                made = pa.ListArray.from_arrays(pa.array(off), pa.array(logits.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(part)) for i in range(k + 1)), made], names=schema.names)
+            tail = held[max(0, len(held) - length + 1) :]
+
+    return softmax_argmax(ready.mapInArrow(run, schema))
+
+
 def softmax_argmax(scored: DataFrame) -> DataFrame:
     top = F.array_max("logits")
     powers = F.transform("logits", lambda x: F.exp(x - top))

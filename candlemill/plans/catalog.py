@@ -18,7 +18,7 @@ from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles
 from candlemill.operators.registry import Registry
 from candlemill.plans import views
-from candlemill.schemas import CANDLE_COLUMNS, require
+from candlemill.schemas import CANDLE, CANDLE_COLUMNS, require
 from candlemill.session import shared_dir
 from candlemill.sources import store
 from candlemill.streaming import live
@@ -557,6 +557,14 @@ def _(spark, sf):
     return rounded(store.load_range(views.day(spark, sf), "1d", "1996-01-01", "1996-06-30"))
 
 
+@query("read_years", f"with {views.DAY_SQL} {_OHLC} where ts >= timestamp '1996-01-01' and ts < timestamp '1996-07-01'")
+def _(spark, sf):
+    """Half a year of a table kept by years."""
+    path = _fresh(spark, "years")
+    store.write_candles(views.day(spark, sf), path, by_year=True)
+    return rounded(store.read_years(spark, path, CANDLE, "1d", "1996-01-01", "1996-06-30"))
+
+
 @query("series_bounds", f"with {views.DAY_SQL} select symbol, \"interval\", min(ts) as earliest, max(ts) as latest, count(*) as rows from candles group by 1, 2")
 def _(spark, sf):
     return store.series_bounds(views.day(spark, sf))
@@ -676,6 +684,16 @@ def _(spark, sf):
     return rounded(spark.read.schema(c.schema).parquet(path).select(*KEYS, "close"))
 
 
+@query("stream_upsert_years", ORACLE["stream_upsert"])
+def _(spark, sf):
+    """The same into a table kept by years."""
+    path, c = _fresh(spark, "upserts"), views.hourly(spark, sf)
+    for batch in (c.withColumn("load_seq", F.lit(0)), _updates(c)):
+        batch.select(*c.columns, "load_seq").write.mode("append").parquet(f"{path}-in")
+        live.stream_upsert(spark.readStream.schema(batch.select(*c.columns, "load_seq").schema).parquet(f"{path}-in"), path, f"{path}-cp", by_year=True).awaitTermination()
+    return rounded(store.read_years(spark, path, c.schema).select(*KEYS, "close"))
+
+
 # --- features, labels, windows ------------------------------------------------------
 
 _F = features.Features(["candle_color", "wick_ratios", "log_volume_zscore", "indicators"])
@@ -940,3 +958,25 @@ def _(spark, sf):
     w = dataset.context_windows(views.day(spark, sf), ["close"], F.lit(1), _WIN)
     return evaluate.score_windows(w, mean_move, KEYS).select(*KEYS, "predicted")
 
+
+@query("score_rows", ORACLE["score_windows"])
+def _(spark, sf):
+    """The same scores without windows as rows."""
+    return evaluate.score_rows(views.day(spark, sf), ["close"], F.lit(1), _WIN, mean_move).select(*KEYS, "predicted")
+
+
+def color_balance(x):
+    """A predictor for tests: green against red candles over the window (the first two features)."""
+    import numpy as np
+
+    d = x[:, :, 0].sum(axis=1) - x[:, :, 1].sum(axis=1)
+    return np.stack([-d, 0 * d, d], axis=1)
+
+
+@query("score_feature_rows", f"with {GEOMETRY_SQL.replace(views.ROWS_SQL, views.DAY_SQL)}, w as (select *, row_number() over ({_W}) as rn, sum(case when candle_color = 'green' then 1 else -1 end) over {back(127)} as d, lead(1, 2) over ({_W}) as t from shaped) select {_K}, d::double as balance, (case when d <= 0 then 0 else 2 end)::int as predicted from w where rn >= 128 and t is not null")
+def _(spark, sf):
+    """Windows of 128 candles and all feature columns, as the reference workload has them, target two candles on."""
+    rows = features.encode_features(views.day(spark, sf), _F)
+    ordered = ["candle_color_green", "candle_color_red", *[c for c in _F.columns() if not c.startswith("candle_color")]]
+    out = evaluate.score_rows(rows, ordered, F.lit(1), 128, color_balance, 2)
+    return out.select(*KEYS, F.col("logits")[2].alias("balance"), "predicted")

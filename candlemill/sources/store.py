@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from candlemill.functions.geometry import with_geometry
-from candlemill.functions.time import normalize_interval, parse_bound, to_market_time
+from candlemill.functions.time import canonical_interval, normalize_interval, parse_bound, to_market_time
 from candlemill.operators.series import KEYS
 from candlemill.schemas import CANDLE_COLUMNS, GEOMETRY_COLUMNS, require
 
@@ -34,15 +34,43 @@ def read_candles_csv(spark: SparkSession, path: str, intervals: list[str] | None
     return keyed.select("symbol", "interval", parse_bound(F.col("timestamp")).alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def write_candles(candles: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """All candle and geometry columns, partitioned by series; only partitions in the data are replaced."""
+#: Partition columns of a candle table that is kept by years.
+YEARLY = ["interval", "symbol", "year"]
+
+
+def write_candles(candles: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False) -> None:
+    """All candle and geometry columns, partitioned by series (and year); only partitions in the data are replaced."""
     require(candles, CANDLE_COLUMNS, "candles")
     wide = with_geometry(candles).select(*CANDLE_COLUMNS, *GEOMETRY_COLUMNS)
-    dealt = wide.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts")
-    out = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol")
+    replace_partitions(wide, path, by_year, fmt)
+
+
+def replace_partitions(rows: DataFrame, path: str, by_year: bool, fmt: str = "parquet") -> None:
+    """Write whole partitions, each sorted by time (so that row groups can be skipped), in place of those of the same name."""
+    keys = [*KEYS, "year"] if by_year else KEYS
+    dealt = (rows.withColumn("year", F.year("ts")) if by_year else rows).repartition(*keys).sortWithinPartitions(*keys, "ts")
+    out = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(YEARLY if by_year else ["interval", "symbol"]))
     out.option("header", True).csv(path) if fmt == "csv" else out.parquet(path)
 
 
+def read_years(spark: SparkSession, path: str, schema: str | StructType, interval: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Candles of a table kept by years, of one interval and between two inclusive bounds if given.
+
+    The years of the bounds are a filter on partitions, the bounds themselves one on row groups, so a range reads the
+    files of its years alone. ``schema`` has the table's columns without ``year``.
+    """
+    empty = spark.createDataFrame([], schema)
+    out = spark.read.schema(StructType([*empty.schema.fields, StructField("year", IntegerType())])).parquet(path)
+    if interval is not None:
+        # a literal: the partition is found without looking at rows
+        out = out.filter(F.col("interval") == canonical_interval(interval))
+    for bound, is_end in ((start, False), (end, True)):
+        if bound is not None:
+            at = parse_bound(F.lit(bound), is_end=is_end)
+            out = out.filter((F.col("year") <= F.year(at)) & (F.col("ts") <= at) if is_end else (F.col("year") >= F.year(at)) & (F.col("ts") >= at))
+    return out.select(empty.columns)
+
+
 def exists(spark: SparkSession, pattern: str) -> bool:
     """Is there a path of this pattern, in whatever file system it names?"""
     at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
