@@ -576,6 +576,18 @@ def _(spark, sf):
     return store.coverage_audit(views.day(spark, sf), symbols, ["day", "60minute"])
 
 
+@query("audit_files", f"with {views.DAY_SQL}, c as (select symbol, count(*) as n, cast(substr(symbol, 2) as bigint) as k from candles group by 1), w as (select c.*, unnest(['day', '60minute']) as \"interval\" from c) select symbol, \"interval\", case when \"interval\" = 'day' and k % 10 > 0 then n else 0 end as rows, case when \"interval\" = 'day' and k = 10 then 'empty' when \"interval\" <> 'day' or k % 10 = 0 then 'no file' when k % 10 = 1 then 'columns missing: high, volume' end as reason from w")
+def _(spark, sf):
+    """A stored table with all that an audit should find: series without a file, a file without a row, files without two columns."""
+    path, c = _fresh(spark, "audit"), views.day(spark, sf)
+    k = F.substring("symbol", 2, 20).cast("long") % 10
+    save = lambda df: df.repartition("symbol").write.mode("append").partitionBy("interval", "symbol").parquet(path)
+    save(c.where(k > 1))
+    save(c.where(k == 1).drop("high", "volume"))
+    c.drop("interval", "symbol").limit(0).coalesce(1).write.parquet(f"{path}/interval=day/symbol=S10")
+    return store.audit_files(spark, path, c.select("symbol"), ["day", "60minute"]).drop("files")
+
+
 @query("plan_backfill", f"""with {views.DAY_SQL}, r as (select symbol, "interval", min(ts) as s, max(ts) as e from candles group by 1, 2),
     k as (select *, unnest(case "interval" when 'day' then [1800] end) as d from r union all select symbol, '60minute', s, e, 365 from r union all select symbol, '5minute', s, e, 55 from r),
     c as (select *, unnest(range(cast(floor(date_diff('second', s, e) / (d * 86400.0 + 1)) as bigint) + 1)) as chunk from k)

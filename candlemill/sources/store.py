@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from candlemill.functions.geometry import with_geometry
 from candlemill.functions.time import canonical_interval, normalize_interval, parse_bound, to_market_time
 from candlemill.operators.series import KEYS
-from candlemill.schemas import CANDLE_COLUMNS, GEOMETRY_COLUMNS, require
+from candlemill.schemas import CANDLE, CANDLE_COLUMNS, GEOMETRY_COLUMNS, require
 
 _FILE = r"^(?:[^=]*=)?(.+)_((?:\d+)?minute|day)_"
 
@@ -132,6 +132,31 @@ def coverage_audit(candles: DataFrame, symbols: DataFrame, intervals: list[str])
     return wanted.join(candles.select(*KEYS).distinct(), KEYS, "left_anti").withColumn("reason", F.lit("no rows"))
 
 
+def _keys_of(path: Column) -> dict[str, Column]:
+    """Symbol and interval of a stored file, by its folders."""
+    return {k: F.url_decode(F.regexp_extract(path, f"/{k}=([^/]+)/", 1)) for k in KEYS}
+
+
+def audit_files(spark: SparkSession, path: str, symbols: DataFrame, intervals: list[str]) -> DataFrame:
+    """(symbol, interval, files, rows, reason) of every wanted series of a stored table.
+
+    The reason is "no file", "empty" (files without a row), "columns missing: ..." (columns that none of the series' rows
+    has), or null for a whole series. Files are listed by Spark without their contents; keys come from
+    folders, so that a symbol keeps its text.
+    """
+    wanted = symbols.select("symbol").distinct().withColumn("interval", F.explode(F.array(*[F.lit(i) for i in intervals])))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    files = listed.select(F.concat("path", F.lit("/")).alias("path")).withColumns(_keys_of(F.col("path"))).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files"))
+    columns = [c for c in CANDLE_COLUMNS if c not in KEYS]
+    stored = StructType([f for f in spark.createDataFrame([], CANDLE).schema if f.name in columns])
+    rows = spark.read.schema(stored).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    counts = rows.select(*columns, F.col("_metadata.file_path").alias("path")).withColumns(_keys_of(F.col("path"))).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"_{c}") for c in columns])
+    out = wanted.join(files, KEYS, "left").join(counts, KEYS, "left")
+    missing = F.concat_ws(", ", *[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in columns])
+    reason = F.when(F.col("files").isNull(), "no file").when(F.col("rows").isNull(), "empty").when(missing != "", F.concat(F.lit("columns missing: "), missing))
+    return out.select(*KEYS, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", "rows")], reason.alias("reason"))
+
+
 # Days one request may span.
 CHUNK_DAYS = {"day": 1800, "60minute": 365}
 OTHER_CHUNK_DAYS = 55

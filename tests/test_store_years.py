@@ -55,3 +55,20 @@ def test_one_candle_rewrites_one_file(spark, tmp_path):
     got = store.read_years(spark, str(tmp_path / "t"), CANDLE)
     assert got.count() == len(rows()) + (("B&C", dt.datetime(2020, 5, 5, 9, 15)) not in {(r[0], r[2]) for r in rows()})
     assert got.where("close = 5.5 and volume = 9").count() == 1 and got.where(F.col("symbol") == "7").count() == 500
+
+
+def test_audit_of_files(spark, tmp_path):
+    """Every reason, symbols that look like numbers or hold signs, and a table kept by years."""
+    df = spark.createDataFrame(rows(), CANDLE)
+    at = str(tmp_path / "t")
+    store.write_candles(df, at, by_year=True)
+    part = df.where("symbol = '7'").drop("symbol", "interval")
+    part.drop("close").coalesce(1).write.parquet(f"{at}/interval=day/symbol=007/year=2019")
+    part.limit(0).coalesce(1).write.parquet(f"{at}/interval=day/symbol=E/year=2019")
+    wanted = spark.createDataFrame([(s,) for s in ("A", "B&C", "7", "007", "E", "F", "A")], "symbol string")
+    got = {(r.symbol, r.interval): (r.files, r.rows, r.reason) for r in store.audit_files(spark, at, wanted, ["day", "week"]).collect()}
+    whole = (5, 500, None)
+    assert got == {
+        ("A", "day"): whole, ("B&C", "day"): whole, ("7", "day"): whole, ("007", "day"): (1, 500, "columns missing: close"), ("E", "day"): (1, 0, "empty"), ("F", "day"): (0, 0, "no file"),
+        **{(s, "week"): (0, 0, "no file") for s in ("A", "B&C", "7", "007", "E", "F")},
+    }
