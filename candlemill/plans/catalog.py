@@ -462,6 +462,34 @@ def _(spark, sf):
     return rounded(out.select("token", "event_id", "volume_delta"))
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, value): a JSON message for each event, some of two ticks, some cut off, some with no price, zoned and naive times."""
+    e, i = views.table(spark, sf, "events"), F.col("event_id")
+    text = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    tick = F.struct(F.col("user_id").alias("instrument_token"), F.when(i % 11 != 0, F.col("value")).alias("last_price"), (i % 4).cast("double").alias("last_traded_quantity"), F.lit(3.0).alias("quantity"),
+                    F.when(i % 2 == 0, F.concat(text, F.lit("Z"))).otherwise(text).alias("exchange_timestamp"), F.lit("x").alias("tradable"))
+    one = F.to_json(tick)
+    value = F.when(i % 13 == 0, F.expr("substring(m, 1, length(m) - 5)")).when(i % 17 == 0, F.lit("no json")).when(i % 3 == 0, F.concat(F.lit("["), "m", F.lit(", "), "m", F.lit("]"))).otherwise(F.col("m"))
+    return e.select("event_id", one.alias("m")).select("event_id", value.alias("value"))
+
+
+_GOOD = "event_id % 13 <> 0 and event_id % 17 <> 0"
+
+
+@query("tick_messages", f"with n as (select *, unnest(range(case when event_id % 3 = 0 then 2 else 1 end)) as copy from events) select event_id, user_id as instrument_token, {r6('value')} as last_price, {r6('case when event_id % 4 = 0 then 3.0 else event_id % 4 end')} as trade_quantity, date_trunc('second', ts) + case when event_id % 2 = 0 then interval 330 minute else interval 0 minute end as event_time from n where {_GOOD} and event_id % 11 <> 0")
+def _(spark, sf):
+    """JSON tick messages, read as a stream: ticks with their fields settled."""
+    out = drained(spark, _messages(spark, sf), "messages", lambda m: store.parse_messages(m)[0])
+    return rounded(out.select("event_id", "instrument_token", "last_price", "trade_quantity", "event_time"))
+
+
+@query("tick_messages_bad", f"select event_id, case when event_id % 13 = 0 then 'cut off' else 'no json' end as kind from events where not ({_GOOD})")
+def _(spark, sf):
+    """The messages of the same stream that are no ticks."""
+    out = drained(spark, _messages(spark, sf), "messages", lambda m: store.parse_messages(m)[1])
+    return out.select("event_id", F.when(F.col("value") == "no json", "no json").otherwise("cut off").alias("kind"))
+
+
 @query("add_indicator_columns", f"with {views.DAY_SQL}, n as (select *, row_number() over ({_W}) as rn from candles) select {_K}, {', '.join(f'{r6(c)} as {c}' for c in ('open', 'high', 'low'))}, {r6(f'case when rn >= 5 then avg(close) over {back(4)} end')} as close, {r6('volume')} as volume, {r6(f'case when rn >= 3 then avg(volume) over {back(2)} end')} as vma_3 from n")
 def _(spark, sf):
     return rounded(ind.add_indicators(views.day(spark, sf), {"vma_3": ind.vma(3), "close": ind.sma(5)}))

@@ -8,8 +8,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from candlemill.functions.geometry import with_geometry
 from candlemill.functions.time import canonical_interval, normalize_interval, parse_bound, to_market_time
+from candlemill.functions.ticks import tick_fields
 from candlemill.operators.series import KEYS
-from candlemill.schemas import CANDLE, CANDLE_COLUMNS, GEOMETRY_COLUMNS, require
+from candlemill.schemas import CANDLE, CANDLE_COLUMNS, GEOMETRY_COLUMNS, TICK, require
 
 _FILE = r"^(?:[^=]*=)?(.+)_((?:\d+)?minute|day)_"
 
@@ -181,6 +182,28 @@ def read_ticks(spark: SparkSession, path: str, schema: str | StructType, fmt: st
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
+#: A tick of a message; times are texts there.
+_MESSAGE = "array<struct<" + ",".join(f.strip().replace(" ", ":").replace(":timestamp", ":string") for f in TICK.split(",")) + ">>"
+
+
+def parse_messages(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(ticks, bad messages) of JSON messages, each one tick or a list of ticks; batch or stream.
+
+    Ticks carry the messages' other columns and come with their fields settled (``tick_fields``), times as market wall
+    clock. A message that is no JSON of ticks is kept whole in the second table; a tick without a time or a price is
+    no error of the message and is dropped, as is an empty list.
+    """
+    rest = [c for c in messages.columns if c != column]
+    text = F.trim(F.col(column))
+    # an object is read as a list of one; other JSON (a number, a text) is no message
+    shaped = F.when(text.rlike(r"(?s)^[\[{].*[\]}]$"), F.from_json(text, _MESSAGE))
+    read = messages.withColumn("_ticks", shaped)
+    good = read.where(F.col("_ticks").isNotNull()).select(*rest, F.explode("_ticks").alias("_t")).select(*rest, "_t.*")
+    times = ("timestamp", "exchange_timestamp", "last_trade_time")
+    good = good.withColumns({c: parse_bound(F.col(c)) for c in times})
+    return tick_fields(good), read.where(F.col("_ticks").isNull()).select(messages.columns)
+
+
 def market_ticks(ticks: DataFrame, time: str) -> DataFrame:
     """Ticks with their event time as market wall clock."""
     return ticks.withColumn(time, to_market_time(F.col(time)))
