@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from candlemill.functions.scaling import clip_atr, clip_macd, clip_zscore, scale
 from candlemill.operators import dataset, evaluate, features, labels, longseries, recurrence, series
 from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles
-from candlemill.operators.registry import Registry
+from candlemill.operators.registry import Registry, table_function
 from candlemill.plans import views
 from candlemill.schemas import CANDLE, CANDLE_COLUMNS, require
 from candlemill.session import shared_dir
@@ -410,7 +411,10 @@ def drained(spark: SparkSession, rows: DataFrame, name: str, live_rows: Callable
     # so many files a micro-batch
     files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
     for k in range(batches):
-        (rows.where(F.col(batch) == k).drop(batch).repartition(files) if batch else rows).write.mode("append").parquet(f"{path}-in")
+        part = rows.where(F.col(batch) == k).drop(batch).repartition(files) if batch else rows
+        # an empty part would leave a file, and files are what a micro-batch counts
+        if not batch or not part.isEmpty():
+            part.write.mode("append").parquet(f"{path}-in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = spark.readStream.schema(rows.drop(batch).schema if batch else rows.schema)
     source = source.option("maxFilesPerTrigger", files) if batch else source
@@ -423,10 +427,16 @@ def _stamped(df: DataFrame, kind: str, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(kind) for c in columns})
 
 
+def _by_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Day candles for a stream, two years a micro-batch, so that a series' candles come in order."""
+    c = _stamped(views.day(spark, sf), "timestamp", "ts")
+    return c.withColumn("batch", F.least(F.lit(3), F.greatest(F.lit(0), F.floor((F.year("ts") - 1995) / 2))).cast("int"))
+
+
 @query("stream_indicators", _POPULAR_SQL)
 def _(spark, sf):
-    """All popular indicators of live candles; a series' values are those of the batch form."""
-    out = drained(spark, _stamped(views.day(spark, sf), "timestamp", "ts"), "indicators", live.stream_indicators)
+    """All popular indicators of live candles over four micro-batches; a series' values are those of the batch form."""
+    out = drained(spark, _by_years(spark, sf), "indicators", live.stream_indicators, "batch", 4)
     return rounded(_stamped(out, "timestamp_ntz", "ts"))
 
 
@@ -435,13 +445,18 @@ _BATCHES = 6
 _SLICED = f"sliced as (select *, least({_BATCHES - 1}, (epoch_us(event_time) - (select min(epoch_us(event_time)) from deltas)) * {_BATCHES} // (select greatest(1, max(epoch_us(event_time)) - min(epoch_us(event_time))) from deltas)) as slice, {views.bucket_sql('event_time', 60)} as ts from deltas)"
 
 
-def _chain(spark: SparkSession, sf: str) -> DataFrame:
-    """All that the live chain emits for the tick stream in six micro-batches: forming candles, then closed ones."""
+def _tick_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks with the number of their micro-batch."""
     t = _stamped(views.ticks(spark, sf), "timestamp", "event_time")
     at = F.unix_micros("event_time")
     least, most = t.agg(F.min(at), F.max(at)).first()
     slice_ = F.least(F.lit(_BATCHES - 1), F.expr(f"(unix_micros(event_time) - {least or 0}) * {_BATCHES} div {max(1, (most or 0) - (least or 0))}"))
-    return drained(spark, t.withColumn("slice", slice_), "chain", lambda s: live.live_chain(s, "60minute", "10 minutes"), "slice", _BATCHES)
+    return t.withColumn("slice", slice_)
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """All that the live chain emits for the tick stream in six micro-batches: forming candles, then closed ones."""
+    return drained(spark, _tick_slices(spark, sf), "chain", lambda s: live.live_chain(s, "60minute", "10 minutes"), "slice", _BATCHES)
 
 
 @query("live_chain", f"select * from ({_POPULAR_SQL.replace(views.DAY_SQL, views.HOURLY_SQL)}) where ts + interval 60 minute <= (select max(ts) - interval 10 minute from events)")
@@ -458,7 +473,7 @@ def _(spark, sf):
 
 @query("stream_volume_delta", f"with {views.DELTAS_SQL} select token, event_id, {r6('volume_delta')} as volume_delta from deltas")
 def _(spark, sf):
-    out = drained(spark, _stamped(views.ticks(spark, sf), "timestamp", "event_time"), "deltas", live.stream_volume_delta)
+    out = drained(spark, _tick_slices(spark, sf), "deltas", live.stream_volume_delta, "slice", _BATCHES)
     return rounded(out.select("token", "event_id", "volume_delta"))
 
 
@@ -495,14 +510,41 @@ def _(spark, sf):
     return rounded(ind.add_indicators(views.day(spark, sf), {"vma_3": ind.vma(3), "close": ind.sma(5)}))
 
 
+def running_mean() -> recurrence.Scan:
+    """A user's indicator: the mean of all closes so far; the state is their number and sum."""
+
+    def run(g, state):
+        n, total = state[0] + np.arange(1, len(g["close"]) + 1), state[1] + np.cumsum(g["close"])
+        return total / n, [float(n[-1]), float(total[-1])]
+
+    return recurrence.Scan(("close",), (0.0, 0.0), run)
+
+
 @query("custom_indicator", f"with {views.DAY_SQL}, n as (select *, row_number() over ({_W}) as rn from candles) select {_K}, {r6(f'max(high) over {back(9)} - min(low) over {back(9)}')} as range_10, {r6(f'avg(close) over {back(None)}')} as running from n")
 def _(spark, sf):
     made = Registry()
     made.column("range_10", lambda: F.max("high").over(series.frame(9)) - F.min("low").over(series.frame(9)))
-    made.scan("running", lambda g: g["close"].expanding().mean().to_numpy())
+    made.scan("running", running_mean())
     return rounded(made.compute(views.day(spark, sf), ["range_10", "running"]).select(*KEYS, "range_10", "running"))
 
 
+_RUNNING_SQL = f"with {views.DAY_SQL} select {_K}, {r6(f'avg(close) over {back(None)}')} as running_mean from candles"
+
+
+@query("custom_indicator_sql", _RUNNING_SQL)
+def _(spark, sf):
+    """The same scan as a table function, called from SQL."""
+    table_function(spark, "running_mean", running_mean())
+    return rounded(spark.sql("select symbol, `interval`, ts, running_mean from running_mean(table({candles}))", candles=views.day(spark, sf)))
+
+
+@query("custom_indicator_live", _RUNNING_SQL)
+def _(spark, sf):
+    """The same scan over a stream in four micro-batches."""
+    out = drained(spark, _by_years(spark, sf), "custom", lambda s: live.stream_indicators(s, {"running_mean": running_mean()}), "batch", 4)
+    return rounded(_stamped(out, "timestamp_ntz", "ts").select(*KEYS, "running_mean"))
+
+
 _LONG = f"select {_K}, name, {r6('value')} as value, unit from (select {_K}, 'MA_5' as name, case when rn >= 5 then avg(close) over {back(4)} end as value, 'price' as unit from n union all select {_K}, 'STOCH_5', case when rn >= 5 then {_stoch('high', 'low', 'close', 5)} end, 'oscillator' from n union all select {_K}, 'XYZ', volume, 'raw' from n) where value is not null"
 
 
@@ -771,7 +813,7 @@ def _(spark, sf):
 @query("stream_features", f"select {_K}, {_cut_features()} from ({encoded_sql(fill=False)})")
 def _(spark, sf):
     """The whole configured feature row of live candles, null in warm-up."""
-    out = drained(spark, _stamped(views.day(spark, sf), "timestamp", "ts"), "features", lambda c: live.stream_features(c, _F))
+    out = drained(spark, _by_years(spark, sf), "features", lambda c: live.stream_features(c, _F), "batch", 4)
     return rounded(_stamped(out, "timestamp_ntz", "ts"))
 
 
