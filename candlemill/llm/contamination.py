@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import ALNUM_WORD, U, Block, Words, blocks, hash_word, mix, span_hashes, split_words, words
-from candlemill.llm.jobs import keep, with_columns
+from candlemill.llm.jobs import aside, keep, restored, with_columns
 
 WINDOW = 13
 #: Windows of a benchmark part: bounds what is broadcast (about 200 bytes a window).
@@ -171,16 +171,16 @@ def scan(docs: DataFrame, matchers: list[Matcher], text: str, carry: list[str])
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all, if not given) of every row, and n_words, hits (word positions), items as ``_n_words``, ``_hits``, ``_items``."""
     carry = docs.columns if carry is None else carry
-    some = docs.select(*dict.fromkeys([*carry, text]))
+    some = aside(docs, text, carry)
     out = None
     for i, matchers in enumerate(parts(benchmark, item, item_text)):
         if out is None:
-            out = scan(some, matchers, text, some.columns)
+            out = scan(some, matchers, "text", some.columns)
             continue
         before = out.withColumnsRenamed({"_hits": "_h", "_items": "_i"}).drop("_n_words")
-        both = scan(before if i % AT_ONCE else keep(before, "scanned"), matchers, text, before.columns)
+        both = scan(before if i % AT_ONCE else keep(before, "scanned"), matchers, "text", before.columns)
         out = both.withColumns({"_hits": F.array_union("_h", "_hits"), "_items": F.array_union("_i", "_items")}).drop("_h", "_i")
-    return out.select(*carry, "_n_words", "_hits", "_items")
+    return restored(out, carry, "_n_words", "_hits", "_items")
 
 
 def is_contaminated() -> Column:

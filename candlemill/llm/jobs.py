@@ -28,6 +28,16 @@ def with_columns(docs: DataFrame, carry: list[str], added: str) -> StructType:
     return StructType([*(docs.schema[c] for c in carry), *_parse_datatype_string(added).fields])
 
 
+def aside(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """``text`` and the carried columns as ``text``, ``c0``, ``c1``, ...: no name of theirs can meet one of an operator's own."""
+    return docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+
+
+def restored(df: DataFrame, carry: list[str], *own: str) -> DataFrame:
+    """The carried columns under their names again, then the operator's ``own``; one of those replaces a carried one of its name."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in own], *own)
+
+
 def row_key(df: DataFrame, *columns: str) -> DataFrame:
     """Add ``_k1``, ``_k2``: 128 bits that name a row by its contents, never null.
 

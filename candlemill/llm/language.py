@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.blocks import blocks
-from candlemill.llm.jobs import with_columns
+from candlemill.llm.jobs import aside, restored, with_columns
 
 BUCKETS = 1 << 14
 SEGMENT = 32
@@ -153,6 +153,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """The carried columns (all, if not given), lang_pred and score of every row, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = docs.columns if carry is None else carry
+    rows = aside(docs, text, carry)
+    held = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
@@ -167,11 +169,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                     pi = mixture(scores, row, b.rows)
                     best = np.where(und, len(names), pi.argmax(axis=1))
                     share = np.where(und, 0.0, np.clip(pi.max(axis=1), 0, 1))
-                cut = [batch.column(i).slice(b.first, b.rows) for i in range(1, len(carry) + 1)]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(words[best], pa.string()), pa.array(share)], names=[*carry, "lang_pred", "score"])
+                cut = [batch.column(i).slice(b.first, b.rows) for i in range(1, len(held) + 1)]
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(words[best], pa.string()), pa.array(share)], names=[*held, "lang_pred", "score"])
 
-    rows = docs.select(F.col(text).alias("_text"), *carry)
-    return rows.mapInArrow(run, with_columns(docs, carry, "lang_pred string, score double"))
+    return restored(rows.mapInArrow(run, with_columns(rows, held, "lang_pred string, score double")), carry, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

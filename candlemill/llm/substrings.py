@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from candlemill.llm.blocks import ALNUM_WORD, SPACE_WORD, U, Block, blocks, mix, signed, words
-from candlemill.llm.jobs import keep, row_key, spread
+from candlemill.llm.jobs import aside, keep, row_key, spread
 from candlemill.llm.suffixes import Prefix, common_prefixes, ranges, suffix_array
 
 LENGTH = 400
@@ -375,14 +375,16 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: i
 
     Strings of ``length`` bytes are cut, or passages of ``passage`` words if given. Broken characters at the cuts go, too.
     """
-    names = [c for c in docs.columns if c != text]
-    keyed = row_key(docs, "doc_id", text)
+    names = [c for c in docs.columns if c not in (text, "_spans")]
+    at = f"c{names.index('doc_id')}"
+    keyed = row_key(aside(docs, text, names), at, "text")
     rule = Rule(words_of, passage, min(passage, WORD_GRAM)) if passage else Rule(bytes_of, length, min(length, GRAM))
 
     def make(piece: bytes, start: list[int], end: list[int]) -> tuple:
         return ("".join(p.decode("utf-8", "ignore") for p in kept_pieces(piece, start, end)), len(start))
 
-    renamed = keyed.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text, "_k1", "_k2")
-    schema = StructType([*(StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)), StructField("text", StringType()), StructField("spans", LongType())])
-    out = cut_rows(renamed, repeated(keyed, text, rule), text, rule, schema, [f"c{i}" for i in range(len(names))], make)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), F.col("spans").alias("_spans")).select(*docs.columns, "_spans")
+    held = [f"c{i}" for i in range(len(names))]
+    schema = StructType([*(keyed.schema[h] for h in held), StructField("cut", StringType()), StructField("spans", LongType())])
+    out = cut_rows(keyed, repeated(keyed, "text", rule), "text", rule, schema, held, make)
+    back = {c: F.col(h) for c, h in zip(names, held, strict=True)} | {text: F.col("cut")}
+    return out.select(*[back[c].alias(c) for c in docs.columns if c != "_spans"], F.col("spans").alias("_spans"))

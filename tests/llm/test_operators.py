@@ -495,3 +495,22 @@ def test_many_equal_rows(spark):
         took.append(time.time() - began)
         assert [tuple(x) for x in rows] == [(len(text), 1, n)]
     assert took[2] < 3 * took[1] + 20
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own inner ones are carried unchanged."""
+    r = __import__("random").Random(3)
+    shared = corpus.sentence(r, 120)
+    names = ["_k1", "_k2", "_text", "_h", "_i", "c0", "text2", "at", "from", "anchor", "cut", "spans"]
+    rows = [(i, f"{corpus.sentence(r, 30)} {shared}", *[f"keep{i}{n}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    want = {x[0]: x[2:] for x in rows}
+    bench = spark.createDataFrame([(1, shared)], "item_id long, text string")
+    model = language.train(df.withColumn("lang", F.lit("en")))
+    for out, own in ((substrings.remove(df), ["_spans"]), (contamination.matches(df, bench), ["_n_words", "_hits", "_items"]), (language.predict(df, model), ["lang_pred", "score"])):
+        assert out.columns == [*df.columns, *own]
+        assert {x.doc_id: tuple(x[n] for n in names) for x in out.collect()} == want
+    # a carried column with the name of a result gives way to it
+    assert contamination.matches(df.withColumn("_hits", F.lit("x")), bench).filter("size(_hits) > 0").count() == 6
+    assert language.predict(df.withColumn("score", F.lit("x")), model).filter("score >= 0").count() == 6
+    assert substrings.remove(df.withColumn("_spans", F.lit("x"))).filter("_spans = 1").count() == 6
