@@ -77,41 +77,44 @@ def class_weights(counts: DataFrame) -> DataFrame:
     return counts.select("class_index", "n", F.when(least > 0, total / (k * F.col("n"))).alias("weight"))
 
 
+def _shuffled(seed: int, *more: Column) -> Column:
+    """A hexadecimal digest that orders keys at random but alike in every run."""
+    return F.md5(F.concat_ws("|", *KEYS, *more, F.lit(str(seed))))
+
+
+def _placed(rows: DataFrame, digest: Column, ties: list[str]) -> DataFrame:
+    """Rows with ``_place`` (from 1, by digest) and ``_n`` (their number).
+
+    Places are found on counts of 4096 digest ranges, so rows are ranked within one range only.
+    """
+    keyed = rows.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    every = Window.partitionBy()
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumns({"_before": before, "_n": F.sum("_c").over(every)}).drop("_c")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ties))
+    # at most 4096 ranges
+    return keyed.join(F.broadcast(ranges), "_b").withColumn("_place", place).drop("_h", "_b", "_before")
+
+
 def split_by_series(rows: DataFrame, seed: int, share: float = 0.8, most: int | None = None) -> DataFrame:
     """Rows with ``part``: whole series go to train (max(1, int(n * share))) or validation.
 
-    A single series is both; ``most`` caps the series taken, in name order. The key table is small.
+    A single series is both; ``most`` caps the series taken, in name order.
     """
     keys = rows.select(*KEYS).distinct()
-    every = Window.partitionBy()
     if most is not None:
-        keys = keys.withColumn("_i", F.row_number().over(Window.orderBy(*KEYS))).filter(F.col("_i") <= most).drop("_i")
-    n = F.count(F.lit(1)).over(every)
-    place = F.row_number().over(Window.orderBy(_shuffled(seed), *KEYS))
-    marked = keys.withColumns({"_n": n, "_p": place}).select(*KEYS, F.explode(_parts("_n", "_p", share)).alias("part"))
+        keys = keys.orderBy(*KEYS).limit(most)
+    marked = _placed(keys, _shuffled(seed), KEYS).select(*KEYS, F.explode(_parts("_n", "_place", share)).alias("part"))
     return rows.join(marked, KEYS)
 
 
-def _shuffled(seed: int, *more: Column) -> Column:
-    """A hexadecimal digest that orders keys at random but alike in every run."""
-    return F.md5(F.concat_ws("|", *KEYS, *more, F.lit(str(seed))))
-
-
 def _parts(n: str, place: str, share: float) -> Column:
     train = F.greatest(F.lit(1), F.floor(F.col(n) * share))
     return F.when(F.col(n) == 1, F.array(F.lit("train"), F.lit("validation"))).when(F.col(place) <= train, F.array(F.lit("train"))).otherwise(F.array(F.lit("validation")))
 
 
 def split_by_window(windows: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
-    """Windows with ``part``: exactly max(1, int(n * share)) by hash order are validation.
-
-    The cut is found on counts of 4096 hash ranges, so windows are ranked within one range only.
-    """
-    keyed = windows.withColumn("_h", _shuffled(seed, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).withColumn("_b", F.substring("_h", 1, 3))
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy()
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = counts.withColumns({"_before": before, "_size": F.greatest(F.lit(1), F.floor(F.sum("_n").over(every) * share))}).select("_b", "_before", "_size")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", *KEYS, "ts"))
-    out = keyed.join(F.broadcast(cut), "_b")
-    return out.withColumn("part", F.when(place <= F.col("_size"), "validation").otherwise("train")).drop("_h", "_b", "_before", "_size")
+    """Windows with ``part``: exactly max(1, int(n * share)) by hash order are validation."""
+    out = _placed(windows, _shuffled(seed, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), [*KEYS, "ts"])
+    validation = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    return out.withColumn("part", F.when(F.col("_place") <= validation, "validation").otherwise("train")).drop("_place", "_n")
