@@ -3,7 +3,7 @@
 A recurrence is a ``Scan``: it takes the next rows of a series with the state its earlier rows left, a
 few numbers. ``with_recurrences`` runs scans over Arrow batches of rows in series order, so a task
 holds a batch and not a series; live streams run the same scans with their state in the state store.
-``chunked_ema`` carries an average over chunks, so that one series can be shared by many tasks.
+``longseries`` carries them over chunks, so that one series can be shared by many tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from candlemill.operators.series import KEYS, number_rows, position
+from candlemill.operators.series import KEYS, position
 
 State = list[float]
 #: A function of a whole series, for user-made indicators that cannot be written as a scan.
@@ -181,47 +181,3 @@ def _grouped(candles: DataFrame, specs: dict[str, Whole]) -> DataFrame:
 
     out = candles.groupBy(*KEYS).applyInPandas(run, StructType(fields))
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in specs})
-
-
-def chunked_ema(candles: DataFrame, period: int, column: str = "close", name: str = "ema", size: int = 4096) -> DataFrame:
-    """The seeded exponential average of very long series, chunk by chunk.
-
-    y = a * y_before + b * x is affine: each chunk yields its own result with nothing carried in
-    and the weight of what is carried; the carries are found on the chunk table (one row
-    a chunk) and put back. No task holds more than a chunk or a series' chunk table.
-    """
-    a, b = 1 - 2.0 / (period + 1), 2.0 / (period + 1)
-    rows = number_rows(candles).withColumn("_c", F.floor(F.col("rn") / size))
-    fields = StructType([*rows.schema.fields, StructField("_y", DoubleType()), StructField("_w", DoubleType())])
-
-    def local(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rn", kind="stable").reset_index(drop=True)
-        x, n = g[column].to_numpy(float), g["rn"].to_numpy()
-        live = n >= period
-        y, w = np.zeros(len(x)), np.ones(len(x))
-        k = int((~live).sum())
-        if k:
-            y[:k] = np.cumsum(x[:k]) / period
-        if k < len(x):
-            y[k:] = pd.Series(np.concatenate([[0.0], x[k:]])).ewm(alpha=b, adjust=False).mean().to_numpy()[1:]
-            w[k:] = a ** np.arange(1, len(x) - k + 1)
-            y[k:] += w[k:] * (y[k - 1] if k else 0.0)
-        g["_y"], g["_w"] = y, w
-        return g
-
-    done = rows.groupBy(*KEYS, "_c").applyInPandas(local, fields)
-    ends = done.groupBy(*KEYS, "_c").agg(F.max_by("_y", "rn").alias("_ye"), F.max_by("_w", "rn").alias("_we"))
-    carry = StructType([*[f for f in candles.schema.fields if f.name in KEYS], StructField("_c", rows.schema["_c"].dataType), StructField("_carry", DoubleType())])
-
-    def carries(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_c").reset_index(drop=True)
-        out, y = [], 0.0
-        for e, w in zip(g["_ye"], g["_we"], strict=True):
-            out.append(y)
-            y = e + w * y
-        g["_carry"] = out
-        return g[[*KEYS, "_c", "_carry"]]
-
-    back = done.join(ends.groupBy(*KEYS).applyInPandas(carries, carry), [*KEYS, "_c"])
-    value = F.when(F.col("rn") >= period - 1, F.col("_y") + F.col("_w") * F.col("_carry"))
-    return back.withColumn(name, value).select(*candles.columns, name)

@@ -363,7 +363,7 @@ def _(spark, sf):
 
 @query("chunked_ema", ORACLE["ema"])
 def _(spark, sf):
-    return rounded(recurrence.chunked_ema(views.day(spark, sf), 9, name="value", size=256).select(*KEYS, "value"))
+    return rounded(longseries.scan(views.day(spark, sf), "value", longseries.ema(9), 256).select(*KEYS, "value"))
 
 
 def _long(name: str, add: Callable[[DataFrame], DataFrame], raw: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlemill.functions import geometry, ticks, time, units
-from candlemill.operators import dataset, evaluate, features, labels, recurrence, series
+from candlemill.operators import dataset, evaluate, features, labels, longseries, recurrence, series
 from candlemill.operators import indicators as ind
 from candlemill.operators.candles import ticks_to_candles, volume_delta
 from candlemill.schemas import CANDLE
@@ -91,7 +91,7 @@ def test_recurrences_against_loops(spark):
     close_to(column(out, "macd"), [None if b is None else a - b for a, b in zip(brute_ema(close, 3), brute_ema(close, 5), strict=True)])
     adx = column(out, "adx")
     assert adx[26] is None and adx[27] is not None and all(0 <= v <= 100 for v in adx[27:])
-    close_to(column(recurrence.chunked_ema(c, 9, size=7), "ema"), brute_ema(close, 9))
+    close_to(column(longseries.scan(c, "ema", longseries.ema(9), 7), "ema"), brute_ema(close, 9))
 
 
 def test_series_value_equals_prefix_value(spark):
