@@ -260,18 +260,24 @@ def meet(anchors: Anchors, group: np.ndarray, rows: Rows, lo: int, hi: int) -> N
     anchors.take(i, rows.id[lo + j], scores(anchors, rows, i, lo + j))
 
 
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """The index by ``block``: rows are dealt by hash and by their place in its files, so that copies of one row spread, too."""
+    salt = F.monotonically_increasing_id()
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "h", salt), F.lit(blocks)).cast("int"))
+
+
 def search(rows: DataFrame, anchors: DataFrame, blocks: int, length: int, same: bool) -> DataFrame:
     """(anchor, h, rank, id, score): of every anchor's windows the first ``length`` rows of the same, or of another, label.
 
     ``anchors``: id, h, lab, q, and windows as arrays ``rank``, ``low``, ``high``.
     """
-    own = rows.select(F.pmod(F.xxhash64("id", "h"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "h", "lab", "q", "code", "align", "rest")
+    own = dealt(rows, blocks).select("block", F.lit(0).alias("kind"), "id", "h", "lab", "q", "code", "align", "rest")
     void = [F.lit(None).cast(t).alias(n) for n, t in (("code", "array<long>"), ("align", "array<double>"), ("rest", "array<double>"))]
     windows = [("rank", "array<int>"), ("low", "array<long>"), ("high", "array<long>")]
     sent = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "h", "lab", "q", *void, *[n for n, _ in windows])
-    dealt = own.select("*", *[F.lit(None).cast(t).alias(n) for n, t in windows]).unionByName(sent)
+    both = own.select("*", *[F.lit(None).cast(t).alias(n) for n, t in windows]).unionByName(sent)
     # a block a task; its rows come first, then anchors, those of a label together
-    dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "lab")
+    tasks = both.repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "lab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = None, [], None
@@ -301,7 +307,7 @@ def search(rows: DataFrame, anchors: DataFrame, blocks: int, length: int, same:
                     at = a.slot_of[slot]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a.id[at], a.h[at], a.rank[slot].astype(np.int32), who, score)], names=["anchor", "h", "rank", "id", "score"])
 
-    found = dealt.mapInArrow(run, "anchor long, h long, rank int, id long, score long")
+    found = tasks.mapInArrow(run, "anchor long, h long, rank int, id long, score long")
     first = Window.partitionBy("anchor", "h", "rank").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= length)
 

@@ -146,6 +146,16 @@ def test_hard_negatives(spark, monkeypatch, block, planes):
     assert multiset(got.collect()) == brute_negatives(rows, 10, 8)
 
 
+def test_copies_of_one_row_spread(spark, monkeypatch):
+    """A third of all rows are copies of one row and another third copies of an anchor: blocks stay even, and the rows are right."""
+    monkeypatch.setattr(negatives, "BLOCK_COMPONENTS", 64 * 60)
+    rows = vectors(100, 8, 14) + [(3, [0.25, 0.5] * 4, 1)] * 100 + [(10, [0.5, 0.25] * 4, 2)] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    sizes = [r["count"] for r in negatives.dealt(negatives.index(df, "vec_id", "embedding", "label", 256), 5).groupBy("block").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 90
+    assert multiset(negatives.mine(df, F.col("id") % 10 == 0).collect()) == brute_negatives(rows, 10, 8)
+
+
 def test_intervals_hold_the_products():
     """Every interval, at every level, holds the exact inner product."""
     g = np.random.default_rng(6)
