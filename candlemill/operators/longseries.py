@@ -6,7 +6,7 @@ holds, sorts or walks a whole series, so one series may hold most of a table.
 ``scan`` runs an ``Affine`` scan. The carried part of its state passes through a chunk as an affine map, whatever
 state comes in, so each chunk first returns its map (the scan itself, run from nothing and from each unit
 state), the maps of a series are folded in order, a few numbers a chunk, and each chunk then runs the scan
-from the state it begins with. ``adx`` composes two of these: Wilder sums give DX, and DX, counted where it is
+from the state it begins with. The numbered rows are written to the shared folder once and read by both passes. ``adx`` composes two of these: Wilder sums give DX, and DX, counted where it is
 not skipped, gives the average. ``prefix_sum``, ``vwap`` and ``obv`` need no Python: chunk totals, their running
 sums, and local sums. ``triple_barrier`` finds first touches in chunks that see as many rows ahead as the horizon.
 """
@@ -26,6 +26,7 @@ from candlemill.operators import recurrence
 from candlemill.operators.labels import LABELS, Barriers
 from candlemill.operators.recurrence import NAN, Scan, State, advance, before, ratio
 from candlemill.operators.series import KEYS, halo, number_rows
+from candlemill.session import written
 
 #: Rows of a chunk.
 SIZE = 4096
@@ -166,7 +167,8 @@ def _fields(rows: DataFrame, *names: str) -> list[StructField]:
 
 def scan(candles: DataFrame, name: str, spec: Affine, size: int = SIZE, unit: str = "month") -> DataFrame:
     """Candles (numbered, with ``rn``) with the scan's values as a column ``name``; NaN becomes null."""
-    rows = chunked(candles.drop(name) if name != spec.counted else candles, size, spec.halo, unit)
+    # numbered once: both passes read it
+    rows = written(chunked(candles.drop(name) if name != spec.counted else candles, size, spec.halo, unit), "chunks")
     columns = list(dict.fromkeys(["rn", *spec.scan.columns]))
     width = len(spec.carried)
     counts = None

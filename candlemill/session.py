@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -27,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: the rows written to the shared folder as Parquet, and read back."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/candlemill/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 #: Bytes of the Arrow batches that texts travel in; a batch holds one row at least.
 BATCH_BYTES = 8 << 20
 
