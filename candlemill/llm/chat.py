@@ -9,13 +9,17 @@ Where new output does not start with the old one, the template rewrote history:
 conversation is flagged (``rewrote``) and has no spans and no digests.
 
 Any template gets true prefixes: every turn is rendered after all turns before it, so a
-conversation is held as a whole and its work grows with the square of its turns. A
-template may instead declare that it only appends (``additive``: the rendering of two
-lists of turns in a row is that of the first and then, without the opening, that of the
-second). Then rows stream in runs of ``RUN`` turns, a conversation of any length needs the
-memory of one run, and the declaration is checked: each run's output against its rendering
-together with the run before, and conversations of up to ``CHECKED`` characters against one
-rendering of all their turns. A conversation that breaks the declaration is flagged, too.
+conversation is held as a whole and its work grows with the square of its turns. Two kinds
+of templates are rendered in runs of ``RUN`` turns instead:
+
+* An ``Appending`` template is made of a function of one turn. It cannot see another turn,
+  so it only appends (the rendering of two lists of turns in a row is that of the first and
+  then, without the opening, that of the second). Rows stream, and a conversation of any
+  length needs the memory of one run. The built-in template is one.
+* Any other template may declare that it only appends (``additive``). The declaration is
+  checked on every conversation, whatever its size: each run against its rendering together
+  with the run before, and all runs against one rendering of all turns. So a conversation is
+  held as a whole here, too; one that breaks the declaration is flagged.
 
 Defined cases: null text is empty; a null role is rendered as ``null``; turns with equal
 or null numbers are ordered by role, then text; repeated rows are turns of their own;
@@ -28,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +41,8 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.jobs import spread
 
-#: Turns of a run under a template that declares that it only appends.
+#: Turns of a run under a template that only appends.
 RUN = 16
-#: Characters up to which such a conversation is also rendered as a whole, to check the declaration.
-CHECKED = 1 << 24
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn], bool], str]
@@ -59,23 +62,30 @@ def unescape(text: str) -> str:
     return _escaped.sub(r"\1", text)
 
 
-def instruct(turns: list[Turn], opening: bool) -> str:
-    """The built-in template: instruction marks for users, an output mark and an end for assistants."""
-    out = ["<s>"] if opening else []
-    for role, text in turns:
-        t = escape(text)
-        if role == "user":
-            out.append(f"[INST]{t}[/INST]")
-        elif role == "assistant":
-            out.append(f"[OUT]{t}</s>")
-        elif role == "system":
-            out.append(f"[SYS]{t}[/SYS]")
-        else:
-            out.append(f"[ROLE]{escape(role).replace(chr(10), chr(92) + chr(10))}\n{t}[/ROLE]")
-    return "".join(out)
+class Appending:
+    """A template made of an opening and a function of one turn (its role and text): it only appends."""
+
+    def __init__(self, opening: str, turn: Callable[[str, str], str]) -> None:
+        self.opening, self.turn = opening, turn
+
+    def __call__(self, turns: list[Turn], opening: bool) -> str:
+        return "".join([self.opening if opening else "", *(self.turn(role, text) for role, text in turns)])
 
 
-instruct.additive = True
+def instruct_turn(role: str, text: str) -> str:
+    """Instruction marks for users, an output mark and an end for assistants."""
+    t = escape(text)
+    if role == "user":
+        return f"[INST]{t}[/INST]"
+    if role == "assistant":
+        return f"[OUT]{t}</s>"
+    if role == "system":
+        return f"[SYS]{t}[/SYS]"
+    return f"[ROLE]{escape(role).replace(chr(10), chr(92) + chr(10))}\n{t}[/ROLE]"
+
+
+#: The built-in template.
+instruct = Appending("<s>", instruct_turn)
 
 #: What the built-in template's output reads back as.
 _TURN = re.compile(r"\[INST\](?P<user>.*?)\[/INST\]|\[OUT\](?P<assistant>.*?)</s>|\[SYS\](?P<system>.*?)\[/SYS\]|\[ROLE\](?P<role>(?:\\.|[^\\\n])*)\n(?P<other>.*?)\[/ROLE\]", re.DOTALL)
@@ -121,25 +131,19 @@ class Run:
         self.output = new
 
 
-class Additive:
-    """Checks, run by run, that a template only appends."""
+def rendered(template: Template, turns: list[Turn], opening: bool) -> Run:
+    """A run of all these turns."""
+    run = Run(template, opening)
+    for role, text in turns:
+        run.add(role, text)
+    return run
 
-    def __init__(self, template: Template) -> None:
-        self.template, self.turns, self.output, self.before = template, [], "", None
 
-    def holds(self, run: Run, last: bool) -> bool:
-        good = True
-        if self.before is not None:
-            old = self.before
-            good = self.template([*old.turns, *run.turns], old.opening) == old.output + run.output
-        self.before = run
-        if self.turns is not None:
-            self.turns, self.output = [*self.turns, *run.turns], self.output + run.output
-            if len(self.output) > CHECKED:
-                self.turns = None
-            elif last:
-                good &= self.template(self.turns, True) == self.output
-        return good
+def appended(template: Template, parts: list[Run]) -> bool:
+    """Do a conversation's runs, in pairs and all together, equal what the template makes of their turns at once?"""
+    if not all(template([*a.turns, *b.turns], a.opening) == a.output + b.output for a, b in pairwise(parts)):
+        return False
+    return template([t for p in parts for t in p.turns], True) == "".join(p.output for p in parts)
 
 
 _OUT = "conv_id long, run long, turns array<struct<role:string,start:int,text_start:int,text_end:int,end:int>>, output string, rewrote boolean, last boolean"
@@ -173,28 +177,28 @@ def runs(rows: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int
 
 
 def render(conversations: DataFrame, template: Template = instruct, additive: bool | None = None) -> DataFrame:
-    """Rendered conversations with the spans of their turns, in one row each, or in runs if the template is additive.
+    """Rendered conversations with the spans of their turns, in one row each, or in runs if the template only appends.
 
     ``start..end`` is a turn's span in its row's output, ``text_start..text_end`` its text; there are none
-    where the template rewrote history. ``additive`` is by default what the template itself declares.
+    where the template rewrote history or broke its declaration. ``additive`` is by default what the template itself declares;
+    False asks for true prefixes of an ``Appending`` template, too.
     """
-    appends = getattr(template, "additive", False) if additive is None else additive
+    streams = type(template) is Appending and additive is not False
+    declared = not streams and (getattr(template, "additive", False) if additive is None else additive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, check = [], 0, None
-        for conv, number, turns, last in runs(batches, RUN if appends else None):
-            r = Run(template, number == 0)
-            for role, text in turns:
-                r.add(role, text)
-            if number == 0:
-                check = Additive(template)
-            rewrote = r.rewrote or (appends and not check.holds(r, last))
-            spans = [] if rewrote else [dict(zip(("role", "start", "text_start", "text_end", "end"), s, strict=True)) for s in r.spans]
-            out.append({"conv_id": conv, "run": number, "output": r.output, "rewrote": rewrote, "last": last, "turns": spans})
-            size += len(r.output)
-            if size > 1 << 20:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out, size = [], 0
+        out, size = [], 0
+        for conv, number, turns, last in runs(batches, RUN if streams else None):
+            step = RUN if declared else len(turns)
+            parts = [rendered(template, turns[i : i + step], number == i == 0) for i in range(0, len(turns), step)]
+            rewrote = any(p.rewrote for p in parts) or (declared and not appended(template, parts))
+            for i, p in enumerate(parts):
+                spans = [] if rewrote else [dict(zip(("role", "start", "text_start", "text_end", "end"), s, strict=True)) for s in p.spans]
+                out.append({"conv_id": conv, "run": number + i, "output": p.output, "rewrote": rewrote, "last": last and p is parts[-1], "turns": spans})
+                size += len(p.output)
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
