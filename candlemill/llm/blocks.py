@@ -197,6 +197,18 @@ class Lookup:
         return out
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) in order of codes, each code once."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[1] for p in parts])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
+
+
 class Tally:
     """Sums of counts by 64-bit code inside a task, merged when it has grown to ``most`` entries."""
 
@@ -212,14 +224,7 @@ class Tally:
             self.size = len(self.parts[0][0])
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.concatenate([p[0] for p in self.parts])
-        n = np.concatenate([p[1] for p in self.parts])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(n, first)
+        return summed(self.parts)
 
     def take_if_large(self):
         """The sums so far, and start anew, where even the merged sums are too many."""

@@ -4,10 +4,10 @@
 
 Clustered units are all words of the broadcast table (the ``fast`` most frequent ones) that occur
 ``least`` times or more, up to ``heads`` of them if that is given; every other word stands in its suffix bucket, a
-unit as well, so rare and unseen words have a class. Unit bigrams are counted over all training rows and
-written down once. An exchange round sums them by unit and class in Spark, and each
-task moves its units (half of them in a round) to the class that raises the likelihood most while the
-others stand still; the driver sees the class of each unit and the class bigrams only. The
+unit as well, so rare and unseen words have a class. Unit bigrams are counted over all training rows,
+brought together by each of their two units in one exchange and written down once. In a round each
+task sums those of its units by class and moves them (half of them in a round) to the class that raises
+the likelihood most while the others stand still; the driver sees the class of each unit and the class bigrams only. The
 round with the highest likelihood counts.
 
 Word counts are complete: the ``fast`` most frequent go to the tasks as a table of fixed
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlemill.llm.blocks import SPACE_WORD, Block, Lookup, Tally, U, Words, blocks, mix, signed, span_hashes, words
+from candlemill.llm.blocks import SPACE_WORD, Block, Lookup, Tally, U, Words, blocks, mix, signed, span_hashes, summed, words
 from candlemill.llm.jobs import keep, row_key, spread
 
 #: The end of a text, as a word hash.
@@ -126,21 +126,36 @@ def with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return prev, seq, starts
 
 
+#: Units that travel together, and entries of a kept row, which holds whole units.
+GROUP, ENTRIES = 64, 65536
+
+
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The values of each run that begins at ``first``, as one binary value."""
+    at = np.append(first, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray], c: Config) -> DataFrame:
-    """(u, v, n): unit bigrams as packed arrays, one row for some thousands of them, each task's summed; rounds read them as they are."""
+    """(part, own, other, n): unit bigrams as each task sums them, from both of their units. ``own`` is twice
+    a unit for what follows it, and one more for what it follows; a part has GROUP units or some more."""
     shared = docs.sparkSession.sparkContext.broadcast(heads)
     clustered = len(heads[0])
     units = 1 + clustered + c.buckets
+    parts = max(1, units // GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, unit = shared.value
         table, tally = Lookup(keys), Tally(1_000_000)
 
         def out(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 65536):
-                s = slice(i, i + 65536)
-                arrays = ((k[s] // units).astype(np.int32), (k[s] % units).astype(np.int32), n[s].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["u", "v", "n"])
+            for side, (u, v) in enumerate((np.divmod(k, units), np.divmod(k, units)[::-1])):
+                order = np.argsort((u % parts * units + u) * units + v, kind="stable")
+                u, v = u[order], v[order]
+                part = (u % parts).astype(np.int32)
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+                arrays = ((2 * u + side).astype(np.int32), v.astype(np.int32), n[order].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(_packed(x, first) for x in arrays)], names=["part", "own", "other", "n"])
 
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -151,142 +166,162 @@ def unit_bigrams(docs: DataFrame, text: str, heads: tuple[np.ndarray, np.ndarray
                     yield from out(*full)
         yield from out(*tally.merged())
 
-    return docs.select(text).mapInArrow(run, "u binary, v binary, n binary")
+    return docs.select(text).mapInArrow(run, "part int, own binary, other binary, n binary")
 
 
-def _f(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+_NEIGHBOURS = "unit binary, follow binary, v binary, n binary, precede binary, w binary, m binary"
 
 
-_SUMS = "unit int, code array<int>, n array<long>"
+def neighbours(bigrams: DataFrame, units: int) -> DataFrame:
+    """Rows of whole units, each unit in one row: how many units follow it, those (``v``, ``n`` times), how many
+    precede it, and those (``w``, ``m`` times). Made by one exchange; rounds need no other. A task holds
+    one part's distinct bigrams, which the model's size bounds."""
 
+    def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, other = np.divmod(codes, units)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] >> 1 != own[:-1] >> 1]))
+        cuts = np.append(first[np.concatenate([[True], np.diff(first // ENTRIES) > 0])], len(own))
+        for s in (slice(*x) for x in zip(cuts[:-1], cuts[1:], strict=True)):
+            unit, at = np.unique(own[s] >> 1, return_inverse=True)
+            before = (own[s] & 1).astype(bool)
+            out = [unit.astype(np.int32)]
+            for side in (~before, before):
+                out += [np.bincount(at[side], minlength=len(unit)).astype(np.int32), other[s][side].astype(np.int32), n[s][side].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], names=[x.split()[0] for x in _NEIGHBOURS.split(", ")])
 
-def _sparse(table: np.ndarray, units: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, codes, counts) of a table whose rows are these units; rows of zeros are left out."""
-    for lo in range(0, len(table), step):
-        part = table[lo : lo + step]
-        some = part.any(axis=1)
-        part, unit = part[some], units[lo : lo + step][some]
-        row, code = np.nonzero(part)
-        at = pa.array(np.searchsorted(row, np.arange(len(unit) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (code.astype(np.int32), part[row, code].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *lists], names=["unit", "code", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, base = None, [], 0, 0
+        for batch in batches:
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                if p != part and held:
+                    yield from rows(*summed(held))
+                    held, size, base = [], 0, 0
+                own, other, n = (_ints(batch, j, i, np.int32).astype(np.int64) for j in (1, 2, 3))
+                part, size = p, size + len(n)
+                held.append((own * units + other, n))
+                if size > 2 * base + 1_000_000:
+                    held = [summed(held)]
+                    size = base = len(held[0][0])
+        if held:
+            yield from rows(*summed(held))
 
+    return spread(bigrams, None, "part").sortWithinPartitions("part").mapInArrow(run, _NEIGHBOURS)
 
-def _dense(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(units, their rows as a table) of sparse rows."""
-    unit, code, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-    table = np.zeros((len(unit), width))
-    table[np.repeat(np.arange(len(unit)), np.diff(code.offsets.to_numpy())), code.flatten().to_numpy()] = n.flatten().to_numpy()
-    return unit, table
 
+def _ints(batch: pa.RecordBatch, column: int, row: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), dtype)
 
-def unit_sums(pairs: DataFrame, cls: np.ndarray, c: Config) -> DataFrame:
-    """One row a unit: how often it stands before (code = class) and after (classes + class) each class, and
-    before itself (2 * classes). A task's table has a row for each unit, which the model's size bounds."""
-    shared = pairs.sparkSession.sparkContext.broadcast(cls)
-    k, width, units = c.classes, 2 * c.classes + 1, len(cls)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # 32 bits hold what one task has read
-        of, table = shared.value, np.zeros(units * width, np.int32)
-        for batch in batches:
-            for x, y, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                u, v, n = np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(y, np.int32).astype(np.int64), np.frombuffer(z, np.int64).astype(np.int32)
-                np.add.at(table, u * width + of[v], n)
-                np.add.at(table, v * width + k + of[u], n)
-                same = u == v
-                np.add.at(table, u[same] * width + 2 * k, n[same])
-        yield from _sparse(table.reshape(units, width), np.arange(units))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows for the units of this partition, in order of appearance
-        slot, seen, table = np.full(units, -1), np.zeros(0, np.int64), np.zeros((1024, width), np.int64)
-        for batch in batches:
-            unit, code, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            new = np.unique(unit[slot[unit] < 0])
-            slot[new] = len(seen) + np.arange(len(new))
-            seen = np.append(seen, new)
-            while len(table) < len(seen):
-                table = np.concatenate([table, np.zeros_like(table)])
-            np.add.at(table.ravel(), np.repeat(slot[unit] * width, np.diff(code.offsets.to_numpy())) + code.flatten().to_numpy(), n.flatten().to_numpy())
-        yield from _sparse(table[: len(seen)], seen)
-
-    return spread(pairs.mapInArrow(count, _SUMS), None, "unit").mapInArrow(add, _SUMS)
+def _f(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def class_bigrams(sums: DataFrame, cls: np.ndarray, c: Config) -> np.ndarray:
-    shared = sums.sparkSession.sparkContext.broadcast(cls)
+def class_bigrams(pairs: DataFrame, cls: np.ndarray, c: Config) -> np.ndarray:
+    shared = pairs.sparkSession.sparkContext.broadcast(cls)
     k = c.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((k, k), np.int64)
+        of, n = shared.value, np.zeros(k * k, np.int64)
         for batch in batches:
-            unit, table = _dense(batch, 2 * k + 1)
-            np.add.at(n, shared.value[unit], table[:, :k].astype(np.int64))
+            for i in range(len(batch)):
+                unit, follow, v = (_ints(batch, j, i, np.int32) for j in range(3))
+                # sums in double precision are exact below 2^53
+                n += np.bincount(np.repeat(of[unit] * k, follow) + of[v], _ints(batch, 3, i, np.int64), k * k).astype(np.int64)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n.ravel()[some])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["code", "n"])
 
     out = np.zeros(k * k)
-    for r in sums.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in pairs.select("unit", "follow", "v", "n").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r.code] = r.n
     return out.reshape(k, k)
 
 
 def exchange(bigrams: DataFrame, units: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts) by exchange rounds over the packed unit bigrams."""
+    """(class of each unit, class bigram counts) by exchange rounds over the units' neighbours."""
     k = c.classes
-    pairs = keep(bigrams, "bigrams")
+    pairs = keep(neighbours(bigrams, units), "neighbours")
+    half = bigrams.sparkSession.range(units).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(2)).alias("half"), "id").toArrow().sort_by("id").column("half").to_numpy()
     cls = np.where(np.arange(units) == 0, 0, 1 + np.arange(units) % (k - 1))
     best = (-np.inf, cls, np.zeros((k, k)))
     for step in range(c.rounds + 1):
-        sums = keep(unit_sums(pairs, cls, c), "sums")
-        n = class_bigrams(sums, cls, c)
+        n = class_bigrams(pairs, cls, c)
         gain = _f(n).sum() - _f(n.sum(axis=1)).sum() - _f(n.sum(axis=0)).sum()
         if gain > best[0]:
             best = (gain, cls, n)
         if step == c.rounds:
             break
-        moved = moves(sums.filter((F.col("unit") > 0) & (F.pmod(F.hash("unit") + step, F.lit(2)) == 0)), cls, n, c).toArrow()
+        moved = moves(pairs, cls, n, half == step % 2, c).toArrow()
         cls = cls.copy()
         cls[moved.column("unit").to_numpy()] = moved.column("to").to_numpy()
     return best[1], best[2]
 
 
-def moves(sums: DataFrame, cls: np.ndarray, n: np.ndarray, c: Config) -> DataFrame:
-    """(unit, to): units that gain by another class, and the class; all others stand still."""
-    shared = sums.sparkSession.sparkContext.broadcast((cls, n))
+def moves(pairs: DataFrame, cls: np.ndarray, n: np.ndarray, turn: np.ndarray, c: Config) -> DataFrame:
+    """(unit, to): units whose turn it is and that gain by another class, and the class; all others stand still."""
+    shared = pairs.sparkSession.sparkContext.broadcast((cls, n, turn & (np.arange(len(cls)) > 0)))
     k = c.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, classes = shared.value
+        of, classes, may = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 128):
-                unit, table = _dense(batch.slice(lo, 128), 2 * k + 1)
-                to = best_classes(of[unit], table[:, :k], table[:, k : 2 * k], table[:, -1], classes)
+            for i in range(len(batch)):
+                unit = _ints(batch, 0, i, np.int32)
+                some, tables = may[unit], []
+                if not some.any():
+                    continue
+                for j in (1, 4):
+                    at = np.repeat(np.arange(len(unit)), _ints(batch, j, i, np.int32))
+                    other, count = _ints(batch, j + 1, i, np.int32), _ints(batch, j + 2, i, np.int64)
+                    tables.append(np.bincount(at * k + of[other], count, len(unit) * k).reshape(-1, k)[some])
+                    if j == 1:
+                        same = np.bincount(at, np.where(other == unit[at], count, 0), len(unit))[some]
+                unit = unit[some]
+                to = best_classes(of[unit], *tables, same, classes)
                 go = to != of[unit]
                 yield pa.RecordBatch.from_arrays([pa.array(unit[go]), pa.array(to[go].astype(np.int32))], names=["unit", "to"])
 
-    return sums.mapInArrow(run, "unit int, to int")
+    return pairs.mapInArrow(run, "unit int, to int")
+
+
+def _gains(own: np.ndarray, after: np.ndarray, before: np.ndarray, same: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What each class's row of counts gains by the unit's followers, the class itself left out: over the classes that do follow the unit."""
+    o = after.copy()
+    o[np.arange(len(own)), own] -= same
+    u, c = np.nonzero(o)
+    at, a = np.arange(len(u)), own[u]
+    m, fm = n.T[c], _f(n).T[c]
+    # the unit's own counts are taken out of its class
+    m[at, a] -= after[u, c]
+    home = np.flatnonzero(c == a)
+    m[home] -= before[u[home]]
+    m[home, a[home]] += same[u[home]]
+    np.maximum(m, 0, out=m)
+    fm[at, a], fm[home] = _f(m[at, a]), _f(m[home])
+    more = _f(m + o[u, c][:, None]) - fm
+    more[at, c] = 0
+    out = np.zeros(after.shape)
+    some, first = np.unique(u, return_index=True)
+    if len(some):
+        out[some] = np.add.reduceat(more, first, axis=0)
+    return out
 
 
 def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, same: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The class of greatest likelihood for each of some units, alone; its own class where no other is better."""
-    u, d = np.arange(len(own)), np.arange(len(n))
-    m = np.repeat(n[None], len(own), axis=0)
-    m[u, own] -= after
-    m[u, :, own] -= before
-    m[u, own, own] += same
-    np.maximum(m, 0, out=m)
+    u = np.arange(len(own))
+    gain = _gains(own, after, before, same, n) + _gains(own, before, after, same, n.T)
     o, i = after.copy(), before.copy()
     o[u, own] -= same
     i[u, own] -= same
     # what stands before the unit counts in its class's row wherever the unit goes, and alike for columns
-    left, right, fm = m.sum(axis=2) + i, m.sum(axis=1) + o, _f(m)
-    rows, cols = _f(m + o[:, None, :]) - fm, _f(m + i[:, :, None]) - fm
-    gain = rows.sum(axis=2) - rows[:, d, d] + cols.sum(axis=1) - cols[:, d, d]
+    left, right = n.sum(axis=1) - before + i, n.sum(axis=0) - after + o
+    left[u, own] += same - after.sum(axis=1)
+    right[u, own] += same - before.sum(axis=1)
+    d = np.repeat(n.diagonal()[None], len(own), axis=0)
+    d[u, own] -= after[u, own] + before[u, own] - same
+    np.maximum(d, 0, out=d)
     more_o, more_i = (o.sum(axis=1) + same)[:, None], (i.sum(axis=1) + same)[:, None]
-    gain += _f(m[:, d, d] + o + i + same[:, None]) - fm[:, d, d]
+    gain += _f(d + o + i + same[:, None]) - _f(d)
     gain -= _f(left + more_o) - _f(left) + _f(right + more_i) - _f(right)
     gain[:, 0] = -np.inf
     to = gain.argmax(axis=1)
