@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from candlemill.llm.blocks import U, powers
+from candlemill.llm.blocks import U, mix, powers
 
 _INV = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _inverse = np.ones(1, U)
@@ -31,7 +31,9 @@ class Prefix:
 
     def __init__(self, t: np.ndarray, which: int = 0) -> None:
         n = len(t)
-        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(self._random[which][t] * powers(n))]) if n else np.zeros(1, U)
+        # symbols of up to 16 bits are below 1,024
+        value = self._random[which][t] if t.dtype.itemsize <= 2 else mix(t.astype(U) + self._random[which][0])
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(value * powers(n))]) if n else np.zeros(1, U)
         self.inv = inverse_powers(n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
