@@ -72,3 +72,35 @@ def test_audit_of_files(spark, tmp_path):
         ("A", "day"): whole, ("B&C", "day"): whole, ("7", "day"): whole, ("007", "day"): (1, 500, "columns missing: close"), ("E", "day"): (1, 0, "empty"), ("F", "day"): (0, 0, "no file"),
         **{(s, "week"): (0, 0, "no file") for s in ("A", "B&C", "7", "007", "E", "F")},
     }
+
+
+def test_many_series_share_buckets(spark, tmp_path):
+    """Files are as many as buckets and years, not as series; a range reads its year, one new candle rewrites one bucket's year."""
+    at, day = str(tmp_path / "t"), lambda s, i: (f"S{s}", "day", dt.datetime(2019, 1, 1, 9, 15) + dt.timedelta(days=i), 1.0, 2.0, 0.5, float(i), 1.0)
+    made = [day(s, i) for s in range(120) for i in (0, 100, 400, 500, 800)]
+    df = spark.createDataFrame(made, CANDLE)
+    store.write_candles(df, at, by_year=True, buckets=4)
+    assert len(files(tmp_path / "t")) == 4 * 3
+    half = store.read_years(spark, at, CANDLE, "1d", "2020-01-01", "2020-06-30")
+    assert scanned(half) == 4 and half.columns == CANDLE_COLUMNS
+    assert sorted(map(tuple, half.collect())) == sorted(r for r in made if dt.datetime(2020, 1, 1) <= r[2] < dt.datetime(2020, 7, 1))
+    schema = CANDLE + ", load_seq long"
+    put = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for by_year, table in ((True, "u"), (False, "v")):
+        run = lambda: live.stream_upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / table), str(tmp_path / f"cp-{table}"), by_year=by_year, buckets=4).awaitTermination()  # noqa: E731, B023
+        if by_year:
+            put([(*r, 0) for r in made])
+        else:
+            put([("S8", "day", dt.datetime(2020, 5, 5, 9, 15), 5.0, 6.0, 4.0, 6.5, 9.0, 2)])
+        run()
+        before = files(tmp_path / table)
+        assert len(before) == (4 * 3 if by_year else 4)
+        put([("S7", "day", dt.datetime(2020, 5, 5, 9, 15), 5.0, 6.0, 4.0, 5.5, 9.0, 3)])
+        run()
+        after = files(tmp_path / table)
+        changed = [f for f in after if before.get(f) != after[f]]
+        assert len(changed) == 1 and len(after) == len(before)
+        got = store.read_years(spark, str(tmp_path / table), CANDLE)
+        assert got.where("close = 5.5").count() == 1
+        new = {("S7", dt.datetime(2020, 5, 5, 9, 15))} | (set() if by_year else {("S8", dt.datetime(2020, 5, 5, 9, 15))})
+        assert got.count() == len({(r[0], r[2]) for r in made} | new)
