@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from candlemill.session import shared_dir
+from candlemill.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/candlemill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return written(df, label)
 
 
 def with_columns(docs: DataFrame, carry: list[str], added: str) -> StructType:

@@ -110,3 +110,19 @@ def test_no_task_holds_a_long_series(spark, candles):
                     assert "close#" not in below.rsplit("[", 1)[-1], below
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_what_a_scan_leaves_behind(spark, candles):
+    """One table of chunks stays of an ADX, that its result reads; rows carry no column twice; shuffle files of written steps go."""
+    import os
+
+    from candlemill.session import shared_dir
+
+    tables = lambda: {d for d in os.listdir(f"{shared_dir(spark)}/candlemill") if d.startswith("chunks-")} if os.path.isdir(f"{shared_dir(spark)}/candlemill") else set()
+    held = lambda: sum(f.startswith("shuffle_") and f.endswith(".data") for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, fs in os.walk(d.getPath()) for f in fs)
+    before, files = tables(), held()
+    out = longseries.adx(candles, "x", 7, size=16)
+    assert len(tables() - before) == 1
+    assert "_x0" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert held() <= files
+    same(values(out), values(recurrence.with_recurrences(candles, {"x": recurrence.adx(7)})))
