@@ -11,8 +11,10 @@ links in its home cell alone, so nothing is counted twice, and cells are indepen
 Equal vectors are one vector with a weight (told by two hashes), so a group of exact
 copies costs what one vector costs, and its rows take the result back afterwards.
 
-A cell's homes are cut into blocks of ``BLOCK`` vectors (a hot cell becomes many tasks); each
-block meets its cell's vectors in a stream of Arrow batches, so a task holds one block.
+No copies are made: a cell's homes are packed into blocks of at most ``BLOCK`` vectors, a row each, with the cells that any of
+them may reach. Blocks are joined with the blocks that may reach them by a cartesian product, which reads the
+table of blocks again and again and writes nothing, so disk grows with the vectors and not with the pairs of blocks, as
+time does; a task holds two blocks. In a pair only vectors that may reach the cell are compared.
 Products are taken in single precision and settled in double where they come near the
 threshold. A block returns link counts and a spanning forest of its links, not the links.
 
@@ -34,8 +36,11 @@ from pyspark.sql import functions as F
 from candlemill.llm.blocks import Forest
 from candlemill.llm.jobs import components, keep
 
-#: Home vectors of a task.
+#: Vectors of a block, and the bytes of their components.
 BLOCK = 4096
+BLOCK_BYTES = 4 << 20
+#: Vectors that a block meets at once.
+MET = 1024
 #: Vectors a pivot stands for; pivots grow with the table up to ``MOST_PIVOTS``.
 PER_PIVOT = 4096
 MOST_PIVOTS = 1024
@@ -98,8 +103,27 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
 
-def cells(units: DataFrame, points: dict[int, np.ndarray], radius: float) -> DataFrame:
-    """Copies of the vectors: one home row each, and a row for every other cell they may reach."""
+def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of vectors from points."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)[None], 0)
+
+
+def reaching(x: np.ndarray, p: np.ndarray, home: int, radius: float) -> np.ndarray:
+    """(vectors, pivots): may a vector of cell ``home`` be within ``radius`` of one whose nearest pivot it is?"""
+    d2 = distances(x, p)
+    apart = np.sqrt(distances(p[home : home + 1], p)[0])
+    reach = d2 - d2[:, home][:, None] <= 2 * radius * apart[None] + 1e-9
+    reach[:, home] = True
+    return reach
+
+
+def points_of(points: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    found = points.get(dim)
+    return np.zeros((1, dim)) if found is None else found
+
+
+def cells(units: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
+    """The vectors with the cell of their nearest pivot."""
     shared = units.sparkSession.sparkContext.broadcast(points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,22 +133,60 @@ def cells(units: DataFrame, points: dict[int, np.ndarray], radius: float) -> Dat
                 dims = batch.column(1).to_numpy()
                 for dim in np.unique(dims):
                     part = batch.filter(pa.array(dims == dim))
-                    x, p = matrix(part.column(2)), shared.value.get(int(dim))
-                    if p is None:
-                        p = np.zeros((1, int(dim)))
-                    d2 = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)[None], 0)
-                    near = d2.argmin(axis=1)
-                    apart = np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * p @ p.T, 0))
-                    gap = d2 - d2[np.arange(len(x)), near][:, None]
-                    reach = gap <= 2 * radius * apart[near] + 1e-9
-                    reach[np.arange(len(x)), near] = True
-                    row, cell = np.nonzero(reach)
+                    near = distances(matrix(part.column(2)), points_of(shared.value, int(dim))).argmin(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(near[row] == cell), *(part.column(i).take(pa.array(row)) for i in (0, 3, 4, 5, 2))],
-                        names=["dim", "cell", "home", "id", "weight", "h1", "h2", "v"],
+                        [pa.array(np.full(len(part), dim, np.int32)), pa.array(near.astype(np.int32)), *(part.column(i) for i in (0, 3, 4, 5, 2))], names=["dim", "cell", "id", "weight", *NAME, "v"]
                     )
 
-    return units.select("id", "dim", "v", "weight", *NAME).mapInArrow(run, "dim int, cell int, home boolean, id long, weight long, h1 long, h2 long, v array<double>")
+    return units.select("id", "dim", "v", "weight", *NAME).mapInArrow(run, "dim int, cell int, id long, weight long, h1 long, h2 long, v array<double>")
+
+
+_BLOCK = "dim int, cell int, own string, reached array<string>, names binary, weights binary, v binary"
+
+
+def packed(homes: DataFrame, points: dict[int, np.ndarray], radius: float) -> DataFrame:
+    """A row for each block of vectors of one cell: ``own`` names the cell, ``reached`` all cells that any of them may reach."""
+    shared = homes.sparkSession.sparkContext.broadcast(points)
+    sizes = homes.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("homes"))
+    # at most MOST_PIVOTS cells a vector length
+    salted = homes.join(F.broadcast(sizes.select("dim", "cell", F.ceil(F.col("homes") / BLOCK).alias("blocks"))), ["dim", "cell"])
+    key = ["dim", "cell", "block"]
+    dealt = salted.select("dim", "cell", F.pmod("h2", "blocks").alias("block"), "id", "weight", *NAME, "v").repartition(*key).sortWithinPartitions(*key)
+
+    def row(dim: int, cell: int, names: np.ndarray, weights: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        reached = np.flatnonzero(reaching(v, points_of(shared.value, dim), cell, radius).any(axis=0))
+        values = [dim, cell, f"{dim}:{cell}", [f"{dim}:{q}" for q in reached.tolist()], names.tobytes(), weights.tobytes(), v.tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield row(int(now[0]), int(now[1]), *(np.ascontiguousarray(np.concatenate(x)) for x in zip(*held, strict=True)))
+                held.clear()
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            cut = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), [len(batch)]])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if s == e:
+                    continue
+                if now is None or (keys[s] != now).any():
+                    yield from flushed()
+                    now = keys[s]
+                most = max(1, min(BLOCK, BLOCK_BYTES // (8 * int(now[0]))))
+                while s < e:
+                    n = min(e - s, most - sum(len(h[0]) for h in held))
+                    part = batch.slice(s, n)
+                    held.append((np.stack([part.column(i).to_numpy() for i in (5, 6, 3)], axis=1), part.column(4).to_numpy(), matrix(part.column(7))))
+                    s += n
+                    if sum(len(h[0]) for h in held) == most:
+                        yield from flushed()
+        yield from flushed()
+
+    return dealt.mapInArrow(run, _BLOCK)
 
 
 class Links(Forest):
@@ -152,64 +214,45 @@ class Links(Forest):
 _LINK = "h1 long, h2 long, id long, n long, a long, b long"
 
 
-def block_links(copies: DataFrame, cosine: float) -> DataFrame:
-    """Per home vector its number of links (``h1``, ``h2``, ``id``, ``n``), and forest edges (``a``, ``b``)."""
-    sizes = copies.filter("home").groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("homes"))
-    blocks = sizes.withColumn("blocks", F.ceil(F.col("homes") / BLOCK).cast("int")).select("dim", "cell", "blocks")
-    # at most MOST_PIVOTS cells a vector length
-    salted = copies.join(F.broadcast(blocks), ["dim", "cell"])
-    salt = F.pmod(F.col("h2"), F.col("blocks")).cast("int")
-    out = salted.withColumn("salt", salt).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # in every block: its own homes first, then all of the cell's vectors
-    out = out.select("dim", "cell", "to", (F.col("home") & (F.col("salt") == F.col("to"))).alias("own"), "id", "weight", *NAME, "v")
-    key = ["dim", "cell", "to"]
-    dealt = out.repartition(*key).sortWithinPartitions(*key, F.desc("own"))
+def block_links(blocks: DataFrame, points: dict[int, np.ndarray], radius: float, cosine: float) -> DataFrame:
+    """Numbers of links of home vectors (``h1``, ``h2``, ``id``, ``n``; to be summed, each counts itself), and forest edges (``a``, ``b``)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(points)
+    own = blocks.select("own", *[F.col(c).alias(f"own_{c}") for c in ("cell", "names", "v")])
+    met = blocks.select("reached", "dim", "cell", "names", "weights", "v")
+    # no equality to join by, on purpose: blocks are met where they lie, and none is written for a pair
+    pairs = own.join(met, F.array_contains("reached", F.col("own"))).drop("own", "reached")
+
+    def read(batch: pa.RecordBatch, i: int, kind: type, at: int, *shape: int) -> np.ndarray:
+        return np.frombuffer(batch.column(i)[at].as_buffer(), kind).reshape(*shape)
+
+    def finish(w: Links | None) -> Iterator[pa.RecordBatch]:
+        if w is None:
+            return
+        a, b = w.forest()
+        some = w.count > 0
+        counts = [pa.array(x[some]) for x in (*w.names.T, w.ids, w.count)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([x, pa.nulls(len(a), pa.int64())]) for x in counts] + [pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(x)]) for x in (a, b)],
+            names=[*NAME, "id", "n", "a", "b"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, homes, work = None, [], None
-
-        def begin() -> Links:
-            w = Links(np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes]), np.concatenate([h[3] for h in homes]), cosine)
-            for _, *met in homes:
-                w.meet(*met)
-            return w
-
-        def finish(w: Links | None) -> Iterator[pa.RecordBatch]:
-            if w is None:
-                return
-            a, b = w.forest()
-            counts = [pa.array(x) for x in (*w.names.T, w.ids, w.count - 1)]
-            edges = [pa.array(a), pa.array(b)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([x, pa.nulls(len(a), pa.int64())]) for x in counts] + [pa.concat_arrays([pa.nulls(len(w.ids), pa.int64()), x]) for x in edges],
-                names=[*NAME, "id", "n", "a", "b"],
-            )
-
-        for whole in batches:
-            for lo in range(0, len(whole), 1024):
-                batch = whole.slice(lo, 1024)
-                keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-                cut = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), [len(batch)]])
-                for s, e in zip(cut[:-1], cut[1:], strict=True):
-                    if now is None or (keys[s] != now).any():
-                        if homes and work is None:
-                            work = begin()
-                        yield from finish(work)
-                        now, homes, work = keys[s], [], None
-                    own = batch.column(3).slice(s, e - s).to_numpy(zero_copy_only=False)
-                    ids, weight, h1, h2 = (batch.column(i).slice(s, e - s).to_numpy() for i in range(4, 8))
-                    v = matrix(batch.column(8).slice(s, e - s))
-                    if own.any():
-                        homes.append((np.stack([h1, h2], axis=1)[own], ids[own], weight[own], v[own]))
-                    if (~own).any() and homes:
-                        if work is None:
-                            work = begin()
-                        work.meet(ids[~own], weight[~own], v[~own])
-        if homes and work is None:
-            work = begin()
+        work = None
+        for batch in batches:
+            for at in range(len(batch)):
+                dim = batch.column(3)[at].as_py()
+                names, theirs = read(batch, 1, np.int64, at, -1, 3), read(batch, 5, np.int64, at, -1, 3)
+                if work is None or len(work.ids) != len(names) or (work.names != names[:, :2]).any():
+                    yield from finish(work)
+                    work = Links(names[:, :2].copy(), names[:, 2].copy(), read(batch, 2, float, at, -1, dim).copy(), cosine)
+                v, weights = read(batch, 7, float, at, -1, dim), read(batch, 6, np.int64, at, -1)
+                may = reaching(v, points_of(shared.value, dim), batch.column(4)[at].as_py(), radius)[:, batch.column(0)[at].as_py()]
+                v, weights, ids = v[may], weights[may], theirs[may, 2]
+                for lo in range(0, len(ids), MET):
+                    work.meet(ids[lo : lo + MET], weights[lo : lo + MET], v[lo : lo + MET])
         yield from finish(work)
 
-    return dealt.mapInArrow(run, _LINK)
+    return pairs.mapInArrow(run, _LINK)
 
 
 def shared_ids(rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -226,10 +269,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = raw.where(~missing).select("id", *NAME)
     every = keep(distinct_vectors(raw.where(~missing)), "vectors")
     vectors = every.filter("v is not null")
-    copies = keep(cells(vectors, pivots(vectors), float(np.sqrt(2 - 2 * cosine)) + 1e-9), "cells")
-    links = keep(block_links(copies, cosine), "links")
+    points, radius = pivots(vectors), float(np.sqrt(2 - 2 * cosine)) + 1e-9
+    blocks = keep(packed(cells(vectors, points), points, radius), "blocks")
+    links = keep(block_links(blocks, points, radius, cosine), "links")
     edges = links.filter("a is not null").select("a", "b").unionByName(shared_ids(rows, vectors))
-    found = links.filter("a is null").select(*NAME, "id", "n").join(components(edges), F.col("id") == F.col("node"), "left")
+    counts = links.filter("a is null").groupBy(*NAME, "id").agg((F.sum("n") - 1).alias("n"))
+    found = counts.join(components(edges), F.col("id") == F.col("node"), "left")
     found = keep(found.select(*NAME, "n", F.coalesce("component", "id").alias("component")), "found")
     total = every.agg(F.sum("weight")).first()[0] or 0
     hot = every.filter(F.col("weight") > total * HOT_SHARE).select(*NAME).join(found, NAME, "left")
